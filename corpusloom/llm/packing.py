@@ -69,8 +69,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, *, end_id: int, window: in
         enc, end = encoder(json.value), np.array([end_id], "<u4").tobytes()
         for b in batches:
             doc, total, start, length, crc = [], [], [], [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = enc.encode(text) + end
+            for i, ids in zip(b.column(0).to_pylist(), enc.encode_many(b.column(1).to_pylist()), strict=True):
+                ids += end
                 n = len(ids) // 4
                 for s in range(0, n, window):
                     part = ids[4 * s : 4 * (s + window)]

@@ -24,9 +24,10 @@ _ODD_SPACE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\
 class Encoder:
     """Encodes whole texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does; control strings in a text are ordinary text.
 
-    Both kinds of tokenizer cut a text at white space before anything else: no token reaches from one word into the next. So a text is cut
-    there, and each distinct piece goes through the library once. ``spaced`` says that a piece includes the blank before it (byte-level
-    BPE); there, runs of blanks or of empty lines, tabs, and in either kind odd white space, send the whole text through the library.
+    Both kinds of tokenizer cut a text at white space before anything else: no token reaches from one word into the next. So texts are cut
+    there, the distinct pieces of a batch that are not known yet go through the library together, with a separator between them, and the
+    ids of the pieces are put together again. ``spaced`` says that a piece includes the blank before it (byte-level BPE); there, runs of
+    blanks or of empty lines and tabs, and in either kind odd white space, send the whole text through the library.
     """
 
     def __init__(self, json: str):
@@ -35,43 +36,72 @@ class Encoder:
         self.raw = Tokenizer.from_str(json)
         self.raw.encode_special_tokens = True
         self.spaced = not loads(json)["model"].get("end_of_word_suffix")
-        self.words: dict[str, np.ndarray] = {}
+        self.mark = "\n" if self.spaced else "|"
+        self.between = self.mark if self.spaced else f" {self.mark} "
+        self.mark_id = self._ids(self.mark)[0]
+        self.words: dict[str, bytes] = {"\n": self._whole("\n")}
 
     def _ids(self, piece: str) -> list[int]:
         return self.raw.encode(piece, add_special_tokens=False).ids
 
-    def _piece(self, piece: str) -> bytes:
-        found = self.words.get(piece)
-        if found is None:
-            found = np.array(self._ids(piece), "<u4").tobytes()
-            if len(self.words) < CACHED_WORDS and len(piece) < 40:
-                self.words[piece] = found
-        return found
+    def _whole(self, text: str) -> bytes:
+        return np.array(self._ids(text), "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
+    def _cut(self, text: str) -> list[str] | None:
+        """The pieces of a text; None where it has to go through the library whole."""
         if _ODD_SPACE.search(text):
-            return np.array(self._ids(text), "<u4").tobytes()
-        words, piece = self.words, self._piece
+            return None
         if not self.spaced:
-            return b"".join([words.get(w) or piece(w) for w in text.split()])
-        out: list[bytes] = []
+            return text.split()
+        out: list[str] = []
         blank = False
         for i, line in enumerate(text.split("\n")):
             if i:
-                out.append(words.get("\n") or piece("\n"))
+                out.append("\n")
             if not line:
                 if blank:  # a longer run of line ends is cut elsewhere
-                    return np.array(self._ids(text), "<u4").tobytes()
+                    return None
                 blank = True
                 continue
             blank = False
             first, *rest = line.split(" ")
             if not first or "" in rest or "\t" in line or "\r" in line:
-                return np.array(self._ids(text), "<u4").tobytes()
-            out.append(words.get(first) or piece(first))
-            out += [words.get(w) or piece(w) for w in [" " + w for w in rest]]
-        return b"".join(out)
+                return None
+            out.append(first)
+            out += [" " + w for w in rest]
+        return out
+
+    def _learn(self, new: set[str], extra: dict[str, bytes]) -> None:
+        batch = [w for w in new if self.mark not in w]
+        for w in new.difference(batch):
+            extra[w] = self._whole(w)
+        for i in range(0, len(batch), 2000):
+            part = batch[i : i + 2000]
+            ids = np.array(self._ids(self.between.join(part)), "<u4")
+            ends = np.flatnonzero(ids == self.mark_id).tolist()
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(part, [*ends, len(ids)], strict=True):
+                into = self.words if len(self.words) < CACHED_WORDS and len(w) < 40 else extra
+                into[w] = raw[4 * at : 4 * end]
+                at = end + 1
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers."""
+        cut = [self._cut(t) for t in texts]
+        words, extra = self.words, {}
+        out = []
+        for low in range(0, len(cut), 200):
+            part = cut[low : low + 200]
+            new = {w for pieces in part if pieces for w in pieces if w not in words}
+            extra = {}
+            self._learn(new, extra)
+            get, more = words.get, extra.get
+            for pieces, text in zip(part, texts[low : low + 200], strict=True):
+                out.append(self._whole(text) if pieces is None else b"".join([get(w) or more(w, b"") for w in pieces]))
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_many([text])[0]
 
 
 def encoder(json: str) -> Encoder:
@@ -104,7 +134,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int, path: str | No
     def run(batches):
         enc, end = encoder(json.value), np.array([end_id], "<u4").tobytes()
         for b in batches:
-            ids = [enc.encode(t) + end for t in b.column(1).to_pylist()]
+            ids = [x + end for x in enc.encode_many(b.column(1).to_pylist())]
             lens = np.array([len(x) // 4 for x in ids], np.int64)
             tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], lens.cumsum()]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lens), tokens], ["doc_id", "n_tokens", "tokens"])

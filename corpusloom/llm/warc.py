@@ -49,14 +49,19 @@ def _write(folder: str, date: str):
 
         fs, base = FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        out, name, at, lines = None, "", 0, []
+        out, name, at, lines, decided = None, "", 0, [], ()
 
         def block():
             packed = zlib.compress(json.dumps(lines, ensure_ascii=False).encode("utf-8", "surrogatepass"), 6)
             return pa.RecordBatch.from_arrays([pa.array([lines[0][0]]), pa.array([lines[-1][0]]), pa.array([len(lines)], pa.int64()), pa.array([packed], pa.binary())], ["first", "last", "n", "block"])
 
         for b in batches:
-            for key, page, url, payload, digest, refers in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            for key, page, digest, first, url, payload in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                if first is not None:  # a decision row comes before the rows that it is about
+                    decided = (key, page, digest, first)
+                    continue
+                refers = decided[3] if decided[:3] == (key, page, digest) else None
+                page = None if page == _NIL else page
                 if out is None or at >= FILE_BYTES:
                     if out is not None:
                         out.close()
@@ -90,16 +95,17 @@ def write_archives(pages: DataFrame, *, min_bytes: int = 100, date: str = "2024-
     bounded_batches(spark)
     folder = folder or scratch(spark, "warc")
     body = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(_NIL)).alias("page"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    body = body.withColumn("digest", F.sha2("payload", 256))
-    narrow = written(body.select("page", "digest", F.octet_length("payload").alias("size")), "digests")
+    body = body.withColumn("digest", F.sha2("payload", 256)).withColumn("key", url_key(F.col("url")))
+    narrow = written(body.select("key", "page", "digest", F.octet_length("payload").alias("size")), "digests")
     large = narrow.where(F.col("size") >= min_bytes)
     known = F.when(F.col("page") != _NIL, F.col("page"))
     firsts = large.groupBy("digest").agg(F.count("*").alias("n"), F.min(known).alias("refers")).where("n > 1 and refers is not null")
-    hot, rest, cold = hot_split(large.select("page", "digest"), firsts, ["digest"], narrow.count())
-    again = hot.unionByName(rest.join(cold, "digest")).where("page <> refers").select("page", "digest", "refers").distinct()
-    rows = body.join(again, ["page", "digest"], "left")
-    ready = rows.select(url_key(F.col("url")).alias("key"), F.when(F.col("page") != _NIL, F.col("page")).alias("page"), "url", "payload", "digest", "refers")
-    placed = ready.repartitionByRange("key", "page").sortWithinPartitions("key", "page")
+    hot, rest, cold = hot_split(large.select("key", "page", "digest"), firsts, ["digest"], narrow.count())
+    none = lambda kind: F.lit(None).cast(kind)
+    decisions = hot.unionByName(rest.join(cold, "digest")).where("page <> refers").select("key", "page", "digest", "refers").distinct()
+    # Decisions travel to the tasks that write as rows of their own, so payloads are shuffled once.
+    rows = body.select("key", "page", "digest", none("long").alias("refers"), "url", "payload").unionByName(decisions.select("*", none("string").alias("url"), none("binary").alias("payload")))
+    placed = rows.repartitionByRange("key", "page").sortWithinPartitions("key", "page", "digest", F.col("refers").desc_nulls_last())
     return folder, written(placed.mapInArrow(_write(folder, date), _INDEX), "capture-index")
 
 
