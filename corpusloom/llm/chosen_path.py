@@ -242,7 +242,8 @@ def near_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8) -> Data
     stats = member.groupBy("component").agg(F.count("*").alias("m"), F.sum("size").alias("total"))
     blocks = stats.where("m > 1").select("component", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("long").alias("nb"))
     member = written(member.join(blocks, "component").select("rep.doc_id", "rep.th", "key", F.col("component").alias("comp"), "nb", "weight"), "members")
-    texts = body.join(member.withColumnRenamed("doc_id", "rep_id").withColumnRenamed("th", "rep_th"), (F.col("doc_id").eqNullSafe(F.col("rep_id"))) & (F.col("th") == F.col("rep_th")))
+    # Members grow with the input: they are never broadcast, so the join is planned alike at every size.
+    texts = body.join(member.withColumnRenamed("doc_id", "rep_id").withColumnRenamed("th", "rep_th").hint("merge"), (F.col("doc_id").eqNullSafe(F.col("rep_id"))) & (F.col("th") == F.col("rep_th")))
     th = Fraction(str(threshold))
     units = texts.select("text", "key", "comp", "nb", "weight").mapInArrow(_sets(n), "unit long, comp long, key binary, block long, weight long, sets binary")
     found = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_compare(th.numerator, th.denominator), "comp long, key binary, links long, root binary")
