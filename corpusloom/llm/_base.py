@@ -24,7 +24,7 @@ def scratch(spark: SparkSession, tag: str) -> str:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches are cut by bytes, so that a run of very long texts cannot fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
 def written(df: DataFrame, tag: str, *, partition_by: list[str] | None = None) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import zlib
 from json import loads
+from struct import pack
 from typing import Any
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -15,19 +17,30 @@ from pyspark.sql import functions as F
 from corpusloom.llm._base import bounded_batches, scratch, text_or_empty
 
 #: Words whose ids a worker keeps; further words are encoded each time. Bounds a worker's memory, not what is encoded.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 600_000
 _ENCODERS: dict[tuple[int, int], Any] = {}
 #: Characters that Python and the library's patterns may treat differently as white space.
 _ODD_SPACE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200d\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]")
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE writes each byte as a letter: printable bytes as themselves, the others from U+0100 on, in order."""
+    same = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in same]
+    return {b: chr(b) for b in same} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+_TAIL = ".,;:!?"
+
+
 class Encoder:
     """Encodes whole texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does; control strings in a text are ordinary text.
 
-    Both kinds of tokenizer cut a text at white space before anything else: no token reaches from one word into the next. So texts are cut
-    there, the distinct pieces of a batch that are not known yet go through the library together, with a separator between them, and the
-    ids of the pieces are put together again. ``spaced`` says that a piece includes the blank before it (byte-level BPE); there, runs of
-    blanks or of empty lines and tabs, and in either kind odd white space, send the whole text through the library.
+    Both kinds of tokenizer cut a text at white space before anything else: no token reaches from one word into the next, nor from letters
+    into the stops after them. So texts are cut there, the library's model encodes each distinct word of letters, the library's whole chain
+    any other piece, and the ids are put together again. ``spaced`` says that a piece includes the blank before it (byte-level BPE); there,
+    runs of blanks or of empty lines and tabs, and in either kind odd white space, send the whole text through the library.
     """
 
     def __init__(self, json: str):
@@ -35,17 +48,12 @@ class Encoder:
 
         self.raw = Tokenizer.from_str(json)
         self.raw.encode_special_tokens = True
+        self.model = self.raw.model
         self.spaced = not loads(json)["model"].get("end_of_word_suffix")
-        self.mark = "\n" if self.spaced else "|"
-        self.between = self.mark if self.spaced else f" {self.mark} "
-        self.mark_id = self._ids(self.mark)[0]
-        self.words: dict[str, bytes] = {"\n": self._whole("\n")}
-
-    def _ids(self, piece: str) -> list[int]:
-        return self.raw.encode(piece, add_special_tokens=False).ids
+        self.words: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self._ids(text), "<u4").tobytes()
+        return np.array(self.raw.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _cut(self, text: str) -> list[str] | None:
         """The pieces of a text; None where it has to go through the library whole."""
@@ -71,37 +79,46 @@ class Encoder:
             out += [" " + w for w in rest]
         return out
 
-    def _learn(self, new: set[str], extra: dict[str, bytes]) -> None:
-        batch = [w for w in new if self.mark not in w]
-        for w in new.difference(batch):
-            extra[w] = self._whole(w)
-        for i in range(0, len(batch), 2000):
-            part = batch[i : i + 2000]
-            ids = np.array(self._ids(self.between.join(part)), "<u4")
-            ends = np.flatnonzero(ids == self.mark_id).tolist()
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(part, [*ends, len(ids)], strict=True):
-                into = self.words if len(self.words) < CACHED_WORDS and len(w) < 40 else extra
-                into[w] = raw[4 * at : 4 * end]
-                at = end + 1
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        cut = [self._cut(t) for t in texts]
-        words, extra = self.words, {}
-        out = []
-        for low in range(0, len(cut), 200):
-            part = cut[low : low + 200]
-            new = {w for pieces in part if pieces for w in pieces if w not in words}
-            extra = {}
-            self._learn(new, extra)
-            get, more = words.get, extra.get
-            for pieces, text in zip(part, texts[low : low + 200], strict=True):
-                out.append(self._whole(text) if pieces is None else b"".join([get(w) or more(w, b"") for w in pieces]))
-        return out
+    def _keep(self, piece: str, ids: bytes) -> bytes:
+        if len(self.words) < CACHED_WORDS and len(piece) < 40:
+            self.words[piece] = ids
+        return ids
+
+    def _word(self, piece: str) -> bytes:
+        """A piece without stops at its end."""
+        found = self.words.get(piece)
+        if found is not None:
+            return found
+        if not (piece[1:] if self.spaced and piece[0] == " " else piece).isalpha():
+            return self._keep(piece, self._whole(piece))
+        flat = piece
+        if not self.spaced:  # this kind lower-cases and composes
+            flat = piece.lower()
+            if not piece.isascii() and (flat != piece or not is_normalized("NFC", piece)):
+                return self._keep(piece, self._whole(piece))
+            if flat != piece:
+                return self._word(flat)
+        ids = [t.id for t in self.model.tokenize(flat.encode().decode("latin-1").translate(_LETTERS))]
+        return self._keep(piece, pack(f"<{len(ids)}I", *ids))
+
+    def _piece(self, piece: str) -> bytes:
+        core = piece.rstrip(_TAIL)
+        if len(core) == len(piece) or not core:
+            return self._word(piece)
+        if not core[-1].isalnum():
+            return self._keep(piece, self._whole(piece))
+        return self._keep(piece, self._word(core) + self._word(piece[len(core) :]))
 
     def encode(self, text: str) -> bytes:
-        return self.encode_many([text])[0]
+        """The ids as little-endian unsigned 32-bit integers."""
+        pieces = self._cut(text)
+        if pieces is None:
+            return self._whole(text)
+        get, new = self.words.get, self._piece
+        return b"".join([get(w) or new(w) for w in pieces])
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        return [self.encode(t) for t in texts]
 
 
 def encoder(json: str) -> Encoder:
