@@ -16,18 +16,20 @@ ANCHORS = (
 ).split()
 #: Under so many spots, every word anchors a chain as well.
 FEW = 8
+#: Anchors in a row that a chain passes over at most; an anchor before more of them has no chain.
+PASSED = 16
 
 
 def with_signatures(df: DataFrame, text: str, out: str, chain: int = 2) -> DataFrame:
     """Adds ``out``, the sorted set of 32-bit signatures of the column ``text``.
 
-    A signature is the hash of an anchor and the next ``chain`` content words after it. Anchors between them are passed over; a text with
+    A signature is the hash of an anchor and the next ``chain`` content words after it. Up to ``PASSED`` anchors between two are passed over; a text with
     under ``FEW`` such spots also has a chain for every word, and a text without any word has the one signature of the empty chain, so that
     the set is never empty. The steps are columns of their own: each regular expression then runs once a text.
     """
     anchor = "|".join(sorted(set(ANCHORS), key=lambda w: (-len(w), w)))
     flat = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    spot = rf"(?=#([^ ]+{r'(?: #[^ ]+)* [^ #]+' * chain}))"
+    spot = rf"(?=#([^ ]+{rf'(?: #[^ ]+){{0,{PASSED}}}+ [^ #]+' * chain}))"
     every = F.regexp_extract_all("__marked", F.lit(rf"(?= #?([^ ]+(?: [^ ]+){{0,{chain}}}) )"), F.lit(1))
     bare = F.transform("__spots", lambda s: F.crc32(F.regexp_replace(s, " #[^ ]+", "")))
     df = df.withColumn("__marked", F.regexp_replace(flat, rf" (?=(?:{anchor}) )", " #"))
@@ -74,15 +76,16 @@ def compare_edited(docs: DataFrame, *, chain: int = 2) -> DataFrame:
     sizes = body.groupBy("doc_id").agg(F.max(F.char_length("text")).alias("size"))
     order = written(next_documents(docs).join(sizes, "doc_id"), "next-order")
     ask = order.select(F.col("doc_id").alias("asker"), F.col("next_id").alias("doc_id"), F.floor(F.col("size") / 2).cast("int").alias("need"))
-    printed = with_signatures(body, "text", "a", chain)
+    printed = with_signatures(body.where("doc_id is not null"), "text", "a", chain)
     given = (
-        printed.join(ask, "doc_id")
+        printed.join(ask.hint("merge"), "doc_id")  # both joins read one exchange of the texts
         .select(F.col("asker").alias("doc_id"), F.struct(F.col("text").substr(F.lit(1), F.col("need")).alias("head"), F.col("a").alias("sigs")).alias("given"))
         .groupBy("doc_id").agg(F.max("given").alias("given"))
     )
     n = F.char_length("text").cast("long")
     half = F.floor(n / 2).cast("int")
-    both = printed.join(given, "doc_id", "left").select(
+    alone = with_signatures(body.where("doc_id is null"), "text", "a", chain).withColumn("given", F.lit(None).cast(given.schema["given"].dataType))
+    both = printed.join(given.hint("merge"), "doc_id", "left").select("doc_id", "text", "a", "given").unionByName(alone.select("doc_id", "text", "a", "given")).select(
         "doc_id", n.alias("n_chars"), "a", F.col("given.sigs").alias("next_sigs"),
         F.concat(F.col("text").substr(F.lit(1), (n - half).cast("int")), F.coalesce(F.col("given.head").substr(F.lit(1), half), F.lit(""))).alias("edited"),
     )
