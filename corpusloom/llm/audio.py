@@ -15,7 +15,7 @@ FILTERS = [(i % 4, (5 * i) % 9, 3 + (i % 2), 4 + 2 * (i % 3)) for i in range(16)
 #: A filter's log ratio is cut at these values.
 CUTS = (-0.25, 0.0, 0.25)
 WIDTH = max(f[3] for f in FILTERS)
-#: Bits of a packed integer that must agree to vote for an offset, votes an alignment needs, and the bit errors it may have.
+#: Bits that must agree, in two successive unequal integers, to vote for an offset, votes an alignment needs, and the bit errors it may have.
 VOTE_BITS, MIN_VOTES, MAX_ERROR = 24, 4, 0.2
 
 
@@ -79,11 +79,12 @@ def _votes(batches):
     for b in batches:
         ids, at, keys = [], [], []
         for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            ints = np.frombuffer(raw, "<u4") >> np.uint32(32 - VOTE_BITS)
+            ints = (np.frombuffer(raw, "<u4") >> np.uint32(32 - VOTE_BITS)).astype(np.int64)
             first = np.flatnonzero(np.r_[True, ints[1:] != ints[:-1]]) if len(ints) else np.empty(0, int)  # held notes vote once
-            ids += [i] * len(first)
-            at += first.tolist()
-            keys += ints[first].tolist()
+            pairs = (ints[first[:-1]] << VOTE_BITS) | ints[first[1:]]
+            ids += [i] * len(pairs)
+            at += first[1:].tolist()  # where the second sets in: a cut before it does not move that
+            keys += pairs.tolist()
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(keys, pa.int64())], ["id", "at", "key"])
 
 
@@ -97,7 +98,7 @@ def search(queries: DataFrame, stored: DataFrame) -> DataFrame:
     """(query_id, match_id, offset, bit_error, n_matches): for each query print the best aligned recording, and how many align.
 
     Both sides have (id, print). Equal prints form a class first, under its smallest id, so a recording with many copies is aligned once.
-    Integers that agree in their first ``VOTE_BITS`` bits vote for an offset; the most voted offset of a pair (the smallest of equals) with
+    Two successive unequal integers that agree in their first ``VOTE_BITS`` bits vote for an offset; the most voted offset of a pair (the smallest of equals) with
     ``MIN_VOTES`` votes is checked by its bit errors. Ties go to the smallest id. A query that aligns with nothing has nulls and 0.
     """
     cls = written(stored.groupBy("print").agg(F.min("id").alias("id"), F.count("*").alias("n")), "prints")

@@ -76,16 +76,16 @@ def compare_edited(docs: DataFrame, *, chain: int = 2) -> DataFrame:
     sizes = body.groupBy("doc_id").agg(F.max(F.char_length("text")).alias("size"))
     order = written(next_documents(docs).join(sizes, "doc_id"), "next-order")
     ask = order.select(F.col("doc_id").alias("asker"), F.col("next_id").alias("doc_id"), F.floor(F.col("size") / 2).cast("int").alias("need"))
-    printed = with_signatures(body.where("doc_id is not null"), "text", "a", chain)
+    placed = body.where("doc_id is not null").repartition("doc_id")  # both joins read this one exchange of the texts
     given = (
-        printed.join(ask.hint("merge"), "doc_id")  # both joins read one exchange of the texts
+        with_signatures(placed.join(ask.hint("merge"), "doc_id"), "text", "a", chain)
         .select(F.col("asker").alias("doc_id"), F.struct(F.col("text").substr(F.lit(1), F.col("need")).alias("head"), F.col("a").alias("sigs")).alias("given"))
         .groupBy("doc_id").agg(F.max("given").alias("given"))
     )
     n = F.char_length("text").cast("long")
     half = F.floor(n / 2).cast("int")
-    alone = with_signatures(body.where("doc_id is null"), "text", "a", chain).withColumn("given", F.lit(None).cast(given.schema["given"].dataType))
-    both = printed.join(given.hint("merge"), "doc_id", "left").select("doc_id", "text", "a", "given").unionByName(alone.select("doc_id", "text", "a", "given")).select(
+    alone = body.where("doc_id is null").withColumn("given", F.lit(None).cast(given.schema["given"].dataType))
+    both = with_signatures(placed.join(given.hint("merge"), "doc_id", "left").unionByName(alone), "text", "a", chain).select(
         "doc_id", n.alias("n_chars"), "a", F.col("given.sigs").alias("next_sigs"),
         F.concat(F.col("text").substr(F.lit(1), (n - half).cast("int")), F.coalesce(F.col("given.head").substr(F.lit(1), half), F.lit(""))).alias("edited"),
     )
