@@ -72,21 +72,22 @@ def compare_edited(docs: DataFrame, *, chain: int = 2) -> DataFrame:
     doc_id each give a row; where the next id repeats, its greatest text is taken. A row without doc_id has no next document: its edited text
     keeps its first half and its near_next is null. An empty table gives an empty result.
     """
-    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    sizes = body.groupBy("doc_id").agg(F.max(F.char_length("text")).alias("size"))
-    order = written(next_documents(docs).join(sizes, "doc_id"), "next-order")
-    ask = order.select(F.col("doc_id").alias("asker"), F.col("next_id").alias("doc_id"), F.floor(F.col("size") / 2).cast("int").alias("need"))
-    placed = body.where("doc_id is not null").repartition("doc_id")  # both joins read this one exchange of the texts
+    # Renamed, so that the plans of both joins have the same projection and share one exchange of the texts.
+    body = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text"))
+    sizes = body.groupBy("id").agg(F.max(F.char_length("text")).alias("size"))
+    order = written(next_documents(docs).withColumnRenamed("doc_id", "id").join(sizes, "id"), "next-order")
+    ask = order.select(F.col("id").alias("asker"), F.col("next_id").alias("id"), F.floor(F.col("size") / 2).cast("int").alias("need"))
+    placed = body.where("id is not null").repartition("id")
     given = (
-        with_signatures(placed.join(ask.hint("merge"), "doc_id"), "text", "a", chain)
-        .select(F.col("asker").alias("doc_id"), F.struct(F.col("text").substr(F.lit(1), F.col("need")).alias("head"), F.col("a").alias("sigs")).alias("given"))
-        .groupBy("doc_id").agg(F.max("given").alias("given"))
+        with_signatures(placed.join(ask.hint("merge"), "id"), "text", "a", chain)
+        .select(F.col("asker").alias("id"), F.struct(F.col("text").substr(F.lit(1), F.col("need")).alias("head"), F.col("a").alias("sigs")).alias("given"))
+        .groupBy("id").agg(F.max("given").alias("given"))
     )
     n = F.char_length("text").cast("long")
     half = F.floor(n / 2).cast("int")
-    alone = body.where("doc_id is null").withColumn("given", F.lit(None).cast(given.schema["given"].dataType))
-    both = with_signatures(placed.join(given.hint("merge"), "doc_id", "left").unionByName(alone), "text", "a", chain).select(
-        "doc_id", n.alias("n_chars"), "a", F.col("given.sigs").alias("next_sigs"),
+    alone = body.where("id is null").withColumn("given", F.lit(None).cast(given.schema["given"].dataType))
+    both = with_signatures(placed.join(given.hint("merge"), "id", "left").unionByName(alone), "text", "a", chain).select(
+        F.col("id").alias("doc_id"), n.alias("n_chars"), "a", F.col("given.sigs").alias("next_sigs"),
         F.concat(F.col("text").substr(F.lit(1), (n - half).cast("int")), F.coalesce(F.col("given.head").substr(F.lit(1), half), F.lit(""))).alias("edited"),
     )
     sigs = with_signatures(both, "edited", "b", chain)
