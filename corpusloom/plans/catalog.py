@@ -1,4 +1,479 @@
-"""Queries and their SQL."""
+"""Queries over the driver's tables, and the SQL that gives the same rows.
 
+Orders stand for documents: the customer is the author, the market segment the source, the brands, return flags and line states of the lines are
+labels. Documents, conversations, pages and events stand for themselves.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corpusloom.functions import scoring as S
+from corpusloom.functions import text as T
+from corpusloom.operators import corpus, evaluation, evidence, reports, tags
+from corpusloom.sources import html as H
+from corpusloom.sources.tables import table
+from corpusloom.streaming import stream
+
+TERMS = ["the", "la", "der", "tion", "idiot"]
+LIFT_PAIRS = [("blocker", "uncertainty"), ("blocker", "segment")]
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c) -> F.Column:
+    return F.round(c, 6)
+
+
+def members(spark: SparkSession, d: str) -> DataFrame:
+    line, part = table(spark, d, "lineitem"), table(spark, d, "part")
+    rows = line.join(part, line.l_partkey == part.p_partkey).select(F.col("l_orderkey").alias("doc_id"), F.inline(F.array(*[F.struct(F.lit(dim).alias("dimension"), F.col(c).alias("label")) for dim, c in (("blocker", "p_brand"), ("uncertainty", "l_returnflag"), ("segment", "l_linestatus"))])))
+    return rows.distinct()
+
+
+def order_docs(spark: SparkSession, d: str) -> DataFrame:
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    key = F.col("o_orderkey")
+    stage = F.when(F.col("o_orderstatus") == "F", "post").when(F.col("o_orderstatus") == "O", "pre").otherwise("mixed")
+    return o.join(c, o.o_custkey == c.c_custkey).select(key.alias("doc_id"), F.col("o_custkey").alias("author"), F.col("c_mktsegment").alias("source"), F.col("o_orderdate").alias("created"), (1 + key % 5).alias("severity"), (key % 2).alias("actionability"), (10 * (key % 11)).alias("confidence"), (F.col("o_orderstatus") == "F").alias("genuine"), stage.alias("stage"))
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+MEM = """mem AS (
+  SELECT DISTINCT doc_id, dimension, label FROM (
+    SELECT l_orderkey AS doc_id, 'blocker' AS dimension, p_brand AS label FROM lineitem JOIN part ON l_partkey = p_partkey
+    UNION ALL SELECT l_orderkey, 'uncertainty', l_returnflag FROM lineitem JOIN part ON l_partkey = p_partkey
+    UNION ALL SELECT l_orderkey, 'segment', l_linestatus FROM lineitem JOIN part ON l_partkey = p_partkey)
+), od AS (
+  SELECT o_orderkey AS doc_id, o_custkey AS author, c_mktsegment AS source, o_orderdate AS created, 1 + o_orderkey % 5 AS severity, o_orderkey % 2 AS actionability,
+         10 * (o_orderkey % 11) AS confidence, o_orderstatus = 'F' AS genuine, CASE o_orderstatus WHEN 'F' THEN 'post' WHEN 'O' THEN 'pre' ELSE 'mixed' END AS stage
+  FROM orders JOIN customer ON o_custkey = c_custkey
+)"""
+WILSON = """(n / total) AS p, ((n/total + 1.96*1.96/(2*total)) / (1 + 1.96*1.96/total)) AS mid,
+  (1.96 * sqrt((n/total) * (1 - n/total) / total + 1.96*1.96/(4.0*total*total)) / (1 + 1.96*1.96/total)) AS half"""
+
+
+@query(f"""WITH {MEM}, c AS (SELECT dimension, label, count(*)::double AS n FROM mem GROUP BY ALL), t AS (SELECT count(*)::double AS total FROM orders),
+w AS (SELECT *, {WILSON} FROM c, t)
+SELECT dimension, label, n::bigint AS n_docs, round(p, 6) AS prevalence, round(greatest(0, mid - half), 6) AS low, round(least(1, mid + half), 6) AS high, n < 20 AS low_confidence FROM w""")
+def prevalence_wilson(spark, d):
+    total = table(spark, d, "orders").agg(F.count("*").alias("total"))
+    p = tags.prevalence(members(spark, d), total)
+    return p.select("dimension", "label", "n_docs", r6("prevalence").alias("prevalence"), r6("low").alias("low"), r6("high").alias("high"), "low_confidence")
+
+
+PAIR_SQL = f"""WITH {MEM}, n AS (SELECT dimension, label, count(*) AS n FROM mem GROUP BY ALL), both AS (
+  SELECT a.dimension AS dimension_a, a.label AS label_a, b.dimension AS dimension_b, b.label AS label_b, count(*) AS n_both
+  FROM mem a JOIN mem b ON a.doc_id = b.doc_id AND a.dimension = 'blocker' AND b.dimension IN ('uncertainty', 'segment') GROUP BY ALL),
+x AS (SELECT both.*, x.n AS n_a, y.n AS n_b, n_both::double * (SELECT count(*) FROM orders) / (x.n * y.n) AS lift, n_both::double / (x.n + y.n - n_both) AS jaccard
+  FROM both JOIN n x ON x.dimension = dimension_a AND x.label = label_a JOIN n y ON y.dimension = dimension_b AND y.label = label_b)"""
+
+
+def pairs(spark, d):
+    return tags.cooccurrence(members(spark, d), LIFT_PAIRS, table(spark, d, "orders").agg(F.count("*").alias("total")))
+
+
+@query(PAIR_SQL + " SELECT dimension_a, label_a, dimension_b, label_b, n_both, n_a, n_b, round(lift, 6) AS lift, round(jaccard, 6) AS jaccard FROM x")
+def tag_pairs_lift(spark, d):
+    return pairs(spark, d).withColumn("lift", r6("lift")).withColumn("jaccard", r6("jaccard"))
+
+
+@query(PAIR_SQL + " SELECT label_b AS segment, label_a AS blocker, n_both, round(lift, 6) AS lift FROM x WHERE dimension_b = 'segment'")
+def segment_matrix(spark, d):
+    return pairs(spark, d).where("dimension_b = 'segment'").select(F.col("label_b").alias("segment"), F.col("label_a").alias("blocker"), "n_both", r6("lift").alias("lift"))
+
+
+@query(PAIR_SQL + ", k AS (SELECT *, row_number() OVER (PARTITION BY label_a ORDER BY n_both DESC, dimension_b, label_b) AS rn FROM x) SELECT dimension_a, label_a, string_agg(label_b || ' (' || n_both || ')', '; ' ORDER BY rn) AS top FROM k WHERE rn <= 3 GROUP BY ALL")
+def topk_cooccur(spark, d):
+    return tags.top_cooccurring(pairs(spark, d))
+
+
+@query(PAIR_SQL + " SELECT 'blocker=' || label_a AS a, dimension_b || '=' || label_b AS b FROM x WHERE jaccard >= 0.1")
+def jaccard_edges(spark, d):
+    p = pairs(spark, d).where("jaccard >= 0.1")
+    return p.select(F.concat_ws("=", "dimension_a", "label_a").alias("a"), F.concat_ws("=", "dimension_b", "label_b").alias("b"))
+
+
+@query("WITH RECURSIVE " + PAIR_SQL.removeprefix("WITH ") + """, e AS (SELECT 'blocker=' || label_a AS a, dimension_b || '=' || label_b AS b FROM x WHERE jaccard >= 0.1),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT dimension || '=' || label AS node, dimension || '=' || label AS reach FROM n UNION SELECT r.node, s.b FROM r JOIN s ON r.reach = s.a),
+root AS (SELECT node, min(reach) AS root FROM r GROUP BY node), z AS (SELECT n.*, root.root, CASE dimension WHEN 'blocker' THEN 0 WHEN 'uncertainty' THEN 1 ELSE 4 END AS pr FROM n JOIN root ON node = dimension || '=' || label)
+SELECT dimension, label, first_value(dimension || '=' || label) OVER (PARTITION BY root ORDER BY pr, n DESC, label) AS cluster FROM z""")
+def tag_clusters(spark, d):
+    return tags.clusters(members(spark, d), jaccard_edges(spark, d))
+
+
+RECENCY = f"""{MEM}, rec AS (SELECT od.*, CASE WHEN created >= mx THEN 1.0 ELSE pow(0.5, (epoch_us(mx) - epoch_us(created)) / 86400e6 / 365.0) END AS recency FROM od, (SELECT max(created) AS mx FROM od)),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY author ORDER BY recency DESC, doc_id) AS rn FROM rec) WHERE rn <= 5)"""
+
+
+@query(f"WITH {RECENCY} SELECT doc_id, round(recency, 6) AS recency FROM rec")
+def recency_weight(spark, d):
+    return tags.with_recency(order_docs(spark, d)).select("doc_id", r6("recency").alias("recency"))
+
+
+@query(f"WITH {RECENCY} SELECT doc_id, author::varchar AS voice FROM kept")
+def voice_cap(spark, d):
+    return tags.capped(tags.with_recency(order_docs(spark, d))).select("doc_id", "voice")
+
+
+SHARE = f"""{RECENCY}, whole AS (SELECT author, sum(recency) AS whole FROM kept GROUP BY author), own AS (SELECT dimension, label, author, sum(recency) AS tagged FROM mem JOIN kept USING (doc_id) GROUP BY ALL),
+share AS (SELECT dimension, label, sum(tagged / whole) / (SELECT count(*) FROM whole) AS share FROM own JOIN whole USING (author) GROUP BY ALL)"""
+
+
+@query(f"WITH {SHARE} SELECT dimension, label, round(share, 6) AS share FROM share")
+def author_share(spark, d):
+    return tags.author_share(tags.with_recency(order_docs(spark, d)), members(spark, d)).select("dimension", "label", r6("share").alias("share"))
+
+
+def _score_sql(where: str) -> str:
+    ctes = f"WITH {SHARE}"
+    if where:
+        ctes = ctes.replace("FROM orders JOIN customer ON o_custkey = c_custkey\n", f"FROM orders JOIN customer ON o_custkey = c_custkey WHERE {where}\n")
+    return f"""{ctes}, t AS (SELECT count(*)::double AS total, count(DISTINCT source)::double AS st FROM od),
+st AS (SELECT dimension, label, count(*)::double AS n, avg(severity) AS sev, avg(actionability) AS act, avg(confidence) AS conf, count(DISTINCT author) AS n_authors, count(DISTINCT source) AS n_sources,
+  count(*) FILTER (WHERE stage = 'pre') AS n_pre, count(*) FILTER (WHERE stage = 'post') AS n_post, count(*) FILTER (WHERE stage = 'mixed') AS n_mixed FROM mem JOIN od USING (doc_id) GROUP BY ALL),
+w AS (SELECT st.*, share, total, t.st AS sources_total, {WILSON} FROM st JOIN share USING (dimension, label), t),
+e AS (SELECT *, conf / 100 * (n_sources / sources_total) * least(1, greatest(0, mid - half) / p) AS evidence, CASE WHEN max(share) OVER () = min(share) OVER () THEN 1 ELSE (share - min(share) OVER ()) / (max(share) OVER () - min(share) OVER ()) END AS share_norm FROM w),
+s AS (SELECT *, sqrt(share_norm) * (sev / 5) * act * evidence * 100 AS score, n_authors >= 3 AS reportable, n_post > 0 AND n_pre + n_mixed = 0 AS post_only FROM e)"""
+
+
+@query(_score_sql("") + """ SELECT dimension, label, n::bigint AS n_docs, n_authors, n_sources, n_pre, n_post, n_mixed, round(p, 6) AS prevalence, round(share, 6) AS share, round(evidence, 6) AS evidence, round(score, 5) AS score, reportable, post_only,
+row_number() OVER (ORDER BY reportable DESC, post_only, score DESC, n DESC, dimension, label) AS rank FROM s""")
+def opportunity_score(spark, d):
+    rows = tags.opportunities(order_docs(spark, d), members(spark, d))
+    return rows.select("dimension", "label", "n_docs", "n_authors", "n_sources", "n_pre", "n_post", "n_mixed", r6("prevalence").alias("prevalence"), r6("share").alias("share"), r6("evidence").alias("evidence"), F.round("score", 5).alias("score"), "reportable", "post_only", F.col("rank").cast("long"))
+
+
+def _genuine(spark, d):
+    own = order_docs(spark, d)
+    g = own.where("genuine")
+    m = members(spark, d)
+    return tags.attach_genuine(tags.opportunities(own, m), tags.opportunities(g, m.join(g.select("doc_id"), "doc_id")))
+
+
+@query(f"""WITH f AS ({_score_sql("")} SELECT *, row_number() OVER (ORDER BY reportable DESC, post_only, score DESC, n DESC, dimension, label) AS rank FROM s),
+g AS ({_score_sql("o_orderstatus = 'F'")} SELECT *, row_number() OVER (ORDER BY reportable DESC, post_only, score DESC, n DESC, dimension, label) AS rank FROM s)
+SELECT dimension, label, f.n::bigint AS n_docs, coalesce(g.n, 0)::bigint AS genuine_n, round(f.score, 5) AS score, round(coalesce(g.score, 0), 5) AS genuine_score, f.rank, g.rank AS genuine_rank, f.rank - g.rank AS delta FROM f LEFT JOIN g USING (dimension, label)""")
+def genuine_attach(spark, d):
+    return _genuine(spark, d).select("dimension", "label", "n_docs", F.col("genuine_n").cast("long"), F.round("score", 5).alias("score"), F.round("genuine_score", 5).alias("genuine_score"), F.col("rank").cast("long"), F.col("genuine_rank").cast("long"), F.col("delta").cast("long"))
+
+
+@query(SQL["genuine_attach"].replace("SELECT dimension, label, f.n::bigint", "SELECT label, rank, genuine_rank, delta FROM (SELECT dimension, label, f.n::bigint") + ") WHERE (rank <= 10 OR genuine_rank <= 10) AND delta IS NOT NULL ORDER BY abs(delta) DESC, rank, label LIMIT 6")
+def rank_movers(spark, d):
+    return tags.movers(_genuine(spark, d)).select("label", F.col("rank").cast("long"), F.col("genuine_rank").cast("long"), F.col("delta").cast("long"))
+
+
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+@query(f"""WITH {MEM}, z AS (SELECT source, count(*)::double AS size FROM od GROUP BY source), n AS (SELECT dimension, label, source, count(*) AS n FROM mem JOIN od USING (doc_id) GROUP BY ALL)
+SELECT dimension, label, {', '.join(f"round(coalesce(max(CASE WHEN source = '{s}' THEN n / size END), 0), 6) AS prevalence_{s}" for s in SEGMENTS)} FROM n JOIN z USING (source) GROUP BY dimension, label""")
+def per_source_pivot(spark, d):
+    wide = tags.per_source(order_docs(spark, d), members(spark, d), SEGMENTS)
+    return wide.select("dimension", "label", *[r6(f"prevalence_{s}").alias(f"prevalence_{s}") for s in SEGMENTS])
+
+
+@query(f"WITH {MEM}, n AS (SELECT dimension, label, count(*)::double AS n FROM mem GROUP BY ALL) SELECT dimension, label, round(CASE WHEN max(n) OVER w = min(n) OVER w THEN 1 ELSE (n - min(n) OVER w) / (max(n) OVER w - min(n) OVER w) END, 6) AS norm FROM n WINDOW w AS (PARTITION BY dimension)")
+def minmax_norm(spark, d):
+    n = members(spark, d).groupBy("dimension", "label").agg(F.count("*").cast("double").alias("n"))
+    return n.select("dimension", "label", r6(S.min_max(F.col("n"), ["dimension"])).alias("norm"))
+
+
+WORDS_SQL = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+'))"
+REASON_SQL = rf"""CASE WHEN {WORDS_SQL} < 3 THEN 'too_short'
+  WHEN regexp_matches(text, '[\x{{1F300}}-\x{{1FAFF}}\x{{2600}}-\x{{27BF}}\x{{1F1E6}}-\x{{1F1FF}}]') AND len(regexp_extract_all(regexp_replace(text, '[\x{{1F300}}-\x{{1FAFF}}\x{{2600}}-\x{{27BF}}\x{{1F1E6}}-\x{{1F1FF}}]', ' ', 'g'), '[\p{{L}}\p{{N}}_]+')) < 3 THEN 'contains_emoji'
+  WHEN lang = 'es' AND {WORDS_SQL} >= 8 THEN 'hindi_language' END"""
+
+
+def _reason():
+    return T.exclusion_reason(F.col("text"), F.col("lang"), languages=("es",))
+
+
+@query(f"SELECT doc_id, {WORDS_SQL} AS words, {REASON_SQL} AS reason FROM documents")
+def exclusion_reason(spark, d):
+    """Spanish stands for the excluded language of the rule."""
+    return docs(spark, d).select("doc_id", T.word_count(F.col("text")).cast("long").alias("words"), _reason().alias("reason"))
+
+
+@query(f"SELECT coalesce(reason, 'eligible') AS reason, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (SELECT {REASON_SQL} AS reason FROM documents) GROUP BY 1")
+def funnel_by_reason(spark, d):
+    n = docs(spark, d).groupBy(F.coalesce(_reason(), F.lit("eligible")).alias("reason")).agg(F.count("*").alias("n"))
+    return n.withColumn("share", r6(F.col("n") / F.sum("n").over(Window.partitionBy())))
+
+
+@query(f"SELECT source, count(*) AS n, count(*) FILTER (WHERE lang = 'en') AS n_en, count(*) FILTER (WHERE {WORDS_SQL} < 25) AS n_short, sum(n_chars)::bigint AS chars, round(avg({WORDS_SQL}), 6) AS mean_words FROM documents GROUP BY source")
+def source_stage_profile(spark, d):
+    w = T.word_count(F.col("text"))
+    return docs(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("n_en"), F.count_if(w < 25).alias("n_short"), F.sum("n_chars").alias("chars"), r6(F.avg(w)).alias("mean_words"))
+
+
+KEYWORD_SQL = r"'(?i)\b(?:idiot|tion|der|the|la)\b'"
+
+
+@query(rf"SELECT doc_id, len(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', 'x', 'g'), {KEYWORD_SQL})) AS hits, CASE WHEN len(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', 'x', 'g'), {KEYWORD_SQL})) = 0 THEN false END AS is_relevant FROM documents")
+def keyword_density(spark, d):
+    ascii_ = docs(spark, d).withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "x"))  # word bounds are the same in every engine then
+    return corpus.tier1(ascii_, TERMS).select("doc_id", F.col("hits").cast("long"), "is_relevant")
+
+
+@query(r"SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '\p{L}+'), w -> w NOT IN (" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "))) AS content_words FROM documents")
+def content_words(spark, d):
+    return docs(spark, d).select("doc_id", T.content_word_count(F.col("text")).cast("long").alias("content_words"))
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def latest_per_key(spark, d):
+    return corpus.latest_per_key(table(spark, d, "events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def cache_miss_anti(spark, d):
+    return corpus.absent(docs(spark, d).select("doc_id"), table(spark, d, "labels"), ["doc_id"])
+
+
+@query("SELECT source, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY source")
+def sample_semi(spark, d):
+    return docs(spark, d).join(table(spark, d, "labels").where("quality = 1"), "doc_id", "left_semi").groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, coalesce(o.n, 0)::bigint AS n_orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o_custkey = c_custkey")
+def upsert_outer(spark, d):
+    """Customers with zero orders, replaced by the counts there are."""
+    new = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"))
+    old = table(spark, d, "customer").select("c_custkey", F.lit(0).cast("long").alias("n_orders"))
+    return corpus.upsert(old, new.join(old.select("c_custkey"), "c_custkey", "left_semi"), ["c_custkey"])
+
+
+FLAT_SQL = r"array_to_string(regexp_extract_all(lower(regexp_replace(regexp_replace(text, '(?m)^\s*>.*$', ' ', 'g'), '(?i)(https?://|www\.)\S+', ' ', 'g')), '[\p{L}\p{N}]+'), ' ')"
+
+
+@query(f"SELECT doc_id, md5({FLAT_SQL}) AS content FROM documents")
+def content_ids(spark, d):
+    return docs(spark, d).select("doc_id", F.md5(T.for_fingerprint(F.col("text"))).alias("content"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, string_split({FLAT_SQL}, ' ') AS w FROM documents), g AS (SELECT doc_id, unnest(CASE WHEN len(w) <= 2 THEN w ELSE list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) END) AS g FROM w),
+h AS (SELECT doc_id, md5(g) AS m FROM g WHERE g <> ''), b AS (SELECT doc_id, unnest(range(0, 64)) AS b, m FROM h),
+s AS (SELECT doc_id, b, sum(CASE WHEN (('0x' || substr(m, 16 - (b // 4)::int, 1))::int >> (b % 4)::int) & 1 = 1 THEN 1 ELSE -1 END) AS s FROM b GROUP BY ALL),
+p AS (SELECT doc_id, sum(CASE WHEN s > 0 THEN (CASE WHEN b = 63 THEN -9223372036854775808::hugeint ELSE (1::hugeint << b::int) END) ELSE 0 END) AS f FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(f, 0)::bigint AS fingerprint FROM documents d LEFT JOIN p USING (doc_id)""")
+def simhash(spark, d):
+    return S.simhash(docs(spark, d), "doc_id")
+
+
+@query(f"SELECT doc_id, min(doc_id) OVER (PARTITION BY md5({FLAT_SQL})) AS root FROM documents")
+def exact_dups(spark, d):
+    own = docs(spark, d).select("doc_id", F.md5(T.for_fingerprint(F.col("text"))).alias("content"))
+    return own.join(own.groupBy("content").agg(F.min("doc_id").alias("root")), "content").select("doc_id", "root")
+
+
+@query(f"WITH f AS (SELECT fingerprint, min(doc_id) AS doc_id FROM ({SQL['simhash']}) GROUP BY 1) SELECT x.doc_id AS a, y.doc_id AS b, bit_count(xor(x.fingerprint, y.fingerprint))::bigint AS distance FROM f x JOIN f y ON x.doc_id < y.doc_id WHERE bit_count(xor(x.fingerprint, y.fingerprint)) <= 12")
+def near_pairs(spark, d):
+    return corpus.near_pairs(S.simhash(docs(spark, d), "doc_id")).withColumn("distance", F.col("distance").cast("long"))
+
+
+@query()
+def near_dups(spark, d):
+    own = docs(spark, d).select("doc_id", T.word_count(F.col("text")).alias("words"))
+    return corpus.mark_duplicates(own, S.simhash(docs(spark, d), "doc_id"))
+
+
+NORM = lambda c: rf"trim(regexp_replace(lower({c}), '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT item_id, doc_id FROM (SELECT item_id, {NORM('text')} AS q FROM benchmark) JOIN (SELECT doc_id, {NORM('text')} AS t FROM documents) ON contains(t, q) WHERE len(string_split(q, ' ')) >= 8")
+def quote_containment(spark, d):
+    return evidence.contained(table(spark, d, "benchmark"), docs(spark, d))
+
+
+def _spans(spark, d):
+    b = docs(spark, d).select("doc_id", "source", "text")
+    first = F.regexp_extract("text", r"^(\S+(?:[ ]\S+){0,5})", 1)
+    return b.select("doc_id", "source", F.when(F.col("doc_id") % 3 == 0, "of").otherwise("und").alias("label"), F.when(F.col("doc_id") % 5 == 0, F.lit("never in a text")).otherwise(first).alias("quote"))
+
+
+CUES = {"of": ["the", "of"], "und": ["der", "und"]}
+SPAN_SQL = r"""sp AS (SELECT doc_id, source, text, CASE WHEN doc_id % 3 = 0 THEN 'of' ELSE 'und' END AS label, CASE WHEN doc_id % 5 = 0 THEN 'never in a text' ELSE regexp_extract(text, '^(\S+(?:[ ]\S+){0,5})', 1) END AS quote FROM documents)"""
+
+
+@query(f"""WITH {SPAN_SQL} SELECT doc_id, label, NOT ({NORM('quote')} <> '' AND contains({NORM('text')}, {NORM('quote')})) AS not_in_document,
+CASE label WHEN 'of' THEN NOT (contains({NORM('quote')}, 'the') OR contains({NORM('quote')}, 'of')) ELSE NOT (contains({NORM('quote')}, 'der') OR contains({NORM('quote')}, 'und')) END AS no_cue_overlap, count(*) OVER (PARTITION BY doc_id, {NORM('quote')}) > 1 AS quoted_twice FROM sp""")
+def evidence_flags(spark, d):
+    return evidence.flags(_spans(spark, d).drop("source"), docs(spark, d), CUES).drop("quote")
+
+
+@query()
+def select_quotes(spark, d):
+    rows = _spans(spark, d).withColumnRenamed("label", "theme").withColumn("overlap", F.contains(F.lower("quote"), F.lit("the")).cast("int")).withColumn("severity", F.col("doc_id") % 5)
+    return evidence.select_quotes(rows).select("theme", "place", "source", "doc_id", "quote")
+
+
+@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]+', '[email]', 'g'), '(?i)\border\s*(?:id|no)?\s*[:#]?\s*[a-z0-9-]*\d[a-z0-9-]{4,}', '[order]', 'g'), '@[A-Za-z0-9_]{2,}', '[handle]', 'g'), '\+?[0-9][0-9 ()-]{8,}[0-9]', '[phone]', 'g')) AS redacted FROM documents""")
+def redact_pii(spark, d):
+    return docs(spark, d).select("doc_id", F.md5(T.redact_shown(F.col("text"))).alias("redacted"))
+
+
+@query(r"""WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents), h AS (SELECT *, regexp_replace(regexp_extract(left(t, 240), '^(.*)\s\S*$', 1), '[.,;:]+$', '') AS head FROM f)
+SELECT doc_id, CASE WHEN length(t) <= 240 THEN t ELSE CASE WHEN head = '' THEN left(t, 240) ELSE head END || '…' END AS shown FROM h""")
+def truncate_text(spark, d):
+    return docs(spark, d).select("doc_id", T.truncate(F.col("text")).alias("shown"))
+
+
+ALLOC = """c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), e AS (SELECT *, least({b} - {f} * count(*) OVER (), sum(n - {f}) OVER ())::double * (n - {f}) / sum(n - {f}) OVER () AS exact, least({b} - {f} * count(*) OVER (), sum(n - {f}) OVER ()) AS places FROM c),
+r AS (SELECT *, floor(exact) AS base, row_number() OVER (ORDER BY exact - floor(exact) DESC, n DESC, source) AS rn FROM e), alloc AS (SELECT source, n, least({f} + base + CASE WHEN rn <= places - sum(base) OVER () THEN 1 ELSE 0 END, n)::bigint AS take FROM r)"""
+
+
+@query("WITH " + ALLOC.format(b=157, f=0) + " SELECT * FROM alloc")
+def sample_allocation(spark, d):
+    return evaluation.allocate(docs(spark, d).groupBy("source").agg(F.count("*").alias("n")), 157)
+
+
+@query("WITH " + ALLOC.format(b=157, f=1) + " SELECT * FROM alloc")
+def source_floor(spark, d):
+    return evaluation.allocate(docs(spark, d).groupBy("source").agg(F.count("*").alias("n")), 157, floor=1)
+
+
+@query("WITH " + ALLOC.format(b=157, f=0) + " SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sha256('42:' || doc_id), doc_id) AS rn FROM documents) JOIN alloc USING (source) WHERE rn <= take")
+def stratified_draw(spark, d):
+    return evaluation.stratified_draw(docs(spark, d).select("doc_id", "source"), sample_allocation(spark, d))
+
+
+@query("SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sha256('42:' || doc_id), doc_id) AS rn FROM documents) WHERE rn <= 10")
+def equal_strata(spark, d):
+    return evaluation.equal_draw(docs(spark, d).select("doc_id", "lang"), 10, by="lang")
+
+
+PRF = """g AS (SELECT doc_id, unnest([CASE WHEN quality = 1 THEN 'quality' END, CASE WHEN toxic = 1 THEN 'toxic' END]) AS label FROM labels), p AS (SELECT doc_id, unnest([CASE WHEN n_chars >= 1000 THEN 'quality' END, CASE WHEN contains(lower(text), 'idiot') OR contains(lower(text), 'trash') THEN 'toxic' END]) AS label FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+f AS (SELECT label, count(*) FILTER (WHERE a AND b) AS tp, count(*) FILTER (WHERE a IS NULL) AS fp, count(*) FILTER (WHERE b IS NULL) AS fn FROM (SELECT doc_id, label, true AS a FROM g WHERE label IS NOT NULL) FULL JOIN (SELECT doc_id, label, true AS b FROM p WHERE label IS NOT NULL) USING (doc_id, label) GROUP BY label),
+q AS (SELECT *, tp + fn AS support, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall FROM f), s AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM q)"""
+
+
+def _prf(spark, d):
+    lab = table(spark, d, "labels")
+    gold = lab.select("doc_id", F.explode(F.array_compact(F.array(F.when(F.col("quality") == 1, "quality"), F.when(F.col("toxic") == 1, "toxic")))).alias("label"))
+    low = F.lower("text")
+    pred = docs(spark, d).join(lab.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.explode(F.array_compact(F.array(F.when(F.col("n_chars") >= 1000, "quality"), F.when(F.contains(low, F.lit("idiot")) | F.contains(low, F.lit("trash")), "toxic")))).alias("label"))
+    return evaluation.label_scores(gold, pred)
+
+
+@query(f"WITH {PRF} SELECT label, tp, fp, fn, support, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM s")
+def label_prf(spark, d):
+    return _prf(spark, d).select("label", "tp", "fp", "fn", "support", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"))
+
+
+@query(f"WITH {PRF} SELECT round(avg(f1), 6) AS macro_f1, count(*) AS n_labels FROM s WHERE support > 0 OR fp > 0")
+def macro_f1(spark, d):
+    return evaluation.macro_f1(_prf(spark, d)).select(r6("macro_f1").alias("macro_f1"), "n_labels")
+
+
+@query("SELECT lang, count(*) AS n, count(*) FILTER (WHERE quality = 0) AS n_wrong, round(count(*) FILTER (WHERE quality = 0) / count(*), 6) AS rate, count(*) FILTER (WHERE quality = 0) / count(*) < 0.1 AS passes, min(count(*) FILTER (WHERE quality = 0) / count(*) < 0.1) OVER () AS all_pass FROM documents JOIN labels USING (doc_id) GROUP BY lang")
+def audit_gate(spark, d):
+    rows = docs(spark, d).select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id")
+    return evaluation.gate(rows, by="lang", wrong=F.col("quality") == 0).withColumn("rate", r6("rate"))
+
+
+@query("SELECT n AS n_docs, ceil(n / 6)::bigint AS calls, n * 645 AS tokens, round(n * 645 * 0.72 * 0.15 / 1e6 + n * 645 * (1 - 0.72) * 0.6 / 1e6, 6) AS usd, ceil(n * 645 / 200000)::bigint AS days FROM (SELECT count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))")
+def cost_model(spark, d):
+    return evaluation.cost_model(cache_miss_anti(spark, d)).withColumn("usd", r6("usd"))
+
+
+@query()
+def pack_batches(spark, d):
+    rows = docs(spark, d).select("doc_id", "source", T.estimate_tokens(F.col("text")).alias("tokens"))
+    return evaluation.pack_batches(rows, by="source", order="doc_id", tokens="tokens", max_count=12, budget=6000).select("source", "doc_id", "batch")
+
+
+@query("WITH s AS (SELECT l_partkey, 1 + (l_quantity::bigint % 5) AS star, count(*) AS n FROM lineitem GROUP BY ALL) SELECT l_partkey, round(sum(star * n)::double / sum(n), 1) AS average, sum(n)::bigint AS ratings, coalesce(sum(n) FILTER (WHERE star IN (1, 2)), 0)::bigint AS low FROM s GROUP BY l_partkey")
+def star_average(spark, d):
+    stars = table(spark, d, "lineitem").groupBy("l_partkey", (1 + F.col("l_quantity").cast("long") % 5).cast("string").alias("star")).agg(F.count("*").alias("n"))
+    maps = stars.groupBy("l_partkey").agg(F.map_from_entries(F.collect_list(F.struct("star", "n"))).alias("m"))
+    return maps.select("l_partkey", reports.star_average(F.col("m")).alias("average"), F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda a, v: a + v).alias("ratings"), reports.option_share(F.col("m"), ["1", "2"]).alias("low"))
+
+
+@query(f"WITH {MEM} SELECT q AS question, count(DISTINCT doc_id) AS n FROM mem JOIN (VALUES ('returns', 'R'), ('returns', 'A'), ('open', 'O'), ('filled', 'F'), ('none', 'N')) v(q, label) USING (label) GROUP BY q")
+def ten_questions(spark, d):
+    """Distinct documents over fixed label sets."""
+    sets = spark.createDataFrame([("returns", "R"), ("returns", "A"), ("open", "O"), ("filled", "F"), ("none", "N")], "question string, label string")
+    return members(spark, d).join(F.broadcast(sets), "label").groupBy("question").agg(F.countDistinct("doc_id").alias("n"))
+
+
+@query("SELECT min(o_orderdate)::date AS first, max(o_orderdate)::date AS last, count(*) AS n FROM orders")
+def date_range(spark, d):
+    return table(spark, d, "orders").agg(F.to_date(F.min("o_orderdate")).alias("first"), F.to_date(F.max("o_orderdate")).alias("last"), F.count("*").alias("n"))
+
+
+@query("SELECT event_type AS stage, count(*) AS n, round(greatest(0, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 3) AS seconds FROM events GROUP BY 1")
+def runlog_elapsed(spark, d):
+    e = table(spark, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return e.select("stage", "n", F.round(F.greatest(F.lit(0.0), (us("b") - us("a")) / 1e6), 3).alias("seconds"))
+
+
+@query("SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, len(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) AS n_links, regexp_matches(lower(left(html, 4000)), 'captcha|cf-challenge|are you a robot|access denied') AS challenge FROM pages")
+def html_links(spark, d):
+    h = F.col("html")
+    return table(spark, d, "pages").select("page_id", H.title(h).alias("title"), F.size(H.links(h)).cast("long").alias("n_links"), H.is_challenge(h).alias("challenge"))
+
+
+@query()
+def html_text(spark, d):
+    return table(spark, d, "pages").select("page_id", H.visible_text(F.col("html")).alias("text"))
+
+
+@query("SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS asked_at FROM conversations")
+def carry_forward(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w).alias("asked_at"))
+
+
+@query("SELECT conv_id, count(*) AS n_turns, count(*) FILTER (WHERE role = 'assistant') AS n_replies, string_agg(role, '>' ORDER BY turn) AS shape FROM conversations GROUP BY conv_id")
+def thread_flatten(spark, d):
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role")))
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.count_if(F.col("role") == "assistant").alias("n_replies"), F.array_join(F.transform(turns, lambda t: t["role"]), ">").alias("shape"))
+
+
+@query("SELECT event_type, count(*) AS n, sum((props::json->>'k')::bigint)::bigint AS k, count(*) FILTER (WHERE (props::json->>'k') IS NULL) AS without FROM events GROUP BY 1")
+def json_meta(spark, d):
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("k"), F.count_if(k.isNull()).alias("without"))
+
+
+@query("SELECT CASE WHEN w <= 5 THEN '3-5' WHEN w <= 10 THEN '6-10' WHEN w <= 20 THEN '11-20' ELSE '21+' END AS bucket, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (SELECT " + WORDS_SQL + " AS w FROM documents) WHERE w >= 3 GROUP BY 1")
+def length_strata(spark, d):
+    w = docs(spark, d).select(T.word_count(F.col("text")).alias("w")).where("w >= 3")
+    n = w.groupBy(F.when(F.col("w") <= 5, "3-5").when(F.col("w") <= 10, "6-10").when(F.col("w") <= 20, "11-20").otherwise("21+").alias("bucket")).agg(F.count("*").alias("n"))
+    return n.withColumn("share", r6(F.col("n") / F.sum("n").over(Window.partitionBy())))
+
+
+def _events(spark, d):
+    return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts)::date AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_tumbling(spark, d):
+    return stream.tumbling(_events(spark, d)).select(F.to_date("window.start").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT (ts::date - o.o::int)::date AS day, event_type, count(*) AS n FROM events, (VALUES (0), (1)) o(o) GROUP BY ALL")
+def event_sliding(spark, d):
+    return stream.sliding(_events(spark, d)).select(F.to_date("window.start").alias("day"), "event_type", "n")
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, session""")
+def event_session(spark, d):
+    return stream.sessions(_events(spark, d)).select("user_id", F.unix_micros("session_window.start").alias("start_us"), "n")
