@@ -76,11 +76,11 @@ def prevalence_wilson(spark, d):
     return p.select("dimension", "label", "n_docs", r6("prevalence").alias("prevalence"), r6("low").alias("low"), r6("high").alias("high"), "low_confidence")
 
 
-PAIR_SQL = f"""WITH {MEM}, n AS (SELECT dimension, label, count(*) AS n FROM mem GROUP BY ALL), both AS (
+PAIR_SQL = f"""WITH {MEM}, n AS (SELECT dimension, label, count(*) AS n FROM mem GROUP BY ALL), seen AS (
   SELECT a.dimension AS dimension_a, a.label AS label_a, b.dimension AS dimension_b, b.label AS label_b, count(*) AS n_both
   FROM mem a JOIN mem b ON a.doc_id = b.doc_id AND a.dimension = 'blocker' AND b.dimension IN ('uncertainty', 'segment') GROUP BY ALL),
-x AS (SELECT both.*, x.n AS n_a, y.n AS n_b, n_both::double * (SELECT count(*) FROM orders) / (x.n * y.n) AS lift, n_both::double / (x.n + y.n - n_both) AS jaccard
-  FROM both JOIN n x ON x.dimension = dimension_a AND x.label = label_a JOIN n y ON y.dimension = dimension_b AND y.label = label_b)"""
+x AS (SELECT seen.*, x.n AS n_a, y.n AS n_b, n_both::double * (SELECT count(*) FROM orders) / (x.n * y.n) AS lift, n_both::double / (x.n + y.n - n_both) AS jaccard
+  FROM seen JOIN n x ON x.dimension = dimension_a AND x.label = label_a JOIN n y ON y.dimension = dimension_b AND y.label = label_b)"""
 
 
 def pairs(spark, d):
@@ -230,7 +230,7 @@ def keyword_density(spark, d):
     return corpus.tier1(ascii_, TERMS).select("doc_id", F.col("hits").cast("long"), "is_relevant")
 
 
-@query(r"SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '\p{L}+'), w -> w NOT IN (" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "))) AS content_words FROM documents")
+@query(r"SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '\p{L}+'), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "))) AS content_words FROM documents")
 def content_words(spark, d):
     return docs(spark, d).select("doc_id", T.content_word_count(F.col("text")).cast("long").alias("content_words"))
 
@@ -266,7 +266,7 @@ def content_ids(spark, d):
     return docs(spark, d).select("doc_id", F.md5(T.for_fingerprint(F.col("text"))).alias("content"))
 
 
-@query(f"""WITH w AS (SELECT doc_id, string_split({FLAT_SQL}, ' ') AS w FROM documents), g AS (SELECT doc_id, unnest(CASE WHEN len(w) <= 2 THEN w ELSE list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) END) AS g FROM w),
+@query(f"""WITH w AS (SELECT doc_id, string_split({FLAT_SQL}, ' ') AS w FROM documents), g AS (SELECT doc_id, unnest(CASE WHEN len(w) <= 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM w),
 h AS (SELECT doc_id, md5(g) AS m FROM g WHERE g <> ''), b AS (SELECT doc_id, unnest(range(0, 64)) AS b, m FROM h),
 s AS (SELECT doc_id, b, sum(CASE WHEN (('0x' || substr(m, 16 - (b // 4)::int, 1))::int >> (b % 4)::int) & 1 = 1 THEN 1 ELSE -1 END) AS s FROM b GROUP BY ALL),
 p AS (SELECT doc_id, sum(CASE WHEN s > 0 THEN (CASE WHEN b = 63 THEN -9223372036854775808::hugeint ELSE (1::hugeint << b::int) END) ELSE 0 END) AS f FROM s GROUP BY doc_id)
@@ -316,7 +316,15 @@ def evidence_flags(spark, d):
     return evidence.flags(_spans(spark, d).drop("source"), docs(spark, d), CUES).drop("quote")
 
 
-@query()
+SHOWN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(quote, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]+', '[email]', 'g'), '(?i)\border\s*(?:id|no)?\s*[:#]?\s*[a-z0-9-]*\d[a-z0-9-]{4,}', '[order]', 'g'), '@[A-Za-z0-9_]{2,}', '[handle]', 'g'), '\+?[0-9][0-9 ()-]{8,}[0-9]', '[phone]', 'g')"""
+
+
+@query(rf"""WITH {SPAN_SQL}, q AS (SELECT doc_id, source, label AS theme, contains(lower(quote), 'the')::int AS overlap, doc_id % 5 AS severity, trim(regexp_replace(replace(replace({SHOWN}, '|', '\|'), '`', ''''), '\s+', ' ', 'g')) AS t FROM sp),
+h AS (SELECT *, CASE WHEN length(t) <= 240 THEN t ELSE regexp_replace(regexp_extract(left(t, 240), '^(.*)\s\S*$', 1), '[.,;:]+$', '') || '…' END AS quote FROM q),
+a AS (SELECT *, row_number() OVER (PARTITION BY theme, quote ORDER BY overlap DESC, severity DESC, source, doc_id) AS rn FROM h),
+b AS (SELECT *, row_number() OVER (PARTITION BY theme, source ORDER BY overlap DESC, severity DESC, source, doc_id) AS rs FROM a WHERE rn = 1),
+c AS (SELECT *, row_number() OVER (PARTITION BY theme ORDER BY (rs = 1) DESC, overlap DESC, severity DESC, source, doc_id) AS place FROM b)
+SELECT theme, place, source, doc_id, quote FROM c WHERE place <= 4""")
 def select_quotes(spark, d):
     rows = _spans(spark, d).withColumnRenamed("label", "theme").withColumn("overlap", F.contains(F.lower("quote"), F.lit("the")).cast("int")).withColumn("severity", F.col("doc_id") % 5)
     return evidence.select_quotes(rows).select("theme", "place", "source", "doc_id", "quote")
@@ -391,7 +399,10 @@ def cost_model(spark, d):
     return evaluation.cost_model(cache_miss_anti(spark, d)).withColumn("usd", r6("usd"))
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT source, doc_id, least(ceil(length(text) / 4.0)::bigint, 6000) AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+r AS (SELECT source, doc_id, i, 0::bigint AS batch, 1 AS n, tokens AS used FROM t WHERE i = 1 UNION ALL
+  SELECT t.source, t.doc_id, t.i, CASE WHEN r.n >= 12 OR r.used + t.tokens > 6000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.n >= 12 OR r.used + t.tokens > 6000 THEN 1 ELSE r.n + 1 END, CASE WHEN r.n >= 12 OR r.used + t.tokens > 6000 THEN t.tokens ELSE r.used + t.tokens END FROM r JOIN t ON t.source = r.source AND t.i = r.i + 1)
+SELECT source, doc_id, batch FROM r""")
 def pack_batches(spark, d):
     rows = docs(spark, d).select("doc_id", "source", T.estimate_tokens(F.col("text")).alias("tokens"))
     return evaluation.pack_batches(rows, by="source", order="doc_id", tokens="tokens", max_count=12, budget=6000).select("source", "doc_id", "batch")
