@@ -23,10 +23,10 @@ DOMAINS = 32
 
 def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` with __n (blank-separated tokens) and __x (an array of doubles), of whole texts. Null texts are empty."""
-    body = docs.select(*keep, text_or_empty().alias("__t"))
-    size = F.octet_length("__t")
-    count = lambda m: (size - F.octet_length(F.replace(F.col("__t"), F.lit(m)))) / float(len(m.encode()))
-    raw = body.select(*keep, F.char_length("__t").alias("__c"), size.alias("__b"), F.array(*[count(m) for m in MARKS]).alias("__m"))
+    text = text_or_empty()
+    size = F.octet_length(text)
+    count = lambda m: (size - F.octet_length(F.replace(text, F.lit(m)))) / float(len(m.encode()))
+    raw = docs.select(*keep, F.char_length(text).alias("__c"), size.alias("__b"), F.array(*[count(m) for m in MARKS]).alias("__m"))
     words = F.when(F.col("__c") == 0, 0.0).otherwise(F.col("__m")[0] + F.col("__m")[1] + 1)
     rate = F.transform("__m", lambda c: F.log1p(c / F.greatest(F.col("__b"), F.lit(1)) * 1000.0))
     wide = F.array(F.log1p(F.col("__c").cast("double")), F.col("__b") / F.greatest(F.col("__c"), F.lit(1)))
@@ -167,7 +167,7 @@ def mix(docs: DataFrame, labelled: DataFrame, *, seed: int = 17, **how) -> DataF
     ``min_rate=1`` no row is lost. All columns stay.
     """
     model, _ = fit_mixture(docs, labelled, **how)
-    held = features(docs.withColumn("__text", F.col("text")), [*docs.columns])
+    held = features(docs, docs.columns)
     soft = with_posterior(held, model).withColumn("__rate", model.rate(F.col("__p")))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor("__rate") + F.when(draw < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)
