@@ -100,7 +100,7 @@ def clean_text(text: Column) -> Column:
         out = F.replace(out, F.lit(entity), F.lit(char))
     out = F.regexp_replace(out, r"[\x{200B}\x{2060}\x{FEFF}\x{AD}\x{200E}\x{200F}]", "")
     out = F.regexp_replace(F.regexp_replace(out, r"[ \t\x{A0}]+", " "), r" ?\n ?", "\n")
-    return F.trim(F.regexp_replace(out, r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def for_fingerprint(text: Column) -> Column:

@@ -18,7 +18,11 @@ PRIORITY = ["blocker", "uncertainty", "info", "motivation", "segment"]
 
 def explode_tags(tags: DataFrame, dimensions: dict[str, str]) -> DataFrame:
     """Membership rows from label arrays: ``dimensions`` maps a column to its dimension."""
-    pairs = F.flatten(F.array(*[F.transform(F.coalesce(F.col(c), F.array()), lambda x, d=d: F.struct(F.lit(d).alias("dimension"), x.alias("label"))) for c, d in dimensions.items()]))
+
+    def pair(dimension: str):
+        return lambda x: F.struct(F.lit(dimension).alias("dimension"), x.alias("label"))
+
+    pairs = F.flatten(F.array(*[F.transform(F.coalesce(F.col(c), F.array()), pair(d)) for c, d in dimensions.items()]))
     return tags.select("doc_id", F.inline(F.array_distinct(pairs)))
 
 
@@ -32,9 +36,7 @@ def prevalence(members: DataFrame, n_docs: DataFrame, *, low_n: int = 20) -> Dat
 def cooccurrence(members: DataFrame, pairs: list[tuple[str, str]], n_docs: DataFrame) -> DataFrame:
     """Observed label pairs of the dimension pairs, with counts, lift and Jaccard. Labels of a document meet within its row."""
     docs = members.groupBy("doc_id").agg(F.collect_set(F.struct("dimension", "label")).alias("t"))
-    x, y = docs.select(F.explode("t").alias("a"), "t"), None
-    del y
-    both = x.select("a", F.explode("t").alias("b")).where(reduce(lambda p, q: p | q, [(F.col("a.dimension") == i) & (F.col("b.dimension") == j) for i, j in pairs]))
+    both = docs.select(F.explode("t").alias("a"), "t").select("a", F.explode("t").alias("b")).where(reduce(lambda p, q: p | q, [(F.col("a.dimension") == i) & (F.col("b.dimension") == j) for i, j in pairs]))
     both = both.groupBy("a", "b").agg(F.count("*").alias("n_both"))
     size = members.groupBy(F.struct("dimension", "label").alias("k")).agg(F.count("*").alias("n"))
     out = both.join(F.broadcast(size.select(F.col("k").alias("a"), F.col("n").alias("n_a"))), "a").join(F.broadcast(size.select(F.col("k").alias("b"), F.col("n").alias("n_b"))), "b").join(F.broadcast(n_docs), how="cross")
