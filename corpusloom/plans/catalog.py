@@ -488,3 +488,59 @@ def event_sliding(spark, d):
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, session""")
 def event_session(spark, d):
     return stream.sessions(_events(spark, d)).select("user_id", F.unix_micros("session_window.start").alias("start_us"), "n")
+
+
+@query("SELECT doc_id, substr(sha256(source || '|' || doc_id), 1, 16) AS id, substr(sha256(source || '|' || coalesce(nullif(trim(lang), ''), '__anonymous__') || 'salt'), 1, 16) AS author FROM documents")
+def hashed_ids(spark, d):
+    return docs(spark, d).select("doc_id", S.doc_id(F.col("source"), F.col("doc_id").cast("string")).alias("id"), S.author_hash(F.col("source"), F.col("lang"), "salt").alias("author"))
+
+
+@query("SELECT doc_id, source FROM (SELECT doc_id, source FROM documents WHERE source IN ('src0', 'src1') UNION ALL SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sha256('42:' || doc_id), doc_id) AS rn FROM documents WHERE source NOT IN ('src0', 'src1')) WHERE rn <= 3)")
+def census_and_sample(spark, d):
+    """Two sources whole, three documents of each other one."""
+    rows = docs(spark, d).select("doc_id", "source")
+    census = F.col("source").isin("src0", "src1")
+    return rows.where(census).unionByName(evaluation.equal_draw(rows.where(~census), 3, by="source"))
+
+
+@query("SELECT batch, used FROM (SELECT doc_id // 20 AS batch, sum(count(*) * 56) OVER (ORDER BY doc_id // 20) AS used FROM documents GROUP BY 1) WHERE used <= 20000")
+def budget_stop(spark, d):
+    b = docs(spark, d).groupBy(F.floor(F.col("doc_id") / 20).cast("long").alias("batch")).agg((F.count("*") * 56).alias("tokens"))
+    return evaluation.budget_stop(b, limit=20000).select("batch", "used")
+
+
+@query("WITH s AS (SELECT l_partkey, sum(l_quantity::bigint % 3 = 0)::bigint AS bad, count(*) AS n FROM lineitem GROUP BY 1), r AS (SELECT count(*) AS n, round(avg(100.0 * bad / n), 1) AS m FROM s) SELECT p_type AS theme, CASE WHEN contains(lower(p_type), 'steel') THEN 'fit' WHEN contains(lower(p_type), 'brass') THEN 'quality' ELSE 'none' END AS kind, CASE WHEN regexp_matches(lower(p_type), 'steel|brass') THEN n ELSE 0 END AS n_products, CASE WHEN regexp_matches(lower(p_type), 'steel|brass') THEN m END AS mean_share FROM (SELECT DISTINCT p_type FROM part), r")
+def cross_reference(spark, d):
+    from corpusloom.operators import tagging
+
+    s = table(spark, d, "lineitem").groupBy("l_partkey").agg((F.count_if(F.col("l_quantity").cast("long") % 3 == 0) * 100.0 / F.count("*")).alias("misfit"))
+    themes = table(spark, d, "part").select(F.col("p_type").alias("theme")).distinct()
+    return tagging.cross_reference(themes, s.withColumn("bad_quality", F.col("misfit")), {"fit": ["steel"], "quality": ["brass"]})
+
+
+@query("WITH e AS (SELECT event_type AS source, ts::date AS run_date, count(*) AS records FROM events GROUP BY ALL) SELECT source, max(run_date) AS run_date, arg_max(records, run_date) AS records FROM e GROUP BY source")
+def manifest_latest(spark, d):
+    from corpusloom.sources import manual
+
+    m = table(spark, d, "events").groupBy(F.col("event_type").alias("source"), F.to_date("ts").alias("run_date")).agg(F.count("*").alias("records")).withColumn("status", F.lit("ok"))
+    return manual.latest_manifest(m).select("source", "run_date", "records")
+
+
+@query("SELECT page_id, len(list_distinct(regexp_extract_all(html, '/p/(\\d{6,})', 1))) AS n_products, html[1:15] AS head FROM pages".replace("\\\\", "\\"))
+def product_ids(spark, d):
+    return table(spark, d, "pages").select("page_id", F.size(H.product_ids(F.col("html"))).cast("long").alias("n_products"), F.left("html", F.lit(15)).alias("head"))
+
+
+@query("WITH s AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents) SELECT CASE WHEN l.doc_id IS NOT NULL THEN 'cached' ELSE 'asked' END AS state, count(*) AS n, count(*) FILTER (WHERE coalesce(toxic = 0, true)) AS relevant FROM documents LEFT JOIN labels l USING (doc_id) GROUP BY 1")
+def tier2_verdicts(spark, d):
+    from corpusloom.operators import tagging
+
+    cache = table(spark, d, "labels").select("doc_id", (F.col("toxic") == 0).alias("is_relevant"))
+    v = tagging.verdicts(docs(spark, d), cache, budget=10_000_000_000)
+    return v.groupBy("state").agg(F.count("*").alias("n"), F.count_if("is_relevant").alias("relevant"))
+
+
+@query("SELECT round(sum(n_chars) * 0.15 / 1e6 + sum(length(lang) + 1) * 0.6 / 1e6, 6) AS usd, sum(n_chars)::bigint AS prompt FROM documents")
+def token_totals(spark, d):
+    t = docs(spark, d).agg(F.sum("n_chars").alias("prompt"), F.sum(F.char_length("lang")).alias("completion"), F.count("*").alias("reasoning"))
+    return t.select(r6(reports.paid_usd(F.col("prompt"), F.col("completion"), F.col("reasoning"))).alias("usd"), "prompt")
