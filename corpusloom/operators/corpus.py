@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions.scoring import hamming
+from corpusloom.sources.tables import checkpointed
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -38,10 +39,11 @@ def near_pairs(prints: DataFrame, *, key: str = "doc_id", bits: int = 12) -> Dat
     edges = [round(64 * i / bands) for i in range(bands + 1)]
     band = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("fingerprint", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)).alias("v")) for i in range(bands)])
     # Equal fingerprints meet once, not once a copy.
-    one = prints.groupBy("fingerprint").agg(F.min(key).alias(key))
+    one = checkpointed(prints.groupBy("fingerprint").agg(F.min(key).alias(key)))
     long = one.select(key, "fingerprint", F.explode(band).alias("band"))
     x, y = long.select(F.col(key).alias("a"), F.col("fingerprint").alias("fa"), "band"), long.select(F.col(key).alias("b"), F.col("fingerprint").alias("fb"), "band")
-    return x.join(y, "band").where((F.col("a") < F.col("b")) & (hamming(F.col("fa"), F.col("fb")) <= bits)).select("a", "b", hamming(F.col("fa"), F.col("fb")).alias("distance")).distinct()
+    near = x.join(y, "band").where((F.col("a") < F.col("b")) & (hamming(F.col("fa"), F.col("fb")) <= bits))
+    return near.select("a", "b", hamming(F.col("fa"), F.col("fb")).alias("distance")).distinct()
 
 
 def first_accepted(vertices: DataFrame, pairs: DataFrame, *, key: str = "doc_id", rounds: int = 50) -> DataFrame:
@@ -49,8 +51,7 @@ def first_accepted(vertices: DataFrame, pairs: DataFrame, *, key: str = "doc_id"
 
     Each round accepts every open row without an open smaller neighbour and without an accepted one, then settles the rows beside them.
     """
-    from corpusloom.sources.tables import checkpointed
-
+    pairs = checkpointed(pairs)
     state = checkpointed(pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct().withColumn("root", F.lit(None).cast("long")))
     for _ in range(rounds):
         near = pairs.join(state.select(F.col(key).alias("a"), F.col("root").alias("ra")), "a").groupBy(F.col("b").alias(key)).agg(
@@ -67,7 +68,7 @@ def mark_duplicates(docs: DataFrame, prints: DataFrame, *, bits: int = 12, min_w
 
     ``docs``: doc_id, words. Rows with other exclusions must be left out before.
     """
-    all_ = prints.join(docs.select("doc_id", "words"), "doc_id")
+    all_ = checkpointed(prints.join(docs.select("doc_id", "words"), "doc_id"))
     roots = all_.groupBy("fingerprint").agg(F.min("doc_id").alias("exact"))
     exact = all_.join(roots, "fingerprint")
     long = exact.where((F.col("doc_id") == F.col("exact")) & (F.col("words") >= min_words)).select("doc_id", "fingerprint")

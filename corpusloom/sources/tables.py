@@ -15,11 +15,12 @@ AGGREGATE = "product_id string, product_title string, url string, extracted_at s
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir (a local one only where that is unset)."""
+    """``df`` written once as Parquet in the folder of spark.checkpoint.dir (a local one only where that is unset) and read back."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("file:///tmp/corpusloom-checkpoints")
-    return df.checkpoint()
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/corpusloom-checkpoints"
+    path = f"{root.rstrip('/')}/corpusloom/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

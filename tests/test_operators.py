@@ -148,3 +148,33 @@ def test_tagger_and_packing(spark):
     rows = spark.createDataFrame([("s", i, t) for i, t in enumerate([5, 5, 5, 99, 1])], "source string, doc_id long, tokens long")
     packed = evaluation.pack_batches(rows, by="source", order="doc_id", tokens="tokens", max_count=2, budget=10)
     assert [r.batch for r in packed.orderBy("doc_id").collect()] == [0, 0, 1, 2, 3]
+
+
+def test_near_duplicates_equal_the_sequential_pass(spark):
+    import random
+
+    rng = random.Random(4)
+    vocabulary = [f"word{i}" for i in range(300)]
+    texts = [" ".join(rng.choices(vocabulary, k=60)) for _ in range(40)]
+    for _ in range(60):
+        words = rng.choice(texts).split()
+        words[rng.randrange(60)] = "changed"
+        texts.append(" ".join(words))
+    texts += [texts[0], "", "http://only.a/link", "short text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("words", T.word_count(F.col("text")))
+    prints = S.simhash(docs, "doc_id")
+    rows = sorted((r.doc_id, r.fingerprint, r.words) for r in prints.join(docs, "doc_id").collect())
+    first, accepted, want = {}, [], {}
+    for i, p, n in rows:
+        if p in first:
+            want[i] = first[p]
+            continue
+        first[p] = i
+        near = [j for j, q in accepted if bin((p ^ q) & (2**64 - 1)).count("1") <= 12] if n >= 25 else []
+        if near:
+            want[i] = near[0]
+        elif n >= 25:
+            accepted.append((i, p))
+    want = {i: want.get(j, j) for i, j in want.items()}
+    got = {r.doc_id: r.is_duplicate_of for r in corpus.mark_duplicates(docs, prints).collect()}
+    assert {i: j for i, j in got.items() if j is not None} == want and len(got) == len(texts)
