@@ -24,6 +24,8 @@ RUNS, DEPTH, LEAF = 8, 8, 128
 LOOSE = 0.6
 #: Sets, and shingles, of a block of an exact comparison at most (a set of more shingles is a block of its own).
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Bytes of shingle sets that a worker gathers before it hands them on.
+SET_BYTES = 2 << 20
 
 _RNG = np.random.default_rng(20240607)
 _MUL = _RNG.integers(1, 1 << 63, RUNS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -121,12 +123,12 @@ def _leaf_edges(batches):
 
 
 def _compare(num: int, den: int):
-    """Exact comparison within a unit: rows (unit, comp, key, block, weight, shingles) to (comp, key, links, root key of its local class)."""
+    """Exact comparison within a unit: rows (unit, comp, key, block, weight, shingles, crossed) to (comp, key, links, root key of its local class)."""
 
     def run(batches):
         for rows in _runs(batches, 0):
             seen: dict[bytes, int] = {}
-            comp = rows[0].column(1)[0].as_py()
+            comp, crossed = rows[0].column(1)[0].as_py(), rows[0].column(6)[0].as_py()
             keys, blocks, weights, sets = [], [], [], []
             for b in rows:
                 for key, block, w, s in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
@@ -156,7 +158,7 @@ def _compare(num: int, den: int):
                 both += part @ part.T
             near = both * (num + den) >= num * (sizes[:, None] + sizes[None, :])
             np.fill_diagonal(near, False)
-            if len(set(blocks)) > 1:
+            if crossed:  # pairs within a block are the business of the block's own unit, also where the other block is empty
                 near &= block[:, None] != block[None, :]
             parent = list(range(m))
             for i, j in zip(*np.nonzero(np.triu(near)), strict=True):
@@ -169,22 +171,29 @@ def _compare(num: int, den: int):
     return run
 
 
+_UNITS = {"unit": pa.int64(), "comp": pa.int64(), "key": pa.binary(), "block": pa.int64(), "weight": pa.int64(), "sets": pa.binary(), "crossed": pa.bool_()}
+
+
+def _unit_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), _UNITS.values(), strict=True)], list(_UNITS))
+
+
 def _sets(n: int):
     def run(batches):
-        for b in batches:  # doc text, then key, comp, n_blocks, weight
-            unit, comp, keys, block, weight, sets = [], [], [], [], [], []
+        rows, held = [], 0
+        for b in batches:
             for text, key, c, nb, w in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 s = shingles(text, n).tobytes()
                 own = int.from_bytes(key[:8], "little") % nb
                 for other in range(nb):
                     lo, hi = sorted((own, other))
-                    unit.append(xxhash.xxh64_intdigest(f"{c}:{lo}:{hi}") - (1 << 63))
-                    comp.append(c)
-                    keys.append(key)
-                    block.append(own)
-                    weight.append(w)
-                    sets.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), pa.array(comp, pa.int64()), pa.array(keys, pa.binary()), pa.array(block, pa.int64()), pa.array(weight, pa.int64()), pa.array(sets, pa.binary())], ["unit", "comp", "key", "block", "weight", "sets"])
+                    rows.append((xxhash.xxh64_intdigest(f"{c}:{lo}:{hi}") - (1 << 63), c, key, own, w, s, lo != hi))
+                    held += len(s)
+                    if held >= SET_BYTES:  # a set of many blocks is as many rows: they leave in batches of bounded size
+                        yield _unit_rows(rows)
+                        rows, held = [], 0
+        if rows:
+            yield _unit_rows(rows)
 
     return run
 
@@ -245,7 +254,7 @@ def near_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8) -> Data
     # Members grow with the input: they are never broadcast, so the join is planned alike at every size.
     texts = body.join(member.withColumnRenamed("doc_id", "rep_id").withColumnRenamed("th", "rep_th").hint("merge"), (F.col("doc_id").eqNullSafe(F.col("rep_id"))) & (F.col("th") == F.col("rep_th")))
     th = Fraction(str(threshold))
-    units = texts.select("text", "key", "comp", "nb", "weight").mapInArrow(_sets(n), "unit long, comp long, key binary, block long, weight long, sets binary")
+    units = texts.select("text", "key", "comp", "nb", "weight").mapInArrow(_sets(n), "unit long, comp long, key binary, block long, weight long, sets binary, crossed boolean")
     found = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_compare(th.numerator, th.denominator), "comp long, key binary, links long, root binary")
     found = written(found, "links")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))

@@ -325,3 +325,13 @@ def test_pipeline_stages(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == left
     assert set(queries.SQL) < set(queries.QUERIES)
+
+
+def test_op7_blocks_of_long_texts(spark, monkeypatch):
+    """Few long texts in more blocks than texts: some blocks are empty, and each link still counts once."""
+    base = prose(7, 400).split()
+    texts = [" ".join([*base[: 10 + 40 * i], f"other{i}", *base[11 + 40 * i :]]) for i in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(chosen_path, "BLOCK_SHINGLES", 150)
+    got = {r.doc_id: (r.class_id, r.n_links, r.class_size) for r in chosen_path.near_classes(docs).collect()}
+    assert got == {i: (0, 5, 6) for i in range(6)}
