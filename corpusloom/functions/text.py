@@ -113,11 +113,18 @@ def estimate_tokens(text: Column) -> Column:
     return F.ceil(F.char_length(text) / 4)
 
 
-def truncate_to_tokens(text: Column, tokens: int) -> Column:
+def truncate_to_tokens(text: Column, tokens: int | Column) -> Column:
     """A prefix of at most ``tokens`` estimated tokens, at a word's end where there is one, never empty."""
-    head = F.left(text, F.lit(4 * tokens))
+    room = 4 * (F.lit(tokens) if isinstance(tokens, int) else tokens).cast("int")
+    head = F.left(text, room)
     cut = F.regexp_extract(head, r"(?s)^(.*\S)\s", 1)
-    return F.when(F.char_length(text) <= 4 * tokens, text).when(cut == "", head).otherwise(cut)
+    return F.when(F.char_length(text) <= room, text).when(cut == "", head).otherwise(cut)
+
+
+def fit_document(doc: Column, text: Column, max_tokens: int) -> tuple[Column, Column]:
+    """(text, whether it was cut) so that ``[doc] text`` has at most ``max_tokens`` estimated tokens; a long id leaves one token."""
+    room = F.greatest(F.lit(max_tokens) - estimate_tokens(F.concat(F.lit("["), doc.cast("string"), F.lit("] "))), F.lit(1))
+    return truncate_to_tokens(text, room), estimate_tokens(text) > room
 
 
 def pretty_label(label: Column) -> Column:

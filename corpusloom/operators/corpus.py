@@ -5,11 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import scoring as S
 from corpusloom.functions import text as T
 from corpusloom.functions.scoring import hamming
 from corpusloom.sources.tables import checkpointed
 
 
+# The side of a purchase that a source's texts speak to, and that of the kinds of texts where a source has both.
+STAGES = {
+    "youtube": "pre_purchase", "quora_manual": "pre_purchase", "reddit": "pre_purchase", "mouthshut": "post_purchase", "trustpilot": "post_purchase",
+    "complaints_board": "post_purchase", "consumer_complaints_in": "post_purchase", "play_store": "mixed", "app_store": "mixed",
+}
+BY_CONTENT = {"qa": "pre_purchase", "review": "post_purchase"}
+
+
+def purchase_stage(source: Column, content_type: Column, *, stages: dict[str, str] | None = None, refined: tuple[str, ...] = ("onsite", "onsite_manual")) -> Column:
+    """The stage of a source; of the ``refined`` ones by content type. A source (or content type there) that is not known fails the query."""
+    literal = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
+    fail = F.raise_error(F.concat(F.lit("no purchase stage for source "), F.coalesce(source, F.lit("null")), F.lit(", content type "), F.coalesce(content_type, F.lit("null")))).cast("string")
+    return F.when(source.isin(*refined), F.coalesce(literal(BY_CONTENT)[content_type], fail)).otherwise(F.coalesce(literal(STAGES if stages is None else stages)[source], fail))
+
+
+def normalize(raw: DataFrame, *, salt: str) -> DataFrame:
+    """Documents of raw records: hashed ids, no handles, the language that ``meta`` names, sizes."""
+    lang = F.try_variant_get(F.try_parse_json("meta"), "$.lang", "string")
+    return raw.select(
+        S.doc_id(F.col("source"), F.col("source_native_id")).alias("doc_id"), "source", "source_native_id", "url", S.author_hash(F.col("source"), F.col("author_raw"), salt).alias("author_hash"), "created_utc", "text",
+        lang.alias("lang"), F.char_length("text").cast("long").alias("char_len"), T.word_count(F.col("text")).cast("long").alias("word_count"), "meta", F.current_timestamp().alias("ingested_at"),
+    )
+
+
+def rejected_stratum(reason: Column, score: Column, content_words: Column, *, min_content_words: int = 3) -> Column:
+    """What rejected a document: a hard rule by its name, no keyword at all (with or without content), else the second tier."""
+    few = F.when(content_words < min_content_words, "tier1_zero_hits_contentless").otherwise("tier1_zero_hits_contentful")
+    return F.when(reason.isNotNull(), reason).when(F.coalesce(score, F.lit(0.0)) == 0, few).otherwise("tier2_rejected")
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in ``order`` (newest first, with every tie broken)."""
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__rn = 1").drop("__rn")
@@ -51,13 +82,14 @@ def first_accepted(vertices: DataFrame, pairs: DataFrame, *, key: str = "doc_id"
 
     Each round accepts every open row without an open smaller neighbour and without an accepted one, then settles the rows beside them.
     """
+    kind = pairs.schema["a"].dataType
     pairs = checkpointed(pairs)
-    state = checkpointed(pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct().withColumn("root", F.lit(None).cast("long")))
+    state = checkpointed(pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct().withColumn("root", F.lit(None).cast(kind)))
     for _ in range(rounds):
         near = pairs.join(state.select(F.col(key).alias("a"), F.col("root").alias("ra")), "a").groupBy(F.col("b").alias(key)).agg(
             F.min(F.when(F.col("ra") == F.col("a"), F.col("a"))).alias("taken"), F.count_if(F.col("ra").isNull()).alias("open"))
         root = F.when(F.col("root").isNotNull(), F.col("root")).when((F.coalesce("open", F.lit(0)) == 0) & F.col("taken").isNull(), F.col(key)).when((F.coalesce("open", F.lit(0)) == 0), F.col("taken"))
-        state = checkpointed(state.join(near, key, "left").select(key, root.cast("long").alias("root")))
+        state = checkpointed(state.join(near, key, "left").select(key, root.cast(kind).alias("root")))
         if state.where("root is null").isEmpty():
             break
     return vertices.select(key).join(state, key, "left").select(key, F.coalesce("root", key).alias("root"))
@@ -75,3 +107,28 @@ def mark_duplicates(docs: DataFrame, prints: DataFrame, *, bits: int = 12, min_w
     near = first_accepted(long, near_pairs(long, bits=bits)).withColumnRenamed("doc_id", "exact").withColumnRenamed("root", "near")
     found = exact.join(near, "exact", "left").withColumn("root", F.coalesce("near", "exact"))
     return found.select("doc_id", F.when(F.col("root") != F.col("doc_id"), F.col("root")).alias("is_duplicate_of"))
+
+
+def build(docs: DataFrame, terms: list[str], *, languages: tuple[str, ...] = ("hi",), min_words: int = 3, bits: int = 12, near_words: int = 25) -> DataFrame:
+    """The funnel over documents (doc_id, text, lang, ...): adds word_count, exclusion_reason, fingerprint, is_duplicate_of, relevance_score, is_relevant.
+
+    Hard-excluded rows are not relevant and have no score; duplicates have neither score nor verdict; rows without a hit score 0 and are not
+    relevant; the others are (a second tier may take that back: ``tagging.verdicts``). Fingerprints are there for all rows, but only rows
+    that no rule excludes anchor duplicates.
+    """
+    rows = checkpointed(docs.withColumn("word_count", T.word_count(F.col("text")).cast("long")).withColumn("exclusion_reason", T.exclusion_reason(F.col("text"), F.col("lang"), min_words=min_words, languages=languages)))
+    prints = checkpointed(S.simhash(rows, "doc_id"))
+    open_ = rows.where("exclusion_reason is null").select("doc_id", F.col("word_count").alias("words"))
+    rows = rows.join(prints, "doc_id").join(mark_duplicates(open_, prints, bits=bits, min_words=near_words), "doc_id", "left")
+    scored = tier1(rows, terms)
+    out, dup = F.col("exclusion_reason").isNotNull(), F.col("is_duplicate_of").isNotNull()
+    verdict = F.when(out, False).when(~dup, F.col("hits") > 0)
+    return scored.withColumn("is_relevant", verdict).withColumn("relevance_score", F.when(~out & ~dup, F.col("relevance_score"))).drop("hits", "words", "contentless")
+
+
+def profile(built: DataFrame, *, by: str = "source") -> DataFrame:
+    """Per source the counts of the funnel, in one pass: documents, excluded, duplicates, eligible, without hits, relevant."""
+    return built.groupBy(by).agg(
+        F.count("*").alias("documents"), F.count_if(F.col("exclusion_reason").isNotNull()).alias("excluded"), F.count_if(F.col("is_duplicate_of").isNotNull()).alias("duplicates"),
+        F.count_if(F.col("exclusion_reason").isNull() & F.col("is_duplicate_of").isNull()).alias("eligible"), F.count_if(F.col("relevance_score") == 0).alias("without_hits"), F.count_if(F.col("is_relevant")).alias("relevant"),
+    )

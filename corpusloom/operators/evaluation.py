@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
+
 
 def allocate(counts: DataFrame, budget: int, *, by: str = "source", n: str = "n", floor: int = 0) -> DataFrame:
     """(by, n, take): a proportional split of ``budget`` by largest remainder, at least ``floor`` each and no more than there is.
@@ -115,3 +117,45 @@ def cue_tagger(cues: dict[str, list[str]]):
             yield doc, [label for label, words in sorted(cues.items()) if any(w in low for w in words)]
 
     return tag
+
+
+def evidence_precision(spans: DataFrame, docs: DataFrame) -> DataFrame:
+    """One row: quotes, those that their document holds, and the share (null without quotes). A quote of an unknown document is not held."""
+    held = F.coalesce(T.contains_quote(F.col("text"), F.col("quote")), F.lit(False))
+    n = spans.select("doc_id", "quote").join(docs.select("doc_id", "text"), "doc_id", "left").agg(F.count("*").alias("n_quotes"), F.count_if(held).alias("n_contained"))
+    return n.withColumn("precision", F.col("n_contained") / F.nullif(F.col("n_quotes"), F.lit(0)))
+
+
+def representative_sample(rows: DataFrame, size: int, *, by: str = "bucket", key: str = "doc_id", seed: int = 42) -> DataFrame:
+    """``size`` rows in the proportions of ``by`` (rounded per bucket, halves to even), with ``draw``; a bucket that is too small is drawn again."""
+    counts = rows.groupBy(by).agg(F.count("*").alias("__n"))
+    counts = counts.withColumn("__take", F.bround(F.lit(float(size)) * F.col("__n") / F.sum("__n").over(Window.partitionBy())).cast("long"))
+    ranked = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(by).orderBy(drawn_order(key, seed), key)))
+    picked = ranked.join(F.broadcast(counts), by).where("__rn <= __take")
+    last = F.floor((F.col("__take") - F.col("__rn")) / F.col("__n")).cast("int")
+    return picked.withColumn("draw", F.explode(F.sequence(F.lit(0), last))).drop("__rn", "__n", "__take")
+
+
+def complete_or_fail(gold: DataFrame, pred: DataFrame, *, key: str = "doc_id", label: str = "label") -> DataFrame:
+    """``gold`` itself; the query fails when a gold row has no label yet or no prediction. One counted row decides, nothing is multiplied."""
+    n = gold.join(pred.select(key).distinct().withColumn("__there", F.lit(True)), key, "left").agg(F.count_if(F.col(label).isNull()).alias("__open"), F.count_if(F.col("__there").isNull()).alias("__missing"))
+    bad = F.raise_error(F.concat(F.lit("gold rows without a label: "), F.col("__open").cast("string"), F.lit(", without a prediction: "), F.col("__missing").cast("string"))).cast("boolean")
+    return gold.join(F.broadcast(n), how="cross").where(F.when((F.col("__open") == 0) & (F.col("__missing") == 0), True).otherwise(bad)).drop("__open", "__missing")
+
+
+def manifest_check(sources: DataFrame, manifests: DataFrame) -> DataFrame:
+    """(source, status, records, passes): every enabled source has a finished manifest with records."""
+    rows = sources.select("source").distinct().join(manifests.select("source", "status", "records"), "source", "left")
+    return rows.select("source", F.coalesce("status", F.lit("missing")).alias("status"), F.coalesce("records", F.lit(0)).cast("long").alias("records"), F.coalesce((F.col("status") == "ok") & (F.col("records") > 0), F.lit(False)).alias("passes"))
+
+
+def floor_gate(rows: DataFrame, *, wanted: Column, survives: Column, floor: int) -> DataFrame:
+    """One row: wanted rows, those that survive, the share, and whether the survivors reach the floor."""
+    n = rows.where(wanted).agg(F.count("*").alias("n"), F.count_if(survives).alias("n_surviving"))
+    return n.select("n", "n_surviving", (F.col("n_surviving") / F.nullif(F.col("n"), F.lit(0))).alias("rate"), (F.col("n_surviving") >= floor).alias("passes"))
+
+
+def fingerprint_of(rows: DataFrame) -> tuple[int, str]:
+    """Rows and an order-free digest of a result: two passes are the same when both agree."""
+    got = rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)")).alias("h")).first()
+    return got["n"], str(got["h"])

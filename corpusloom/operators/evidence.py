@@ -50,3 +50,36 @@ def contained(quotes: DataFrame, docs: DataFrame, *, words: int = 6) -> DataFram
     d = docs.select("doc_id", flat("text").alias("w"))
     hits = d.select("doc_id", F.explode(F.array_distinct(runs)).alias("run")).join(F.broadcast(q.select("item_id", "run")), "run").select("doc_id", "item_id").distinct()
     return hits.join(docs.select("doc_id", "text"), "doc_id").join(q.select("item_id", "quote"), "item_id").where(F.contains(T.norm(F.col("text")), F.col("quote"))).select("item_id", "doc_id")
+
+
+def select_in_turn(candidates: DataFrame, themes: list[str], *, limit: int = 4) -> list[dict]:
+    """Quotes of ``themes`` in their order, where no theme shows a quote that one before it showed; within a theme as ``select_quotes`` picks.
+
+    Earlier themes can take at most ``limit`` quotes each, so of each theme and source the first ``limit`` times the number of themes decide;
+    only those reach the driver (themes and sources are fixed vocabularies).
+    """
+    shown = T.truncate(T.escape_markdown(T.redact_shown(F.col("quote"))))
+    best = [F.desc("overlap"), F.desc("severity"), F.asc("source"), F.asc("doc_id")]
+    rows = candidates.where(F.col("theme").isin(themes)).withColumn("quote", shown)
+    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("theme", "quote").orderBy(*best))).where("rn = 1")
+    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("theme", "source").orderBy(*best))).where(F.col("rn") <= limit * len(themes))
+    found = [r.asDict() for r in rows.drop("rn").collect()]
+    used: set[str] = set()
+    out = []
+    for theme in themes:
+        own = sorted((r for r in found if r["theme"] == theme and r["quote"] not in used), key=lambda r: (-r["overlap"], -r["severity"], r["source"], r["doc_id"]))
+        heads: dict[str, dict] = {}
+        for r in own:
+            heads.setdefault(r["source"], r)
+        first = list(heads.values())
+        picked = [*first, *(r for r in own if heads[r["source"]] is not r)][:limit]
+        used.update(r["quote"] for r in picked)
+        out += [{**r, "place": i} for i, r in enumerate(picked, 1)]
+    return out
+
+
+def appendix_lines(quotes: DataFrame) -> DataFrame:
+    """(theme, place, line): quotes (theme, place, source, doc_id, url, quote) as the lines of an appendix; ``listings.read_appendix`` reads them back."""
+    ident = F.concat(F.lit("`"), F.col("doc_id").cast("string"), F.lit("`"))
+    cite = F.when(F.col("url").isNotNull(), F.concat(F.lit("["), ident, F.lit("]("), F.col("url"), F.lit(")"))).otherwise(ident)
+    return quotes.select("theme", "place", F.concat(F.lit("- **"), F.col("source"), F.lit("** "), cite, F.lit(": "), F.col("quote")).alias("line"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,3 +84,82 @@ def segment_hits(rows: DataFrame, matrix: DataFrame, *, lift: float = 2.0) -> Da
 def snapshot(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One JSON text of report rows without ids of documents; ``rows`` is a report, a row per label."""
     return rows.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*columns)))).alias("snapshot"))
+
+
+class TooLarge(Exception):
+    """The model refused a request for its size."""
+
+
+class Rejected(Exception):
+    """The model's answer did not fit the schema; another try may."""
+
+
+class SchemaRefused(Exception):
+    """The schema itself was refused: no retry helps."""
+
+
+def repairing(call: Callable[[list[tuple[Any, str]], str | None], Iterable], *, repairs: int = 3, cuts: int = 8):
+    """A tagger for ``evaluation.tag_with`` around ``call(batch, error to fix)``.
+
+    A batch that is too large is halved, one document that is too large loses the second half of its text, at most ``cuts`` times, and no
+    error text is added, which would only make it larger. A rejected batch is halved, a rejected document is sent again with the error, at most
+    ``repairs`` times along a branch. What cannot be tagged yields nothing and stays a cache miss; a refused schema ends the job.
+    """
+
+    def tag(batch):
+        waiting = [(list(batch), 0, 0, None)]
+        while waiting:
+            docs, tries, halved, error = waiting.pop()
+            if not docs:
+                continue
+            middle = len(docs) // 2
+            try:
+                got = list(call(docs, error))
+            except TooLarge:
+                if middle:
+                    waiting += [(docs[middle:], tries, halved, None), (docs[:middle], tries, halved, None)]
+                elif halved < cuts and len(docs[0][1]) > 1:
+                    doc, text = docs[0]
+                    half = text[: len(text) // 2]
+                    waiting.append(([(doc, half[: half.rfind(" ")] if " " in half.strip() else half)], tries, halved + 1, None))
+            except Rejected as e:
+                if tries < repairs:
+                    parts = [docs[:middle], docs[middle:]] if middle else [docs]
+                    waiting += [(p, tries + 1, halved, str(e)) for p in reversed(parts)]
+            else:
+                yield from got
+
+    return tag
+
+
+def response_schema(labels: dict[str, list[str]]) -> dict:
+    """The strict JSON schema of a tagging response; ``labels``: the vocabulary of each list column."""
+    text, whole = {"type": "string"}, lambda low, high: {"type": "integer", "minimum": low, "maximum": high}
+    span = {"type": "object", "properties": {"tag": text, "quote": text}, "required": ["tag", "quote"], "additionalProperties": False}
+    fields = {"doc_id": text, "is_relevant": {"type": "boolean"}, **{c: {"type": "array", "items": {"type": "string", "enum": labels[c]} if labels.get(c) else text} for c in LISTS}}
+    fields |= {"intent_class": text, "outcome_mentioned": text, "severity": whole(1, 5), "actionability_non_monetary": whole(0, 1), "confidence_pct": whole(0, 100), "evidence": {"type": "array", "items": span}}
+    doc = {"type": "object", "properties": fields, "required": list(fields), "additionalProperties": False}
+    return {"type": "object", "properties": {"documents": {"type": "array", "items": doc}}, "required": ["documents"], "additionalProperties": False}
+
+
+def schema_violations(schema: dict, at: str = "$") -> list[str]:
+    """Places where a schema is not strict: objects that allow other keys or do not require all of theirs, arrays without items, open types."""
+    out = []
+    kind = schema.get("type")
+    if kind is None and not {"$ref", "anyOf", "enum", "const"} & schema.keys():
+        out.append(f"{at}: no type")
+    if kind == "object":
+        own = schema.get("properties", {})
+        if schema.get("additionalProperties") is not False:
+            out.append(f"{at}: other keys are allowed")
+        out += [f"{at}.{name}: not required" for name in own if name not in schema.get("required", [])]
+        for name, part in own.items():
+            out += schema_violations(part, f"{at}.{name}")
+    if kind == "array":
+        out += schema_violations(schema["items"], f"{at}[]") if "items" in schema else [f"{at}: no items"]
+    for group in ("$defs", "definitions"):
+        for name, part in schema.get(group, {}).items():
+            out += schema_violations(part, f"{at}.{group}.{name}")
+    for i, part in enumerate(schema.get("anyOf", [])):
+        out += schema_violations(part, f"{at}.anyOf[{i}]")
+    return out

@@ -106,8 +106,16 @@ def author_share(docs: DataFrame, members: DataFrame, *, cap: int = 5) -> DataFr
     return own.join(total, "voice").groupBy("dimension", "label").agg(F.sum(F.col("tagged") / F.col("whole")).alias("s")).join(F.broadcast(voices), how="cross").select("dimension", "label", (F.col("s") / F.col("voices")).alias("share"))
 
 
-def opportunities(docs: DataFrame, members: DataFrame, *, cap: int = 5, min_authors: int = 3, low_n: int = 20) -> DataFrame:
-    """The scored, ranked label rows of a population: one pass over members for counts and means, one for capped author shares."""
+def opportunities(docs: DataFrame, members: DataFrame, *, flags: DataFrame | None = None, cap: int = 5, min_authors: int = 3, low_n: int = 20) -> DataFrame:
+    """The scored, ranked label rows of a population: one pass over members for counts and means, one for capped author shares.
+
+    ``flags``: doc_id, dimension, label, is_flagged; the share of flagged documents lowers a label's evidence. ``post_only`` holds where no
+    document is of the stage before the purchase.
+    """
+    if flags is not None:
+        members = members.join(flags, ["doc_id", "dimension", "label"], "left")
+    else:
+        members = members.withColumn("is_flagged", F.lit(False))
     docs = with_recency(docs)
     totals = docs.agg(F.count("*").alias("total"), F.countDistinct("source").alias("sources_total"))
     joined = members.join(docs, "doc_id").withColumn("voice", voice(F.col("author"), F.col("doc_id")))
@@ -115,14 +123,15 @@ def opportunities(docs: DataFrame, members: DataFrame, *, cap: int = 5, min_auth
         F.count("*").alias("n_docs"), F.avg("severity").alias("mean_severity"), F.avg("actionability").alias("mean_actionability"), F.avg("confidence").alias("mean_confidence"),
         F.countDistinct("voice").alias("n_authors"), F.countDistinct("source").alias("n_sources"),
         F.count_if(F.col("stage") == "pre").alias("n_pre"), F.count_if(F.col("stage") == "post").alias("n_post"), F.count_if(F.col("stage") == "mixed").alias("n_mixed"),
+        (F.count_if("is_flagged") / F.count("*")).alias("flagged_share"),
     )
-    rows = stats.join(author_share(docs, members, cap=cap), ["dimension", "label"]).join(F.broadcast(totals), how="cross")
+    rows = stats.join(author_share(docs, members.drop("is_flagged"), cap=cap), ["dimension", "label"]).join(F.broadcast(totals), how="cross")
     p, low, high = S.wilson(F.col("n_docs"), F.col("total"))
     rows = rows.withColumns({"prevalence": p, "low": low, "high": high, "spread": F.col("n_sources") / F.col("sources_total")})
-    rows = rows.withColumn("evidence", S.evidence_confidence(F.col("mean_confidence"), F.col("spread"), S.sample_size_factor(F.col("prevalence"), F.col("low")), F.lit(1.0)))
+    rows = rows.withColumn("evidence", S.evidence_confidence(F.col("mean_confidence"), F.col("spread"), S.sample_size_factor(F.col("prevalence"), F.col("low")), 1 - F.col("flagged_share")))
     rows = rows.withColumn("share_norm", S.min_max(F.col("share")))
     rows = rows.withColumn("score", S.opportunity_score(F.col("share_norm"), F.col("mean_severity"), F.col("mean_actionability"), F.col("evidence")))
-    rows = rows.withColumns({"reportable": F.col("n_authors") >= min_authors, "post_only": (F.col("n_post") > 0) & (F.col("n_pre") + F.col("n_mixed") == 0), "low_confidence": F.col("n_docs") < low_n})
+    rows = rows.withColumns({"reportable": F.col("n_authors") >= min_authors, "post_only": F.col("n_pre") == 0, "low_confidence": (F.col("n_docs") < low_n) | (F.col("n_authors") < min_authors), "source_specific": F.col("n_sources") == 1, "high_prevalence": F.col("prevalence") > 0.9})
     order = Window.orderBy(F.desc("reportable"), "post_only", F.desc("score"), F.desc("n_docs"), "dimension", "label")  # a row per label
     return rows.withColumn("rank", F.row_number().over(order))
 

@@ -148,7 +148,7 @@ st AS (SELECT dimension, label, count(*)::double AS n, avg(severity) AS sev, avg
   count(*) FILTER (WHERE stage = 'pre') AS n_pre, count(*) FILTER (WHERE stage = 'post') AS n_post, count(*) FILTER (WHERE stage = 'mixed') AS n_mixed FROM mem JOIN od USING (doc_id) GROUP BY ALL),
 w AS (SELECT st.*, share, total, t.st AS sources_total, {WILSON} FROM st JOIN share USING (dimension, label), t),
 e AS (SELECT *, conf / 100 * (n_sources / sources_total) * least(1, greatest(0, mid - half) / p) AS evidence, CASE WHEN max(share) OVER () = min(share) OVER () THEN 1 ELSE (share - min(share) OVER ()) / (max(share) OVER () - min(share) OVER ()) END AS share_norm FROM w),
-s AS (SELECT *, sqrt(share_norm) * (sev / 5) * act * evidence * 100 AS score, n_authors >= 3 AS reportable, n_post > 0 AND n_pre + n_mixed = 0 AS post_only FROM e)"""
+s AS (SELECT *, sqrt(share_norm) * (sev / 5) * act * evidence * 100 AS score, n_authors >= 3 AS reportable, n_pre = 0 AS post_only FROM e)"""
 
 
 @query(_score_sql("") + """ SELECT dimension, label, n::bigint AS n_docs, n_authors, n_sources, n_pre, n_post, n_mixed, round(p, 6) AS prevalence, round(share, 6) AS share, round(evidence, 6) AS evidence, round(score, 5) AS score, reportable, post_only,
@@ -544,3 +544,102 @@ def tier2_verdicts(spark, d):
 def token_totals(spark, d):
     t = docs(spark, d).agg(F.sum("n_chars").alias("prompt"), F.sum(F.char_length("lang")).alias("completion"), F.count("*").alias("reasoning"))
     return t.select(r6(reports.paid_usd(F.col("prompt"), F.col("completion"), F.col("reasoning"))).alias("usd"), "prompt")
+
+
+STAGE_OF = {f"src{i}": ("pre_purchase", "post_purchase", "mixed")[i % 3] for i in range(20)}
+
+
+@query("SELECT doc_id, CASE WHEN source = 'src0' THEN CASE WHEN lang = 'en' THEN 'pre_purchase' ELSE 'post_purchase' END ELSE ['pre_purchase', 'post_purchase', 'mixed'][1 + substr(source, 4)::int % 3] END AS stage FROM documents")
+def purchase_stages(spark, d):
+    """The first source has both kinds of texts, told apart by the language column."""
+    kind = F.when(F.col("lang") == "en", "qa").otherwise("review")
+    return docs(spark, d).select("doc_id", corpus.purchase_stage(F.col("source"), kind, stages=STAGE_OF, refined=("src0",)).alias("stage"))
+
+
+@query(f"SELECT substr(sha256(source || '|' || doc_id), 1, 16) AS doc_id, source, lang, length(text)::bigint AS char_len, {WORDS_SQL}::bigint AS word_count FROM documents")
+def normalized(spark, d):
+    raw = docs(spark, d).select("source", F.col("doc_id").cast("string").alias("source_native_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("author_raw"), F.lit(None).cast("timestamp").alias("created_utc"), "text", F.to_json(F.struct("lang")).alias("meta"))
+    return corpus.normalize(raw, salt="salt").select("doc_id", "source", "lang", "char_len", "word_count")
+
+
+STOP_SQL = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+
+
+@query(rf"""WITH a AS (SELECT doc_id, lang, regexp_replace(text, '[^\x00-\x7F]', 'x', 'g') AS text FROM documents),
+s AS (SELECT doc_id, {REASON_SQL} AS reason, len(regexp_extract_all(text, {KEYWORD_SQL})) AS hits, len(list_filter(regexp_extract_all(lower(text), '\p{{L}}+'), lambda w: w NOT IN ({STOP_SQL}))) AS content FROM a)
+SELECT doc_id, CASE WHEN reason IS NOT NULL THEN reason WHEN hits > 0 THEN 'tier2_rejected' WHEN content < 40 THEN 'tier1_zero_hits_contentless' ELSE 'tier1_zero_hits_contentful' END AS stratum FROM s""")
+def rejected_strata(spark, d):
+    """Every document as if it had been rejected."""
+    a = corpus.tier1(docs(spark, d).withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "x")), TERMS)
+    return a.select("doc_id", corpus.rejected_stratum(_reason(), F.col("hits").cast("double"), T.content_word_count(F.col("text")), min_content_words=40).alias("stratum"))
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1")
+def first_per_key(spark, d):
+    return corpus.latest_per_key(table(spark, d, "events"), ["user_id", "event_type"], [F.asc("ts"), F.asc("event_id")]).select("user_id", "event_type", "event_id")
+
+
+def _brand_clusters(spark, d):
+    """Brands of one maker are a cluster; the other labels stand alone."""
+    m = members(spark, d)
+    names = m.where("dimension = 'blocker'").select(F.concat(F.lit("blocker="), "label").alias("a")).distinct()
+    edges = names.join(names.withColumnRenamed("a", "b"), F.expr("left(a, 15) = left(b, 15) AND a < b"))
+    return m, tags.clusters(m, edges)
+
+
+_CLUSTERED = """, cl AS (SELECT dimension, label, first_value(label) OVER (PARTITION BY dimension, CASE WHEN dimension = 'blocker' THEN left(label, 7) ELSE label END ORDER BY n DESC, label) AS cluster FROM (SELECT dimension, label, count(*) AS n FROM mem0 GROUP BY ALL)),
+mem AS (SELECT DISTINCT doc_id, dimension, cluster AS label FROM mem0 JOIN cl USING (dimension, label))"""
+
+
+@query(_score_sql("").replace("mem AS (", "mem0 AS (", 1).replace("), od AS (", ")" + _CLUSTERED + ", od AS (", 1).replace("conf / 100 *", "(1 - bad) * conf / 100 *").replace("avg(severity) AS sev", "avg(severity) AS sev, count(*) FILTER (WHERE doc_id % 7 = 0) / count(*) AS bad")
+       + " SELECT dimension, label, n::bigint AS n_docs, round(bad, 6) AS flagged_share, round(share, 6) AS share, round(evidence, 6) AS evidence, round(score, 5) AS score FROM s")
+def cluster_quantify(spark, d):
+    """The whole pass over label clusters; every seventh document has flagged evidence."""
+    from corpusloom.operators import quantify
+
+    m, found = _brand_clusters(spark, d)
+    rows = quantify.quantify(order_docs(spark, d), m, found, flags=m.withColumn("is_flagged", F.col("doc_id") % 7 == 0))
+    return rows.select("dimension", "label", "n_docs", r6("flagged_share").alias("flagged_share"), r6("share").alias("share"), r6("evidence").alias("evidence"), F.round("score", 5).alias("score"))
+
+
+@query("WITH p AS (" + SQL["per_source_pivot"] + ") SELECT dimension, label, CASE greatest(" + ", ".join(f"prevalence_{s}" for s in SEGMENTS) + ") WHEN 0 THEN NULL " + " ".join(f"WHEN prevalence_{s} THEN '{s}'" for s in SEGMENTS) + " END AS top_source FROM p")
+def top_source(spark, d):
+    from corpusloom.operators import quantify
+
+    return quantify.top_source(per_source_pivot(spark, d), SEGMENTS).select("dimension", "label", "top_source")
+
+
+@query(f"WITH {SPAN_SQL}, q AS (SELECT {NORM('quote')} <> '' AND contains({NORM('text')}, {NORM('quote')}) AS ok FROM sp) SELECT count(*) AS n_quotes, count(*) FILTER (WHERE ok) AS n_contained, round(count(*) FILTER (WHERE ok) / count(*), 6) AS precision FROM q")
+def evidence_precision(spark, d):
+    return evaluation.evidence_precision(_spans(spark, d), docs(spark, d)).withColumn("precision", r6("precision"))
+
+
+@query("WITH n AS (SELECT lang, count(*) AS n, round_even(211.0 * count(*) / sum(count(*)) OVER (), 0) AS take FROM documents GROUP BY lang) SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sha256('42:' || doc_id), doc_id) AS rn FROM documents) JOIN n USING (lang) WHERE rn <= take")
+def representative_sample(spark, d):
+    return evaluation.representative_sample(docs(spark, d).select("doc_id", "lang"), 211, by="lang").select("doc_id", "lang")
+
+
+@query("SELECT 'source' AS kind, source AS key, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY source UNION ALL SELECT 'intent', i, count(*) FILTER (WHERE quality::varchar = i) FROM labels JOIN documents USING (doc_id), (VALUES ('0'), ('1'), ('2')) v(i) GROUP BY i")
+def overview_counts(spark, d):
+    rows = docs(spark, d).join(table(spark, d, "labels"), "doc_id").select("source", F.col("quality").cast("string").alias("intent_class"))
+    return reports.overview(rows, ["0", "1", "2"])
+
+
+@query("SELECT event_type AS source, 'ok' AS status, count(*) AS records, true AS passes FROM events GROUP BY event_type UNION ALL SELECT 'absent', 'missing', 0, false")
+def manifest_gate(spark, d):
+    e = table(spark, d, "events").groupBy(F.col("event_type").alias("source")).agg(F.count("*").alias("records")).withColumn("status", F.lit("ok"))
+    return evaluation.manifest_check(e.select("source").unionByName(spark.createDataFrame([("absent",)], "source string")), e)
+
+
+@query()
+def corpus_funnel(spark, d):
+    """The whole funnel by source; tested on a small fixture with hand-made results."""
+    return corpus.profile(corpus.build(docs(spark, d), TERMS, languages=("es",)))
+
+
+@query()
+def page_blocks(spark, d):
+    """Navigation entries of all pages as blocks; tested on hand-made pages."""
+    from corpusloom.sources import listings
+
+    return listings.html_blocks(table(spark, d, "pages"), ["div.review", "nav li"], {"body": ["p.body", "a"]}).select("page", "native_id", "url", "text")

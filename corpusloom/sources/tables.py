@@ -98,3 +98,34 @@ def config_hash(config: dict) -> str:
     import hashlib
 
     return hashlib.sha256(json.dumps(config, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def manifest_exists(manifests: DataFrame, source: str, run_date) -> bool:
+    """Whether a source has a finished manifest of that day: then its collection is skipped."""
+    return not manifests.where((F.col("source") == source) & (F.col("run_date") == F.lit(run_date).cast("date")) & (F.col("status") == "ok")).isEmpty()
+
+
+def manifest_of(records: DataFrame, *, status: str = "ok", notes: str = "") -> DataFrame:
+    """(source, run_date, status, records, first, last, notes): a manifest row per source and day of what was collected."""
+    return records.groupBy("source", F.to_date("collected_at").alias("run_date")).agg(F.count("*").alias("records"), F.min("created_utc").alias("first"), F.max("created_utc").alias("last")).select("source", "run_date", F.lit(status).alias("status"), "records", "first", "last", F.lit(notes).alias("notes"))
+
+
+def read_terms(spark: SparkSession, path: str) -> list[str]:
+    """A vocabulary file of a term a line, lower-cased; empty lines and comments go, an empty vocabulary is an error. A file of the configuration."""
+    line = F.lower(F.trim(F.regexp_replace("value", r"\s*#.*$", "")))
+    found = sorted(r[0] for r in spark.read.text(path).select(line.alias("t")).where("t <> ''").distinct().collect())
+    if not found:
+        raise ValueError(f"no terms in {path}")
+    return found
+
+
+def scan_counts(raw: DataFrame) -> DataFrame:
+    """Per source: records, rejected ones, distinct accepted documents. ``raw`` as ``read_raw`` gives it."""
+    return raw.groupBy("source").agg(F.count("*").alias("records"), F.count_if("rejected").alias("rejected"), F.countDistinct(F.when(~F.col("rejected"), F.col("source_native_id"))).alias("documents"))
+
+
+def write_worksheet(df: DataFrame, path: str, meta: dict, *, order: str = "doc_id") -> None:
+    """A sample of few rows as JSON lines in one file, after a line that says how it was drawn; verdict columns are written as nulls."""
+    head = df.sparkSession.createDataFrame([(json.dumps({"_meta": meta}, sort_keys=True), 0, "")], "value string, __first int, __key string")
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"), F.lit(1).alias("__first"), F.col(order).cast("string").alias("__key"))
+    head.unionByName(rows).coalesce(1).sortWithinPartitions("__first", "__key").select("value").write.mode("overwrite").text(path, lineSep="\n")
