@@ -1,12 +1,15 @@
 """Mixing to target weights with soft domain membership. DataFrame functions only.
 
-A classifier fitted to labelled rows gives each document a posterior over domains. Projected gradient descent then fits a nonnegative rate to
-each document, so that the expected tokens of each domain, sum of rate * tokens * posterior, match the targets in the least-squares sense.
+A classifier fitted to labelled rows gives each document a posterior over domains. A nonnegative rate is then fitted to each document, so that
+the expected tokens of each domain, sum of rate * tokens * posterior, match the targets: of all such rates those nearest to 1 (the limit of a
+projected gradient descent from 1 where no rate is cut), found by Newton steps on one multiplier per domain. Where no rates match, they match
+in the least-squares sense.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,7 +38,7 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 @dataclass
 class Mixture:
-    """What is fitted, all of it bounded by the number of domains: class means, spreads and priors, targets, and the descent's steps."""
+    """What is fitted, all of it bounded by the number of domains: class means, spreads and priors, targets, and multipliers."""
 
     domains: list[str]
     priors: list[float]
@@ -43,9 +46,12 @@ class Mixture:
     spreads: list[list[float]]
     temper: float = 4.0
     targets: list[float] = field(default_factory=list)
-    steps: list[tuple[float, list[float]]] = field(default_factory=list)
+    lift: list[float] = field(default_factory=list)
     min_rate: float = 0.0
     achieved: list[float] = field(default_factory=list)
+    #: Whether every domain is within the tolerance of its target, and the passes that the fit took.
+    met: bool = True
+    passes: int = 0
 
     def posterior(self, x: Column) -> Column:
         """Gaussian class densities with a diagonal covariance, tempered, as an array of probabilities in the order of ``domains``."""
@@ -57,19 +63,13 @@ class Mixture:
             scores.append(base - dist / (2 * self.temper))
         return F.array(*scores)
 
-    def rate(self, p: Column) -> Column:
-        """The rate that the fitted steps give a document of posterior ``p``."""
-        if not self.steps:
-            return F.lit(max(1.0, self.min_rate))
-        steps = F.array(*[F.struct(F.lit(float(m)).alias("m"), F.array(*[F.lit(float(a)) for a in d]).alias("d")) for m, d in self.steps])
-
-        def step(acc, s):
-            y = acc["r"] + s["m"] * (acc["r"] - acc["q"])
-            dot = F.aggregate(F.zip_with(p, s["d"], lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-            return F.struct(F.greatest(F.lit(float(self.min_rate)), y - dot).alias("r"), acc["r"].alias("q"))
+    def raw_rate(self, p: Column) -> Column:
+        """What ``rate`` is before it is cut at ``min_rate``."""
+        return sum((p[i] * F.lit(float(v)) for i, v in enumerate(self.lift)), F.lit(max(1.0, self.min_rate)))
 
-        one = max(1.0, self.min_rate)
-        return F.aggregate(steps, F.struct(F.lit(one).alias("r"), F.lit(one).alias("q")), step, lambda a: a["r"])
+    def rate(self, p: Column) -> Column:
+        """The rate that the fitted multipliers give a document of posterior ``p``."""
+        return F.greatest(F.lit(float(self.min_rate)), self.raw_rate(p))
 
 
 def _softmax(df: DataFrame, scores: str, out: str) -> DataFrame:
@@ -101,23 +101,39 @@ def fit_classifier(found: DataFrame, labelled: DataFrame) -> Mixture:
     return Mixture([r["domain"] for r in sums], [r["n"] / total for r in sums], mean, spread)
 
 
-def fit_rates(soft: DataFrame, model: Mixture, *, weights: dict[str, float] | None = None, alpha: float = 0.7, budget: float | None = None, min_rate: float = 0.0, rounds: int = 25, tolerance: float = 1e-3) -> Mixture:
-    """Adds targets and steps. ``soft``: __n, __p, a row per document.
+def _measure(soft: DataFrame, model: Mixture, toward: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray, float]:
+    """One pass at the model's multipliers: the dual's sum, expected tokens per domain, their second moments over documents whose rate is not
+    cut, and the largest posterior . ``toward`` of a document with tokens."""
+    k, low = len(model.domains), float(model.min_rate)
+    p, n, raw = F.col("__p"), F.col("__n"), F.col("__raw")
+    free, rate = raw >= low, F.greatest(F.lit(low), raw)
+    along = sum((p[i] * F.lit(float(v)) for i, v in enumerate(toward)), F.lit(0.0)) if toward is not None else F.lit(0.0)
+    cells = [(i, j) for i in range(k) for j in range(i, k)]
+    moment = [F.sum(F.when(free, n * p[i] * p[j]).otherwise(0.0)).alias(f"g{i}_{j}") for i, j in cells]
+    value = F.sum(n * F.when(free, raw * raw / 2).otherwise(raw * low - low * low / 2)).alias("value")
+    row = soft.select("__n", "__p", model.raw_rate(p).alias("__raw")).agg(value, F.max(F.when(n > 0, along)).alias("top"), *[F.sum(rate * n * p[i]).alias(f"t{i}") for i in range(k)], *moment).first()
+    gram = np.zeros((k, k))
+    for i, j in cells:
+        gram[i, j] = gram[j, i] = row[f"g{i}_{j}"] or 0.0
+    model.passes += 1
+    return row["value"] or 0.0, np.array([row[f"t{i}"] or 0.0 for i in range(k)]), gram, row["top"] or 0.0
+
+
+def fit_rates(soft: DataFrame, model: Mixture, *, weights: dict[str, float] | None = None, alpha: float = 0.7, budget: float | None = None, min_rate: float = 0.0, rounds: int = 500, tolerance: float = 1e-3) -> Mixture:
+    """Adds targets and multipliers. ``soft``: __n, __p, a row per document.
 
     ``weights``: a share for each domain; by default the expected tokens to the power ``alpha``. ``budget``: tokens of the result; by default
-    the corpus's own, or, with ``min_rate`` over 0, what lets every domain keep ``min_rate`` of its tokens. Each round is one pass that sums a
-    number per domain; the step is scaled by the largest eigenvalue of the domains' second moments, and each document's by its tokens.
+    the corpus's own, or, with ``min_rate`` over 0, what lets every domain keep ``min_rate`` of its tokens. Ends when every domain is within
+    ``tolerance`` of its target (a target of 0: of the mean target), or, with a warning and ``met`` false, when the residual is proven to be
+    within 1 % of the least that any rates leave. Each step is a pass that sums some numbers per pair of domains; if ``rounds`` passes do
+    neither, it raises.
     """
     k = len(model.domains)
-    model.min_rate = min_rate
-    mass = lambda r: [F.sum(r * F.col("__n") * F.col("__p")[i]).alias(f"t{i}") for i in range(k)]
-    one = F.lit(max(1.0, min_rate))
-    first = soft.agg(*mass(one), *[F.sum(F.col("__n") * F.col("__p")[i] * F.col("__p")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    start = np.array([first[f"t{i}"] or 0.0 for i in range(k)])
-    if start.sum() <= 0:
+    model.min_rate, model.lift = min_rate, [0.0] * k
+    value, now, gram, _ = _measure(soft, model)
+    if now.sum() <= 0:
         return model
-    base = start / max(1.0, min_rate)
-    gram = np.array([[first[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+    base = now / max(1.0, min_rate)
     share = np.array([weights.get(d, 0.0) for d in model.domains]) if weights else base**alpha
     share = share / share.sum()
     if budget is None:
@@ -125,17 +141,32 @@ def fit_rates(soft: DataFrame, model: Mixture, *, weights: dict[str, float] | No
         budget = float((base[on] / share[on]).max() * min_rate) if min_rate > 0 else float(base.sum())
     target = share * budget
     model.targets = target.tolist()
-    eta = 1 / float(np.linalg.eigvalsh(gram).max())
-    now, before, turn = start, start, 1.0
-    for _ in range(rounds):
-        if np.linalg.norm(now - target) <= tolerance * np.linalg.norm(target):
-            break
-        after = (1 + math.sqrt(1 + 4 * turn * turn)) / 2
-        m = (turn - 1) / after
-        at = now + m * (now - before)
-        model.steps.append((m, (eta * (at - target)).tolist()))
-        got = soft.agg(*mass(model.rate(F.col("__p")))).first()
-        before, now, turn = now, np.array([got[f"t{i}"] for i in range(k)]), after
+    slack = tolerance * np.where(target > 0, target, target.mean())
+    # A proximal term keeps the steps finite where targets cannot be met; its centre moves and it shrinks, so the limit is the exact fit.
+    lift = centre = np.zeros(k)
+    prox = 1e-6 * float(np.linalg.eigvalsh(gram).max())
+    loss = lambda v, x: v - target @ x + prox / 2 * float((x - centre) @ (x - centre))
+    while (np.abs(target - now) > slack).any():
+        gap, grad = target - now, now - target + prox * (lift - centre)
+        if np.linalg.norm(grad) <= 1e-3 * np.linalg.norm(gap):
+            # Along a direction that no posterior has a positive part of, rates above the least only lose: a bound on what any rates leave.
+            way = gap - max(_measure(soft, model, gap)[3], 0.0)
+            if way @ (target - min_rate * base) >= 0.99 * np.linalg.norm(gap) * np.linalg.norm(way):
+                model.met = False
+                warnings.warn(f"targets cannot be met; nearest totals per domain: {dict(zip(model.domains, (now / np.where(target > 0, target, 1)).round(4).tolist(), strict=True))} of target", stacklevel=2)
+                break
+            centre, prox = lift, prox / 10
+            grad = now - target
+        step, size, was = np.linalg.solve(gram + prox * np.eye(k), -grad), 1.0, loss(value, lift)
+        while True:
+            if model.passes >= rounds:
+                raise RuntimeError(f"rates did not settle in {rounds} passes; shares of targets: {dict(zip(model.domains, (now / np.where(target > 0, target, 1)).tolist(), strict=True))}")
+            model.lift = (lift + size * step).tolist()
+            value, now, gram, _ = _measure(soft, model)
+            if loss(value, lift + size * step) <= was + 1e-4 * size * float(grad @ step) + 1e-12 * abs(was):
+                break
+            size /= 2
+        lift = lift + size * step
     model.achieved = now.tolist()
     return model
 

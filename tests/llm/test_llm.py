@@ -335,3 +335,25 @@ def test_op7_blocks_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(chosen_path, "BLOCK_SHINGLES", 150)
     got = {r.doc_id: (r.class_id, r.n_links, r.class_size) for r in chosen_path.near_classes(docs).collect()}
     assert got == {i: (0, 5, 6) for i in range(6)}
+
+
+def test_mixing_meets_targets(spark):
+    """Production defaults on eight overlapping domains: every total is at its target; targets out of reach are told, with the nearest totals."""
+    rng = np.random.default_rng(5)
+    score = rng.normal(0, 1.5, (600, 8)) + np.repeat([0, 2], [7, 1])
+    p = np.exp(score) / np.exp(score).sum(1, keepdims=True)
+    n = rng.integers(0, 400, 600)
+    soft = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "__n long, __p array<double>").cache()
+    blank = lambda k=8: mixing.Mixture([f"d{i}" for i in range(k)], [1 / k] * k, [], [])
+    for how in ({}, {"min_rate": 0.2, "budget": float(n.sum())}):
+        model = mixing.fit_rates(soft, blank(), **how)
+        rate = np.array([r[0] for r in soft.select(model.rate(F.col("__p"))).collect()])
+        assert model.met and (rate >= how.get("min_rate", 0)).all()
+        np.testing.assert_allclose((rate * n) @ p, model.targets, rtol=1.01e-3)
+    # Each document is half of either domain, so totals are equal whatever the rates; 3 to 1 leaves half of the budget at best.
+    even = spark.createDataFrame([(10, [0.5, 0.5])] * 20, "__n long, __p array<double>")
+    with pytest.warns(UserWarning, match="cannot be met"):
+        model = mixing.fit_rates(even, blank(2), weights={"d0": 3.0, "d1": 1.0})
+    assert not model.met and model.achieved == pytest.approx([100.0, 100.0])
+    with pytest.raises(RuntimeError, match="did not settle"):
+        mixing.fit_rates(soft, blank(), rounds=1)
