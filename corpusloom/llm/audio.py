@@ -1,4 +1,4 @@
-"""Chroma audio fingerprints: integral-image filters over pitch-class frames, packed integers, alignment by offset histograms and bit errors."""
+"""Chroma audio fingerprints: integral-image filters over pitch-class frames, packed integers, alignment by bit errors at every offset."""
 
 from __future__ import annotations
 
@@ -15,8 +15,10 @@ FILTERS = [(i % 4, (5 * i) % 9, 3 + (i % 2), 4 + 2 * (i % 3)) for i in range(16)
 #: A filter's log ratio is cut at these values.
 CUTS = (-0.25, 0.0, 0.25)
 WIDTH = max(f[3] for f in FILTERS)
-#: Bits that must agree, in two successive unequal integers, to vote for an offset, votes an alignment needs, and the bit errors it may have.
-VOTE_BITS, MIN_VOTES, MAX_ERROR = 24, 4, 0.2
+#: Successive unequal integers that both prints of an alignment must have where they meet, and the share of bit errors it may have.
+MIN_VOTES, MAX_ERROR = 4, 0.2
+#: Bytes of prints in a block of queries and in one of stored prints.
+QUERY_BLOCK, STORED_BLOCK = 256 << 10, 64 << 10
 
 
 def chroma(pcm: np.ndarray, rate: int) -> np.ndarray:
@@ -75,40 +77,79 @@ def fingerprints(recordings: DataFrame, rate: int) -> DataFrame:
     return recordings.select("id", "pcm").mapInArrow(run, "id long, print binary")
 
 
-def _votes(batches):
+def _scan(asked: np.ndarray, ids: np.ndarray, prints: list[np.ndarray]) -> list[tuple[int, int, float]]:
+    """(r, offset, bit_error) of each print that ``asked`` aligns with: of the offsets of at most ``MAX_ERROR`` bit errors the one with the
+    most bits agreeing beyond that bound (of equals, the nearest to 0, then the smallest)."""
+    pad = len(asked) - MIN_VOTES
+    sizes = np.array([len(p) for p in prints])
+    if pad < 0 or not len(sizes):
+        return []
+    # All prints in one array, with so many blanks between that every offset of every print has a place of its own.
+    begin = np.cumsum(np.r_[0, sizes[:-1] + 2 * pad])
+    flat, held = np.zeros(int((sizes + 2 * pad).sum()) + len(asked), np.uint32), np.zeros(int((sizes + 2 * pad).sum()) + len(asked), np.uint8)
+    for p, at in zip(prints, begin + pad, strict=True):
+        flat[at : at + len(p)], held[at : at + len(p)] = p, 1
+    n = len(flat) - len(asked)
+    wrong = np.zeros(n, np.uint32)
+    for i, x in enumerate(asked):
+        wrong += np.bitwise_count(flat[i : i + n] ^ x) * held[i : i + n]
+    upto = np.r_[0, np.cumsum(held, dtype=np.int64)]
+    both = upto[len(asked) : len(asked) + n] - upto[:n]
+    place = np.arange(n)
+    owner = np.searchsorted(begin, place, "right") - 1
+    offset = place - begin[owner] - pad
+    # A window reaches into the next print only from places past the last offset of its own.
+    good = np.flatnonzero((offset <= sizes[owner] - MIN_VOTES) & (both >= MIN_VOTES) & (wrong <= MAX_ERROR * 32 * both))
+    # Held notes and silence tell little: where the two meet, both must change often enough.
+    turns = lambda x: np.r_[0, 0, np.cumsum(x[1:] != x[:-1])]
+    low, high = np.maximum(0, -offset[good]), np.minimum(len(asked), sizes[owner[good]] - offset[good])
+    enough = [t[b + high] - t[b + low + 1] >= MIN_VOTES for t, b in ((turns(asked), 0), (turns(flat), good))]
+    good = good[enough[0] & enough[1]]
+    spare = MAX_ERROR * 32 * both[good] - wrong[good]
+    order = np.lexsort((offset[good], np.abs(offset[good]), -spare.round(6), owner[good]))
+    first = np.unique(owner[good][order], return_index=True)[1]
+    return [(int(ids[owner[g]]), int(offset[g]), float(wrong[g] / (32 * both[g]))) for g in good[order][first]]
+
+
+def _aligned(batches):
     for b in batches:
-        ids, at, keys = [], [], []
-        for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            ints = (np.frombuffer(raw, "<u4") >> np.uint32(32 - VOTE_BITS)).astype(np.int64)
-            first = np.flatnonzero(np.r_[True, ints[1:] != ints[:-1]]) if len(ints) else np.empty(0, int)  # held notes vote once
-            pairs = (ints[first[:-1]] << VOTE_BITS) | ints[first[1:]]
-            ids += [i] * len(pairs)
-            at += first[1:].tolist()  # where the second sets in: a cut before it does not move that
-            keys += pairs.tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(keys, pa.int64())], ["id", "at", "key"])
-
-
-def _errors(batches):
-    for b in batches:
-        e = [align(np.frombuffer(q, "<u4"), np.frombuffer(r, "<u4"), o) for q, r, o in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(2).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(e)], ["q", "r", "offset", "bit_error"])
+        q, r, offset, error = [], [], [], []
+        for asked, stored in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            ids, prints = np.array([x["id"] for x in stored]), [np.frombuffer(x["print"], "<u4") for x in stored]
+            for a in asked:
+                for match, o, e in _scan(np.frombuffer(a["print"], "<u4"), ids, prints):
+                    q.append(a["id"]), r.append(match), offset.append(o), error.append(e)
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(r, pa.int64()), pa.array(offset, pa.int64()), pa.array(error, pa.float64())], ["q", "r", "offset", "bit_error"])
+
+
+def _blocks(classes: DataFrame, name: str, size: int) -> tuple[DataFrame, int]:
+    """(block, name): the prints of a class each in lists of about ``size`` bytes, and the number of blocks."""
+    held = classes.where(F.octet_length("print") > 0)
+    total = held.agg(F.sum(F.octet_length("print"))).first()[0] or 0
+    n = 1 + total // size
+    return held.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(f"{name}b")).agg(F.collect_list(F.struct("id", "print")).alias(name)), n
+
+
+def _alignments(qcl: DataFrame, cls: DataFrame) -> DataFrame:
+    """(q, r, offset, bit_error): every class of query prints against every class of stored ones, exactly, in pairs of blocks."""
+    bounded_batches(qcl.sparkSession)
+    (q, n_q), (r, n_r) = _blocks(qcl, "q", QUERY_BLOCK), _blocks(cls, "r", STORED_BLOCK)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    met = q.withColumn("rb", every(n_r)).join(r.withColumn("qb", every(n_q)).hint("shuffle_hash"), ["qb", "rb"])
+    return met.select("q", "r").mapInArrow(_aligned, "q long, r long, offset long, bit_error double")
 
 
 def search(queries: DataFrame, stored: DataFrame) -> DataFrame:
     """(query_id, match_id, offset, bit_error, n_matches): for each query print the best aligned recording, and how many align.
 
     Both sides have (id, print). Equal prints form a class first, under its smallest id, so a recording with many copies is aligned once.
-    Two successive unequal integers that agree in their first ``VOTE_BITS`` bits vote for an offset; the most voted offset of a pair (the smallest of equals) with
-    ``MIN_VOTES`` votes is checked by its bit errors. Ties go to the smallest id. A query that aligns with nothing has nulls and 0.
+    Two prints align when at some offset both change ``MIN_VOTES`` times where they meet and at most ``MAX_ERROR`` of the bits there differ; every
+    offset of every pair is looked at, so the work grows with queries times recordings. Ties go to the smallest id. A query that aligns with
+    nothing has nulls and 0.
     """
     cls = written(stored.groupBy("print").agg(F.min("id").alias("id"), F.count("*").alias("n")), "prints")
     qcl = written(queries.groupBy("print").agg(F.min("id").alias("id"), F.collect_list("id").alias("ids")), "query-prints")
-    votes = lambda df, who: df.select("id", "print").mapInArrow(_votes, "id long, at long, key long").select(F.col("id").alias(who), F.col("at").alias(f"{who}_at"), "key")
-    hits = votes(qcl, "q").join(votes(cls, "r"), "key").groupBy("q", "r", (F.col("r_at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = hits.where(F.col("votes") >= MIN_VOTES).groupBy("q", "r").agg(F.max_by("offset", F.struct("votes", -F.abs("offset"), -F.col("offset"))).alias("offset"))
-    pairs = best.join(qcl.select(F.col("id").alias("q"), F.col("print").alias("qp")), "q").join(cls.select(F.col("id").alias("r"), F.col("print").alias("rp"), "n"), "r")
-    checked = pairs.select("q", "r", "offset", "qp", "rp").mapInArrow(_errors, "q long, r long, offset long, bit_error double").where(F.col("bit_error") <= MAX_ERROR)
-    top = checked.join(cls.select(F.col("id").alias("r"), "n"), "r").groupBy("q").agg(F.min(F.struct("bit_error", "r", "offset")).alias("best"), F.sum("n").alias("n_matches"))
+    top = _alignments(qcl, cls).join(cls.select(F.col("id").alias("r"), "n"), "r").groupBy("q").agg(F.min(F.struct("bit_error", "r", "offset")).alias("best"), F.sum("n").alias("n_matches"))
     rows = qcl.select(F.col("id").alias("q"), F.explode("ids").alias("query_id")).join(top, "q", "left")
     return rows.select("query_id", F.col("best.r").alias("match_id"), F.col("best.offset").alias("offset"), F.round("best.bit_error", 6).alias("bit_error"), F.coalesce("n_matches", F.lit(0)).alias("n_matches"))
 

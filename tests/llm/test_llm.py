@@ -357,3 +357,31 @@ def test_mixing_meets_targets(spark):
     assert not model.met and model.achieved == pytest.approx([100.0, 100.0])
     with pytest.raises(RuntimeError, match="did not settle"):
         mixing.fit_rates(soft, blank(), rounds=1)
+
+
+def test_audio_finds_noisy_and_off_grid(spark):
+    """Clips off the hop grid and bit noise up to the bound: what search finds is what align finds at any offset of any recording."""
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i, rng.normal(0, 0.13, 64 + 6 * (i % 3)).tolist()) for i in range(10)], "id long, vector array<double>")
+    stored = audio.fingerprints(audio.sonify(rows, 4096), 4096)
+    prints = {r.id: np.frombuffer(r.print, "<u4") for r in stored.collect()}
+    clips = {r.id: np.frombuffer(r.print, "<u4") for r in audio.fingerprints(audio.sonify(rows, 4096, clip=(0.53, 3.53)), 4096).collect()}
+    for i in range(10):
+        flips = (rng.random((38, 32)) < 0.15) @ (1 << np.arange(32))
+        clips[100 + i] = prints[i][8:46] ^ flips.astype(np.uint32)
+    asked = spark.createDataFrame([(i, bytearray(p.astype("<u4").tobytes())) for i, p in clips.items()], "id long, print binary")
+    got = {r.query_id: r for r in audio.search(asked, stored).collect()}
+    for i, q in clips.items():
+        near = {}
+        for j, p in prints.items():
+            fits = []
+            for o in range(-len(q), len(p)):
+                a, b = max(0, -o), min(len(q), len(p) - o)
+                e, turns = audio.align(q, p, o), [int((np.diff(x.astype(np.int64)) != 0).sum()) for x in (q[a:b], p[a + o : b + o])]
+                if e <= audio.MAX_ERROR and min(turns) >= audio.MIN_VOTES:
+                    fits.append((-round((b - a) * 32 * (audio.MAX_ERROR - e), 6), abs(o), o, e))
+            if fits:
+                near[j] = min(fits)
+        assert i % 100 in near
+        e, j, o = min((e, j, o) for j, (_, _, o, e) in near.items())
+        assert (got[i].match_id, got[i].offset, got[i].n_matches) == (j, o, len(near)) and got[i].bit_error == pytest.approx(e, abs=1e-6)
