@@ -77,21 +77,20 @@ def near_pairs(prints: DataFrame, *, key: str = "doc_id", bits: int = 12) -> Dat
     return near.select("a", "b", hamming(F.col("fa"), F.col("fb")).alias("distance")).distinct()
 
 
-def first_accepted(vertices: DataFrame, pairs: DataFrame, *, key: str = "doc_id", rounds: int = 50) -> DataFrame:
+def first_accepted(vertices: DataFrame, pairs: DataFrame, *, key: str = "doc_id") -> DataFrame:
     """(key, root): the greedy pass in key order. A row joins the smallest accepted row near it; if there is none it is accepted (root = key).
 
     Each round accepts every open row without an open smaller neighbour and without an accepted one, then settles the rows beside them.
+    It ends when no row is open: each round settles the smallest open row at least, so a chain of n rows takes up to n rounds.
     """
     kind = pairs.schema["a"].dataType
-    pairs = checkpointed(pairs)
+    pairs = checkpointed(pairs.where("a < b"))
     state = checkpointed(pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct().withColumn("root", F.lit(None).cast(kind)))
-    for _ in range(rounds):
+    while not state.where("root is null").isEmpty():
         near = pairs.join(state.select(F.col(key).alias("a"), F.col("root").alias("ra")), "a").groupBy(F.col("b").alias(key)).agg(
             F.min(F.when(F.col("ra") == F.col("a"), F.col("a"))).alias("taken"), F.count_if(F.col("ra").isNull()).alias("open"))
         root = F.when(F.col("root").isNotNull(), F.col("root")).when((F.coalesce("open", F.lit(0)) == 0) & F.col("taken").isNull(), F.col(key)).when((F.coalesce("open", F.lit(0)) == 0), F.col("taken"))
         state = checkpointed(state.join(near, key, "left").select(key, root.cast(kind).alias("root")))
-        if state.where("root is null").isEmpty():
-            break
     return vertices.select(key).join(state, key, "left").select(key, F.coalesce("root", key).alias("root"))
 
 

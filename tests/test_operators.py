@@ -57,6 +57,13 @@ def test_duplicates_never_chain(spark):
     assert {(r.a, r.b, r.distance) for r in corpus.near_pairs(prints).collect()} == {(1, 2, 4), (2, 3, 9)}
 
 
+def test_first_accepted_settles_long_chains(spark):
+    """Each row is near the next only: every second one is a duplicate, to the end of the chain."""
+    rows = spark.createDataFrame([(i,) for i in range(56)], "doc_id long").coalesce(1)
+    got = {r["doc_id"]: r["root"] for r in corpus.first_accepted(rows, rows.selectExpr("doc_id as a", "doc_id + 1 as b").where("b < 56")).collect()}
+    assert got == {i: i - i % 2 for i in range(56)}
+
+
 def test_upserts(spark):
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), spark.createDataFrame([(2, "B"), (3, "C")], "k long, v string")
     assert {tuple(r) for r in corpus.upsert(old, new, ["k"]).collect()} == {(1, "a"), (2, "B"), (3, "C")}
