@@ -139,19 +139,36 @@ def _alignments(qcl: DataFrame, cls: DataFrame) -> DataFrame:
     return met.select("q", "r").mapInArrow(_aligned, "q long, r long, offset long, bit_error double")
 
 
-def search(queries: DataFrame, stored: DataFrame) -> DataFrame:
-    """(query_id, match_id, offset, bit_error, n_matches): for each query print the best aligned recording, and how many align.
+def _classes(queries: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    cls = written(stored.groupBy("print").agg(F.min("id").alias("id"), F.count("*").alias("n")), "prints")
+    return written(queries.groupBy("print").agg(F.min("id").alias("id"), F.collect_list("id").alias("ids")), "query-prints"), cls
+
+
+def members(stored: DataFrame) -> DataFrame:
+    """(id, class_id): every recording and the smallest id of those with its print, which is what ``matches`` calls match_id."""
+    cls = stored.groupBy("print").agg(F.min("id").alias("class_id"))
+    return stored.join(cls, "print").select("id", "class_id")
+
 
-    Both sides have (id, print). Equal prints form a class first, under its smallest id, so a recording with many copies is aligned once.
-    Two prints align when at some offset both change ``MIN_VOTES`` times where they meet and at most ``MAX_ERROR`` of the bits there differ; every
-    offset of every pair is looked at, so the work grows with queries times recordings. Ties go to the smallest id. A query that aligns with
-    nothing has nulls and 0.
+def matches(queries: DataFrame, stored: DataFrame) -> DataFrame:
+    """(query_id, match_id, offset, bit_error, n_copies): a row per query print and class of recordings that align, all of them.
+
+    Both sides have (id, print). Equal prints form a class first, under its smallest id, so a recording with many copies is aligned once;
+    ``members`` has the copies. Two prints align when at some offset both change ``MIN_VOTES`` times where they meet and at most ``MAX_ERROR`` of
+    the bits there differ; every offset of every pair is looked at, so the work grows with queries times recordings. A query that aligns with
+    nothing has one row of nulls and 0 copies.
     """
-    cls = written(stored.groupBy("print").agg(F.min("id").alias("id"), F.count("*").alias("n")), "prints")
-    qcl = written(queries.groupBy("print").agg(F.min("id").alias("id"), F.collect_list("id").alias("ids")), "query-prints")
-    top = _alignments(qcl, cls).join(cls.select(F.col("id").alias("r"), "n"), "r").groupBy("q").agg(F.min(F.struct("bit_error", "r", "offset")).alias("best"), F.sum("n").alias("n_matches"))
-    rows = qcl.select(F.col("id").alias("q"), F.explode("ids").alias("query_id")).join(top, "q", "left")
-    return rows.select("query_id", F.col("best.r").alias("match_id"), F.col("best.offset").alias("offset"), F.round("best.bit_error", 6).alias("bit_error"), F.coalesce("n_matches", F.lit(0)).alias("n_matches"))
+    qcl, cls = _classes(queries, stored)
+    found = _alignments(qcl, cls).join(cls.select(F.col("id").alias("r"), "n"), "r")
+    rows = qcl.select(F.col("id").alias("q"), F.explode("ids").alias("query_id")).join(found, "q", "left")
+    return rows.select("query_id", F.col("r").alias("match_id"), "offset", F.round("bit_error", 6).alias("bit_error"), F.coalesce("n", F.lit(0)).alias("n_copies"))
+
+
+def search(queries: DataFrame, stored: DataFrame) -> DataFrame:
+    """(query_id, match_id, offset, bit_error, n_matches): of ``matches`` the best of each query (of equals, the smallest id), and how many
+    recordings align."""
+    top = matches(queries, stored).groupBy("query_id").agg(F.min(F.when(F.col("match_id").isNotNull(), F.struct("bit_error", "match_id", "offset"))).alias("best"), F.sum("n_copies").alias("n_matches"))
+    return top.select("query_id", "best.match_id", "best.offset", "best.bit_error", "n_matches")
 
 
 def sonify(vectors: DataFrame, rate: int, *, clip: tuple[float, float] | None = None) -> DataFrame:

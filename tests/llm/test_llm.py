@@ -385,3 +385,19 @@ def test_audio_finds_noisy_and_off_grid(spark):
         assert i % 100 in near
         e, j, o = min((e, j, o) for j, (_, _, o, e) in near.items())
         assert (got[i].match_id, got[i].offset, got[i].n_matches) == (j, o, len(near)) and got[i].bit_error == pytest.approx(e, abs=1e-6)
+
+
+def test_audio_keeps_every_match(spark):
+    """A print, its copy and two noisy versions: each is a row with its own offset and errors, and the copy is found by its class."""
+    rng = np.random.default_rng(9)
+    tune = rng.integers(0, 1 << 32, 60, dtype=np.uint32)
+    noise = lambda share: ((rng.random((60, 32)) < share) @ (1 << np.arange(32))).astype(np.uint32)
+    prints = {1: tune, 2: tune, 3: tune ^ noise(0.05), 4: np.r_[tune[:9], tune] ^ np.r_[np.zeros(9, np.uint32), noise(0.1)], 5: rng.integers(0, 1 << 32, 60, dtype=np.uint32)}
+    frame = lambda d: spark.createDataFrame([(i, bytearray(p.astype("<u4").tobytes())) for i, p in d.items()], "id long, print binary")
+    asked = {7: tune[10:40], 8: prints[5][:30], 9: np.zeros(30, np.uint32)}
+    got = sorted(audio.matches(frame(asked), frame(prints)).collect(), key=lambda r: (r.query_id, r.match_id or 0))
+    assert [(r.query_id, r.match_id, r.offset, r.n_copies) for r in got] == [(7, 1, 10, 2), (7, 3, 10, 1), (7, 4, 19, 1), (8, 5, 0, 1), (9, None, None, 0)]
+    assert all(r.bit_error == pytest.approx(audio.align(asked[r.query_id], prints[r.match_id], r.offset), abs=1e-6) for r in got if r.match_id)
+    assert {(r.id, r.class_id) for r in audio.members(frame(prints)).collect()} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)}
+    best = {r.query_id: (r.match_id, r.n_matches) for r in audio.search(frame(asked), frame(prints)).collect()}
+    assert best == {7: (1, 4), 8: (5, 1), 9: (None, 0)}
