@@ -14,9 +14,12 @@ HOT_SHARE = 1 / 1000
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder that ``spark.checkpoint.dir`` names (a local one is set only where that is unset)."""
+    """A new path in the shared folder that ``spark.checkpoint.dir`` names. Where that is unset, a local master gets a local folder; a cluster is
+    refused, as each executor would write to its own disk."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file:///tmp/corpusloom-checkpoints"
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/corpusloom/{tag}-{uuid.uuid4().hex}"

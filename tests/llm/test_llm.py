@@ -378,7 +378,7 @@ def test_audio_finds_noisy_and_off_grid(spark):
             for o in range(-len(q), len(p)):
                 a, b = max(0, -o), min(len(q), len(p) - o)
                 e, turns = audio.align(q, p, o), [int((np.diff(x.astype(np.int64)) != 0).sum()) for x in (q[a:b], p[a + o : b + o])]
-                if e <= audio.MAX_ERROR and min(turns) >= audio.MIN_VOTES:
+                if e <= audio.MAX_ERROR and min(turns) >= audio.MIN_TURNS:
                     fits.append((-round((b - a) * 32 * (audio.MAX_ERROR - e), 6), abs(o), o, e))
             if fits:
                 near[j] = min(fits)
