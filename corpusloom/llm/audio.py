@@ -17,6 +17,8 @@ CUTS = (-0.25, 0.0, 0.25)
 WIDTH = max(f[3] for f in FILTERS)
 #: Changes from one integer to the next that both prints of an alignment must have where they meet, and the share of bit errors it may have.
 MIN_TURNS, MAX_ERROR = 4, 0.2
+#: Integers (a second of sound) that must meet; of a shorter print, all.
+MIN_MEET = 16
 #: Halves of an integer (by filters: the first, the last, every other one) that vote, and votes of one offset that make it a candidate. With 20 %
 #: random bit errors a clip of 38 integers has 4.3 votes to expect at its place, with 15 % it has 11.
 MASKS, VOTES = (0xFFFF0000, 0x0000FFFF, 0xCCCCCCCC, 0x33333333), 2
@@ -141,7 +143,7 @@ def _matches(asked: list[np.ndarray], prints: list[np.ndarray]) -> list[tuple[in
         both = high - low
         # Changes within the part that meets: the step into its first integer is none of them.
         t = [f[b + high] - f[np.minimum(b + low + 1, b + high)] for f, b in ((turned, begin[a]), (turned_other, start[r] + offset))]
-        good = np.flatnonzero((both >= MIN_TURNS) & (wrong <= MAX_ERROR * 32 * both) & (t[0] >= MIN_TURNS) & (t[1] >= MIN_TURNS))
+        good = np.flatnonzero((both >= np.minimum(MIN_MEET, np.minimum(sizes[a], lengths[r]))) & (wrong <= MAX_ERROR * 32 * both) & (t[0] >= MIN_TURNS) & (t[1] >= MIN_TURNS))
         kept.append((a[good], r[good], offset[good], MAX_ERROR * 32 * both[good] - wrong[good], wrong[good] / (32 * np.maximum(both[good], 1))))
     if not kept:
         return []
@@ -176,16 +178,21 @@ def _alignments(qcl: DataFrame, cls: DataFrame) -> DataFrame:
     return met.select("q", "r").mapInArrow(_aligned, "q long, r long, offset long, bit_error double")
 
 
+def _named(prints: DataFrame) -> DataFrame:
+    """(id, print) of the rows that have an id; a null print is empty."""
+    return prints.where("id is not null").select("id", F.coalesce("print", F.lit(b"")).alias("print"))
+
+
 def _classes(prints: DataFrame) -> DataFrame:
-    """(print, id, n): the distinct prints, each with the smallest id that has it and how many rows do."""
-    return prints.where("id is not null").groupBy("print").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    """(print, id, n): the distinct prints of named rows, each with the smallest id that has it and how many rows do."""
+    return prints.groupBy("print").agg(F.min("id").alias("id"), F.count("*").alias("n"))
 
 
 def members(stored: DataFrame) -> DataFrame:
     """(id, class_id): every recording and the smallest id of those with its print, which is what ``matches`` calls match_id. Rows without id
     are left out."""
-    cls = _classes(stored).select("print", F.col("id").alias("class_id"))
-    return stored.join(cls, "print").where("id is not null").select("id", "class_id")
+    stored = _named(stored)
+    return stored.join(_classes(stored).select("print", F.col("id").alias("class_id")), "print").select("id", "class_id")
 
 
 def matches(queries: DataFrame, stored: DataFrame) -> DataFrame:
@@ -193,12 +200,12 @@ def matches(queries: DataFrame, stored: DataFrame) -> DataFrame:
 
     Both sides have (id, print). Equal prints form a class first, under its smallest id, so a recording with many copies is aligned once;
     ``members`` has the copies. Integers that agree in half of their bits vote for the offset between their times; offsets with ``VOTES`` votes
-    are aligned bit by bit. Two prints match when at such an offset both change ``MIN_TURNS`` times where they meet and at most ``MAX_ERROR``
-    of the bits there differ. A query that matches nothing has one row of nulls and 0 copies; so has a print without integers (null, empty or
+    are aligned bit by bit. Two prints match when at such an offset ``MIN_MEET`` integers meet, both change ``MIN_TURNS`` times there and at
+    most ``MAX_ERROR`` of the bits differ. A query that matches nothing has one row of nulls and 0 copies; so has a print without integers (null, empty or
     short samples). Rows without id are left out, a repeated query id has the rows of each of its prints, empty tables give no rows or rows
     without match. Recordings of any length take part whole; the work grows with queries times recordings, in blocks.
     """
-    queries = queries.where("id is not null")
+    queries, stored = _named(queries), _named(stored)
     qcl, cls = written(_classes(queries), "query-prints"), written(_classes(stored), "prints")
     found = _alignments(qcl, cls).join(cls.select(F.col("id").alias("r"), "n"), "r")
     asked = queries.select(F.col("id").alias("query_id"), "print").join(qcl.select("print", F.col("id").alias("q")), "print").select("query_id", "q")
@@ -207,10 +214,14 @@ def matches(queries: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def search(queries: DataFrame, stored: DataFrame) -> DataFrame:
-    """(query_id, match_id, offset, bit_error, n_matches): of ``matches`` the best of each query (of equals, the smallest id), and how many
-    recordings align."""
-    top = matches(queries, stored).groupBy("query_id").agg(F.min(F.when(F.col("match_id").isNotNull(), F.struct("bit_error", "match_id", "offset"))).alias("best"), F.sum("n_copies").alias("n_matches"))
-    return top.select("query_id", "best.match_id", "best.offset", "best.bit_error", "n_matches")
+    """(query_id, match_id, offset, bit_error, n_matches, matches): ``matches`` with a row per query: the best class (least bit error; of equals,
+    the smallest id), how many recordings align, and all classes that do, best first, as structs. A list has a few numbers per class of equal
+    prints, not per recording."""
+    hit = F.when(F.col("match_id").isNotNull(), F.struct("bit_error", "match_id", "offset", "n_copies"))
+    rows = matches(queries, stored).groupBy("query_id").agg(F.sort_array(F.array_distinct(F.collect_list(hit))).alias("matches"))
+    total = F.aggregate("matches", F.lit(0).cast("long"), lambda n, m: n + m["n_copies"])
+    best = lambda name: F.try_element_at("matches", F.lit(1))[name].alias(name)
+    return rows.select("query_id", best("match_id"), best("offset"), best("bit_error"), total.alias("n_matches"), "matches")
 
 
 def sonify(vectors: DataFrame, rate: int, *, clip: tuple[float, float] | None = None) -> DataFrame:

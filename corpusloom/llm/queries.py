@@ -28,12 +28,12 @@ def op2_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Melodies made from all embeddings; seconds 2 to 6.5 of those whose id is divisible by 20 are searched for among all of them. A row per clip
-    and class of equal prints that aligns with it (``audio.members`` has the recordings of a class)."""
+    """Melodies made from all embeddings; half a second to 3.5 seconds of those whose id is divisible by 20 are searched for among all of them. A row
+    per clip: its best class of equal prints and all that align with it (``audio.members`` has the recordings of a class)."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     stored = audio.fingerprints(audio.sonify(vectors, SAMPLE_RATE), SAMPLE_RATE)
     asked = audio.fingerprints(audio.sonify(vectors.where("id % 20 = 0"), SAMPLE_RATE, clip=(0.5, 3.5)), SAMPLE_RATE)
-    return audio.matches(asked, stored)
+    return audio.search(asked, stored)
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,29 +14,30 @@ ANCHORS = (
     "au dans des du en est et la le les par pour que qui un une "
     "al como con de del el es las los no por se su y"
 ).split()
-#: Under so many spots, every word anchors a chain as well.
-FEW = 8
-#: Anchors in a row that a chain passes over at most; an anchor before more of them has no chain.
-PASSED = 16
+#: Signs that end a sentence, a line or a cell; a run of them is an anchor too, and so is the start of a text.
+BOUNDS = ".!?:;|\n\r\u2026^"
 
 
 def with_signatures(df: DataFrame, text: str, out: str, chain: int = 2) -> DataFrame:
     """Adds ``out``, the sorted set of 32-bit signatures of the column ``text``.
 
-    A signature is the hash of an anchor and the next ``chain`` content words after it. Up to ``PASSED`` anchors between two are passed over; a text with
-    under ``FEW`` such spots also has a chain for every word, and a text without any word has the one signature of the empty chain, so that
-    the set is never empty. The steps are columns of their own: each regular expression then runs once a text.
+    A signature is the hash of an anchor (a common word, a run of ``BOUNDS``, the text's start) and the next ``chain`` content words after it,
+    whatever anchors stand between; at a text's end the chain has the words that are left. The rule is the same for every text: one without
+    common words has its start and bounds, one without words the signature of the bare start, so the set is never empty.
     """
     anchor = "|".join(sorted(set(ANCHORS), key=lambda w: (-len(w), w)))
-    flat = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    spot = rf"(?=#([^ ]+{rf'(?: #[^ ]+){{0,{PASSED}}}+ [^ #]+' * chain}))"
-    every = F.regexp_extract_all("__marked", F.lit(rf"(?= #?([^ ]+(?: [^ ]+){{0,{chain}}}) )"), F.lit(1))
-    bare = F.transform("__spots", lambda s: F.crc32(F.regexp_replace(s, " #[^ ]+", "")))
-    df = df.withColumn("__marked", F.regexp_replace(flat, rf" (?=(?:{anchor}) )", " #"))
-    df = df.withColumn("__spots", F.regexp_extract_all("__marked", F.lit(spot), F.lit(1)))
-    df = df.withColumn("__all", F.when(F.size("__spots") >= FEW, bare).otherwise(F.concat(bare, F.transform(every, lambda s: F.crc32(F.concat(F.lit("*"), s))))))
-    one = F.when(F.size("__all") > 0, F.col("__all")).otherwise(F.array(F.crc32(F.lit(""))))
-    return df.withColumn(out, F.sort_array(F.array_distinct(one))).drop("__marked", "__spots", "__all")
+    bounded = F.concat(F.lit("^"), F.translate(F.lower(text), BOUNDS, "^" * len(BOUNDS)), F.lit("^"))
+    words = F.regexp_replace(F.regexp_replace(bounded, r"[^\p{L}\p{N}^]+", " "), r" ?\^[\^ ]*", " ^ ")
+    # An anchor is tied to the word before it by a hash sign: a piece is then a content word with the anchors after it.
+    pieces = F.array_remove(F.split(F.regexp_replace(words, rf" (?=(?:{anchor}|\^) )", "#"), " "), "")
+    df = df.withColumn("__pieces", pieces).withColumn("__bare", F.transform("__pieces", lambda p: F.substring_index(p, "#", 1)))
+    after = [F.slice("__bare", F.lit(k + 2), F.size("__bare")).alias(f"w{k}") for k in range(chain)]
+    spots = F.filter(F.arrays_zip(F.col("__pieces").alias("p"), *after), lambda z: F.contains(z["p"], F.lit("#")))
+    signed = F.flatten(F.transform(spots, lambda z: F.transform(F.slice(F.split(z["p"], "#"), 2, 1 << 30), lambda a: F.crc32(F.concat_ws(" ", a, *[z[f"w{k}"] for k in range(chain)])))))
+    # The bound after the last word has no words to chain; it stands for a text without any.
+    end = F.crc32(F.lit("^"))
+    found = F.array_distinct(signed)
+    return df.withColumn("__found", found).withColumn(out, F.sort_array(F.when(F.size("__found") > 1, F.array_remove("__found", end)).otherwise(F.col("__found")))).drop("__pieces", "__bare", "__found")
 
 
 def packed(sigs: Column) -> Column:

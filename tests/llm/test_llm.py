@@ -1,6 +1,7 @@
 """Each operator against a brute-force version or an exact round trip, with nulls, empty and long texts, ties, repeats and empty tables."""
 
 import hashlib
+import re
 import zlib
 from collections import defaultdict
 
@@ -61,6 +62,49 @@ def test_line_runs_are_levelled(spark):
     assert [r.doc for r in runs.unseen(spark.createDataFrame([(9, b"same"), (9, b"new")], "doc long, h binary")).collect()] == [9]
 
 
+def spot_set(text, chain=2):
+    """Signatures by walking over the words."""
+    anchors = {*spots.ANCHORS, "^"}
+    words = re.findall(r"\^|[^\W_]+", f"^{text.lower()}^".translate({ord(c): "^" for c in spots.BOUNDS}))
+    following, out = [], set()
+    for w in reversed(words):
+        if w in anchors:
+            out.add(zlib.crc32(" ".join([w, *following[:chain]]).encode()))
+        else:
+            following = [w, *following][:chain]
+    return out - {zlib.crc32(b"^")} or out
+
+
+def test_spots_by_brute_force(spark, docs):
+    """Fingerprints, both likenesses and the pairs of a join against sets made word by word."""
+    odd = [(900 + i, t) for i, t in enumerate(["", "the", "word", "a.b.c", "Straße der Öl-Maler | 3.14; ^ # x#y", "no anchors here at all", "the the of cat", "tail of the", "\u2026\n\r"])]
+    both = docs.where("doc_id is not null").select("doc_id", "text").dropDuplicates(["doc_id"]).unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    text = {r.doc_id: r.text or "" for r in both.collect()}
+    ids = sorted(text, reverse=True)
+    after = dict(zip(ids, ids[1:] + ids[:1], strict=True))
+    hexed = lambda s: "".join(f"{x:08X}" for x in sorted(s))
+    like = lambda a, b: pytest.approx(len(a & b) / len(a | b))
+    for r in spots.compare_edited(both).collect():
+        t, follow = text[r.doc_id], text[after[r.doc_id]]
+        own, edited = spot_set(t), spot_set(t[: len(t) - len(t) // 2] + follow[: len(t) // 2])
+        assert (r.fingerprint, r.edited_fingerprint) == (hexed(own), hexed(edited)), t[:80]
+        assert r.near_edited == like(own, edited) and r.near_next == like(own, spot_set(follow))
+    rng = np.random.default_rng(4)
+    base = ("the {} {} of {} " * 30).strip()
+    texts = []
+    for g in range(6):
+        words = [f"g{g}w{k}" for k in range(90)]
+        for _ in range(5):
+            words = [w if rng.random() > 0.02 else f"x{rng.integers(1 << 30)}" for w in words]
+            texts.append(base.format(*words))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (99, None)]
+    sets = {i: spot_set(t or "") for i, t in rows if i is not None}
+    sets = {i: x for i, x in sets.items() if all(x != sets[j] for j in sets if j < i)}  # equal sets are one class, under its smallest id
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    got = {(r.a, r.b): r.similarity for r in spots.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want and set(got) == want and all(v == like(sets[a], sets[b]) for (a, b), v in got.items())
+
+
 def test_spots(spark, docs, nothing):
     got = {}
     for r in spots.compare_edited(docs).collect():
@@ -378,7 +422,7 @@ def test_audio_finds_noisy_and_off_grid(spark):
             for o in range(-len(q), len(p)):
                 a, b = max(0, -o), min(len(q), len(p) - o)
                 e, turns = audio.align(q, p, o), [int((np.diff(x.astype(np.int64)) != 0).sum()) for x in (q[a:b], p[a + o : b + o])]
-                if e <= audio.MAX_ERROR and min(turns) >= audio.MIN_TURNS:
+                if e <= audio.MAX_ERROR and min(turns) >= audio.MIN_TURNS and b - a >= min(audio.MIN_MEET, len(q), len(p)):
                     fits.append((-round((b - a) * 32 * (audio.MAX_ERROR - e), 6), abs(o), o, e))
             if fits:
                 near[j] = min(fits)
@@ -401,3 +445,11 @@ def test_audio_keeps_every_match(spark):
     assert {(r.id, r.class_id) for r in audio.members(frame(prints)).collect()} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)}
     best = {r.query_id: (r.match_id, r.n_matches) for r in audio.search(frame(asked), frame(prints)).collect()}
     assert best == {7: (1, 4), 8: (5, 1), 9: (None, 0)}
+    found = {r.query_id: [(m.match_id, m.n_copies) for m in r.matches] for r in audio.search(frame(asked), frame(prints)).collect()}
+    assert found == {7: [(1, 2), (3, 1), (4, 1)], 8: [(5, 1)], 9: []}
+    # Null ids are left out, repeated ids and clashing columns stay, empty tables and prints give no match.
+    odd = spark.createDataFrame([(None, bytearray(tune.astype("<u4").tobytes()), 1), (7, bytearray(tune[10:40].astype("<u4").tobytes()), 1), (7, bytearray(prints[5][:30].astype("<u4").tobytes()), 1), (6, None, 1)], "id long, print binary, q int")
+    again = {r.query_id: sorted(m.match_id for m in r.matches) for r in audio.search(odd, frame(prints)).collect()}
+    assert again == {7: [1, 3, 4, 5], 6: []}
+    assert audio.search(odd.where("1 = 0"), frame(prints)).count() == 0 and audio.search(odd, odd.where("1 = 0")).where("n_matches = 0").count() == 2
+    assert audio.fingerprints(spark.createDataFrame([(None, None), (1, bytearray(b"\0" * 9))], "id long, pcm binary"), 4096).where("octet_length(print) = 0").count() == 2
