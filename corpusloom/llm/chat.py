@@ -116,7 +116,7 @@ def format_trees(conversations: DataFrame, tokenizer: str, *, tree_chars: int =
     placed = convs.withColumn("path", order).repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
 
     def run(batches):
-        enc, tree = encoder(json.value), None
+        enc, tree = encoder(json.value, plain=True), None
         for b in batches:
             for conv, turns in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if tree is not None and tree.chars >= tree_chars:

@@ -18,7 +18,7 @@ from corpusloom.llm._base import bounded_batches, scratch, text_or_empty
 
 #: Words whose ids a worker keeps; further words are encoded each time. Bounds a worker's memory, not what is encoded.
 CACHED_WORDS = 600_000
-_ENCODERS: dict[tuple[int, int], Any] = {}
+_ENCODERS: dict[tuple[int, int, bool], Any] = {}
 #: Characters that Python and the library's patterns may treat differently as white space.
 _ODD_SPACE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200d\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]")
 
@@ -35,19 +35,23 @@ _TAIL = ".,;:!?"
 
 
 class Encoder:
-    """Encodes whole texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does; control strings in a text are ordinary text.
+    """Encodes whole texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does, control strings of the tokenizer in a text included;
+    with ``plain`` those are ordinary text.
 
     Both kinds of tokenizer cut a text at white space before anything else: no token reaches from one word into the next, nor from letters
     into the stops after them. So texts are cut there, the library's model encodes each distinct word of letters, the library's whole chain
     any other piece, and the ids are put together again. ``spaced`` says that a piece includes the blank before it (byte-level BPE); there,
-    runs of blanks or of empty lines and tabs, and in either kind odd white space, send the whole text through the library.
+    runs of blanks or of empty lines and tabs, and in either kind odd white space and control strings, send the whole text through the library.
     """
 
-    def __init__(self, json: str):
+    def __init__(self, json: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.raw = Tokenizer.from_str(json)
-        self.raw.encode_special_tokens = True
+        self.raw.encode_special_tokens = plain
+        control = [] if plain else [t["content"] for t in loads(json).get("added_tokens") or [] if t["content"]]
+        self.control = re.compile("|".join(map(re.escape, control)), re.I) if control else None
+        self.openings = {c for t in control for c in (t[0].lower(), t[0].upper())}
         self.model = self.raw.model
         self.spaced = not loads(json)["model"].get("end_of_word_suffix")
         self.words: dict[str, bytes] = {}
@@ -111,6 +115,8 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if self.control and any(c in text for c in self.openings) and self.control.search(text):
+            return self._whole(text)
         pieces = self._cut(text)
         if pieces is None:
             return self._whole(text)
@@ -121,11 +127,11 @@ class Encoder:
         return [self.encode(t) for t in texts]
 
 
-def encoder(json: str) -> Encoder:
+def encoder(json: str, plain: bool = False) -> Encoder:
     """One per worker process and tokenizer."""
-    key = (len(json), hash(json))
+    key = (len(json), hash(json), plain)
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(json)
+        _ENCODERS[key] = Encoder(json, plain)
     return _ENCODERS[key]
 
 

@@ -144,13 +144,19 @@ def test_audio(spark):
 @pytest.mark.parametrize("name,op", [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
 def test_encoder_is_exact(name, op):
     with open(f"{TOK}/{name}", encoding="utf-8") as f:
-        enc = tokens.Encoder(f.read())
-    odd = ["", "\n", "a", " a", "a ", "a  b", "a\n\n\nb", "a\n\nb\n", "\n\na", "don't we'll it's", "x).,y a1. 12.5", "Ça İstanbul ΣΑΣ ς", "é́ é.", "a​b", "a\x1cb", "a\xa0b", "a b c", "<|endoftext|> hi", "..", ". ,", "tab\there", "日本語 テスト。", "😀 ok 😀.", "a|b | c", "THE The the.", "q" * 300, "word.,!"]
+        json = f.read()
+    from tokenizers import Tokenizer
+
+    enc, library = tokens.Encoder(json), Tokenizer.from_str(json)
+    odd = ["", "\n", "a", " a", "a ", "a  b", "a\n\n\nb", "a\n\nb\n", "\n\na", "don't we'll it's", "x).,y a1. 12.5", "Ça İstanbul ΣΑΣ ς", "é́ é.", "a​b", "a\x1cb", "a\xa0b", "a b c", "<|endoftext|> hi", "so <|ENDOFTEXT|>.", "a<|endoftext|>b <|startoftext|> c", "..", ". ,", "tab\there", "日本語 テスト。", "😀 ok 😀.", "a|b | c", "THE The the.", "q" * 300, "word.,!"]
     rng = np.random.default_rng(1)
-    alphabet = list("aB.,'! \n\t1é<|>") + ["the", "ing"]
+    alphabet = list("aB.,'! \n\t1é<|>") + ["the", "ing", "<|endoftext|>", "endoftext"]
     odd += ["".join(rng.choice(alphabet, 40)) for _ in range(300)]
     for text in odd:
-        assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.raw.encode(text, add_special_tokens=False).ids, text
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    plain, library.encode_special_tokens = tokens.Encoder(json, plain=True), True
+    for text in odd:
+        assert np.frombuffer(plain.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
 def test_token_files(spark, docs, nothing):
