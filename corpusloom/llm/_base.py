@@ -51,6 +51,16 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def nested(df: DataFrame, name: str = "row") -> Column:
+    """All columns of ``df`` as one struct, so that no name of the caller's meets one of an operator's."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns]).alias(name)
+
+
+def unnested(names: list[str], name: str = "row") -> list[Column]:
+    """The fields ``names`` of the struct as columns again."""
+    return [F.col(name).getField(c).alias(c) for c in names]
+
+
 def hot_split(rows: DataFrame, counted: DataFrame, keys: list[str], total: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Splits a join of ``rows`` with ``counted`` (one row per key, ``n`` rows of it in ``rows``) at its hot keys.
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm._base import bounded_batches, drop_path, hot_split, scratch, text_or_empty
+from corpusloom.llm._base import bounded_batches, drop_path, hot_split, nested, scratch, text_or_empty, unnested, written
 
 _RUN = "h binary, n long, last long"
 _NO_ID = -(1 << 63)  # stands for a null doc_id: never the largest where another document holds the line
@@ -27,21 +30,22 @@ def _keys(text: str, least: int) -> list[bytes | None]:
 def _stage(least: int):
     def run(batches):
         for b in batches:
-            ids, hs = [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            ids, ths, hs = [], [], []
+            for doc, th, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 new = set(_keys(text, least)) - {None}
                 ids += [doc] * len(new)
+                ths += [th] * len(new)
                 hs += new
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.binary())], ["doc", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), pa.array(hs, pa.binary())], ["doc", "th", "h"])
 
     return run
 
 
-def _apply(least: int, names: list[str]):
+def _apply(least: int):
     def run(batches):
         for b in batches:
             texts, n_lines, n_dropped = [], [], []
-            for text, drops in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+            for text, drops in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 lines = text.count("\n") + 1
                 gone = 0
                 if drops:
@@ -52,41 +56,71 @@ def _apply(least: int, names: list[str]):
                 texts.append(text)
                 n_lines.append(lines)
                 n_dropped.append(gone)
-            made = {"text": pa.array(texts, pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
-            yield pa.RecordBatch.from_arrays([made[n] if n in made else b.column(i) for i, n in enumerate(names)], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["row", "text", "n_lines", "n_dropped"])
 
     return run
 
 
 class LineRuns:
-    """Levelled sorted runs in the shared folder: a run has (h, n, last), sorted by h: the documents that hold a line and the largest of them.
+    """Levelled sorted runs in the shared folder: a run has (h, n, last), a row per line that no earlier run holds: the documents of its batch
+    that hold the line, and the largest of them.
 
-    ``add`` merges a batch in: its lines become a run of level 0. When a level has ``fanout`` runs they are compacted into one run of the next
-    level (counts add up, the larger last id stands), so an entry is rewritten log(batches) times. Runs are immutable files; a lost executor
-    costs the task, not the index.
+    A batch is counted by line and merge-anti-joined with the runs: lines that none holds become a run of level 0, the others add to the
+    repeats, a separate table. When a level has ``fanout`` runs they are merged into one run of the next level, so an entry is rewritten
+    log(batches) times. Runs, batches and repeats are bucketed by line hash and sorted within buckets: a batch is shuffled once, when it is
+    counted, and every join and merge after that is of sorted buckets, without a shuffle. Files are immutable; a lost executor costs the task, not the index.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
+    def __init__(self, spark: SparkSession, fanout: int = 4, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self.repeats: list[str] = []
+        self.paths: dict[str, str] = {}
+
+        # A scan of a sorted bucket then counts as sorted, so that joins merge without sorting again.
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+
+    def _write(self, rows: DataFrame, placed: bool = True) -> str:
+        """A bucketed, sorted table in the shared folder; its name in the session's catalogue. ``placed``: rows come bucket by bucket already."""
+        name = f"line_run_{uuid.uuid4().hex}"
+        rows = rows if placed else rows.repartition(self.buckets, "h")
+        self.paths[name] = scratch(self.spark, "line-run")
+        rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", self.paths[name]).saveAsTable(name)
+        return name
+
+    def _files(self, names: list[str]) -> DataFrame:
+        """Tables as plain files, which a plan may group anew: a union of bucketed scans says more of its partitions than it keeps."""
+        return self.spark.read.schema(_RUN).parquet(*[self.paths[n] for n in names])
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(_RUN).parquet(*paths) if paths else self.spark.createDataFrame([], _RUN)
+    def _missing(self, rows: DataFrame, run: str) -> DataFrame:
+        return rows.join(self.spark.table(run).select("h").hint("merge"), "h", "left_anti")
 
-    def _write(self, run: DataFrame) -> str:
-        path = scratch(self.spark, "line-run")
-        run.sortWithinPartitions("h").write.parquet(path)
-        return path
+    def unseen(self, rows: DataFrame) -> DataFrame:
+        """The merge-anti-join: the rows whose line no run holds."""
+        return reduce(self._missing, [run for level in self.levels for run in level], rows)
 
     def entries(self) -> DataFrame:
-        """All runs merged: one row per line hash."""
-        paths = [p for level in self.levels for p in level]
-        found = self._read(paths)
-        return found if len(paths) < 2 else found.groupBy("h").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+        """(h, n, last) of every line over all batches."""
+        names = [run for level in self.levels for run in level]
+        if not names:
+            return self.spark.createDataFrame([], _RUN)
+        if not self.repeats:
+            return self._files(names)
+        again = self._write(self._files(self.repeats).groupBy("h").agg(F.sum("n").alias("n"), F.max("last").alias("last")), placed=False)
+        self.forget(self.repeats)
+        self.repeats = [again]
+        more = self.spark.table(again).select("h", F.col("n").alias("more"), F.col("last").alias("later")).hint("merge")
+        said = lambda run: self.spark.table(run).join(more, "h", "left").select("h", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.greatest("last", "later").alias("last"))
+        return reduce(DataFrame.unionByName, map(said, names))
 
     def add(self, keys: DataFrame) -> None:
         """``keys``: (doc, h), a row per document and distinct line."""
-        new, level = self._write(keys.groupBy("h").agg(F.count("*").alias("n"), F.max("doc").alias("last"))), 0
+        new, level = self._write(keys.groupBy("h").agg(F.count("*").alias("n"), F.max("doc").alias("last")), placed=False), 0
+        if self.levels:
+            batch, new = new, self._write(self.unseen(self.spark.table(new)))
+            self.repeats.append(self._write(self._missing(self.spark.table(batch), new)))
+            self.forget([batch])
         while True:
             if level == len(self.levels):
                 self.levels.append([])
@@ -94,50 +128,60 @@ class LineRuns:
             if len(self.levels[level]) < self.fanout:
                 return
             old, self.levels[level] = self.levels[level], []
-            new = self._write(self._read(old).groupBy("h").agg(F.sum("n").alias("n"), F.max("last").alias("last")))
-            for path in old:
-                drop_path(self.spark, path)
+            new = self._write(reduce(self._merged, map(self.spark.table, old)))
+            self.forget(old)
             level += 1
 
-    def unseen(self, keys: DataFrame) -> DataFrame:
-        """The merge-anti-join for streams of batches: the rows of ``keys`` whose line no run holds yet."""
-        for level in self.levels:
-            for path in level:
-                keys = keys.join(self._read([path]).select("h"), "h", "left_anti")
-        return keys
+    @staticmethod
+    def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Two runs, which have no line in common, as one in order."""
+        b = b.select("h", F.col("n").alias("other_n"), F.col("last").alias("other_last")).hint("merge")
+        return a.join(b, "h", "full").select("h", F.coalesce("n", "other_n").alias("n"), F.coalesce("last", "other_last").alias("last"))
+
+    def forget(self, tables: list[str]) -> None:
+        """Drops tables with their files."""
+        for name in tables:
+            self.spark.sql(f"DROP TABLE {name}")
+            drop_path(self.spark, self.paths.pop(name))
 
 
 def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc, h): a row per document and distinct key of at least ``min_chars`` code points."""
+    """(doc, th, h): a row per row of ``docs`` and distinct key of at least ``min_chars`` code points; th is the hash of the text."""
     bounded_batches(docs.sparkSession)
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), text_or_empty().alias("text")).mapInArrow(_stage(min_chars), "doc long, h binary")
+    text = text_or_empty()
+    return docs.select(_doc().alias("doc"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(_stage(min_chars), "doc long, th long, h binary")
+
+
+def _doc() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
 
 
 def dedup_lines(docs: DataFrame, *, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2) -> DataFrame:
     """Drops the lines of ``docs`` that at least ``min_docs`` documents hold, except in the largest doc_id that holds them.
 
     A key is a line without ``[\\x20\\x09-\\x0D]`` at its ends and with A-Z lower-cased; keys under ``min_chars`` code points never count. The
-    keys are staged once, dealt into ``batches`` and added to ``LineRuns`` batch by batch; the lines are then anti-joined with the merged runs.
+    keys are staged once, dealt into ``batches`` by document and added to ``LineRuns`` batch by batch; what the runs then say of a line decides.
     Returns the columns of ``docs`` with the remaining text, ``n_lines`` (before) and ``n_dropped``, which replace columns of those names.
 
-    Null or empty texts have one empty line and stay. Each row is a document of its own: rows that repeat a doc_id count separately and all
-    keep the line if theirs is the largest id; a null doc_id is below every other. An empty table gives an empty result.
+    Null or empty texts have one empty line and stay. Rows that repeat a doc_id are one document, whose every row keeps the lines that it holds
+    as the largest; rows without doc_id are one document together, below every other. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     path = scratch(spark, "line-keys")
     line_keys(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches))).write.partitionBy("batch").parquet(path)
-    staged = spark.read.schema("doc long, h binary, batch long").parquet(path)
+    staged = spark.read.schema("doc long, th long, h binary, batch long").parquet(path)
     runs = LineRuns(spark, fanout)
     for i in range(batches):
-        runs.add(staged.where(F.col("batch") == i).select("doc", "h"))
-    repeated = runs.entries().where(F.col("n") >= min_docs)
-    hot, rest, cold = hot_split(staged.select("doc", "h"), repeated, ["h"], staged.count())
-    drops = hot.unionByName(rest.join(cold, "h")).where("doc <> last").groupBy("doc").agg(F.collect_list("h").alias("__drops"))
+        runs.add(staged.where(F.col("batch") == i).select("doc", "h").distinct())
+    repeated = written(runs.entries().where(F.col("n") >= min_docs), "repeated-lines")
+    runs.forget([run for level in runs.levels for run in level] + runs.repeats)
+    hot, rest, cold = hot_split(staged.select("doc", "th", "h"), repeated, ["h"], staged.count())
+    drops = hot.unionByName(rest.join(cold, "h")).where("doc <> last").groupBy("doc", "th").agg(F.collect_set("h").alias("drops"))
 
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    kinds = {f.name: f.dataType for f in docs.schema.fields}
-    body = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), *[text_or_empty().alias(c) if c == "text" else F.col(c) for c in names], text_or_empty().alias("__text"))
-    joined = body.join(drops, "doc", "left").select(*[F.lit(None).cast("string").alias(c) if c == "text" else F.col(c) for c in names], F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), "__text", "__drops")
-    names += ["n_lines", "n_dropped"]
-    schema = T.StructType([T.StructField(n, T.StringType() if n == "text" else kinds.get(n, T.LongType())) for n in names])
-    return joined.mapInArrow(_apply(min_chars, names), schema)
+    text = text_or_empty()
+    body = docs.select(nested(docs.drop("text", "n_lines", "n_dropped")), _doc().alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
+    joined = body.join(drops, ["doc", "th"], "left").select("row", "text", "drops")
+    schema = T.StructType([joined.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    done = joined.mapInArrow(_apply(min_chars), schema)
+    return done.select(*[F.col("text") if c == "text" else unnested([c])[0] for c in names], "n_lines", "n_dropped")

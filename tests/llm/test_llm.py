@@ -13,7 +13,9 @@ from corpusloom.llm import audio, chat, chosen_path, lines, mixing, packing, que
 
 TOK = "/opt/tokenizers"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __t string, h binary, key string"
+#: Names that operators use inside, besides those of the table.
+CLASHES = "__t h key doc th row n last drops batch __text __drops __id __hash __th __n __x __c __b __m __p __rate __copy part length rank base offset start sequence_id low rep weight kid component class first".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
 
 
 def prose(seed, n=60):
@@ -26,7 +28,8 @@ def docs(spark):
     """Columns that clash with names inside, repeats, ties, nulls and a long text."""
     line = "This line is in very many documents."
     base = [prose(1), prose(1), prose(1).replace("alpha", "ALPHA"), prose(2) + " extra", prose(2), prose(3, 20000), "", None, " \n\n ", "\n", f"{line}\nown one", f"  {line.upper()}\t\nown two", f"{line}\n{line}\nown three", "two words", "the of and " * 500, "x" * 5000]
-    rows = [(i, t, "en", "s", len(t or ""), "q", b"q", "q") for i, t in enumerate(base)] + [(3, base[3], None, None, None, None, None, None), (None, prose(1), "en", "s", 1, "q", b"q", "q"), (None, None, None, None, None, None, None, None)]
+    more = ["q"] * len(CLASHES)
+    rows = [(i, t, "en", "s", len(t or ""), *more) for i, t in enumerate(base)] + [(3, base[3], None, None, None, *more), (None, prose(1), "en", "s", 1, *more), (None, None, None, None, None, *more), (10, f"{line}\nonce more", "en", "s", 1, *more)]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
@@ -37,12 +40,12 @@ def nothing(spark):
 
 def test_line_dedup(docs, nothing):
     rows = [(r.doc_id, r.text or "") for r in docs.collect()]
-    holders = defaultdict(list)
+    holders = defaultdict(set)
     key = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
     for i, t in rows:
         for k in {key(x) for x in t.split("\n")}:
             if len(k) >= 20:
-                holders[k].append(-1 if i is None else i)
+                holders[k] = holders.get(k, set()) | {-1 if i is None else i}
     want = []
     for i, t in rows:
         kept = [x for x in t.split("\n") if not (len(holders[key(x)]) >= 3 and max(holders[key(x)]) != (-1 if i is None else i))]
@@ -54,12 +57,20 @@ def test_line_dedup(docs, nothing):
 
 
 def test_line_runs_are_levelled(spark):
-    runs = lines.LineRuns(spark, fanout=2)
+    """Lines are new once, compaction keeps what they say, and repeats add up."""
+    runs = lines.LineRuns(spark, fanout=2, buckets=3)
     for i in range(5):
-        runs.add(spark.createDataFrame([(i, b"same"), (i, bytes([i]))], "doc long, h binary"))
-    assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert {bytes(r.h): (r.n, r["last"]) for r in runs.entries().collect()}[b"same"] == (5, 4)
-    assert [r.doc for r in runs.unseen(spark.createDataFrame([(9, b"same"), (9, b"new")], "doc long, h binary")).collect()] == [9]
+        runs.add(spark.createDataFrame([(i, b"same"), (10 + i, b"same"), (i, bytes([i]))], "doc long, h binary"))
+    assert [len(x) for x in runs.levels] == [1, 0, 1] and len(runs.repeats) == 4
+    stored = [bytes(r.h) for level in runs.levels for t in level for r in spark.table(t).collect()]
+    assert sorted(stored) == sorted([b"same", *(bytes([i]) for i in range(5))])
+    assert {bytes(r.h): (r.n, r["last"]) for r in runs.entries().collect()} == {b"same": (10, 14), **{bytes([i]): (1, i) for i in range(5)}}
+    asked = spark.createDataFrame([(9, b"same"), (9, b"new")], "doc long, h binary")
+    assert [bytes(r.h) for r in runs.unseen(asked).collect()] == [b"new"]
+    # Each bucket of a run is one sorted file.
+    for part in spark.table(runs.levels[-1][0]).inputFiles():
+        found = [bytes(r.h) for r in spark.read.parquet(part).collect()]
+        assert found == sorted(found)
 
 
 def spot_set(text, chain=2):
