@@ -28,16 +28,13 @@ def with_signatures(df: DataFrame, text: str, out: str, chain: int = 2) -> DataF
     anchor = "|".join(sorted(set(ANCHORS), key=lambda w: (-len(w), w)))
     bounded = F.concat(F.lit("^"), F.translate(F.lower(text), BOUNDS, "^" * len(BOUNDS)), F.lit("^"))
     words = F.regexp_replace(F.regexp_replace(bounded, r"[^\p{L}\p{N}^]+", " "), r" ?\^[\^ ]*", " ^ ")
-    # An anchor is tied to the word before it by a hash sign: a piece is then a content word with the anchors after it.
-    pieces = F.array_remove(F.split(F.regexp_replace(words, rf" (?=(?:{anchor}|\^) )", "#"), " "), "")
-    df = df.withColumn("__pieces", pieces).withColumn("__bare", F.transform("__pieces", lambda p: F.substring_index(p, "#", 1)))
-    after = [F.slice("__bare", F.lit(k + 2), F.size("__bare")).alias(f"w{k}") for k in range(chain)]
-    spots = F.filter(F.arrays_zip(F.col("__pieces").alias("p"), *after), lambda z: F.contains(z["p"], F.lit("#")))
-    signed = F.flatten(F.transform(spots, lambda z: F.transform(F.slice(F.split(z["p"], "#"), 2, 1 << 30), lambda a: F.crc32(F.concat_ws(" ", a, *[z[f"w{k}"] for k in range(chain)])))))
+    # An anchor is tied to the word before it by a hash sign: what is between blanks is then a content word with the anchors after it.
+    df = df.withColumn("__marked", F.regexp_replace(words, rf" (?=(?:{anchor}|\^) )", "#"))
+    spots = F.regexp_extract_all("__marked", F.lit(rf"(?=#([^ #]+[^ ]*(?: [^ #]+[^ ]*){{0,{chain}}}))"), F.lit(1))
+    df = df.withColumn("__found", F.array_distinct(F.transform(spots, lambda s: F.crc32(F.regexp_replace(s, "#[^ ]*", "")))))
     # The bound after the last word has no words to chain; it stands for a text without any.
-    end = F.crc32(F.lit("^"))
-    found = F.array_distinct(signed)
-    return df.withColumn("__found", found).withColumn(out, F.sort_array(F.when(F.size("__found") > 1, F.array_remove("__found", end)).otherwise(F.col("__found")))).drop("__pieces", "__bare", "__found")
+    some = F.when(F.size("__found") > 1, F.array_remove("__found", F.crc32(F.lit("^")))).otherwise(F.col("__found"))
+    return df.withColumn(out, F.sort_array(some)).drop("__marked", "__found")
 
 
 def packed(sigs: Column) -> Column:
