@@ -50,8 +50,11 @@ def op5_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, index = warc.write_archives(table(spark, sf_dir, "pages"))
-    return warc.read_archives(index, folder, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+    """Each page's records are found again by its URL: directory, block, range read."""
+    pages = table(spark, sf_dir, "pages")
+    folder, index = warc.write_archives(pages)
+    keys = pages.select(warc.url_key(F.col("url").cast("string")).alias("key"))
+    return warc.find_keys(index, folder, keys, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
 def op7_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:

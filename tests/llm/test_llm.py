@@ -216,7 +216,7 @@ def test_chat(spark):
     assert chat.format_trees(df.where("1 = 0"), f"{TOK}/byte_bpe_50k.json").count() == 0
 
 
-def test_warc(spark):
+def test_warc(spark, monkeypatch):
     big, small = "<p>é " + "y" * 200, "short"
     rows = [(5, "http://A.example.org/x?q=1", big, 1), (3, "https://b.example.com/", big, 1), (9, None, big, 1), (1, "http://a.example.org/x y\r\n", small, 1), (2, "nonsense", small, 1), (7, "http://c.org/", None, 1), (7, "http://c.org/", None, 1), (None, "http://d.org/", big, 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, refers long").repartition(2)
@@ -230,8 +230,32 @@ def test_warc(spark):
     assert got == sorted(want)
     found = warc.lookup(index, folder, spark.createDataFrame([("http://c.org/",), ("http://a.EXAMPLE.org/x?q=1",), ("http://none.org/",), (None,)], "url string"), ["page_id"])
     assert sorted(r.page_id for r in found.collect()) == [5, 7, 7]
-    first = index.orderBy("first").collect()
+    first = index.orderBy("id").collect()
     assert all(a["last"] <= b["first"] for a, b in zip(first, first[1:], strict=False))
+    keys = df.select(warc.url_key(F.col("url")).alias("key"))
+    plain = lambda x: sorted(((-1 if r.page_id is None else r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in x.collect())
+    assert plain(warc.find_keys(index, folder, keys)) == got
+    # Keys that fill several blocks and segments, keys before, between and after all others, and many small segments.
+    monkeypatch.setattr(warc, "BLOCK_LINES", 3)
+    more = [(i, f"http://h{i % 7}.org/{i % 4}", f"{i} " * 60, 0) for i in range(120)] + [(500 + i, "http://hot.org/", f"hot {i}", 0) for i in range(40)]
+    df = spark.createDataFrame(more, "page_id long, url string, html string, id long").repartition(4)
+    folder, index = warc.write_archives(df)
+    for segments in (4096, 5, 1):
+        monkeypatch.setattr(warc, "SEGMENTS", segments)
+        found = warc.find_keys(index, folder, df.select(warc.url_key(F.col("url")).alias("key")), ["page_id", "url", "payload"])
+        assert sorted((r.page_id, r.url, bytes(r.payload).decode()) for r in found.collect()) == sorted((i, u, h) for i, u, h, _ in more)
+        some = spark.createDataFrame([("http://a.org/",), ("http://hot.org/",), ("http://zz.zz/",), ("http://h3.org/9",)], "url string")
+        assert sorted(r.page_id for r in warc.lookup(index, folder, some, ["page_id"]).collect()) == list(range(500, 540))
+    import glob
+    import gzip
+
+    raw = b"".join(gzip.open(f).read() for f in glob.glob(folder.removeprefix("file://") + "/*.warc.gz"))
+    names = re.findall(rb"WARC-Record-ID: (\S+)", raw)
+    assert len(names) == len(set(names)) > 160 and raw.count(b"WARC-Type: warcinfo") == len(glob.glob(folder.removeprefix("file://") + "/*.warc.gz"))
+    nowhere = spark.createDataFrame([], "page_id long, url string, html string")
+    folder, index = warc.write_archives(nowhere)
+    assert warc.find_keys(index, folder, keys).count() == 0 and warc.read_archives(index, folder).count() == 0
+    folder, index = warc.write_archives(df)
     assert warc.read_archives(warc.write_archives(df.where("1 = 0"))[1], folder).count() == 0
 
 
