@@ -2,11 +2,12 @@
 
 Sets of word shingles are split, again and again, on a shingle that the sets of a bucket share by sampling: the one that a random hash puts
 first in each set (two sets agree on it with the probability of their Jaccard similarity). A bucket of at most ``LEAF`` sets is compared by
-brute force; a larger one is split by the next sampled shingle. ``RUNS`` independent runs reach the recall. What meets is then compared exactly.
+brute force; a larger one is split by the next sampled shingle. As many independent runs are made as the target recall takes (``RUNS``). What meets is then compared exactly.
 """
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 import numpy as np
@@ -15,11 +16,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._base import WORD, bounded_batches, components, find, text_or_empty, written
+from corpusloom.llm._base import WORD, bounded_batches, components, find, hot_split, nested, text_or_empty, unnested, written
 
-#: Independent runs, sampled shingles of a path at most, and sets that a bucket is compared by brute force up to. A pair at similarity 0.8 is
-#: missed by a run with probability 0.2 where one shingle separates its bucket, by all eight with 3e-6; with 4e-3 where four are needed.
-RUNS, DEPTH, LEAF = 8, 8, 128
+#: Recall that the runs are to reach for a pair at similarity 0.8 whose bucket takes ``LEVELS`` sampled shingles to get small.
+TARGET, LEVELS = 0.995, 3
+#: Independent runs until that recall (8: a run keeps such a pair together with probability 0.8 ** 3), sampled shingles of a path at most, and
+#: sets that a bucket is compared by brute force up to.
+RUNS, DEPTH, LEAF = math.ceil(math.log(1 - TARGET) / math.log(1 - 0.8**LEVELS)), 8, 128
 #: Sketches of this much agreement join a component, whose members are then compared exactly: 0.8 less four standard deviations.
 LOOSE = 0.6
 #: Sets, and shingles, of a block of an exact comparison at most (a set of more shingles is a block of its own).
@@ -205,19 +208,20 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
     """(a, b): spanning edges of what chosen paths bring together. ``nodes``: kid, key, sig."""
     rows = nodes.select("kid", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).alias("run"), "sig").select("kid", "run", F.expr(f"substring(sig, 1 + run * {4 * DEPTH}, {4 * DEPTH})").alias("path"))
     path = lambda d: F.xxhash64("run", F.expr(f"substring(path, 1, {4 * d})"))
-    leaves, open_ = [], rows
+    leaves, open_, total = [], rows, RUNS * nodes.count()
     for d in range(1, DEPTH + 1):
         open_ = open_.withColumn("bucket", path(d))
-        sizes = open_.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        met = written(open_.join(sizes, "bucket"), "paths")
+        sizes = written(open_.groupBy("bucket").agg(F.count("*").alias("n"), F.min("kid").alias("low")).where("n > 1"), "bucket-sizes")
+        # A bucket may hold a third of all sets: rows of hot ones stay where they are, the others are shuffled.
+        hot, rest, cold = hot_split(open_, sizes, ["bucket"], total)
+        met = written(hot.unionByName(rest.join(cold, "bucket")), "paths")
         leaves.append(met.where(f"n <= {LEAF}").select("bucket", "kid"))
         open_ = met.where(f"n > {LEAF}").select("kid", "run", "path")
         if open_.isEmpty():
             break
     else:
         # DEPTH sampled shingles in common: all but certain to be near; they join their bucket's first set and are compared exactly below.
-        last = met.where(f"n > {LEAF}")
-        stars = last.join(last.groupBy("bucket").agg(F.min("kid").alias("a")), "bucket").select("a", F.col("kid").alias("b"))
+        stars = met.where(f"n > {LEAF}").select(F.col("low").alias("a"), F.col("kid").alias("b"))
         leaves.append(None)
     small = [x for x in leaves if x is not None]
     one = small[0]
@@ -274,10 +278,13 @@ def near_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8) -> Data
 
 
 def keep_one(docs: DataFrame, *, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` with one row of each class of ``near_classes``: that of the smallest doc_id. All columns stay as they are."""
-    kept = written(near_classes(docs, n=n, threshold=threshold).where("keeps").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")), "kept")
-    first = kept.groupBy("__id", "__th").agg(F.count("*").alias("__n"))
-    repeated = not first.where("__n > 1").isEmpty()
-    marked = docs.withColumn("__hash", F.xxhash64(text_or_empty()))
-    held = marked.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")))
-    return (held.dropDuplicates(["__id", "__hash"]) if repeated else held).select(*docs.columns)
+    """The rows of ``docs`` with one row of each class of ``near_classes``: that of the smallest doc_id (a row without id only
+    where no row of the class has one; of equal ids and texts any row). All columns stay as they are, whatever their names; null texts are empty.
+    An empty table gives an empty result."""
+    kept = written(near_classes(docs, n=n, threshold=threshold).where("keeps").select(F.col("doc_id").alias("id"), "th"), "kept")
+    first = kept.groupBy("id", "th").agg(F.count("*").alias("times"))
+    repeated = not first.where("times > 1").isEmpty()
+    first = first.select(F.col("id").alias("first_id"), F.col("th").alias("first_th"))
+    marked = docs.select(nested(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_or_empty()).alias("th"))
+    held = marked.join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th")))
+    return (held.dropDuplicates(["id", "th"]) if repeated else held).select(*unnested(docs.columns))

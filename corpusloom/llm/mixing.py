@@ -16,12 +16,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._base import text_or_empty, written
+from corpusloom.llm._base import nested, text_or_empty, unnested, written
 
 # Pieces of text whose frequency tells languages and kinds of text apart.
 MARKS = [" ", "\n", ".", ",", " the ", " of ", " der ", " und ", " le ", " que ", " los ", "http", "@", "  "]
-#: Domains at most; the smaller ones beyond share one called "other".
-DOMAINS = 32
+#: Domains at most: a pass sums a number for each pair of them. More are refused, none is dropped.
+DOMAINS = 256
 
 
 def features(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -86,13 +86,13 @@ def fit_classifier(found: DataFrame, labelled: DataFrame) -> Mixture:
     """``found``: doc_id, __n, __x; ``labelled``: doc_id, domain. A row per labelled document enters as sums of a few numbers per domain."""
     lab = labelled.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     rows = found.join(lab, "doc_id")
-    sizes = sorted(((r["n"], r["domain"]) for r in rows.groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(DOMAINS).collect()), key=lambda r: (-r[0], r[1]))
-    if not sizes:
+    names = [r["domain"] for r in rows.select("domain").distinct().limit(DOMAINS + 1).collect()]
+    if not names:
         return Mixture(["all"], [1.0], [[0.0] * (len(MARKS) + 2)], [[1.0] * (len(MARKS) + 2)])
-    names = [d for _, d in sizes]
-    lump = F.when(F.col("domain").isin(names), F.col("domain")).otherwise("other")
+    if len(names) > DOMAINS:
+        raise ValueError(f"more than {DOMAINS} domains: name coarser ones")
     dims = range(len(MARKS) + 2)
-    sums = rows.withColumn("domain", lump).groupBy("domain").agg(F.count("*").alias("n"), *[F.avg(F.col("__x")[i]).alias(f"m{i}") for i in dims], *[F.var_pop(F.col("__x")[i]).alias(f"v{i}") for i in dims]).orderBy("domain").collect()
+    sums = rows.groupBy("domain").agg(F.count("*").alias("n"), *[F.avg(F.col("__x")[i]).alias(f"m{i}") for i in dims], *[F.var_pop(F.col("__x")[i]).alias(f"v{i}") for i in dims]).orderBy("domain").collect()
     total = sum(r["n"] for r in sums)
     pooled = [sum(r[f"v{i}"] * r["n"] for r in sums) / total for i in dims]
     mean = [[r[f"m{i}"] for i in dims] for r in sums]
@@ -129,6 +129,8 @@ def fit_rates(soft: DataFrame, model: Mixture, *, weights: dict[str, float] | No
     neither, it raises.
     """
     k = len(model.domains)
+    if weights and not set(weights) <= set(model.domains):
+        raise ValueError(f"weights name domains that no label has: {sorted(set(weights) - set(model.domains))}")
     model.min_rate, model.lift = min_rate, [0.0] * k
     value, now, gram, _ = _measure(soft, model)
     if now.sum() <= 0:
@@ -191,15 +193,19 @@ def rates(docs: DataFrame, labelled: DataFrame, **how) -> DataFrame:
     return soft.select("doc_id", F.col("__n").alias("n_tokens"), F.element_at(names, at).alias("domain"), F.array_max("__p").alias("p_domain"), F.map_from_arrays(names, F.col("__p")).alias("posterior"), model.rate(F.col("__p")).alias("rate"))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, *, seed: int = 17, **how) -> DataFrame:
-    """``docs`` with each row repeated by its rate: the whole part always, once more with the probability of the fraction.
+def mix(docs: DataFrame, labelled: DataFrame, *, seed: int = 17, copy: str | None = None, **how) -> DataFrame:
+    """``docs`` with each row repeated by its rate: the whole part always, once more with the probability of the fraction. ``copy``: a column
+    of this name numbers the copies of a row from 1 on.
 
     The draw is a hash of doc_id and text, so it is the same in every run and on every executor. Rate 1 keeps a row as it is; with
-    ``min_rate=1`` no row is lost. All columns stay.
+    ``min_rate=1`` no row is lost. All columns stay, whatever their names. Null texts are empty; rows without id are drawn by their text; rows
+    that repeat id and text are drawn alike. An empty table gives an empty result.
     """
     model, _ = fit_mixture(docs, labelled, **how)
-    held = features(docs, docs.columns)
+    held = features(docs.select(nested(docs), text_or_empty().alias("text")), ["row"])
     soft = with_posterior(held, model).withColumn("__rate", model.rate(F.col("__p")))
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64("row.doc_id", "row.text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor("__rate") + F.when(draw < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)
-    return soft.withColumn("__copy", F.explode(F.sequence(F.lit(0), copies.cast("int")))).where("__copy > 0").select(*docs.columns)
+    repeated = soft.withColumn("__copy", F.explode(F.sequence(F.lit(0), copies.cast("int")))).where("__copy > 0")
+    number = [F.col("__copy").cast("long").alias(copy)] if copy else []
+    return repeated.select(*unnested([c for c in docs.columns if c != copy]), *number)

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusloom.llm._base import bounded_batches, text_or_empty, written
+from corpusloom.llm._base import bounded_batches, nested, text_or_empty, unnested, written
 from corpusloom.llm.tokens import encoder, share_tokenizer
 
 
@@ -84,20 +85,26 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, *, end_id: int, window: in
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, doc_tokens long, start long, length long, ids_crc32 long")
 
 
+def padded_length(filled: int, window: int = 1024) -> int:
+    """The length a sequence is stored at: its own where that is a power of two, else the window."""
+    return filled if filled & (filled - 1) == 0 else window
+
+
 def pack(pieces: DataFrame, *, window: int = 1024) -> DataFrame:
-    """Adds sequence_id and offset to rows with ``length`` (1 to ``window``), filling sequences by minimum bin slack.
+    """Adds sequence_id, offset and padded_length (the sequence's) to rows with ``length`` (1 to ``window``), filling sequences by minimum bin slack.
 
     Only the histogram of lengths (at most ``window`` numbers) and the plan made from it reach the driver. A piece's rank among those of its
     length is its rank in its partition plus those of earlier partitions; the plan maps (length, rank) to a place. No length is gathered in
-    a task, so a length that a third of all pieces share does no harm. Repeated rows are pieces of their own. Sequences are padded to
-    ``window`` unless their sum is a power of two; a last sequence may be short. An empty table gives an empty result.
+    a task, so a length that a third of all pieces share does no harm. Repeated rows are pieces of their own; columns of the added names are
+    replaced. Sequences are padded to ``window`` unless their sum is a power of two. An empty table gives an empty result.
     """
-    rows = written(pieces.withColumn("part", F.spark_partition_id()), "pieces")
+    keys = [c for c in ("doc_id", "start", "ids_crc32") if c in pieces.columns] or ["length"]
+    rows = written(pieces.select(nested(pieces), F.col("length").cast("long").alias("length"), F.struct(*keys).alias("at"), F.spark_partition_id().alias("part")), "pieces")
     local = written(rows.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
     counts = {r["length"]: r["n"] for r in local.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     made = plan(counts, window)
 
-    # For each length: first ranks of its slots, and what follows from them: first sequence, slots a sequence, offsets in it.
+    # For each length: first ranks of its slots, and what follows from them: first sequence, offsets in it, its padded length.
     seq, used, slots = 0, dict.fromkeys(counts, 0), {k: [] for k in counts}
     for lengths, times in made:
         offsets: dict[int, list[int]] = {}
@@ -106,39 +113,35 @@ def pack(pieces: DataFrame, *, window: int = 1024) -> DataFrame:
             offsets.setdefault(length, []).append(at)
             at += length
         for length, offs in offsets.items():
-            slots[length].append((used[length], seq, offs))
+            slots[length].append((used[length], seq, offs, padded_length(at, window)))
             used[length] += times * len(offs)
         seq += times
     shared = pieces.sparkSession.sparkContext.broadcast(slots)
 
+    # Counts by partition and length grow with the input: they meet the pieces in the exchange that ranks these anyway.
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = local.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    keys = [c for c in ("doc_id", "start", "ids_crc32") if c in rows.columns]
-    within = Window.partitionBy("part", "length").orderBy(*(keys or ["length"]))
+    bases = local.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")).hint("merge")
+    within = Window.partitionBy("part", "length").orderBy("at")
     ranked = rows.join(bases, ["part", "length"]).withColumn("rank", F.col("base") + F.row_number().over(within) - 1)
-    names = [c for c in rows.columns if c != "part"]
 
     def run(batches):
         starts = {k: np.array([s[0] for s in v]) for k, v in shared.value.items()}
         for b in batches:
-            ids, offs = [], []
+            ids, offs, padded = [], [], []
             for length, rank in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                first, at, inside = shared.value[length][int(np.searchsorted(starts[length], rank, "right")) - 1]
+                first, at, inside, size = shared.value[length][int(np.searchsorted(starts[length], rank, "right")) - 1]
                 q, r = divmod(rank - first, len(inside))
                 ids.append(at + q)
                 offs.append(inside[r])
-            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(ids, pa.int64()), pa.array(offs, pa.int64())], [*b.schema.names[2:], "sequence_id", "offset"])
+                padded.append(size)
+            yield pa.RecordBatch.from_arrays([b.column(2), *[pa.array(x, pa.int64()) for x in (ids, offs, padded)]], ["row", *added])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema.fields)
-    ready = ranked.select(F.col("length").alias("__length"), F.col("rank").alias("__rank"), *names)
-    return ready.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
+    added = ["sequence_id", "offset", "padded_length"]
+    schema = T.StructType([rows.schema["row"], *[T.StructField(c, T.LongType()) for c in added]])
+    return ranked.select("length", "rank", "row").mapInArrow(run, schema).select(*unnested([c for c in pieces.columns if c not in added]), *added)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, end_id: int = 0, window: int = 1024) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row per piece of a document. Null texts are empty."""
-    return pack(tokenized_pieces(docs, tokenizer, end_id=end_id, window=window), window=window).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
-
-
-def padded_length(filled: int, window: int = 1024) -> int:
-    """The length a sequence is stored at: its own where that is a power of two, else the window."""
-    return filled if filled & (filled - 1) == 0 else window
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_length: a row per piece of a document. Null texts are empty;
+    rows that repeat a doc_id or have none are documents of their own; of other columns none is read."""
+    return pack(tokenized_pieces(docs, tokenizer, end_id=end_id, window=window), window=window).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length")

@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusloom.llm._base import WORD, bounded_batches, text_or_empty
+from corpusloom.llm._base import WORD, bounded_batches, nested, text_or_empty, unnested, written
 
 # Insults that are in the lexicon before anything is learnt, and phrases in which such a word is not one.
 SEEDS = "asshole bastard bitch clown cretin crap disgusting dumb dumbass filth garbage idiot idiotic imbecile jerk loser moron pathetic retard scum shit slut stupid trash vermin whore worthless".split()
@@ -129,8 +130,6 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, t
     texts they explain that the terms before them do not. A term's weight is its log odds. The curve is fitted to all of the rows with a
     penalty. Without toxic rows the seeds stand alone. Rows without label, id or text are left out.
     """
-    from corpusloom.llm._base import written
-
     train = written(training_rows(docs, labels, rows=rows), "toxic-train")
     bounded_batches(docs.sparkSession)
     n_toxic, n_other = train.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
@@ -185,22 +184,21 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, t
 
 
 def score_documents(docs: DataFrame, lex: Lexicon, *, out: str = "score") -> DataFrame:
-    """Adds ``out``, in 0 to 1, to every row of ``docs`` (a column of that name is replaced). Whole texts; null and empty ones match nothing."""
+    """Adds ``out``, in 0 to 1, to every row of ``docs`` (a column of that name is replaced). Whole texts; null and empty ones match nothing.
+    Rows that repeat or lack an id each get their score; other columns may have any name. An empty table gives an empty result."""
     spark = docs.sparkSession
     bounded_batches(spark)
     share = spark.sparkContext.broadcast(lex)
-    rest = [c for c in docs.columns if c != out]
 
     def run(batches):
         m = share.value.matcher()
         for b in batches:
-            s = [share.value.score(t, m) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s, pa.float64())], [*b.schema.names[1:], out])
-
-    from pyspark.sql import types as T
+            s = [share.value.score(t, m) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["row", "score"])
 
-    schema = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in rest], T.StructField(out, T.DoubleType())])
-    return docs.select(text_or_empty().alias("__text"), *rest).mapInArrow(run, schema)
+    held = docs.select(nested(docs), text_or_empty().alias("text"))
+    scored = held.mapInArrow(run, T.StructType([held.schema["row"], T.StructField("score", T.DoubleType())]))
+    return scored.select(*unnested([c for c in docs.columns if c != out]), F.col("score").alias(out))
 
 
 def held_out() -> Column:
