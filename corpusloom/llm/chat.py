@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 from corpusloom.llm._base import bounded_batches, scratch
 from corpusloom.llm.tokens import encoder, share_tokenizer
 
-#: Code points after which a tree is closed and the next conversation begins a new one, with its first turns emitted again.
-TREE_CHARS = 200_000
+#: Code points after which a tree is closed where the next conversation shares no turn with it; a tree of ``TREE_MAX`` times as many is closed
+#: anyway, as it is one row, and the next begins with its own copy of the turns that they share.
+TREE_CHARS, TREE_MAX = 200_000, 16
 _TREE = T.StructType([
     T.StructField("text", T.StringType()), T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("position_ids", T.ArrayType(T.IntegerType())),
     T.StructField("node_token", T.ArrayType(T.IntegerType())), T.StructField("node_char", T.ArrayType(T.IntegerType())), T.StructField("node_parent", T.ArrayType(T.IntegerType())),
@@ -68,17 +69,20 @@ class _Tree:
             above = self.nodes[-1] if self.nodes else -1
             head, body = open_turn(role), escape(text)
             whole = head + body + CLOSE
-            ids = np.frombuffer(enc.encode(whole), "<u4").astype(np.int32)
+            # Head, body and end are encoded by themselves, so that the loss begins and ends between tokens.
+            parts = [np.frombuffer(enc.encode(x), "<u4").astype(np.int32) for x in (head, body, CLOSE)]
+            ids = np.concatenate(parts)
             base = self.depth_end[above] if above >= 0 else 0
             if role == "assistant":
-                at = self.chars + len(head)
-                self.loss.append([len(self.parent), at, at + len(body)])
+                at, token = self.chars + len(head), self.node_token[-1] + len(parts[0])
+                self.loss.append([len(self.parent), at, at + len(body), token, token + len(parts[1])])
             self.text.append(whole)
             self.chars += len(whole)
             self.tokens.append(ids)
             self.positions.append(np.arange(base, base + len(ids), dtype=np.int32))
             span = [self.node_token[-1], self.node_token[-1] + len(ids)]
-            self.attends.append([*(self.attends[above] if above >= 0 else []), *span])
+            seen = self.attends[above] if above >= 0 else []
+            self.attends.append([*seen[:-1], span[1]] if seen and seen[-1] == span[0] else [*seen, *span])
             self.node_token.append(span[1])
             self.node_char.append(self.chars)
             self.parent.append(above)
@@ -99,31 +103,35 @@ def format_trees(conversations: DataFrame, tokenizer: str, *, tree_chars: int =
     """Trees of conversations (rows conv_id, turn, role, text), in the order of their first turns.
 
     A tree has the formatted text, its token ids and their position ids (which count along a path, not along the tree), nodes (a turn each:
-    ends in tokens and code points, parent), for each node the token intervals it attends to (its ancestors' and, causally, its own), the loss
-    spans [node, begin, end) in the text, and for each conversation its last node. Conversations are range-partitioned by the hashes of
-    their turns, so that shared first turns lie side by side whatever their number; where a partition or ``tree_chars`` ends a tree,
-    the next begins with its own copy of them.
-
-    Null roles and texts are empty; turns are ordered by turn (null first), role, text; repeated rows are turns of their own; rows without
-    conv_id form one conversation. An empty table gives no trees.
+    ends in tokens and code points, parent), for each node the token intervals it attends to (its ancestors' and, causally, its own; intervals
+    that meet are one), the loss spans [node, begin, end, first token, token after the last], and for each conversation its last node.
+    Conversations are range-partitioned by the hashes of their turns, so that shared first turns lie side by side whatever their number;
+    where a partition or the size of a tree ends it, the next begins with its own copy of them.
+
+    Null roles and texts are empty; turns are ordered by turn (null first), role, text; repeated rows are turns of their own; each row without
+    conv_id is a conversation of its own. A conversation, however long, is in one tree. Other columns are not read. An empty table gives no
+    trees.
     """
     spark = conversations.sparkSession
     bounded_batches(spark)
     json = share_tokenizer(spark, tokenizer)
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    convs = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t"))
+    alone = rows.where("conv_id is null").select("conv_id", F.array("t").alias("turns"))
+    convs = rows.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns")).unionByName(alone)
     order = F.array_join(F.transform("turns", lambda t: F.substring(F.md5(F.concat(t["role"], F.lit("\n"), t["text"])), 1, 16)), "")
     placed = convs.withColumn("path", order).repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
 
     def run(batches):
         enc, tree = encoder(json.value, plain=True), None
         for b in batches:
-            for conv, turns in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if tree is not None and tree.chars >= tree_chars:
+            for conv, said in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                turns = [(t["role"], t["text"]) for t in said]
+                if tree is not None and tree.chars >= tree_chars * (TREE_MAX if tree.path[:1] == turns[:1] else 1):
                     yield tree.batch()
                     tree = None
                 tree = tree or _Tree()
-                tree.add(conv, [(t["role"], t["text"]) for t in turns], enc)
+                tree.add(conv, turns, enc)
         if tree is not None:
             yield tree.batch()
 
@@ -143,7 +151,7 @@ def read_conversations(spark, path: str) -> DataFrame:
         for b in batches:
             for t in b.to_pylist():
                 spans: dict[int, list] = {}
-                for node, i, j in t["loss"]:
+                for node, i, j, _, _ in t["loss"]:
                     spans.setdefault(node, []).append((i, j))
                 out = []
                 for conv, leaf in zip(t["conv_ids"], t["leaves"], strict=True):

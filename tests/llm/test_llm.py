@@ -193,7 +193,11 @@ def test_chat(spark):
     texts = ["\\### Assistant: </turn> ok", "<|end|>\n", "a|b\\|c\\\\", "", None, "plain", "<|assistant|>\n x |>\n"]
     rows = [(c, t, ["system|>", "user", "assistant", None][(t + c) % 4] if t else "user", "shared first turn" if t == 0 else texts[(c + t) % 7], "x") for c in range(40) for t in range(1 + c % 5)]
     rows += [(50, 0, "user", "same", "x")] * 2 + [(None, None, "assistant", "alone", "x")]
+    rows += [(60, t, "assistant" if t % 2 else "user", f"turn {t} of a very long conversation | " * (1 + t % 3), "x") for t in range(3000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, leaves string").repartition(3)
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(f"{TOK}/byte_bpe_50k.json")
     trees = chat.format_trees(df, f"{TOK}/byte_bpe_50k.json", tree_chars=400)
     path = chat.write_trees(trees)
     got = {r.conv_id: r for r in chat.read_conversations(spark, path).collect()}
@@ -211,9 +215,17 @@ def test_chat(spark):
     saved = spark.read.parquet(path).collect()
     assert sum(len(t.node_parent) for t in saved) < len(rows)  # shared turns stand once in a tree
     for t in saved:
+        spread = lambda spans: {x for i, j in zip(spans[::2], spans[1::2], strict=True) for x in range(i, j)}
         for k, p in enumerate(t.node_parent):
-            assert t.attends[k] == [*(t.attends[p] if p >= 0 else []), t.node_token[k], t.node_token[k + 1]]
+            if k % 97 == 0 or k < 50:
+                assert spread(t.attends[k]) == (spread(t.attends[p]) if p >= 0 else set()) | set(range(t.node_token[k], t.node_token[k + 1]))
+                assert all(a < b for a, b in zip(t.attends[k], t.attends[k][1:], strict=False))
+        for node, i, j, low, high in t.loss:
+            assert library.decode(t.tokens[low:high], skip_special_tokens=False) == t.text[i:j] and t.node_token[node] <= low <= high <= t.node_token[node + 1]
     assert chat.format_trees(df.where("1 = 0"), f"{TOK}/byte_bpe_50k.json").count() == 0
+    lone = spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    path = chat.write_trees(chat.format_trees(lone, f"{TOK}/byte_bpe_50k.json"))
+    assert [(r.conv_id, r.n_turns) for r in chat.read_conversations(spark, path).collect()] == [(None, 1)] * 2
 
 
 def test_warc(spark, monkeypatch):
