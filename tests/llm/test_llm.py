@@ -301,7 +301,8 @@ def test_chosen_path(spark, docs, nothing, monkeypatch):
     assert sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in got.collect()) == brute(rows)
     assert chosen_path.near_classes(nothing).count() == 0 and chosen_path.keep_one(nothing).count() == 0
     kept = chosen_path.keep_one(docs)
-    assert kept.columns == docs.columns and kept.count() == got.select("class_id", "keeps").where("keeps").distinct().count() + 0 or kept.count() > 0
+    classes = {root for _, root, _ in brute([(i, t) for i, (_, t) in enumerate(rows)])}
+    assert kept.columns == docs.columns and kept.count() == got.where("keeps").select("doc_id", "th").distinct().count() == len(classes)
     # A large group of near copies: small leaves and blocks make every path of the code run.
     monkeypatch.setattr(chosen_path, "LEAF", 8)
     monkeypatch.setattr(chosen_path, "BLOCK", 20)
@@ -424,6 +425,41 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(queries.SQL) < set(queries.QUERIES)
 
 
+def test_pipeline_stages_on_odd_rows(spark, docs, nothing, tmp_path):
+    """Nulls in any column, repeated rows, columns of any name, and no rows at all."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 1, 0), (None, 1, 1), (2, None, None), (1, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for now in (docs, nothing):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, now, str(tmp_path))
+            assert after.columns == docs.columns
+            now = spark.createDataFrame(after.collect(), after.schema)
+        last = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
+        assert sum(r.start == 0 for r in last) == now.count()
+    assert not last
+
+
+def test_lexicon_by_naive_search():
+    """Aho-Corasick with exceptions against a search for every term at every place."""
+    rng = np.random.default_rng(6)
+    terms = {" idiot ": 3.0, " trash ": 2.0, " mor": 1.5, " moron ": 4.0, " clown ": 1.0, " so ": 0.5}
+    lex = toxicity.Lexicon(terms)
+    words = ["idiot", "trash", "can", "moron", "more", "clown", "fish", "so", "1d10t", "tr4sh", "the", "Trash!", "\u0456diot", "word"]
+    for _ in range(300):
+        text = " ".join(rng.choice(words, rng.integers(0, 25)))
+        flat = toxicity.fold(text)
+        at = lambda t: [i for i in range(len(flat)) if flat.startswith(t, i)]  # noqa: E731, B023
+        free = [(i, i + len(p) + 1) for p in toxicity.EXCEPTIONS for i in at(f" {p} ")]
+        best = {}
+        for t, w in terms.items():
+            for i in at(t):
+                if not any(a <= i and i + len(t) - 1 <= b for a, b in free):
+                    best[i] = max(best.get(i, 0), w)
+        got = lex.features(text, lex.matcher())
+        assert got == pytest.approx((np.log1p(sum(best.values())), 100 * sum(best.values()) / (flat.count(" ") or 1)))
+
+
 def test_op7_blocks_of_long_texts(spark, monkeypatch):
     """Few long texts in more blocks than texts: some blocks are empty, and each link still counts once."""
     base = prose(7, 400).split()
