@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions.text import for_fingerprint
 
@@ -25,29 +30,43 @@ def author_hash(source: Column, author: Column, salt: str) -> Column:
 
 def content_id(text: Column) -> Column:
     flat = for_fingerprint(text)
-    return F.when(flat == "", F.raise_error(F.lit("a text without words has no content id"))).otherwise(short_hash(flat))
+    return F.when(flat == "", F.raise_error(F.lit("a text without words has no content id")).cast("string")).otherwise(short_hash(flat))
 
 
 def cache_key(doc: Column, text: Column, model: str, taxonomy: str, prompt: str) -> Column:
     return content_id(F.concat_ws(" ", F.lit(model), F.lit(taxonomy), F.lit(prompt), doc, text))
 
 
-def simhash(df: DataFrame, key: str, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """(key, out): 64-bit simhash over word bigrams (texts of up to two words: the words), hashed by the first eight bytes of md5.
-
-    Bits are summed per text with grouped sums, 64 small counters a task, so long texts never become rows of one task alone. Texts without
-    words get 0.
+def _bits(texts: list[str | None], digest: str) -> np.ndarray:
+    """Simhashes of normalised texts. Bit sums are exact: whole counts, by unpacked bits of a block of digests."""
+    make = (lambda g: hashlib.blake2b(g, digest_size=8).digest()) if digest == "blake2b" else (lambda g: hashlib.md5(g).digest()[:8])
+    out = np.zeros(len(texts), np.uint64)
+    for k, text in enumerate(texts):
+        words = (text or "").encode().split()
+        if not words:
+            continue
+        grams = words if len(words) <= 2 else [a + b" " + b for a, b in zip(words, words[1:])]  # noqa: B905
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(grams), 1 << 14):
+            raw = np.frombuffer(b"".join(map(make, grams[at : at + (1 << 14)])), np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(raw, axis=1).sum(0, dtype=np.int64)
+        out[k] = int.from_bytes(np.packbits(2 * ones > len(grams)).tobytes(), "big")
+    return out
+
+
+def simhash(df: DataFrame, key: str, text: str = "text", out: str = "fingerprint", *, digest: str = "blake2b") -> DataFrame:
+    """(key, out): 64-bit simhash over word bigrams (texts of up to two words: the words), a row per row of ``df``.
+
+    Bigrams are hashed by eight bytes of ``digest`` (blake2b, or the first of md5). A text's counters are summed where the text is, in Arrow
+    batches, so nothing is shuffled; a long text is worked off in blocks of bigrams. Texts without words, null ones too, get 0.
     """
-    words = F.split(for_fingerprint(F.col(text)), " ")
-    rows = df.select(key, words.alias("w"))
-    grams = F.when(F.size("w") <= 2, F.col("w")).otherwise(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1))))
-    hashed = rows.select(key, F.explode(F.filter(grams, lambda g: g != "")).alias("g")).select(key, F.conv(F.substring(F.md5("g"), 1, 16), 16, -10).cast("long").alias("h"))
-    sums = hashed.groupBy(key).agg(*[F.sum(F.getbit("h", F.lit(b)).cast("int") * 2 - 1).alias(f"b{b}") for b in range(64)])
-    bits = None
-    for b in range(64):
-        bit = F.when(F.col(f"b{b}") > 0, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
-        bits = bit if bits is None else bits.bitwiseOR(bit)
-    return df.select(key).distinct().join(sums.select(key, bits.alias(out)), key, "left").na.fill(0, [out])
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_bits(b.column(1).to_pylist(), digest).view(np.int64))], [key, out])
+
+    rows = df.select(key, for_fingerprint(F.col(text)).alias("flat"))
+    return rows.mapInArrow(run, T.StructType([df.schema[key], T.StructField(out, T.LongType())]))
 
 
 def hamming(a: Column, b: Column) -> Column:

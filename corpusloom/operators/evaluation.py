@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.sources.tables import checkpointed
 
 
 def allocate(counts: DataFrame, budget: int, *, by: str = "source", n: str = "n", floor: int = 0) -> DataFrame:
@@ -34,8 +35,11 @@ def drawn_order(key: str, seed: int) -> Column:
 
 
 def stratified_draw(universe: DataFrame, takes: DataFrame, *, by: str = "source", key: str = "doc_id", seed: int = 42) -> DataFrame:
+    """The first ``take`` rows of each stratum in the seeded order. The largest take bounds what a task hands on of a stratum."""
+    most = takes.agg(F.max("take")).first()[0] or 0
     w = Window.partitionBy(by).orderBy(drawn_order(key, seed), key)
-    return universe.withColumn("rn", F.row_number().over(w)).join(F.broadcast(takes.select(by, "take")), by).where("rn <= take").drop("rn", "take")
+    first = universe.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
+    return first.join(F.broadcast(takes.select(by, "take")), by).where("rn <= take").drop("rn", "take")
 
 
 def equal_draw(pool: DataFrame, per_stratum: int, *, by: str, key: str = "doc_id", seed: int = 42) -> DataFrame:
@@ -71,29 +75,44 @@ def cost_model(pending: DataFrame, *, batch: int = 6, tokens_per_doc: int = 645,
     return n.select("n_docs", F.ceil(F.col("n_docs") / batch).alias("calls"), tokens.alias("tokens"), usd.alias("usd"), F.ceil(tokens / per_day).alias("days"))
 
 
+def running_total(rows: DataFrame, *, order: str, value: str, out: str) -> DataFrame:
+    """Adds ``out``, the sum of ``value`` up to and with a row in the order of ``order``: sums over range partitions (a row each) are added up in one
+    window, those within a partition in a window of its own, so no task sees all rows."""
+    placed = checkpointed(rows.repartitionByRange(order).withColumn("__part", F.spark_partition_id()))
+    sums = placed.groupBy("__part").agg(F.sum(value).alias("__sum"))
+    bases = sums.select("__part", F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    within = F.sum(value).over(Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn("__in", within).join(F.broadcast(bases), "__part").withColumn(out, F.col("__base") + F.col("__in")).drop("__part", "__in", "__base")
+
+
 def budget_stop(batches: DataFrame, *, limit: int, order: str = "batch", tokens: str = "tokens") -> DataFrame:
-    """The batches before the one that would pass the budget: a running sum over batch rows."""
-    return batches.withColumn("used", F.sum(tokens).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("used") <= limit)
+    """The batches before the one that would pass the budget."""
+    return running_total(batches, order=order, value=tokens, out="used").where(F.col("used") <= limit)
 
 
 def pack_batches(docs: DataFrame, *, by: str, order: str, tokens: str, max_count: int, budget: int) -> DataFrame:
     """Next-fit batches within each ``by``: a batch closes at ``max_count`` documents or where the next would pass ``budget`` tokens.
 
-    The fold is sequential by nature, so it runs group by group; ``by`` bounds a group (a hash bucket of ids, a source).
+    The fold is sequential by nature; it streams through the sorted rows of a group and holds one Arrow batch at a time. ``by`` bounds what
+    one task does (a hash bucket of ids, a source).
     """
+    names = docs.columns
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        batch, count, used, out = 0, 0, 0, []
-        for t in pdf[tokens].clip(upper=budget):
-            if count and (count >= max_count or used + t > budget):
-                batch, count, used = batch + 1, 0, 0
-            out.append(batch)
-            count, used = count + 1, used + t
-        return pdf.assign(batch=out)
+    def fold(frames):
+        group, batch, count, used = object(), 0, 0, 0
+        for pdf in frames:
+            out = []
+            for g, t in zip(pdf[by], pdf[tokens].clip(upper=budget), strict=True):
+                if g != group:
+                    group, batch, count, used = g, 0, 0, 0
+                if count and (count >= max_count or used + t > budget):
+                    batch, count, used = batch + 1, 0, 0
+                out.append(batch)
+                count, used = count + 1, used + t
+            yield pdf[names].assign(batch=out)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.groupBy(by).applyInPandas(fold, f"{kinds}, batch long")
+    return docs.repartition(by).sortWithinPartitions(by, order).mapInPandas(fold, f"{kinds}, batch long")
 
 
 def tag_with(docs: DataFrame, tagger: Callable[[Iterable[tuple[int, str]]], Iterable[tuple[int, list[str]]]], cache: DataFrame | None = None) -> DataFrame:
@@ -127,13 +146,30 @@ def evidence_precision(spans: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def representative_sample(rows: DataFrame, size: int, *, by: str = "bucket", key: str = "doc_id", seed: int = 42) -> DataFrame:
-    """``size`` rows in the proportions of ``by`` (rounded per bucket, halves to even), with ``draw``; a bucket that is too small is drawn again."""
-    counts = rows.groupBy(by).agg(F.count("*").alias("__n"))
-    counts = counts.withColumn("__take", F.bround(F.lit(float(size)) * F.col("__n") / F.sum("__n").over(Window.partitionBy())).cast("long"))
+    """Exactly ``size`` rows in the proportions of ``by``, with ``draw``, a number for each time that a row is in the sample.
+
+    A bucket gives its share, rounded half to even and no more than it has; what rounding leaves open is filled from all other rows, what it
+    gives too much is cut from the last buckets. Where ``size`` is more than all rows, each is there once for every whole time that they fit
+    in it. ``by`` is a fixed vocabulary: its counts are collected. An empty table gives no rows.
+    """
+    counts = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).collect()}
+    total = sum(counts.values())
+    whole, part = divmod(size, total) if total else (0, 0)
+    left, takes = part, {}
+    for name in sorted(counts, key=lambda b: (b is None, b)):
+        takes[name] = min(round(part * counts[name] / total), counts[name], left)
+        left -= takes[name]
     ranked = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(by).orderBy(drawn_order(key, seed), key)))
-    picked = ranked.join(F.broadcast(counts), by).where("__rn <= __take")
-    last = F.floor((F.col("__take") - F.col("__rn")) / F.col("__n")).cast("int")
-    return picked.withColumn("draw", F.explode(F.sequence(F.lit(0), last))).drop("__rn", "__n", "__take")
+    take = F.lit(0)
+    for name, n in takes.items():
+        take = F.when(F.col(by).eqNullSafe(F.lit(name)), n).otherwise(take)
+    first = ranked.where(F.col("__rn") <= max([0, *takes.values()]) + left).withColumn("__take", take)
+    drawn = first.where("__rn <= __take")
+    if left:
+        drawn = drawn.unionByName(first.where("__rn > __take").orderBy(drawn_order(key, seed), key).limit(left))
+    drawn = drawn.drop("__rn", "__take").withColumn("draw", F.lit(whole))
+    again = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(whole - 1)))) if whole else rows.withColumn("draw", F.lit(0)).limit(0)
+    return again.unionByName(drawn)
 
 
 def complete_or_fail(gold: DataFrame, pred: DataFrame, *, key: str = "doc_id", label: str = "label") -> DataFrame:

@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.sources.tables import checkpointed
+
 
+def flags(spans: DataFrame, docs: DataFrame, cues: dict[str, dict[str, list[str]]]) -> DataFrame:
+    """``spans`` (doc_id, dimension, label, quote) with three flags: not in the document, no cue of its label in it, quoted twice on the document.
 
-def flags(spans: DataFrame, docs: DataFrame, cues: dict[str, list[str]]) -> DataFrame:
-    """``spans`` (doc_id, label, quote) with three flags: not in the document, no cue of its label in it, quoted twice on the document."""
-    q = T.norm(F.col("quote"))
-    no_cue = F.lit(False)
-    for label, words in sorted(cues.items()):
-        any_cue = F.lit(False)
-        for w in words:
-            any_cue = any_cue | F.contains(q, F.lit(w.lower()))
-        no_cue = F.when(F.col("label") == label, ~any_cue).otherwise(no_cue)
-    twice = F.count("*").over(Window.partitionBy("doc_id", q)) > 1
-    return spans.join(docs.select("doc_id", "text"), "doc_id", "left").select("doc_id", "label", "quote", (~F.coalesce(T.contains_quote(F.col("text"), F.col("quote")), F.lit(False))).alias("not_in_document"), no_cue.alias("no_cue_overlap"), twice.alias("quoted_twice"))
+    ``cues``: dimension -> label -> cue texts. A label without cues never lacks one; a blank quote is in no document and never counts as
+    quoted twice. A span of an unknown document is not in it.
+    """
+    q = T.norm(F.coalesce(F.col("quote"), F.lit("")))
+    lexicon = [(d, label, " ".join(w.lower().split())) for d, labels in cues.items() for label, words in labels.items() for w in words if w.strip()]
+    rows = spans.sparkSession.createDataFrame(lexicon, "dimension string, label string, cue string")
+    known = rows.groupBy("dimension", "label").agg(F.sort_array(F.collect_set("cue")).alias("cues"))  # a fixed vocabulary
+    held = F.exists("cues", lambda c: F.contains(q, c))
+    twice = (q != "") & (F.count("*").over(Window.partitionBy("doc_id", q)) > 1)
+    joined = spans.join(docs.select("doc_id", "text"), "doc_id", "left").join(F.broadcast(known), ["dimension", "label"], "left")
+    absent = ~F.coalesce(T.contains_quote(F.col("text"), F.col("quote")), F.lit(False))
+    return joined.select("doc_id", "dimension", "label", "quote", absent.alias("not_in_document"), F.coalesce(~held, F.lit(False)).alias("no_cue_overlap"), twice.alias("quoted_twice"))
 
 
 def document_flags(members: DataFrame, flagged: DataFrame) -> DataFrame:
@@ -41,15 +48,31 @@ def select_quotes(candidates: DataFrame, *, limit: int = 4) -> DataFrame:
 
 
 def contained(quotes: DataFrame, docs: DataFrame, *, words: int = 6) -> DataFrame:
-    """(item_id, doc_id) where a document has the whole normalised quote: candidates share the quote's rarest run of ``words`` words."""
+    """(item_id, doc_id) where a document has the whole normalised quote.
+
+    A quote's first and last word may begin or end within a word of the document; those between are whole words there. So candidates share a
+    run of up to ``words`` inner words: of a quote's runs the one that the fewest quotes have. Quotes of one or two words have no inner word and
+    are looked for in every text. Blank quotes are in none; null texts hold nothing.
+    """
     flat = lambda c: F.split(T.norm(F.col(c)), " ")
-    runs = F.when(F.size("w") >= words, F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, words), " "))))
-    q = quotes.select("item_id", T.norm(F.col("text")).alias("quote"), flat("text").alias("w")).where(F.size("w") >= words + 2)
-    # A quote's second run lies at word ends in any document that has the quote.
-    q = q.select("item_id", "quote", F.element_at(runs, 2).alias("run"))
-    d = docs.select("doc_id", flat("text").alias("w"))
-    hits = d.select("doc_id", F.explode(F.array_distinct(runs)).alias("run")).join(F.broadcast(q.select("item_id", "run")), "run").select("doc_id", "item_id").distinct()
-    return hits.join(docs.select("doc_id", "text"), "doc_id").join(q.select("item_id", "quote"), "item_id").where(F.contains(T.norm(F.col("text")), F.col("quote"))).select("item_id", "doc_id")
+    run = lambda w, at, n: F.xxhash64(F.array_join(F.slice(w, at, n), " "))
+    q = checkpointed(quotes.select("item_id", T.norm(F.col("text")).alias("quote"), flat("text").alias("w")).where("quote <> ''"))
+    q = q.withColumn("n", F.least(F.lit(words), F.size("w") - 2))
+    runs = q.where("n > 0").select("item_id", "n", F.posexplode(F.transform(F.sequence(F.lit(2), F.size("w") - F.col("n")), lambda i: run(F.col("w"), i, F.col("n")))).alias("pos", "run"))
+    counted = runs.groupBy("run").agg(F.count("*").alias("times"))
+    rare = checkpointed(runs.join(counted, "run").groupBy("item_id", "n").agg(F.min_by("run", F.struct("times", "pos")).alias("run")))
+    sizes = [r["n"] for r in rare.select("n").distinct().collect()]  # at most ``words``
+    texts = docs.where("text is not null")
+    d = texts.select("doc_id", flat("text").alias("w"))
+    every = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: run(F.col("w"), i, n)))
+    own = [d.select("doc_id", F.explode(F.array_distinct(every(n))).alias("run"), F.lit(n).alias("n")) for n in sizes]
+    hits = [x.join(rare, ["run", "n"]).select("doc_id", "item_id") for x in own]
+    full = [h.distinct().join(texts.select("doc_id", "text"), "doc_id").join(q.select("item_id", "quote"), "item_id") for h in hits]
+    few = q.where("n <= 0").select("item_id", "quote")
+    if not few.isEmpty():
+        full.append(texts.select("doc_id", "text").join(few, F.contains(T.norm(F.col("text")), F.col("quote"))).select("item_id", "doc_id", "text", "quote"))
+    none = q.sparkSession.createDataFrame([], quotes.select("item_id").schema).join(docs.select("doc_id").limit(0), how="cross")
+    return reduce(DataFrame.unionByName, [f.where(F.contains(T.norm(F.col("text")), F.col("quote"))).select("item_id", "doc_id") for f in full], none.select("item_id", "doc_id"))
 
 
 def select_in_turn(candidates: DataFrame, themes: list[str], *, limit: int = 4) -> list[dict]:

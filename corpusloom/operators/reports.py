@@ -33,7 +33,7 @@ def top_option(options: Column) -> Column:
 
 def elapsed(log: DataFrame) -> DataFrame:
     """Stages in order with their seconds, never under zero."""
-    return log.select("stage", "started_at", F.greatest(F.lit(0.0), F.col("finished_at").cast("double") - F.col("started_at").cast("double")).alias("seconds"), "records_in", "records_out").orderBy("started_at", "stage")
+    return log.select("stage", "started_at", F.greatest(F.lit(0.0), (F.unix_micros(F.col("finished_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1e6).alias("seconds"), "records_in", "records_out").orderBy("started_at", "stage")
 
 
 def paid_usd(prompt: Column, completion: Column, reasoning: Column) -> Column:

@@ -58,13 +58,12 @@ def clusters(members: DataFrame, edges: DataFrame) -> DataFrame:
     size = members.groupBy("dimension", "label", names.alias("node")).agg(F.count("*").alias("n"))
     both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     state = size.select("node", F.col("node").alias("root"))
-    for _ in range(50):
+    settled = False
+    while not settled:  # a round settles the neighbours of what is settled, so labels bound the rounds
         low = both.join(state.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = checkpointed(state.join(low, "node", "left").select("node", F.least("root", F.coalesce("near", "root")).alias("root")))
-        same = step.join(state.withColumnRenamed("root", "was"), "node").where("root <> was").isEmpty()
+        settled = step.join(state.withColumnRenamed("root", "was"), "node").where("root <> was").isEmpty()
         state = step
-        if same:
-            break
     rank = reduce(lambda c, d: c.when(F.col("dimension") == d[1], d[0]), list(enumerate(PRIORITY[1:], 1)), F.when(F.col("dimension") == PRIORITY[0], 0)).otherwise(len(PRIORITY))
     named = size.join(state, "node")
     primary = named.groupBy("root").agg(F.min_by("node", F.struct(rank.alias("r"), (-F.col("n")).alias("m"), "label")).alias("cluster"))
@@ -143,9 +142,23 @@ def attach_genuine(full: DataFrame, genuine: DataFrame) -> DataFrame:
     return out.withColumn("delta", F.col("rank") - F.col("genuine_rank"))
 
 
-def movers(rows: DataFrame, *, head: int = 10, limit: int = 6) -> DataFrame:
-    """Labels in the head of either ranking, by how far they move."""
-    return rows.where((F.col("rank") <= head) | (F.col("genuine_rank") <= head)).where("delta is not null").orderBy(F.desc(F.abs("delta")), "rank", "label").limit(limit)
+def movers(rows: DataFrame, *, head: int = 10, limit: int = 6, holds: int = 2) -> DataFrame:
+    """Labels by how far they move between the ranking by score and that by genuine_score (ties by label), in the order of a report.
+
+    Labels in the head of either ranking with a genuine score over 0 come into question, all of them where there is no such one. The farthest
+    movers stand first, then up to ``holds`` labels that keep their place; places that one kind leaves free go to the other. ``rows`` has a row
+    per label: label, score, genuine_score; fewer than two scored labels give none.
+    """
+    by = lambda *order: F.row_number().over(Window.orderBy(*order))
+    all_ = Window.partitionBy()
+    r = rows.where("score is not null and genuine_score is not null").select("label", "score", "genuine_score")
+    r = r.withColumn("full_rank", by(F.desc("score"), "label")).withColumn("genuine_rank", by(F.desc("genuine_score"), "label")).withColumn("delta", F.col("full_rank") - F.col("genuine_rank"))
+    near = ((F.col("full_rank") <= head) | (F.col("genuine_rank") <= head)) & (F.col("genuine_score") > 0)
+    r = r.withColumn("near", near).withColumn("any", F.bool_or("near").over(all_)).withColumn("n", F.count("*").over(all_))
+    r = r.where("n >= 2 and (near or not any)").withColumn("holds", F.col("delta") == 0)
+    r = r.withColumn("pos", F.row_number().over(Window.partitionBy("holds").orderBy(F.desc(F.abs("delta")), "full_rank", "label"))).withColumn("kept", F.least(F.count_if("holds").over(all_), F.lit(min(holds, limit))))
+    kind = F.when(~F.col("holds"), F.when(F.col("pos") <= limit - F.col("kept"), 0).otherwise(2)).otherwise(F.when(F.col("pos") <= F.col("kept"), 1).otherwise(3))
+    return r.withColumn("place", by(kind, "pos")).where(F.col("place") <= limit).select("place", "label", "score", "genuine_score", "full_rank", "genuine_rank", "delta")
 
 
 def per_source(docs: DataFrame, members: DataFrame, sources: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpusloom.functions.scoring import content_id
 from corpusloom.functions.text import rating
@@ -105,42 +106,55 @@ def _first(node: _Node, selectors: list[str], attr: str | None = None) -> str |
     return None
 
 
-_ROWS = "page string, native_id string, text string, url string, author string, created string, rating_text string, title string"
+_BLOCK = "page string, pos int, own array<string>, links array<string>, body string, title string, author string, moment string, date string, rating_text string"
 
 
-def html_blocks(pages: DataFrame, items: list[str], fields: dict[str, list[str]], *, link_id: str = r"-(\d{6,})(?:$|[/?#])", hint_id: str = r"#\w*-?(\d{5,})") -> DataFrame:
-    """Rows of the blocks of listing pages (``url``, ``html``): the first of the ``items`` selectors with any hit gives the blocks.
+def block_parts(pages: DataFrame, items: list[str], fields: dict[str, list[str]]) -> DataFrame:
+    """Raw parts of the blocks of listing pages (``url``, ``html``), a row each: the values of its id attributes, its links in order, field texts.
 
-    ``fields``: selectors for body, title, author, date and rating, the first with text stands; blocks without a body are passed over. The
-    id of a block is its own (id or data-id, digits), else that of a permalink (``link_id``), else that of a fragment (``hint_id``), else the
-    hash of the body. Titles precede bodies that do not hold them. Null pages give no rows.
+    The first of the ``items`` selectors with any hit gives a page's blocks. ``fields``: selectors for body, title, author, date and rating, of
+    which the first with text stands; ``moment`` is the time element's machine-readable value. Null pages give no rows.
     """
 
-    def parse(url: str, html: str):
-        top = read_html(html)
-        blocks = next((hit for s in items if (hit := top.select(s))), [])
-        for block in blocks:
-            body = _first(block, fields.get("body", []))
-            if not body:
-                continue
-            title = _first(block, fields.get("title", []))
-            own = next((v.strip("c") for k in ("id", "data-id") if (v := block.attrs.get(k, "")) and v.strip("c").isdigit()), None)
-            hrefs = [a.attrs["href"] for a in block.select("a[href]")]
-            link = next((h for h in hrefs if re.search(link_id, h)), None)
-            hint = next((m[1] for h in hrefs if (m := re.search(hint_id, h))), None)
-            ident = own or (re.search(link_id, link)[1] if link else None) or hint
-            where = urljoin(url, link) if link and not own else f"{url.split('#')[0]}#c{ident}" if ident else url
-            date = _first(block, ["time"], "datetime") or _first(block, fields.get("date", []))
-            yield (url, ident, f"{title}\n\n{body}" if title and title not in body else body, where, _first(block, fields.get("author", [])), date, _first(block, fields.get("rating", [])), title)
-
-    def run(frames):
+    def parse(frames):
         for pdf in frames:
-            rows = [r for u, h in zip(pdf["url"], pdf["html"], strict=True) if h for r in parse(u or "", h)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _ROWS.split(", ")])
-
-    found = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInPandas(run, _ROWS)
-    known = F.when(F.col("native_id").isNotNull(), F.col("native_id")).otherwise(content_id(F.col("text")))
-    return found.withColumn("native_id", known).withColumn("rating", rating(F.col("rating_text"))).drop("rating_text")
+            rows = []
+            for url, html in zip(pdf["url"], pdf["html"], strict=True):
+                top = read_html(html) if html else None
+                blocks = next((hit for s in items if (hit := top.select(s))), []) if top else []
+                for pos, block in enumerate(blocks):
+                    texts = [_first(block, fields.get(name, [])) for name in ("body", "title", "author")]
+                    ids = [block.attrs[a] for a in ("id", "data-id") if a in block.attrs]
+                    links = [a.attrs["href"] for a in block.select("a[href]")]
+                    rows.append((url, pos, ids, links, *texts, _first(block, ["time"], "datetime"), _first(block, fields.get("date", [])), _first(block, fields.get("rating", []))))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _BLOCK.split(", ")])
+
+    return pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInPandas(parse, _BLOCK)
+
+
+def html_blocks(pages: DataFrame, items: list[str], fields: dict[str, list[str]], *, own_id: str = r"^c*(\d+)c*$", link_id: str = r"-(\d{6,})(?:$|[/?#])", hint_id: str = r"#\w*-?(\d{5,})") -> DataFrame:
+    """(page, native_id, url, text, author, created, title, rating) of the blocks of listing pages; blocks without a body are passed over.
+
+    A block is named by what its own id attributes hold (``own_id``), else by its permalink (``link_id``), else by a hint in a link
+    (``hint_id``), else by the hash of its body. Its address is the permalink where that names it, else the page with the name as a fragment,
+    else the page. A title stands before a body that does not hold it. All of it is expressions over the parts that ``block_parts`` reads.
+    """
+    b = block_parts(pages, items, fields).where("body is not null")
+    found = lambda column, form: F.get(F.filter(F.transform(column, lambda x: F.regexp_extract(x, form, 1)), lambda x: x != ""), F.lit(0))
+    page, link = F.coalesce("page", F.lit("")), F.get(F.filter("links", lambda x: x.rlike(link_id)), F.lit(0))
+    named = b.select("*", found(F.col("own"), own_id).alias("by_own"), found(F.col("links"), link_id).alias("by_link"), found(F.col("links"), hint_id).alias("by_hint"), link.alias("permalink"))
+    fragment = F.concat(F.substring_index(page, "#", 1), F.lit("#c"), F.coalesce("by_own", "by_hint"))
+    joined = _joined(page, F.when(F.col("by_own").isNull(), F.col("permalink")))
+    text = F.when(F.contains("body", "title"), F.col("body")).otherwise(F.concat("title", F.lit("\n\n"), "body"))
+    return named.select(
+        "page", F.coalesce("by_own", "by_link", "by_hint", F.when(F.coalesce("by_own", "by_link", "by_hint").isNull(), content_id(F.col("body")))).alias("native_id"),
+        F.coalesce(joined, fragment, page).alias("url"), F.coalesce(text, F.col("body")).alias("text"), "author", F.coalesce("moment", "date").alias("created"), "title", rating(F.col("rating_text")).alias("rating"),
+    )
+
+
+@F.pandas_udf(StringType())
+def _joined(base: pd.Series, href: pd.Series) -> pd.Series:
+    return pd.Series([urljoin(b or "", h) if h else None for b, h in zip(base, href, strict=True)], dtype=object)
 
 
 def page_data_reviews(pages: DataFrame, *, element: str = "__NEXT_DATA__", path: str = "$.props.pageProps.reviews") -> DataFrame:

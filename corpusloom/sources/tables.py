@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from contextlib import contextmanager
 from datetime import datetime, timezone
@@ -15,9 +16,14 @@ AGGREGATE = "product_id string, product_title string, url string, extracted_at s
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the folder of spark.checkpoint.dir (a local one only where that is unset) and read back."""
+    """``df`` written once as Parquet in the folder of spark.checkpoint.dir and read back. Where that is unset, a local master gets a local folder;
+    a cluster is refused, as each executor would write to its own disk."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/corpusloom-checkpoints"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file:///tmp/corpusloom-checkpoints"
     path = f"{root.rstrip('/')}/corpusloom/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -41,17 +41,28 @@ def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") ->
     df.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start().awaitTermination()
 
 
-def upsert_batches(df: DataFrame, table: str, keys: list[str], checkpoint: str) -> None:
-    """Each batch's rows replace those of equal keys: the table is read, merged, and written as a new version beside it; the newest version is
-    the table. A batch that is run again writes the same version again."""
+def newest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """A row per key: the last in ``order``, ties broken by all columns."""
+    rest = [c for c in rows.columns if c not in keys]
+    last = F.max_by(F.struct(*rest), F.struct(*order, *[c for c in rest if c not in order]))
+    return rows.groupBy(*keys).agg(last.alias("__last")).select(*keys, "__last.*").select(*rows.columns)
 
-    def merge(batch: DataFrame, number: int) -> None:
-        from corpusloom.operators.corpus import upsert
 
-        spark = batch.sparkSession
-        newest = batch.dropDuplicates(keys)
-        if number:
-            newest = upsert(spark.read.parquet(f"{table}/version={number - 1}"), newest, keys)
-        newest.write.mode("overwrite").parquet(f"{table}/version={number}")
+def upsert_batches(df: DataFrame, table: str, keys: list[str], checkpoint: str, *, order: tuple[str, ...] = ()) -> None:
+    """Each micro-batch is written as a version of its own, with the last row of each key in ``order``; no version before it is touched, and a batch
+    that is run again writes the same version again. ``read_upserted`` has the table."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        newest(batch, keys, list(order)).write.mode("overwrite").parquet(f"{table}/version={number}")
 
     df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def read_upserted(spark: SparkSession, table: str, keys: list[str]) -> DataFrame:
+    """The table of ``upsert_batches``: of each key the row of its last version."""
+    return newest(spark.read.option("basePath", table).parquet(f"{table}/version=*"), keys, ["version"]).drop("version")
+
+
+def compact(spark: SparkSession, table: str, keys: list[str], into: str) -> None:
+    """All versions as one, in another folder."""
+    read_upserted(spark, table, keys).write.mode("overwrite").parquet(f"{into}/version=0")

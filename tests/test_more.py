@@ -147,6 +147,10 @@ def test_evaluation_guards(spark):
     rows = spark.createDataFrame([(i, "x" if i < 2 else "y") for i in range(8)], "doc_id long, bucket string")
     got = [r.bucket for r in evaluation.representative_sample(rows, 16).collect()]
     assert got.count("x") == 4 and got.count("y") == 12
+    for size in range(1, 9):  # shares of 1/4 and 3/4 round to more and to less than the size
+        some = evaluation.representative_sample(rows, size).collect()
+        assert len(some) == size == len({r.doc_id for r in some})
+    assert evaluation.representative_sample(rows, 13).count() == 13 and evaluation.representative_sample(rows.where("1 = 0"), 3).count() == 0
     assert evaluation.fingerprint_of(rows) == evaluation.fingerprint_of(rows.repartition(3)) != evaluation.fingerprint_of(rows.where("doc_id > 0"))
     gate = evaluation.floor_gate(rows, wanted=F.col("bucket") == "y", survives=F.col("doc_id") > 3, floor=5).first()
     assert tuple(gate) == (6, 4, pytest.approx(4 / 6), False)

@@ -28,7 +28,7 @@ def test_words_and_exclusions(spark):
 def test_text_helpers(spark):
     assert one(spark, "a" * 300, T.truncate) == "a" * 240 + "…"
     assert one(spark, "ab, " * 100, lambda c: T.truncate(c, 10)) == "ab, ab…"
-    assert one(spark, "write to a.b@c.org or call 98765 43210, paid 2,499 for order id: AB-12345", T.redact_collected) == "write to [email] or call [phone], paid 2,499 for order id: [id]"
+    assert one(spark, "write to a.b@c.org or call +91 9876543210, paid 2,499 for order id: AB-12345, see @some_one", T.redact_collected) == "write to [email] or call [phone], paid 2,499 for order id: [id], see [handle]"
     assert one(spark, "a<br>b  &amp;​ c\n\n\n\nd", T.clean_text) == "a\nb & c\n\nd"
     assert [one(spark, x, T.rating) for x in ("4 of 5", "3.5/5", "2", "9", "none")] == [4.0, 3.5, 2.0, None, None]
     assert one(spark, "word " * 50, lambda c: T.truncate_to_tokens(c, 3)) == "word word"
@@ -102,9 +102,9 @@ def test_quality(spark):
 
 def test_evidence(spark):
     docs = spark.createDataFrame([(1, "the size runs small here")], "doc_id long, text string")
-    spans = spark.createDataFrame([(1, "fit", "Size  runs small"), (1, "price", "too dear")], "doc_id long, label string, quote string")
-    got = {r["label"]: (r["not_in_document"], r["no_cue_overlap"]) for r in evidence.flags(spans, docs, {"fit": ["size"]}).collect()}
-    assert got == {"fit": (False, False), "price": (True, False)}
+    spans = spark.createDataFrame([(1, "d", "fit", "Size  runs small"), (1, "d", "price", "too dear"), (1, "e", "fit", "runs small"), (1, "e", "fit", "RUNS small"), (1, "e", "a", " "), (1, "e", "b", None)], "doc_id long, dimension string, label string, quote string")
+    got = {(r["dimension"], r["label"]): (r["not_in_document"], r["no_cue_overlap"], r["quoted_twice"]) for r in evidence.flags(spans, docs, {"d": {"fit": ["size"]}, "e": {"fit": ["Tight", ""]}}).collect()}
+    assert got == {("d", "fit"): (False, False, False), ("d", "price"): (True, False, False), ("e", "fit"): (False, True, True), ("e", "a"): (True, False, False), ("e", "b"): (True, False, False)}
 
 
 def test_maps(spark):
@@ -144,8 +144,10 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     batch = stream.tumbling(spark.read.parquet(str(tmp_path / "in"))).select("window.start", "event_type", "n")
     assert sorted(map(tuple, spark.table("live").collect())) == sorted(map(tuple, batch.collect()))
-    stream.upsert_batches(stream.read_events(spark, str(tmp_path / "in")), str(tmp_path / "t"), ["user_id"], str(tmp_path / "ck2"))
-    assert spark.read.parquet(str(tmp_path / "t" / "version=0")).count() == 2
+    stream.upsert_batches(stream.read_events(spark, str(tmp_path / "in")), str(tmp_path / "t"), ["user_id"], str(tmp_path / "ck2"), order=("event_id",))
+    assert {r.user_id: r.event_id for r in stream.read_upserted(spark, str(tmp_path / "t"), ["user_id"]).collect()} == {0: 28, 1: 29}
+    stream.compact(spark, str(tmp_path / "t"), ["user_id"], str(tmp_path / "u"))
+    assert stream.read_upserted(spark, str(tmp_path / "u"), ["user_id"]).count() == 2
 
 
 def test_tagger_and_packing(spark):
