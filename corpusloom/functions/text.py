@@ -101,6 +101,11 @@ def keyword_hits(text: Column, terms: list[str]) -> Column:
     return F.regexp_count(text, F.lit(keyword_pattern(terms)))
 
 
+def has_emoji(text: Column) -> Column:
+    """Whether any code point is of ``EMOJI``. Most texts have none from where these begin, which is told by a class of two ranges."""
+    return text.rlike(r"[^\x00-\x{A8}\x{AA}-\x{AD}\x{AF}-\x{200C}]") & text.rlike(EMOJI)
+
+
 def strip_emoji(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, EMOJI, " "), r"\s+", " "))
 
@@ -115,7 +120,7 @@ def exclusion_reason(text: Column, lang: Column, *, min_words: int = 3, language
     hindi = (script.rlike(r"[\x{0900}-\x{097F}]") & ~devanagari_is_incidental(script)) | (lang.isin(*languages) & (word_count(text) >= language_min_words))
     return (
         F.when(word_count(text) < min_words, "too_short")
-        .when(text.rlike(EMOJI) & (word_count(strip_emoji(text)) < min_words), "contains_emoji")
+        .when(has_emoji(text) & (word_count(strip_emoji(text)) < min_words), "contains_emoji")
         .when(hindi, "hindi_language")
     )
 
