@@ -153,6 +153,12 @@ def redact_collected(text: Column) -> Column:
     return _replaced(text, COLLECTED)
 
 
+def safe_snippet(text: Column, limit: int = 120) -> Column:
+    """One line for a log, of at most ``limit`` characters."""
+    flat = squeeze(text)
+    return F.when(F.char_length(flat) <= limit, flat).otherwise(F.concat(F.left(flat, F.lit(limit - 1)), F.lit("…")))
+
+
 def redact_shown(text: Column) -> Column:
     """As quotes go out: email, order ids, handles, phone numbers."""
     return _replaced(text, SHOWN)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import tags
@@ -33,6 +33,15 @@ def cluster_texts(found: DataFrame) -> DataFrame:
     return found.groupBy("cluster").agg(listed.alias("cluster_text")).select(name[0].alias("dimension"), name[1].alias("label"), "cluster_text")
 
 
+def parse_members(text: Column, dimension: Column, label: Column) -> Column:
+    """``dimension=label; ...`` as distinct structs in order, with the row's own pair at the end where it is not among them. A part without ``=``
+    is a label of the row's dimension; blank parts go; null text has the own pair alone."""
+    pair = lambda d, x: F.struct(F.trim(d).alias("dimension"), F.trim(x).alias("label"))
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ";"), lambda p: F.trim(p)), lambda p: p != "")
+    named = F.transform(parts, lambda p: F.when(F.contains(p, F.lit("=")), pair(F.substring_index(p, "=", 1), F.regexp_replace(p, "^[^=]*=", ""))).otherwise(pair(dimension, p)))
+    return F.array_distinct(F.concat(named, F.array(pair(dimension, label))))
+
+
 def quantify(docs: DataFrame, members: DataFrame, found: DataFrame, *, flags: DataFrame | None = None, **how) -> DataFrame:
     """A ranked row per cluster: the full population, beside it count, score and rank of the genuine one, and the cluster's members.
 

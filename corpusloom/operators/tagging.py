@@ -22,6 +22,11 @@ def parse_tags(raw: Column) -> Column:
     return F.when(fits, t)
 
 
+def tags_blob(tags: Column) -> Column:
+    """The coding as JSON, without the document that it is of; ``parse_tags`` reads it back."""
+    return F.when(tags.isNotNull(), F.to_json(tags.dropFields("doc_id")))
+
+
 def evidenced(tags: Column) -> Column:
     """The struct's label lists with only those labels that a span with a quote that is not blank supports, without repeats."""
     spans = F.filter(F.coalesce(tags["evidence"], F.array()), lambda e: F.trim(F.coalesce(e["quote"], F.lit(""))) != "")

@@ -116,7 +116,7 @@ def opportunities(docs: DataFrame, members: DataFrame, *, flags: DataFrame | Non
     else:
         members = members.withColumn("is_flagged", F.lit(False))
     docs = with_recency(docs)
-    totals = docs.agg(F.count("*").alias("total"), F.countDistinct("source").alias("sources_total"))
+    totals = docs.agg(F.count("*").alias("total"), F.countDistinct("source").alias("sources_total"), F.countDistinct(voice(F.col("author"), F.col("doc_id"))).alias("authors_total"))
     joined = members.join(docs, "doc_id").withColumn("voice", voice(F.col("author"), F.col("doc_id")))
     stats = joined.groupBy("dimension", "label").agg(
         F.count("*").alias("n_docs"), F.avg("severity").alias("mean_severity"), F.avg("actionability").alias("mean_actionability"), F.avg("confidence").alias("mean_confidence"),
@@ -128,7 +128,7 @@ def opportunities(docs: DataFrame, members: DataFrame, *, flags: DataFrame | Non
     p, low, high = S.wilson(F.col("n_docs"), F.col("total"))
     rows = rows.withColumns({"prevalence": p, "low": low, "high": high, "spread": F.col("n_sources") / F.col("sources_total")})
     rows = rows.withColumn("evidence", S.evidence_confidence(F.col("mean_confidence"), F.col("spread"), S.sample_size_factor(F.col("prevalence"), F.col("low")), 1 - F.col("flagged_share")))
-    rows = rows.withColumn("share_norm", S.min_max(F.col("share")))
+    rows = rows.withColumns({"share_norm": S.min_max(F.col("share")), "author_prevalence": F.col("n_authors") / F.col("authors_total"), "severity_norm": F.col("mean_severity") / 5.0})
     rows = rows.withColumn("score", S.opportunity_score(F.col("share_norm"), F.col("mean_severity"), F.col("mean_actionability"), F.col("evidence")))
     rows = rows.withColumns({"reportable": F.col("n_authors") >= min_authors, "post_only": F.col("n_pre") == 0, "low_confidence": (F.col("n_docs") < low_n) | (F.col("n_authors") < min_authors), "source_specific": F.col("n_sources") == 1, "high_prevalence": F.col("prevalence") > 0.9})
     order = Window.orderBy(F.desc("reportable"), "post_only", F.desc("score"), F.desc("n_docs"), "dimension", "label")  # a row per label

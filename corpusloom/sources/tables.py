@@ -15,16 +15,21 @@ RAW = "source string, source_native_id string, url string, author_raw string, cr
 AGGREGATE = "product_id string, product_title string, url string, extracted_at string, average_rating double, rating_count int, rating_distribution map<string,int>, opinions array<struct<question string, options map<string,int>>>"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the folder of spark.checkpoint.dir and read back. Where that is unset, a local master gets a local folder;
-    a cluster is refused, as each executor would write to its own disk."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir. Where that is unset, a local master gets a local folder; a cluster is refused, as each
+    executor would write to its own disk."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file:///tmp/corpusloom-checkpoints"
-    path = f"{root.rstrip('/')}/corpusloom/step-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/corpusloom/{tag}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back."""
+    spark = df.sparkSession
+    path = scratch(spark, "step")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -34,10 +39,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_raw(spark: SparkSession, folder: str) -> DataFrame:
-    """Parts ``<source>/<date>/part-*.jsonl`` with a column ``rejected`` (bad JSON, blank text, over 2 % replacement characters)."""
+    """Parts ``<source>/<date>/part-*.json`` (or jsonl) with a column ``rejected`` (bad JSON, blank text, over 2 % replacement characters)."""
     from corpusloom.functions.text import mojibake_share
 
-    raw = spark.read.schema(RAW).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("lineSep", "\n").json(f"{folder}/*/*/part-*.jsonl")
+    raw = spark.read.schema(RAW).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("lineSep", "\n").json(f"{folder}/*/*/part-*.json*")
     raw = raw.withColumn("file", F.input_file_name()).where(~F.col("file").contains("/_compliance/")).withColumn("line", F.monotonically_increasing_id())
     bad = F.col("_corrupt_record").isNotNull() | (F.trim(F.coalesce("text", F.lit(""))) == "") | (mojibake_share(F.col("text")) > 0.02)
     clamped = F.least("created_utc", "collected_at")
@@ -52,23 +57,40 @@ def latest_raw(raw: DataFrame) -> DataFrame:
 
 def write_raw(df: DataFrame, folder: str) -> None:
     """Appends records by source and date, one of each native id, a record a line."""
-    rows = df.dropDuplicates(["source", "source_native_id"]).withColumn("run_date", F.to_date("collected_at"))
-    rows.write.mode("append").partitionBy("source", "run_date").option("lineSep", "\n").json(folder)
+    rows = df.dropDuplicates(["source", "source_native_id"]).withColumn("by_source", F.col("source")).withColumn("run_date", F.to_date("collected_at"))
+    rows.write.mode("append").partitionBy("by_source", "run_date").option("lineSep", "\n").json(folder)
+
+
+_ITEM = "struct<id:string,native_id:string,source:string,url:string,text:string,body:string,author:string,timestamp:string,created:string,date:string,meta:map<string,string>>"
+
+
+def _manual(spark: SparkSession, folder: str, files: str) -> DataFrame:
+    found = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", files).text(folder).withColumn("file", F.input_file_name())
+    found = found.where(~F.col("file").rlike(r"(?i)/(?:readme[^/]*|[._][^/]*)$"))
+    whole = F.from_json("value", f"struct<documents:array<{_ITEM}>>")["documents"]
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    each = F.transform(lines, lambda x: F.from_json(x, _ITEM))
+    is_lines = (F.size(lines) > 1) & F.forall(lines, lambda x: F.trim(x).startswith("{") & F.trim(x).endswith("}"))
+    return found.select("file", F.when(is_lines, each).otherwise(F.coalesce(whole, F.from_json("value", f"array<{_ITEM}>"), F.array(F.from_json("value", _ITEM)))).alias("items"))
+
+
+def read_manual(spark: SparkSession, folder: str, files: str = "*.json*") -> DataFrame:
+    """Hand-made JSON: an object with ``documents``, an array, an object, or an object a line; aliases of id, text and date are accepted. Items without
+    text go; ``bad_manual`` names files that give none."""
+    rows = _manual(spark, folder, files).select("file", F.explode("items").alias("d")).withColumn("text", F.coalesce("d.text", "d.body"))
+    return rows.where("trim(coalesce(text, '')) <> ''").select("file", F.coalesce("d.native_id", "d.id").alias("native_id"), "d.source", "d.url", "text", "d.author", F.coalesce("d.timestamp", "d.created", "d.date").alias("created"), "d.meta")
 
 
-def read_manual(spark: SparkSession, folder: str) -> DataFrame:
-    """Hand-made JSON: an object with ``documents``, an array, or an object; aliases of the id and of the date are accepted."""
-    item = "struct<id:string,native_id:string,source:string,url:string,text:string,author:string,timestamp:string,created:string,meta:map<string,string>>"
-    files = spark.read.option("wholetext", True).text(f"{folder}/*.json").withColumn("file", F.input_file_name())
-    whole = F.from_json("value", f"struct<documents:array<{item}>>")["documents"]
-    rows = files.where(~F.col("file").rlike(r"/[._][^/]*$")).select("file", F.explode(F.coalesce(whole, F.from_json("value", f"array<{item}>"), F.array(F.from_json("value", item)))).alias("d"))
-    return rows.where("d.text is not null and trim(d.text) <> ''").select("file", F.coalesce("d.native_id", "d.id").alias("native_id"), "d.source", "d.url", "d.text", "d.author", F.coalesce("d.timestamp", "d.created").alias("created"), "d.meta")
+def bad_manual(spark: SparkSession, folder: str, files: str = "*.json*") -> DataFrame:
+    """(file) of which no item with text can be read."""
+    held = F.exists(F.coalesce("items", F.array()), lambda d: F.trim(F.coalesce(d["text"], d["body"], F.lit(""))) != "")
+    return _manual(spark, folder, files).where(~F.coalesce(held, F.lit(False))).select("file")
 
 
-def read_aggregates(spark: SparkSession, folder: str) -> DataFrame:
-    """A JSON file per product; unreadable files are skipped, of several the newest extraction stands (ties: the later file)."""
-    files = spark.read.option("wholetext", True).text(f"{folder}/*.json").withColumn("file", F.input_file_name())
-    rows = files.withColumn("a", F.from_json("value", AGGREGATE)).where("a.product_id is not null").select("file", "a.*")
+def read_aggregates(spark: SparkSession, folder: str, files: str = "*.json") -> DataFrame:
+    """A JSON file per product, in any folder below; unreadable files are skipped, of several the newest extraction stands (ties: the later file)."""
+    found = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", files).text(folder).withColumn("file", F.input_file_name())
+    rows = found.withColumn("a", F.from_json("value", AGGREGATE)).where("a.product_id is not null").select("file", "a.*")
     w = Window.partitionBy("product_id").orderBy(F.desc("extracted_at"), F.desc("file"))
     return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
