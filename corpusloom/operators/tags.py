@@ -48,6 +48,11 @@ def cooccurrence(members: DataFrame, pairs: list[tuple[str, str]], n_docs: DataF
     )
 
 
+def lift_order(pairs: DataFrame) -> DataFrame:
+    """Label pairs with their place by lift, the largest first; ties by names. A row per pair of labels, a fixed vocabulary."""
+    return pairs.withColumn("place", F.row_number().over(Window.orderBy(F.desc("lift"), "dimension_a", "label_a", "dimension_b", "label_b")).cast("long"))
+
+
 def clusters(members: DataFrame, edges: DataFrame) -> DataFrame:
     """(dimension, label, cluster): components of the label graph ``edges`` (a, b: ``dimension=label``), by minimum label propagation.
 

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from corpusloom.plans import catalog
+from corpusloom.plans import catalog, entries  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
