@@ -297,8 +297,8 @@ def near_pairs(spark, d):
 
 #: The greedy pass in id order over distinct fingerprints of enough words: a row is accepted unless an accepted one before it is near.
 DUPS = f"""WITH RECURSIVE f AS (SELECT d.doc_id, fingerprint, {WORDS_SQL} AS words FROM documents d JOIN ({SQL['simhash']}) USING (doc_id) WHERE @where),
-e AS (SELECT *, min(doc_id) OVER (PARTITION BY fingerprint) AS exact FROM f), c AS (SELECT doc_id, fingerprint FROM e WHERE doc_id = exact AND words >= 25),
-n AS (SELECT y.doc_id, list(x.doc_id) AS near FROM c x JOIN c y ON x.doc_id < y.doc_id AND bit_count(xor(x.fingerprint, y.fingerprint)) <= 12 GROUP BY 1), i AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS k FROM n),
+e AS MATERIALIZED (SELECT *, min(doc_id) OVER (PARTITION BY fingerprint) AS exact FROM f), c AS MATERIALIZED (SELECT doc_id, fingerprint FROM e WHERE doc_id = exact AND words >= 25),
+n AS (SELECT y.doc_id, list(x.doc_id) AS near FROM c x JOIN c y ON x.doc_id < y.doc_id AND bit_count(xor(x.fingerprint, y.fingerprint)) <= 12 GROUP BY 1), i AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id) AS k FROM n),
 r AS (SELECT 0::bigint AS k, []::bigint[] AS gone UNION ALL SELECT i.k, CASE WHEN len(list_filter(i.near, lambda v: NOT list_contains(r.gone, v))) > 0 THEN list_append(r.gone, i.doc_id) ELSE r.gone END FROM r JOIN i ON i.k = r.k + 1),
 g AS (SELECT gone FROM r ORDER BY k DESC LIMIT 1), m AS (SELECT i.doc_id AS exact, list_min(list_filter(near, lambda v: NOT list_contains(gone, v))) AS near FROM i, g WHERE list_contains(gone, i.doc_id)),
 dup AS (SELECT doc_id, nullif(coalesce(m.near, exact), doc_id) AS is_duplicate_of FROM e LEFT JOIN m USING (exact))"""
@@ -447,10 +447,10 @@ def date_range(spark, d):
     return table(spark, d, "orders").agg(F.to_date(F.min("o_orderdate")).alias("first"), F.to_date(F.max("o_orderdate")).alias("last"), F.count("*").alias("n"))
 
 
-@query("SELECT event_type AS stage, min(ts) AS started_at, round(greatest(0, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 3) AS seconds, count(*) AS records_in, count(*) FILTER (WHERE value > 100) AS records_out FROM events GROUP BY 1")
+@query("SELECT event_type AS stage, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started_at, round(greatest(0, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 3) AS seconds, count(*) AS records_in, count(*) FILTER (WHERE value > 100) AS records_out FROM events GROUP BY 1")
 def runlog_elapsed(spark, d):
     e = table(spark, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.min("ts").alias("started_at"), F.max("ts").alias("finished_at"), F.count("*").alias("records_in"), F.count_if(F.col("value") > 100).alias("records_out"))
-    return reports.elapsed(e).withColumn("seconds", F.round("seconds", 3))
+    return reports.elapsed(e).withColumn("seconds", F.round("seconds", 3)).withColumn("started_at", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, len(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) AS n_links, regexp_matches(lower(left(html, 4000)), 'captcha|cf-challenge|are you a robot|access denied') AS challenge FROM pages")
