@@ -83,8 +83,7 @@ def read_manual(spark: SparkSession, folder: str, files: str = "*.json*") -> Dat
 
 def bad_manual(spark: SparkSession, folder: str, files: str = "*.json*") -> DataFrame:
     """(file) of which no item with text can be read."""
-    held = F.exists(F.coalesce("items", F.array()), lambda d: F.trim(F.coalesce(d["text"], d["body"], F.lit(""))) != "")
-    return _manual(spark, folder, files).where(~F.coalesce(held, F.lit(False))).select("file")
+    return _manual(spark, folder, files).select("file").join(read_manual(spark, folder, files).select("file"), "file", "left_anti")
 
 
 def read_aggregates(spark: SparkSession, folder: str, files: str = "*.json") -> DataFrame:
