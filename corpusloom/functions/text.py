@@ -187,17 +187,25 @@ def estimate_tokens(text: Column) -> Column:
 
 
 def truncate_to_tokens(text: Column, tokens: int | Column) -> Column:
-    """A prefix of at most ``tokens`` estimated tokens, at a word's end where there is one, never empty."""
+    """A prefix of at most ``tokens`` estimated tokens, cut at its last blank where one stands before its last character; of a text that is not
+    empty one character at least."""
     room = 4 * (F.lit(tokens) if isinstance(tokens, int) else tokens).cast("int")
     head = F.left(text, room)
-    cut = F.regexp_extract(head, r"(?s)^(.*\S)\s", 1)
-    return F.when(F.char_length(text) <= room, text).when(cut == "", head).otherwise(cut)
+    cut = F.regexp_extract(head, r"(?s)^(.*) ", 1)
+    one = F.left(text, F.lit(1))
+    return F.when(room <= 0, one).when(F.char_length(text) <= room, text).when(~F.contains(F.left(text, room - 1), F.lit(" ")), head).when(cut == "", one).otherwise(cut)
+
+
+def line_tokens(doc: Column, text: Column) -> Column:
+    """Estimated tokens of a document's line in a request."""
+    return estimate_tokens(F.concat(F.lit("["), doc.cast("string"), F.lit("] "), text, F.lit("\n")))
 
 
 def fit_document(doc: Column, text: Column, max_tokens: int) -> tuple[Column, Column]:
-    """(text, whether it was cut) so that ``[doc] text`` has at most ``max_tokens`` estimated tokens; a long id leaves one token."""
-    room = F.greatest(F.lit(max_tokens) - estimate_tokens(F.concat(F.lit("["), doc.cast("string"), F.lit("] "))), F.lit(1))
-    return truncate_to_tokens(text, room), estimate_tokens(text) > room
+    """(text, whether it was cut) so that the line ``[doc] text`` has at most ``max_tokens`` estimated tokens; a long id leaves one token."""
+    cut = line_tokens(doc, text) > max_tokens
+    room = F.greatest(F.lit(max_tokens) - line_tokens(doc, F.lit("")), F.lit(1))
+    return F.when(cut, truncate_to_tokens(text, room)).otherwise(text), cut
 
 
 def pretty_label(label: Column) -> Column:

@@ -42,6 +42,15 @@ def stratified_draw(universe: DataFrame, takes: DataFrame, *, by: str = "source"
     return first.join(F.broadcast(takes.select(by, "take")), by).where("rn <= take").drop("rn", "take")
 
 
+def draw_sample(universe: DataFrame, *, target: int, census: list[str], by: str = "source", key: str = "doc_id", seed: int = 42) -> DataFrame:
+    """Rows of the ``census`` sources whole; what is left of ``target`` is split over the others in proportion (largest remainder) and drawn from each
+    in the seeded order. Counts of sources, a fixed vocabulary, are counted on the way."""
+    own = universe.where(F.col(by).isin(census))
+    rest = universe.where(~F.coalesce(F.col(by).isin(census), F.lit(False)))
+    takes = allocate(rest.groupBy(by).agg(F.count("*").alias("n")), max(0, target - own.count()), by=by)
+    return own.unionByName(stratified_draw(rest, takes, by=by, key=key, seed=seed))
+
+
 def equal_draw(pool: DataFrame, per_stratum: int, *, by: str, key: str = "doc_id", seed: int = 42) -> DataFrame:
     w = Window.partitionBy(by).orderBy(drawn_order(key, seed), key)
     return pool.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_stratum).drop("rn")
@@ -61,6 +70,25 @@ def macro_f1(scores: DataFrame) -> DataFrame:
     return scores.where("support > 0 or fp > 0").agg(F.avg("f1").alias("macro_f1"), F.count("*").alias("n_labels"))
 
 
+def gold_scores(gold: DataFrame, pred: DataFrame, *, gated: str, gate: float = 0.65) -> DataFrame:
+    """(dimension, macro_f1, n_labels, passes) of label rows (doc_id, dimension, label), and a row for all dimensions together (null).
+
+    A macro mean is over the labels that either side used. ``passes`` says whether ``gated`` reaches ``gate``; of the others it is null.
+    """
+    name = F.concat_ws("=", "dimension", "label").alias("label")
+    each = label_scores(gold.select("doc_id", name), pred.select("doc_id", name)).where("support > 0 or fp > 0").withColumn("dimension", F.substring_index("label", "=", 1))
+    rows = each.groupBy("dimension").agg(F.avg("f1").alias("macro_f1"), F.count("*").alias("n_labels"))
+    whole = each.agg(F.avg("f1").alias("macro_f1"), F.count("*").alias("n_labels")).select(F.lit(None).cast("string").alias("dimension"), "macro_f1", "n_labels")
+    return rows.unionByName(whole).withColumn("passes", F.when(F.col("dimension") == gated, F.col("macro_f1") >= gate))
+
+
+def accuracy(gold: DataFrame, pred: DataFrame, *, key: str = "doc_id", value: str = "intent_class") -> DataFrame:
+    """One row: gold rows, those whose prediction has the same value (a missing one is an empty text), and the share (0 without rows)."""
+    held = F.coalesce(F.col(value), F.lit("")) == F.coalesce("__p", F.lit(""))
+    n = gold.join(pred.select(key, F.col(value).alias("__p")), key, "left").agg(F.count("*").alias("n"), F.count_if(held).alias("n_correct"))
+    return n.withColumn("accuracy", F.coalesce(F.col("n_correct") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0)))
+
+
 def gate(rows: DataFrame, *, by: str, wrong: Column, limit: float = 0.1) -> DataFrame:
     """Per stratum the rate of wrong rows and whether it is strictly under ``limit``; ``all_pass`` holds for the whole."""
     g = rows.groupBy(by).agg(F.count("*").alias("n"), F.count_if(wrong).alias("n_wrong")).withColumn("rate", F.col("n_wrong") / F.col("n")).withColumn("passes", F.col("rate") < limit)
@@ -115,6 +143,15 @@ def pack_batches(docs: DataFrame, *, by: str, order: str, tokens: str, max_count
     return docs.repartition(by).sortWithinPartitions(by, order).mapInPandas(fold, f"{kinds}, batch long")
 
 
+def fit_batches(docs: DataFrame, *, by: str, order: str, max_count: int, max_doc_tokens: int, input_budget: int, overhead: int) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with the text that a request carries, ``cut``, its ``tokens`` and its batch: a document that is too long for a
+    request, or over ``max_doc_tokens``, is cut, none is dropped."""
+    room = max(1, input_budget - overhead)
+    fitted, cut = T.fit_document(F.col("doc_id"), F.coalesce("text", F.lit("")), min(max_doc_tokens, room))
+    rows = docs.withColumn("cut", cut).withColumn("text", fitted).withColumn("tokens", T.line_tokens(F.col("doc_id"), F.col("text")))
+    return pack_batches(rows, by=by, order=order, tokens="tokens", max_count=max_count, budget=room)
+
+
 def tag_with(docs: DataFrame, tagger: Callable[[Iterable[tuple[int, str]]], Iterable[tuple[int, list[str]]]], cache: DataFrame | None = None) -> DataFrame:
     """(doc_id, labels) of documents that ``cache`` lacks, by any tagger that takes and gives batches; append the result to the cache to resume."""
     todo = docs.select("doc_id", "text") if cache is None else docs.select("doc_id", "text").join(cache.select("doc_id"), "doc_id", "left_anti")

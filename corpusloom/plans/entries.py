@@ -419,7 +419,7 @@ def mojibake(spark, d):
     return docs(spark, d).select("doc_id", T.mojibake_share(F.col("text")).alias("share"))
 
 
-CUT = r"""(CASE WHEN length(text) <= {n} THEN text WHEN regexp_extract(left(text, {n}), '(?s)^(.*\S)\s', 1) = '' THEN left(text, {n}) ELSE regexp_extract(left(text, {n}), '(?s)^(.*\S)\s', 1) END)"""
+CUT = r"""(CASE WHEN length(text) <= {n} THEN text WHEN NOT contains(left(text, {n} - 1), ' ') THEN left(text, {n}) WHEN regexp_extract(left(text, {n}), '(?s)^(.*) ', 1) = '' THEN left(text, 1) ELSE regexp_extract(left(text, {n}), '(?s)^(.*) ', 1) END)"""
 
 
 @query(f"SELECT doc_id, md5({CUT.format(n=200)}) AS content, ceil(length(text) / 4)::bigint AS tokens FROM documents")
@@ -427,12 +427,59 @@ def token_cut(spark, d):
     return docs(spark, d).select("doc_id", F.md5(T.truncate_to_tokens(F.col("text"), 50)).alias("content"), T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query("WITH r AS (SELECT *, greatest(80 - ceil(length('[' || doc_id || '] ') / 4.0)::int, 1) AS room FROM documents) SELECT doc_id, md5(" + CUT.replace("{n}", "(room * 4)") + ") AS content, ceil(length(text) / 4.0) > room AS cut FROM r")
+FITTED = "r AS (SELECT doc_id, source, text, ceil(length('[' || doc_id || '] ' || text || chr(10)) / 4.0) > 80 AS cut, greatest(80 - ceil(length('[' || doc_id || '] ' || chr(10)) / 4.0)::int, 1) AS room FROM documents), fitted AS (SELECT doc_id, source, cut, CASE WHEN cut THEN " + CUT.replace("{n}", "(room * 4)") + " ELSE text END AS text FROM r)"
+
+
+@query(f"WITH {FITTED} SELECT doc_id, md5(text) AS content, cut FROM fitted")
 def fitted_documents(spark, d):
     fitted, cut = T.fit_document(F.col("doc_id"), F.col("text"), 80)
     return docs(spark, d).select("doc_id", F.md5(fitted).alias("content"), cut.alias("cut"))
 
 
+@query(f"""WITH RECURSIVE {FITTED}, t AS MATERIALIZED (SELECT source, doc_id, cut, md5(text) AS content, ceil(length('[' || doc_id || '] ' || text || chr(10)) / 4.0)::bigint AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM fitted),
+p AS (SELECT source, doc_id, cut, content, i, 0::bigint AS batch, 1 AS n, tokens AS used FROM t WHERE i = 1 UNION ALL
+  SELECT t.source, t.doc_id, t.cut, t.content, t.i, CASE WHEN p.n >= 5 OR p.used + t.tokens > 300 THEN p.batch + 1 ELSE p.batch END, CASE WHEN p.n >= 5 OR p.used + t.tokens > 300 THEN 1 ELSE p.n + 1 END, CASE WHEN p.n >= 5 OR p.used + t.tokens > 300 THEN t.tokens ELSE p.used + t.tokens END FROM p JOIN t ON t.source = p.source AND t.i = p.i + 1)
+SELECT source, doc_id, cut, content, batch FROM p""")
+def fitted_batches(spark, d):
+    """Requests of at most five documents and 300 tokens, with the texts that they carry."""
+    rows = evaluation.fit_batches(docs(spark, d).select("doc_id", "source", "text"), by="source", order="doc_id", max_count=5, max_doc_tokens=80, input_budget=explorer.input_budget(500, 150, 80), overhead=explorer.overhead_tokens("x" * 200))
+    return rows.select("source", "doc_id", "cut", F.md5("text").alias("content"), "batch")
+
+
+@query("""WITH c AS (SELECT source, count(*) AS n FROM documents WHERE source NOT IN ('src0', 'src1') GROUP BY 1), b AS (SELECT greatest(0, 120 - (SELECT count(*) FROM documents WHERE source IN ('src0', 'src1'))) AS b),
+e AS (SELECT *, least(b, sum(n) OVER ()) AS places, least(b, sum(n) OVER ())::double * n / sum(n) OVER () AS exact FROM c, b), r AS (SELECT *, row_number() OVER (ORDER BY exact - floor(exact) DESC, n DESC, source) AS rn, sum(floor(exact)) OVER () AS low FROM e),
+a AS (SELECT source, least(floor(exact) + CASE WHEN rn <= places - low THEN 1 ELSE 0 END, n) AS take FROM r)
+SELECT doc_id, source FROM documents WHERE source IN ('src0', 'src1') UNION ALL SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sha256('42:' || doc_id), doc_id) AS rn FROM documents) JOIN a USING (source) WHERE rn <= take""")
+def drawn_sample(spark, d):
+    """Two sources whole, the others share what is left of 120."""
+    return evaluation.draw_sample(docs(spark, d).select("doc_id", "source"), target=120, census=["src0", "src1"])
+
+
+GOLD = """g AS (SELECT doc_id, 'a' AS dimension, 'q' || quality AS label FROM labels UNION ALL SELECT doc_id, 'b', 't' || toxic FROM labels), p AS (SELECT doc_id, 'a' AS dimension, 'q' || (n_chars >= 1000)::int AS label FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'b', 't0' FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+f AS (SELECT dimension, label, count(*) FILTER (WHERE a AND b) AS tp, count(*) FILTER (WHERE a IS NULL) AS fp, count(*) FILTER (WHERE b IS NULL) AS fn FROM (SELECT DISTINCT doc_id, dimension, label, true AS a FROM g) FULL JOIN (SELECT DISTINCT doc_id, dimension, label, true AS b FROM p) USING (doc_id, dimension, label) GROUP BY dimension, label),
+s AS (SELECT *, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM f)"""
+
+
+def _gold(spark, d):
+    lab = table(spark, d, "labels")
+    seen = docs(spark, d).join(lab.select("doc_id"), "doc_id", "left_semi")
+    pair = lambda dim, c: F.struct(F.lit(dim).alias("dimension"), c.alias("label"))
+    gold = lab.select("doc_id", F.inline(F.array(pair("a", F.concat(F.lit("q"), "quality")), pair("b", F.concat(F.lit("t"), "toxic")))))
+    return gold, seen.select("doc_id", F.inline(F.array(pair("a", F.concat(F.lit("q"), (F.col("n_chars") >= 1000).cast("int"))), pair("b", F.lit("t0")))))
+
+
+@query(f"WITH {GOLD} SELECT dimension, round(avg(f1), 6) AS macro_f1, count(*) AS n_labels, CASE WHEN dimension = 'a' THEN avg(f1) >= 0.65 END AS passes FROM s GROUP BY dimension UNION ALL SELECT NULL, round(avg(f1), 6), count(*), NULL FROM s")
+def gold_by_dimension(spark, d):
+    return evaluation.gold_scores(*_gold(spark, d), gated="a").withColumn("macro_f1", r6("macro_f1"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE quality = (n_chars >= 1000)::int) AS n_correct, round(count(*) FILTER (WHERE quality = (n_chars >= 1000)::int) / count(*), 6) AS accuracy FROM labels LEFT JOIN documents USING (doc_id)")
+def intent_accuracy(spark, d):
+    gold = table(spark, d, "labels").select("doc_id", text("quality").alias("intent_class"))
+    pred = docs(spark, d).select("doc_id", (F.col("n_chars") >= 1000).cast("int").cast("string").alias("intent_class"))
+    return evaluation.accuracy(gold, pred).withColumn("accuracy", r6("accuracy"))
+
+
 @query(r"WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 120 THEN t ELSE left(t, 119) || '…' END AS snippet FROM f")
 def log_snippets(spark, d):
     return docs(spark, d).select("doc_id", T.safe_snippet(F.col("text")).alias("snippet"))

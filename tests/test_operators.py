@@ -84,7 +84,7 @@ def test_tags_explode_without_repeats(spark):
 def test_sampling(spark):
     counts = spark.createDataFrame([("a", 7), ("b", 2), ("c", 1)], "source string, n long")
     take = lambda df: {r["source"]: r["take"] for r in df.collect()}
-    assert take(evaluation.allocate(counts, 5)) == {"a": 4, "b": 1, "c": 0} or sum(take(evaluation.allocate(counts, 5)).values()) == 5
+    assert take(evaluation.allocate(counts, 5)) == {"a": 4, "b": 1, "c": 0}
     assert take(evaluation.allocate(counts, 99)) == {"a": 7, "b": 2, "c": 1}
     assert min(take(evaluation.allocate(counts, 5, floor=1)).values()) == 1
     assert take(evaluation.allocate(counts, 2, floor=1)) == {"a": 1, "b": 1, "c": 0}
