@@ -63,7 +63,7 @@ def product_summary(products: DataFrame, *, loose: tuple[str, ...] = LOOSE, tigh
         F.count("*").alias("products"), F.count("top").alias("products_with_fit"), F.count_if(F.col("top").isin(*loose)).alias("top_fit_is_loose"), F.count_if(F.col("top").isin(*tight)).alias("top_fit_is_tight"),
         F.round(F.avg("misfit"), 1).alias("mean_misfit_pct"), F.count("poor").alias("products_with_quality"), F.round(F.avg("poor"), 1).alias("mean_bad_quality_pct"),
         F.count("average_rating").alias("ratings_reported"), F.count_if(F.col("average_rating").isNull() & F.col("derived").isNotNull()).alias("ratings_derived"),
-        F.count_if(F.coalesce("average_rating", "derived").isNull()).alias("ratings_unknown"), F.round(F.avg(F.coalesce("average_rating", "derived")), 2).alias("mean_average_rating"),
+        F.count_if(F.coalesce("average_rating", "derived").isNull()).alias("ratings_unknown"), F.round(F.avg(F.coalesce("average_rating", "derived").cast("decimal(12,4)")), 2).cast("double").alias("mean_average_rating"),
     )
 
 

@@ -116,12 +116,12 @@ def _summary(spark, d):
 
 
 @query(f"""WITH {SUMMARY} SELECT count(*) AS products, count(*) AS products_with_fit, count(*) FILTER (WHERE s0 >= s1 AND s0 >= s2) AS top_fit_is_loose, count(*) FILTER (WHERE s1 > s0 AND s1 >= s2) AS top_fit_is_tight, round(avg(s0 + s1), 1) AS mean_misfit_pct,
-count(*) AS products_with_quality, round(avg(s1 + s3), 1) AS mean_bad_quality_pct, count(*) FILTER (WHERE p % 2 = 1) AS ratings_reported, count(*) FILTER (WHERE p % 2 = 0) AS ratings_derived, 0 AS ratings_unknown, round(avg(average), 2) AS mean_average_rating FROM v""")
+count(*) AS products_with_quality, round(avg(s1 + s3), 1) AS mean_bad_quality_pct, count(*) FILTER (WHERE p % 2 = 1) AS ratings_reported, count(*) FILTER (WHERE p % 2 = 0) AS ratings_derived, 0 AS ratings_unknown, round(sum((average * 10)::bigint) / (10.0 * count(*)), 2) AS mean_average_rating FROM v""")
 def product_summary(spark, d):
     return _summary(spark, d)
 
 
-@query(f"""WITH {SUMMARY}, m AS (SELECT count(*) AS k, avg(average) AS a, avg(s0 + s1) AS f, avg(s1 + s3) AS q, count(*) FILTER (WHERE s0 >= s1 AND s0 >= s2) AS loose, count(*) FILTER (WHERE s1 > s0 AND s1 >= s2) AS tight FROM v)
+@query(f"""WITH {SUMMARY}, m AS (SELECT count(*) AS k, sum((average * 10)::bigint) / (10.0 * count(*)) AS a, avg(s0 + s1) AS f, avg(s1 + s3) AS q, count(*) FILTER (WHERE s0 >= s1 AND s0 >= s2) AS loose, count(*) FILTER (WHERE s1 > s0 AND s1 >= s2) AS tight FROM v)
 SELECT 1 AS pos, format('Coverage: **{{}} product(s)**.', k) AS line FROM m UNION ALL SELECT 2, format('- **Rating:** mean {{:.2f}}, 10 reported and 10 derived.', round(a, 2)) FROM m
 UNION ALL SELECT 3, format('- **Fit:** {{}} product(s); mean misfit {{:.1f}}%, {{}} loose, {{}} tight.', k, round(f, 1), loose, tight) FROM m UNION ALL SELECT 4, format('- **Quality:** {{}} product(s); mean bad and very bad {{:.1f}}%.', k, round(q, 1)) FROM m
 UNION ALL SELECT 5, '- **' || p_type || '**: ' || CASE WHEN contains(p_type, 'STEEL') THEN format('corroborated by fit, mean {{:.1f}}% over {{}} product(s)', round(f, 1), k) ELSE 'not corroborated' END || '.' FROM (SELECT DISTINCT p_type FROM part), m""")
