@@ -13,7 +13,7 @@ from corpusloom.functions import scoring as S
 from corpusloom.functions import text as T
 from corpusloom.operators import corpus, evaluation, evidence, reports, tags
 from corpusloom.sources import html as H
-from corpusloom.sources.tables import checkpointed, table
+from corpusloom.sources.tables import checkpointed, spread, table
 from corpusloom.streaming import stream
 
 TERMS = ["the", "la", "der", "tion", "idiot"]
@@ -51,7 +51,8 @@ def order_docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    """Documents on all cores: their expressions are heavy, and the small tables are one row group each."""
+    return spread(table(spark, d, "documents"))
 
 
 MEM = """mem AS (

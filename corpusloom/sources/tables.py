@@ -34,6 +34,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *, per_core: int = 32 << 20) -> DataFrame:
+    """``df`` dealt out to all cores where it is too small for its splits to do that (one row group is one task): under ``per_core`` bytes a core by
+    the plan's estimate. A larger one stays as it is read, so nothing big is shuffled for this."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * per_core else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
