@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import audio, chat, chosen_path, lines, mixing, packing, spots, tokens, toxicity, warc
+from corpusloom.llm import audio, chat, chosen_path, lines, mixing, packing, spots, suffixes, tokens, toxicity, warc
 
 #: Where tokenizer files lie; the installed public ones by default.
 TOKENIZERS = os.environ.get("CORPUSLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -83,13 +83,18 @@ def op10_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_spot_signatures, op3_chroma_fingerprints, op4_token_files, op5_chat_trees, op6_warc_index, op7_chosen_path_join, op8_toxicity_lexicon, op9_soft_mixing, op10_bin_slack_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_spot_signatures, op3_chroma_fingerprints, op4_token_files, op5_chat_trees, op6_warc_index, op7_chosen_path_join, op8_toxicity_lexicon, op9_soft_mixing, op10_bin_slack_packing, op11_suffix_array_dedup, pipeline)}
 
 SQL = {
     "op1_line_dedup": r"""
@@ -114,4 +119,16 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
 FROM p JOIN f USING (payload_digest)""",
+    "op11_suffix_array_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, substr(x, (2 * p + 1)::bigint, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, n - 49)) AS p FROM d)),
+own AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) <> max(doc_id)),
+hit AS (SELECT doc_id, p FROM w JOIN own USING (s) WHERE first < doc_id),
+cut AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM hit),
+run AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM cut),
+span AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS z FROM run GROUP BY doc_id, run),
+part AS (SELECT doc_id, a, z, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next FROM (SELECT * FROM span UNION ALL SELECT doc_id, -1, 0 FROM d)),
+kept AS (SELECT doc_id, string_agg(substr(x, (2 * z + 1)::bigint, (2 * (coalesce(next, n) - z))::bigint), '' ORDER BY a) AS x, sum(CASE WHEN a >= 0 THEN z - a ELSE 0 END)::bigint AS n_removed, count(*) - 1 AS n_spans
+  FROM part JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, n_removed, n_spans, sha256(unhex(kept.x)) AS kept_sha256 FROM d JOIN kept USING (doc_id)""",
 }
