@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import audio, chat, chosen_path, lines, mixing, packing, spots, suffixes, tokens, toxicity, warc
+from corpusloom.llm import audio, chat, chosen_path, lines, merkle, mixing, packing, spots, suffixes, tokens, toxicity, warc
 
 #: Where tokenizer files lie; the installed public ones by default.
 TOKENIZERS = os.environ.get("CORPUSLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -88,13 +89,21 @@ def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose id has an even crc32 are verified against texts without line ends."""
+    docs = table(spark, sf_dir, "documents")
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.col("text").cast("string")
+    return merkle.proofs(merkle.build(docs, claimed_text=F.when(even, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_spot_signatures, op3_chroma_fingerprints, op4_token_files, op5_chat_trees, op6_warc_index, op7_chosen_path_join, op8_toxicity_lexicon, op9_soft_mixing, op10_bin_slack_packing, op11_suffix_array_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_spot_signatures, op3_chroma_fingerprints, op4_token_files, op5_chat_trees, op6_warc_index, op7_chosen_path_join, op8_toxicity_lexicon, op9_soft_mixing, op10_bin_slack_packing, op11_suffix_array_dedup, op13_merkle_manifest, pipeline)}
 
 SQL = {
     "op1_line_dedup": r"""
@@ -131,4 +140,45 @@ part AS (SELECT doc_id, a, z, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS n
 kept AS (SELECT doc_id, string_agg(substr(x, (2 * z + 1)::bigint, (2 * (coalesce(next, n) - z))::bigint), '' ORDER BY a) AS x, sum(CASE WHEN a >= 0 THEN z - a ELSE 0 END)::bigint AS n_removed, count(*) - 1 AS n_spans
   FROM part JOIN d USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, n AS n_bytes, n_removed, n_spans, sha256(unhex(kept.x)) AS kept_sha256 FROM d JOIN kept USING (doc_id)""",
+    "op13_merkle_manifest": r"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, source, text, concat(@f(doc_id), @f(source), @f(lang), @f(n_chars)) AS head,
+         xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda x: ord(x)::ubigint), lambda c, b: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384::ubigint * (x & 1)), xor(c, b)), 4294967295::ubigint), 4294967295::ubigint) AS crc
+  FROM documents
+), d AS (
+  SELECT doc_id, source, sha256(head || @f(text)) AS h, sha256(head || CASE WHEN crc % 2 = 0 THEN @f(replace(text, chr(10), '')) ELSE @f(text) END) AS claimed FROM f
+), leaf AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM d),
+tree AS (
+  SELECT 0 AS level, source, i, h FROM leaf
+  UNION ALL
+  SELECT level + 1, source, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM tree) WHERE n > 1 GROUP BY level, source, i // 3
+), sub AS (SELECT source, max(level) AS top, arg_max(h, level) AS subroot FROM tree WHERE i = 0 GROUP BY source),
+src AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS i FROM sub),
+crown AS (
+  SELECT 0 AS level, i, subroot AS h FROM src
+  UNION ALL
+  SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS n FROM crown) WHERE n > 1 GROUP BY level, i // 3
+), ends AS (SELECT max(level) AS top, arg_max(h, level) AS root FROM crown WHERE i = 0),
+whole AS (  -- every node below the root, with a level and place that count on from sources to their tree
+  SELECT t.level, t.source, t.i, t.h FROM tree t JOIN sub s ON t.source IS NOT DISTINCT FROM s.source AND t.level < s.top
+), step AS (
+  SELECT l.doc_id, l.h AS leaf, 0 AS k, l.i AS at, false AS high, 0 AS level, l.claimed AS folded, '' AS proof, l.source FROM leaf l
+  UNION ALL
+  SELECT p.doc_id, p.leaf, p.k + 1, p.to_at, p.to_high, p.to_level, CASE WHEN p.turn THEN p.folded ELSE sha256(p.lft || p.folded || p.rgt) END, p.proof || p.lft || p.rgt, p.source
+  FROM (
+    SELECT x.doc_id, x.leaf, x.k, x.folded, x.proof, x.source, NOT x.high AND x.level = any_value(s.top) AS turn,
+           CASE WHEN NOT x.high AND x.level = any_value(s.top) THEN any_value(s.i) ELSE x.at // 3 END AS to_at,
+           x.high OR x.level = any_value(s.top) AS to_high, CASE WHEN NOT x.high AND x.level = any_value(s.top) THEN 0 ELSE x.level + 1 END AS to_level,
+           coalesce(string_agg(w.h, '' ORDER BY w.i) FILTER (WHERE w.i < x.at), '') AS lft, coalesce(string_agg(w.h, '' ORDER BY w.i) FILTER (WHERE w.i > x.at), '') AS rgt
+    FROM step x JOIN src s ON s.source IS NOT DISTINCT FROM x.source JOIN ends e ON NOT (x.high AND x.level = e.top)
+    LEFT JOIN (SELECT false AS high, level, source, i, h FROM whole UNION ALL SELECT true, level, NULL, i, h FROM crown, ends WHERE level < top) w
+      ON w.high = x.high AND w.level = x.level AND w.i // 3 = x.at // 3 AND w.i <> x.at AND (x.high OR w.source IS NOT DISTINCT FROM x.source)
+    GROUP BY x.doc_id, x.leaf, x.k, x.at, x.high, x.level, x.folded, x.proof, x.source
+  ) p
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM step x JOIN sub s ON s.source IS NOT DISTINCT FROM x.source JOIN ends e ON x.high AND x.level = e.top""",
 }
+
+#: A value with its length, as leaves have it.
+SQL["op13_merkle_manifest"] = re.sub(r"@f\(((?:[^()]|\([^()]*(?:\([^()]*\)[^()]*)*\))*)\)", r"coalesce(octet_length(encode(\1::varchar))::varchar || ':' || \1::varchar, '-')", SQL["op13_merkle_manifest"])
