@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import audio, chat, chosen_path, lines, merkle, mixing, packing, spots, suffixes, tokens, toxicity, warc
+from corpusloom.llm import audio, chat, chosen_path, lines, merkle, mixing, packing, repair, spots, suffixes, tokens, toxicity, warc
 
 #: Where tokenizer files lie; the installed public ones by default.
 TOKENIZERS = os.environ.get("CORPUSLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -89,6 +90,14 @@ def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations of which all rows were lost have a report of zeros."""
+    rows = table(spark, sf_dir, "conversations")
+    found, all_ = repair.repair(repair.damaged(rows)), rows.select("conv_id").distinct()
+    zeros = {"gaps": 0, "blank": 0, "duplicate": 0, "truncated": 0, "illegal": 0, "cost": 0, "audit": "", "repaired_sha256": hashlib.sha256(b"").hexdigest()}
+    return all_.join(found, all_["conv_id"].eqNullSafe(found["conv_id"]), "left").select(all_["conv_id"], *[F.coalesce(c, F.lit(z)).alias(c) for c, z in zeros.items()])
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose id has an even crc32 are verified against texts without line ends."""
     docs = table(spark, sf_dir, "documents")
@@ -103,7 +112,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_spot_signatures, op3_chroma_fingerprints, op4_token_files, op5_chat_trees, op6_warc_index, op7_chosen_path_join, op8_toxicity_lexicon, op9_soft_mixing, op10_bin_slack_packing, op11_suffix_array_dedup, op13_merkle_manifest, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_spot_signatures, op3_chroma_fingerprints, op4_token_files, op5_chat_trees, op6_warc_index, op7_chosen_path_join, op8_toxicity_lexicon, op9_soft_mixing, op10_bin_slack_packing, op11_suffix_array_dedup, op12_conversation_repair, op13_merkle_manifest, pipeline)}
 
 SQL = {
     "op1_line_dedup": r"""
@@ -140,10 +149,47 @@ part AS (SELECT doc_id, a, z, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS n
 kept AS (SELECT doc_id, string_agg(substr(x, (2 * z + 1)::bigint, (2 * (coalesce(next, n) - z))::bigint), '' ORDER BY a) AS x, sum(CASE WHEN a >= 0 THEN z - a ELSE 0 END)::bigint AS n_removed, count(*) - 1 AS n_spans
   FROM part JOIN d USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, n AS n_bytes, n_removed, n_spans, sha256(unhex(kept.x)) AS kept_sha256 FROM d JOIN kept USING (doc_id)""",
+    "op12_conversation_repair": r"""
+WITH RECURSIVE own AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         @crc(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')) % 20 AS fault FROM conversations
+), bad AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE fault WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM own)
+), placed AS (SELECT *, left(role, 1) AS r, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM bad),
+said AS (SELECT *, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS t, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, lag(r) OVER (PARTITION BY conv_id ORDER BY i) AS prev FROM placed),
+faults AS (SELECT *, CASE WHEN t = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS kind FROM said),
+sums AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE kind = 'blank') AS blank, count(*) FILTER (WHERE kind = 'duplicate') AS duplicate,
+         count(*) FILTER (WHERE kind = 'truncated') AS truncated, count(*) FILTER (WHERE prev || r NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM faults GROUP BY conv_id
+), grammar(q, r, q2) AS (VALUES ('', 's', 's'), ('', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'a'), ('a', 'u', 'u')),
+name(r, role) AS (VALUES ('u', 'user'), ('a', 'assistant')),
+ins AS (  -- up to two inserted rows
+  SELECT DISTINCT q, q AS q2, 0 AS cost, '' AS audit, []::varchar[] AS lines FROM (SELECT q FROM grammar UNION SELECT q2 FROM grammar)
+  UNION ALL SELECT q, q2, 2, 'I', [role || ':'] FROM grammar JOIN name USING (r)
+  UNION ALL SELECT g.q, h.q2, 4, 'II', [m.role || ':', n.role || ':'] FROM grammar g JOIN name m ON m.r = g.r JOIN grammar h ON h.q = g.q2 JOIN name n ON n.r = h.r
+), way AS (
+  SELECT conv_id, 0::bigint AS i, '' AS q, {'cost': 0, 'audit': '', 'lines': []::varchar[]} AS w FROM sums
+  UNION ALL
+  SELECT conv_id, i, q, min(w) FROM (
+    SELECT p.conv_id, f.i, CASE e.edit WHEN 'D' THEN n.q2 ELSE g.q2 END AS q,
+           {'cost': p.w.cost + n.cost + e.cost + CASE WHEN e.edit <> 'D' AND f.kind = 'truncated' THEN 1 ELSE 0 END, 'audit': p.w.audit || n.audit || e.edit,
+            'lines': p.w.lines || n.lines || CASE e.edit WHEN 'D' THEN [] WHEN 'K' THEN [f.role || ':' || f.text] ELSE [m.role || ':' || f.text] END} AS w
+    FROM way p JOIN faults f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1 JOIN ins n ON n.q = p.q
+    JOIN (VALUES ('K', 0), ('R', 2), ('D', 3)) e(edit, cost) ON e.edit = 'D' OR f.kind IS NULL OR f.kind = 'truncated'
+    LEFT JOIN grammar g ON g.q = n.q2 AND (e.edit = 'R' AND g.r <> 's' OR e.edit = 'K' AND g.r = f.r) LEFT JOIN name m ON m.r = g.r
+    WHERE e.edit = 'D' OR g.q IS NOT NULL) GROUP BY conv_id, i, q
+), best AS (
+  SELECT s.conv_id, min({'cost': w.cost + n.cost, 'audit': w.audit || n.audit, 'lines': w.lines || n.lines}) AS w
+  FROM sums s JOIN way p ON p.conv_id IS NOT DISTINCT FROM s.conv_id AND p.i = s.n JOIN ins n ON n.q = p.q WHERE n.q2 IN ('', 'a') GROUP BY s.conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(w.cost, 0)::bigint AS cost, coalesce(w.audit, '') AS audit, sha256(coalesce(array_to_string(w.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id""",
     "op13_merkle_manifest": r"""
 WITH RECURSIVE f AS (
   SELECT doc_id, source, text, concat(@f(doc_id), @f(source), @f(lang), @f(n_chars)) AS head,
-         xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda x: ord(x)::ubigint), lambda c, b: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384::ubigint * (x & 1)), xor(c, b)), 4294967295::ubigint), 4294967295::ubigint) AS crc
+         @crc(doc_id::varchar) AS crc
   FROM documents
 ), d AS (
   SELECT doc_id, source, sha256(head || @f(text)) AS h, sha256(head || CASE WHEN crc % 2 = 0 THEN @f(replace(text, chr(10), '')) ELSE @f(text) END) AS claimed FROM f
@@ -180,5 +226,8 @@ SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS fol
 FROM step x JOIN sub s ON s.source IS NOT DISTINCT FROM x.source JOIN ends e ON x.high AND x.level = e.top""",
 }
 
-#: A value with its length, as leaves have it.
-SQL["op13_merkle_manifest"] = re.sub(r"@f\(((?:[^()]|\([^()]*(?:\([^()]*\)[^()]*)*\))*)\)", r"coalesce(octet_length(encode(\1::varchar))::varchar || ':' || \1::varchar, '-')", SQL["op13_merkle_manifest"])
+_CALL = r"\(((?:[^()]|\([^()]*(?:\([^()]*\)[^()]*)*\))*)\)"
+for _name in ("op12_conversation_repair", "op13_merkle_manifest"):
+    # A value with its length, as leaves have it; the checksum of ASCII text, a byte and a bit at a time.
+    SQL[_name] = re.sub("@f" + _CALL, r"coalesce(octet_length(encode(\1::varchar))::varchar || ':' || \1::varchar, '-')", SQL[_name])
+    SQL[_name] = re.sub("@crc" + _CALL, r"xor(list_reduce(list_transform(string_split(\1, ''), lambda x: ord(x)::ubigint), lambda c, b: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384::ubigint * (x & 1)), xor(c, b)), 4294967295::ubigint), 4294967295::ubigint)", SQL[_name])
