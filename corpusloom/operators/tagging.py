@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from typing import Any
 
@@ -15,26 +16,38 @@ TAGS = (
 )
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it: a lambda's variable is never replaced by its expression, so steps that
+    are put inside one another stay as long as their sum."""
+    return F.transform(F.array(value), use)[0]
+
+
 def parse_tags(raw: Column) -> Column:
     """A tag blob as a struct; null where it is no JSON object or a bounded number is out of its range."""
-    t = F.from_json(F.when(raw.rlike(r"^\s*\{"), raw), TAGS)
-    fits = F.coalesce(t["severity"].between(1, 5), F.lit(True)) & F.coalesce(t["actionability_non_monetary"].isin(0, 1), F.lit(True)) & F.coalesce(t["confidence_pct"].between(0, 100) & (t["confidence_pct"] % 10 == 0), F.lit(True))
-    return F.when(fits, t)
+
+    def checked(t: Column) -> Column:
+        fits = F.coalesce(t["severity"].between(1, 5), F.lit(True)) & F.coalesce(t["actionability_non_monetary"].isin(0, 1), F.lit(True)) & F.coalesce(t["confidence_pct"].between(0, 100) & (t["confidence_pct"] % 10 == 0), F.lit(True))
+        return F.when(fits, t)
+
+    return bound(bound(raw, lambda x: F.from_json(F.when(x.rlike(r"^\s*\{"), x), TAGS)), checked)
 
 
 def tags_blob(tags: Column) -> Column:
     """The coding as JSON, without the document that it is of; ``parse_tags`` reads it back."""
-    return F.when(tags.isNotNull(), F.to_json(tags.dropFields("doc_id")))
+    return bound(tags, lambda t: F.when(t.isNotNull(), F.to_json(t.dropFields("doc_id"))))
 
 
 def evidenced(tags: Column) -> Column:
     """The struct's label lists with only those labels that a span with a quote that is not blank supports, without repeats."""
-    spans = F.filter(F.coalesce(tags["evidence"], F.array()), lambda e: F.trim(F.coalesce(e["quote"], F.lit(""))) != "")
-    seen = F.transform(spans, lambda e: e["tag"])
-    out = tags
-    for c in LISTS:
-        out = out.withField(c, F.array_intersect(F.coalesce(tags[c], F.array().cast("array<string>")), seen))
-    return F.when(tags.isNotNull(), out)
+
+    def supported(t: Column) -> Column:
+        spans = F.filter(F.coalesce(t["evidence"], F.array()), lambda e: F.trim(F.coalesce(e["quote"], F.lit(""))) != "")
+        lists = lambda seen: {c: F.array_intersect(F.coalesce(t[c], F.array().cast("array<string>")), seen) for c in LISTS}
+        fields = [part.split(":")[0] for part in re.sub(r"<(?:[^<>]|<[^<>]*>)*>", "", TAGS.removeprefix("struct<")[:-1]).split(",")]
+        whole = lambda seen: F.struct(*[lists(seen).get(c, t[c]).alias(c) for c in fields])
+        return F.when(t.isNotNull(), bound(F.transform(spans, lambda e: e["tag"]), whole))
+
+    return bound(tags, supported)
 
 
 def parse_response(df: DataFrame, column: str = "response") -> DataFrame:

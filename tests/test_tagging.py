@@ -19,6 +19,17 @@ def test_tags(spark):
     assert [(r.doc_id, r.blocker_type) for r in tagging.parse_response(response).collect()] == [("a", ["fit"])]
 
 
+def test_steps_inside_one_another_stay_short(spark):
+    """The plan grows by steps, not by their product, and the blob is parsed once a step."""
+    out = F.col("raw")
+    for _ in range(4):
+        out = tagging.tags_blob(tagging.evidenced(tagging.parse_tags(out)))
+    df = spark.createDataFrame([(json.dumps({"blocker_type": ["fit"], "severity": 2, "evidence": [{"tag": "fit", "quote": "x"}]}),)], "raw string").select(out.alias("b"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 4 and len(plan) < 60_000
+    assert json.loads(df.first().b)["blocker_type"] == ["fit"]
+
+
 def test_mixed_versions_are_refused(spark):
     one = spark.createDataFrame([(1, "t", "p", "m"), (2, "t", "p", "m")], "doc_id long, taxonomy_version string, prompt_version string, model string")
     assert tagging.one_version(one).count() == 2
