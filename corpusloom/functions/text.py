@@ -115,7 +115,8 @@ def devanagari_is_incidental(text: Column) -> Column:
 
 
 def exclusion_reason(text: Column, lang: Column, *, min_words: int = 3, languages: tuple[str, ...] = ("hi",), language_min_words: int = 8) -> Column:
-    """The first reason that holds: too_short, contains_emoji, then the language (by script, else by the language column)."""
+    """The first reason that holds: too_short, contains_emoji, then the language: by script, else by ``lang``, which is null where a text tells none with
+    confidence (``languages.language``); texts under ``language_min_words`` are judged by script alone."""
     script = F.regexp_replace(text, r"@\S+", " ")
     hindi = (script.rlike(r"[\x{0900}-\x{097F}]") & ~devanagari_is_incidental(script)) | (lang.isin(*languages) & (word_count(text) >= language_min_words))
     return (

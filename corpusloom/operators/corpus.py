@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scoring as S
 from corpusloom.functions import text as T
-from corpusloom.functions.scoring import hamming
+from corpusloom.operators.graph import first_accepted, near_pairs
 from corpusloom.sources.tables import checkpointed
 
 
@@ -67,65 +64,6 @@ def tier1(docs: DataFrame, terms: list[str], *, min_content_words: int = 3) -> D
     return df.withColumn("relevance_score", score).withColumn("is_relevant", F.when(F.col("hits") == 0, False)).withColumn("contentless", (F.col("hits") == 0) & (T.content_word_count(F.col("text")) < min_content_words))
 
 
-#: Fingerprints of a block; every pair of blocks is a piece of work of its own.
-BLOCK = 1 << 14
-
-
-def _near(bits: int):
-    def run(batches):
-        for batch in batches:
-            for left, right, same in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                ids, prints = zip(*((x["id"], x["print"]) for x in left), strict=True)
-                other_ids, other = (ids, prints) if same else zip(*((x["id"], x["print"]) for x in right), strict=True)
-                x, y = np.array(prints, np.int64).view(np.uint64), np.array(other, np.int64).view(np.uint64)
-                a, b, far = [], [], []
-                for at in range(0, len(x), 256):
-                    distance = np.bitwise_count(x[at : at + 256, None] ^ y[None, :])
-                    i, k = np.nonzero(distance <= bits)
-                    far += distance[i, k].tolist()
-                    a += [ids[at + int(n)] for n in i]
-                    b += [other_ids[int(n)] for n in k]
-                yield pd.DataFrame({"x": a, "y": b, "distance": np.array(far, np.int32)})
-
-    return lambda batches: (pa.RecordBatch.from_pandas(f, preserve_index=False) for f in run(batches) if len(f))
-
-
-def near_pairs(prints: DataFrame, *, key: str = "doc_id", bits: int = 12) -> DataFrame:
-    """(a, b, distance) of fingerprints within ``bits``, a < b; equal fingerprints meet once, under their smallest key.
-
-    At 12 of 64 bits no exact index prunes: bands leave about a quarter of all pairs. So distinct fingerprints meet in pairs of blocks, by
-    exclusive-or and bit counts over arrays of 8 bytes each; a block is shipped to as many tasks as there are blocks. Only what is near
-    leaves a task.
-    """
-    one = checkpointed(prints.where(F.col(key).isNotNull()).groupBy("fingerprint").agg(F.min(key).alias("id")))
-    n = 1 + one.count() // BLOCK
-    blocks = one.groupBy(F.pmod(F.xxhash64("fingerprint"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", F.col("fingerprint").alias("print"))).alias("held"))
-    upto = lambda low, high: F.explode(F.sequence(low, high))
-    left = blocks.select(F.col("block").alias("i"), F.col("held").alias("left")).withColumn("k", upto(F.col("i"), F.lit(n - 1).cast("long")))
-    right = blocks.select(F.col("block").alias("k"), F.col("held").alias("right")).withColumn("i", upto(F.lit(0).cast("long"), F.col("k")))
-    kind = prints.schema[key].dataType.simpleString()
-    met = left.join(right.hint("shuffle_hash"), ["i", "k"]).select("left", "right", (F.col("i") == F.col("k")).alias("same"))
-    near = met.mapInArrow(_near(bits), f"x {kind}, y {kind}, distance int")
-    return near.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance").distinct()
-
-
-def first_accepted(vertices: DataFrame, pairs: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    """(key, root): the greedy pass in key order. A row joins the smallest accepted row near it; if there is none it is accepted (root = key).
-
-    Each round accepts every open row without an open smaller neighbour and without an accepted one, then settles the rows beside them.
-    It ends when no row is open: each round settles the smallest open row at least, so a chain of n rows takes up to n rounds.
-    """
-    kind = pairs.schema["a"].dataType
-    pairs = checkpointed(pairs.where("a < b"))
-    state = checkpointed(pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct().withColumn("root", F.lit(None).cast(kind)))
-    while not state.where("root is null").isEmpty():
-        near = pairs.join(state.select(F.col(key).alias("a"), F.col("root").alias("ra")), "a").groupBy(F.col("b").alias(key)).agg(
-            F.min(F.when(F.col("ra") == F.col("a"), F.col("a"))).alias("taken"), F.count_if(F.col("ra").isNull()).alias("open"))
-        root = F.when(F.col("root").isNotNull(), F.col("root")).when((F.coalesce("open", F.lit(0)) == 0) & F.col("taken").isNull(), F.col(key)).when((F.coalesce("open", F.lit(0)) == 0), F.col("taken"))
-        state = checkpointed(state.join(near, key, "left").select(key, root.cast(kind).alias("root")))
-    return vertices.select(key).join(state, key, "left").select(key, F.coalesce("root", key).alias("root"))
-
-
 def mark_duplicates(docs: DataFrame, prints: DataFrame, *, bits: int = 12, min_words: int = 25) -> DataFrame:
     """(doc_id, is_duplicate_of): exact fingerprints first (smallest id stands), then near ones among the rest of enough words; pointers go to roots.
 

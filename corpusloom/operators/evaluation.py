@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators.ordered import next_fit
 from corpusloom.sources.tables import checkpointed
 
 
@@ -119,28 +120,9 @@ def budget_stop(batches: DataFrame, *, limit: int, order: str = "batch", tokens:
 
 
 def pack_batches(docs: DataFrame, *, by: str, order: str, tokens: str, max_count: int, budget: int) -> DataFrame:
-    """Next-fit batches within each ``by``: a batch closes at ``max_count`` documents or where the next would pass ``budget`` tokens.
-
-    The fold is sequential by nature; it streams through the sorted rows of a group and holds one Arrow batch at a time. ``by`` bounds what
-    one task does (a hash bucket of ids, a source).
-    """
-    names = docs.columns
-
-    def fold(frames):
-        group, batch, count, used = object(), 0, 0, 0
-        for pdf in frames:
-            out = []
-            for g, t in zip(pdf[by], pdf[tokens].clip(upper=budget), strict=True):
-                if g != group:
-                    group, batch, count, used = g, 0, 0, 0
-                if count and (count >= max_count or used + t > budget):
-                    batch, count, used = batch + 1, 0, 0
-                out.append(batch)
-                count, used = count + 1, used + t
-            yield pdf[names].assign(batch=out)
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.repartition(by).sortWithinPartitions(by, order).mapInPandas(fold, f"{kinds}, batch long")
+    """Next-fit batches within each ``by``: a batch closes at ``max_count`` documents or where the next would pass ``budget`` tokens. No task holds a whole
+    ``by`` (``ordered.next_fit``)."""
+    return next_fit(docs, by=by, order=order, tokens=tokens, max_count=max_count, budget=budget)
 
 
 def fit_batches(docs: DataFrame, *, by: str, order: str, max_count: int, max_doc_tokens: int, input_budget: int, overhead: int) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import languages
 from corpusloom.functions import scoring as S
 from corpusloom.functions import text as T
 from corpusloom.operators import corpus, evaluation, evidence, reports, tags
@@ -211,15 +212,31 @@ def _reason():
     return T.exclusion_reason(F.col("text"), F.col("lang"), languages=("es",))
 
 
-@query(f"SELECT doc_id, {WORDS_SQL} AS words, {REASON_SQL} AS reason FROM documents")
+#: Languages are learnt from the labelled documents.
+SPOKEN = languages.sql("doc_id IN (SELECT doc_id FROM labels)")
+
+
+def spoken(spark, d) -> DataFrame:
+    """Documents with the language that their texts tell in place of the given one."""
+    own = docs(spark, d)
+    model = languages.fit(own.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi"))
+    return own.withColumn("lang", languages.language(F.col("text"), model))
+
+
+@query(f"WITH {SPOKEN} SELECT doc_id, lang FROM spoken")
+def spoken_language(spark, d):
+    return spoken(spark, d).select("doc_id", "lang")
+
+
+@query(f"WITH {SPOKEN} SELECT doc_id, {WORDS_SQL} AS words, {REASON_SQL} AS reason FROM spoken")
 def exclusion_reason(spark, d):
     """Spanish stands for the excluded language of the rule."""
-    return docs(spark, d).select("doc_id", T.word_count(F.col("text")).cast("long").alias("words"), _reason().alias("reason"))
+    return spoken(spark, d).select("doc_id", T.word_count(F.col("text")).cast("long").alias("words"), _reason().alias("reason"))
 
 
-@query(f"SELECT coalesce(reason, 'eligible') AS reason, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (SELECT {REASON_SQL} AS reason FROM documents) GROUP BY 1")
+@query(f"WITH {SPOKEN} SELECT coalesce(reason, 'eligible') AS reason, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (SELECT {REASON_SQL} AS reason FROM spoken) GROUP BY 1")
 def funnel_by_reason(spark, d):
-    n = docs(spark, d).groupBy(F.coalesce(_reason(), F.lit("eligible")).alias("reason")).agg(F.count("*").alias("n"))
+    n = spoken(spark, d).groupBy(F.coalesce(_reason(), F.lit("eligible")).alias("reason")).agg(F.count("*").alias("n"))
     return n.withColumn("share", r6(F.col("n") / F.sum("n").over(Window.partitionBy())))
 
 

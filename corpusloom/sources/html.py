@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import clean_text
+from corpusloom.operators import ordered
 
 
 def title(html: Column) -> Column:
@@ -57,9 +58,6 @@ def feed_reviews(payloads: DataFrame, column: str = "payload") -> DataFrame:
 
 
 def carry_forward(lines: DataFrame, *, by: str, pos: str, line: str, directive: str = r"^#\s*(\w+):\s*(.*)$") -> DataFrame:
-    """Lines with the last directive before them (``# key: value``) within a file."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(by).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    """Lines with the last directive before them (``# key: value``) within a file; a file of any size is shared by tasks."""
     value = F.when(F.col(line).rlike(directive), F.regexp_extract(line, directive, 2))
-    return lines.withColumn("section", F.last(value, ignorenulls=True).over(w)).where(~F.col(line).rlike(directive))
+    return ordered.carried(lines, {"section": value}, by=[by], order=[pos]).where(~F.col(line).rlike(directive))

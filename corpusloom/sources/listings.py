@@ -11,12 +11,13 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from corpusloom.functions.scoring import content_id
 from corpusloom.functions.text import rating
+from corpusloom.operators import ordered
 
 # Elements that have no end tag, and bodies that stand for a removed post.
 VOID = "area base br col embed hr img input link meta source track wbr".split()
@@ -250,12 +251,13 @@ def first_text(raw: Column, keys: tuple[str, ...] = ("text", "body", "content",
 def read_appendix(lines: DataFrame, *, stop: str = "# Pipeline run log") -> DataFrame:
     """(pos, theme, source, doc_id, url, text) of an appendix's lines (pos, line): ``## theme`` heads, then ``- **source** [`id`](url): text``.
 
-    Lines of another form keep their text alone; nothing is read from the line ``stop`` on. One file's lines are ordered in one window.
+    Lines of another form keep their text alone; nothing is read from the line ``stop`` on. Headings are carried by scans, so a file of any length is
+    shared by tasks.
     """
-    w = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     line = F.trim("line")
-    rows = lines.withColumn("line", line).withColumn("theme", F.last(F.when(F.col("line").startswith("## "), F.trim(F.substring("line", 4, 1 << 20))), ignorenulls=True).over(w))
-    rows = rows.withColumn("over", F.max(F.col("line").startswith(stop)).over(w)).where("not over and theme is not null and line like '- %'")
+    heading = F.when(line.startswith("## "), F.trim(F.substring(line, 4, 1 << 20)))
+    rows = ordered.carried(lines.withColumn("line", line), {"theme": heading, "over": F.when(line.startswith(stop), True)}, by=[], order=["pos"])
+    rows = rows.where("over is null and theme is not null and line like '- %'")
     form = r"^- \*\*([^*]+)\*\* (?:\[`([^`]+)`\]\(([^)]*)\)|`([^`]+)`): (.*)$"
     part = lambda i: F.nullif(F.regexp_extract("line", form, i), F.lit(""))
     return rows.select("pos", "theme", part(1).alias("source"), F.coalesce(part(2), part(4)).alias("doc_id"), part(3).alias("url"), F.coalesce(part(5), F.trim(F.substring("line", 3, 1 << 20))).alias("text"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import scoring as S
 from corpusloom.functions import text as T
-from corpusloom.operators import corpus, evaluation, evidence, explorer, tags
+from corpusloom.operators import corpus, graph, evaluation, evidence, explorer, tags
 from corpusloom.sources import store, tables
 
 
@@ -43,20 +43,44 @@ def test_simhash_against_python(spark):
     assert S.simhash(spark.createDataFrame([(1, None)], "doc_id long, text string"), "doc_id").first().fingerprint == 0
 
 
-def test_near_pairs_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize(("bits", "blocks", "crowd"), [(12, 3, None), (12, 3, 7), (12, 3, 300), (11, 3, None), (5, 2, None), (12, 4, 9), (0, 2, None)])
+def test_near_pairs_by_flipped_blocks(spark, bits, blocks, crowd):
+    """Every pair within the distance, once; also where keys are crowded and split. Only the signed bit differs in some."""
     rng = random.Random(3)
-    prints = [rng.getrandbits(64) for _ in range(60)]
-    prints += [p ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 20))) for p in prints] + prints[:5]
+    prints = [rng.getrandbits(64) for _ in range(40)]
+    prints += [p ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 20))) for p in prints] + prints[:5] + [prints[0] ^ 1 << 63, prints[1] ^ 0b1111, prints[1] ^ 0b1111 << 30]
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     least = {}
     for i, p in enumerate(prints):
         least.setdefault(p, i)
-    want = {(a, b, (p ^ q).bit_count()) for p, a in least.items() for q, b in least.items() if a < b and (p ^ q).bit_count() <= 12}
-    df = spark.createDataFrame(list(enumerate(signed)), "doc_id long, fingerprint long")
-    for block in (1 << 14, 17):
-        monkeypatch.setattr(corpus, "BLOCK", block)
-        assert {(r.a, r.b, r.distance) for r in corpus.near_pairs(df).collect()} == want
-    assert corpus.near_pairs(df.where("1 = 0")).count() == 0
+    want = sorted((a, b, (p ^ q).bit_count()) for p, a in least.items() for q, b in least.items() if a < b and (p ^ q).bit_count() <= bits)
+    df = spark.createDataFrame([*enumerate(signed), (None, 5), (999, None)], "doc_id long, fingerprint long")
+    got = graph.near_pairs(df, bits=bits, blocks=blocks, crowd=crowd)
+    assert sorted((r.a, r.b, r.distance) for r in got.collect()) == want
+    assert "Cartesian" not in got._jdf.queryExecution().executedPlan().toString() and "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    assert graph.near_pairs(df.where("1 = 0"), bits=bits, blocks=blocks).count() == 0
+
+
+@pytest.mark.parametrize("small", [1 << 18, 5, 0])
+def test_greedy_pass_is_that_in_order(spark, small, monkeypatch):
+    """Random graphs, hubs and a chain of ten thousand; settled by tasks, by rounds, and by both. A chain takes few rounds."""
+    rng = random.Random(7)
+    pairs = {tuple(sorted(rng.sample(range(120), 2))) for _ in range(90)} | {(200, i) for i in range(201, 230)} | {(i, 230) for i in range(201, 230)}
+    if small != 5:
+        pairs |= {(1000 + i, 1001 + i) for i in range(10_000)}
+    near, want = {}, {}
+    for a, b in pairs:
+        near.setdefault(b, []).append(a)
+    nodes = sorted({x for p in pairs for x in p} | {500})
+    for b in nodes:
+        want[b] = min((a for a in near.get(b, []) if want[a] == a), default=b)
+    rounds = []
+    keep = graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: rounds.append(1) or keep(df))
+    df = spark.createDataFrame([(x,) for x in nodes], "doc_id long")
+    got = graph.first_accepted(df, spark.createDataFrame(sorted(pairs), "a long, b long").union(spark.createDataFrame([(3, 3)], "a long, b long")), small=small)
+    assert {r.doc_id: r.root for r in got.collect()} == want
+    assert len(rounds) < 60
 
 
 def test_emoji_and_keywords(spark):
