@@ -101,3 +101,19 @@ def profile(built: DataFrame, *, by: str = "source") -> DataFrame:
         F.count("*").alias("documents"), F.count_if(F.col("exclusion_reason").isNotNull()).alias("excluded"), F.count_if(F.col("is_duplicate_of").isNotNull()).alias("duplicates"),
         F.count_if(F.col("exclusion_reason").isNull() & F.col("is_duplicate_of").isNull()).alias("eligible"), F.count_if(F.col("relevance_score") == 0).alias("without_hits"), F.count_if(F.col("is_relevant")).alias("relevant"),
     )
+
+
+def profile_sets(built: DataFrame, *, apart: str, by: tuple[str, str] = ("source", "stage")) -> DataFrame:
+    """The profile by source, by stage and of all documents, in one pass over ``built`` (source, stage, exclusion_reason, is_duplicate_of, is_relevant).
+
+    Counters: documents, analyzable (relevant and no duplicate), excluded, duplicates, triaged (not relevant for no other reason), relevant, and analyzable
+    ones of all sources but ``apart``, which is large enough to hide the others. A row of a grouping has nulls in the columns that it sums over.
+    """
+    relevant, alone = F.coalesce(F.col("is_relevant"), F.lit(False)), F.col("is_duplicate_of").isNull()
+    out = F.col("exclusion_reason").isNotNull()
+    counts = {
+        "documents": F.count("*"), "analyzable": F.count_if(relevant & alone), "excluded": F.count_if(out), "duplicates": F.count_if(~alone),
+        "triaged": F.count_if(~F.coalesce(F.col("is_relevant"), F.lit(True)) & ~out & alone), "relevant": F.count_if(relevant), "analyzable_apart": F.count_if(relevant & alone & (F.col("source") != apart)),
+    }
+    keys = [F.col(c) for c in by]
+    return built.groupingSets([[keys[0]], [keys[1]], []], *keys).agg(*[c.alias(name) for name, c in counts.items()])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterable
 from typing import Any
 
@@ -151,33 +152,57 @@ def repairing(call: Callable[[list[tuple[Any, str]], str | None], Iterable], *,
 
 
 def response_schema(labels: dict[str, list[str]]) -> dict:
-    """The strict JSON schema of a tagging response; ``labels``: the vocabulary of each list column."""
-    text, whole = {"type": "string"}, lambda low, high: {"type": "integer", "minimum": low, "maximum": high}
+    """The strict JSON schema of a tagging response; ``labels``: the vocabulary of each list column. Numbers are listed, as a decoder does not keep to
+    ranges; the document's id comes first."""
+    text, one_of = {"type": "string"}, lambda values: {"type": "integer", "enum": list(values)}
     span = {"type": "object", "properties": {"tag": text, "quote": text}, "required": ["tag", "quote"], "additionalProperties": False}
     fields = {"doc_id": text, "is_relevant": {"type": "boolean"}, **{c: {"type": "array", "items": {"type": "string", "enum": labels[c]} if labels.get(c) else text} for c in LISTS}}
-    fields |= {"intent_class": text, "outcome_mentioned": text, "severity": whole(1, 5), "actionability_non_monetary": whole(0, 1), "confidence_pct": whole(0, 100), "evidence": {"type": "array", "items": span}}
+    fields |= {"intent_class": text, "outcome_mentioned": text, "severity": one_of(range(1, 6)), "actionability_non_monetary": one_of((0, 1)), "confidence_pct": one_of(range(0, 101, 10)), "evidence": {"type": "array", "items": span}}
     doc = {"type": "object", "properties": fields, "required": list(fields), "additionalProperties": False}
     return {"type": "object", "properties": {"documents": {"type": "array", "items": doc}}, "required": ["documents"], "additionalProperties": False}
 
 
-def schema_violations(schema: dict, at: str = "$") -> list[str]:
-    """Places where a schema is not strict: objects that allow other keys or do not require all of theirs, arrays without items, open types."""
-    out = []
-    kind = schema.get("type")
-    if kind is None and not {"$ref", "anyOf", "enum", "const"} & schema.keys():
-        out.append(f"{at}: no type")
-    if kind == "object":
-        own = schema.get("properties", {})
-        if schema.get("additionalProperties") is not False:
-            out.append(f"{at}: other keys are allowed")
-        out += [f"{at}.{name}: not required" for name in own if name not in schema.get("required", [])]
-        for name, part in own.items():
-            out += schema_violations(part, f"{at}.{name}")
-    if kind == "array":
-        out += schema_violations(schema["items"], f"{at}[]") if "items" in schema else [f"{at}: no items"]
-    for group in ("$defs", "definitions"):
-        for name, part in schema.get(group, {}).items():
-            out += schema_violations(part, f"{at}.{group}.{name}")
-    for i, part in enumerate(schema.get("anyOf", [])):
-        out += schema_violations(part, f"{at}.anyOf[{i}]")
-    return out
+# Keywords of JSON schema that strict decoding refuses.
+REFUSED = """
+    minimum maximum exclusiveMinimum exclusiveMaximum multipleOf minLength maxLength pattern format minItems maxItems uniqueItems contains
+    minContains maxContains minProperties maxProperties patternProperties propertyNames unevaluatedItems unevaluatedProperties default
+""".split()
+
+
+def schema_violations(schemas: DataFrame, *, key: str = "schema_id", raw: str = "schema") -> DataFrame:
+    """(key, path, problem, name): why strict decoding would refuse each JSON schema of ``schemas``, a row per place. No row: it is strict.
+
+    Schemas are walked by a recursive query over their parts as variants, all schemas at once, level by level: properties and definitions by name,
+    items and alternatives by place. Problems: ``unsupported keyword``, ``mixed enum`` (whole and fractional numbers), ``open object`` (other keys are not
+    forbidden), ``not required`` and ``no such property``; what is no JSON object has the problem ``no object``.
+    """
+    spark, view = schemas.sparkSession, f"schemas_{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # rows of a level grow with the table
+    schemas.select(F.col(key).alias("id"), F.try_parse_json(F.col(raw)).alias("node")).createOrReplaceTempView(view)
+    nodes = spark.sql(f"""
+        WITH RECURSIVE parts(id, path, node, kind) AS (
+          SELECT id, '$', node, 'schema' FROM {view}
+          UNION ALL
+          SELECT p.id, CASE WHEN p.kind = 'list' THEN concat(p.path, '[', c.pos, ']') ELSE concat(p.path, '.', c.key) END, c.value,
+                 CASE WHEN p.kind <> 'schema' THEN 'schema' WHEN c.key IN ('properties', '$defs') THEN 'names' WHEN schema_of_variant(c.value) LIKE 'ARRAY%' THEN 'list' ELSE 'schema' END
+          FROM parts p, LATERAL variant_explode(p.node) c
+          WHERE p.kind = 'names' AND c.key IS NOT NULL OR p.kind = 'list' AND c.key IS NULL
+             OR p.kind = 'schema' AND c.key IN ('properties', '$defs', 'items', 'anyOf', 'allOf', 'oneOf', 'prefixItems')
+        ) SELECT id, path, node, to_json(node) AS json FROM parts WHERE kind = 'schema'""")
+    none = F.array().cast("array<string>")
+    names = lambda json: F.coalesce(F.json_object_keys(json), none)
+    problem = lambda what, found: F.transform(found, lambda n: F.struct(F.lit(what).alias("problem"), n.cast("string").alias("name")))
+    keys, own = names(F.col("json")), names(F.get_json_object("json", "$.properties"))
+    required = F.coalesce(F.try_variant_get("node", "$.required", "array<string>"), none)
+    is_object = F.coalesce(F.try_variant_get("node", "$.type", "string") == "object", F.lit(False)) | F.array_contains(keys, "properties")
+    closed = F.coalesce(F.to_json(F.try_variant_get("node", "$.additionalProperties", "variant")) == "false", F.lit(False))
+    numbers = F.filter(F.coalesce(F.try_variant_get("node", "$.enum", "array<variant>"), F.array().cast("array<variant>")), lambda v: F.schema_of_variant(v).rlike("BIGINT|DECIMAL|DOUBLE|FLOAT"))
+    whole = lambda v: F.variant_get(v, "$", "double") == F.floor(F.variant_get(v, "$", "double"))
+    mixed = F.exists(numbers, whole) & F.exists(numbers, lambda v: ~whole(v))
+    one = lambda what, holds: F.when(holds, problem(what, F.array(F.lit(None)))).otherwise(problem(what, none))
+    within = lambda found: F.when(is_object, found).otherwise(none)
+    odd = F.coalesce(~F.schema_of_variant("node").startswith("OBJECT"), F.lit(True))
+    found = F.when(odd, F.when(F.col("path") == "$", problem("no object", F.array(F.lit(None)))).otherwise(problem("", none))).otherwise(F.concat(
+        problem("unsupported keyword", F.array_intersect(keys, F.array(*map(F.lit, REFUSED)))), one("mixed enum", mixed), one("open object", is_object & ~closed),
+        problem("not required", within(F.array_except(own, required))), problem("no such property", within(F.array_except(required, own)))))
+    return nodes.select(F.col("id").alias(key), "path", F.explode(found).alias("x")).select(key, "path", "x.problem", "x.name")

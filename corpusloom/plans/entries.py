@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions import scoring as S
 from corpusloom.functions import text as T
 from corpusloom.operators import corpus, evaluation, evidence, explorer, quantify, reports, tagging, tags
-from corpusloom.plans.catalog import FLAT_SQL, MEM, NORM, SPAN_SQL, SQL, WORDS_SQL, _spans, docs, members, opportunity_score, order_docs, pairs, query, r6
+from corpusloom.plans.catalog import FLAT_SQL, HITS_SQL, MEM, NORM, REASON_SQL, SPAN_SQL, SQL, STAGE_OF, TERMS, WORDS_SQL, _reason, _spans, docs, members, opportunity_score, order_docs, pairs, query, r6
 from corpusloom.sources import html as H
-from corpusloom.sources import listings, manual, store, tables
+from corpusloom.sources import listings, manual, robots, store, tables
 from corpusloom.sources.tables import checkpointed, scratch, table
 from corpusloom.streaming import stream
 
@@ -779,3 +779,64 @@ def stream_first_seen(spark, d):
 def clamped_times(spark, d):
     e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.lit("2024-01-03 00:00:00").cast("timestamp").alias("seen"))
     return stream.clamp_future(e, "ts", "seen").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+# Robots rules, schemas, the profile by source and stage.
+
+
+def _site(url: str) -> str:
+    return f"lower(regexp_extract({url}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
+
+
+#: Each site's rules are made from its pages: sections and endings that are shut, pages that are open.
+ROBOTS_SQL = f"""p AS (SELECT page_id, url, {_site("url")} AS domain, regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '#.*$', '') AS rest FROM pages),
+q AS (SELECT *, CASE WHEN rest LIKE '/%' THEN rest ELSE '/' || rest END AS path FROM p),
+rules AS (SELECT DISTINCT domain, allow, form FROM (SELECT domain, unnest([{{'n': 7, 'allow': false, 'form': regexp_extract(path, '^/[^/]*/?')}}, {{'n': 5, 'allow': true, 'form': path}}, {{'n': 3, 'allow': false, 'form': '/*.html$'}}, {{'n': 4, 'allow': false, 'form': '/*/*?utm_'}}]) AS r, page_id FROM q), (SELECT 1), LATERAL (SELECT r.allow AS allow, r.form AS form, r.n AS n) WHERE page_id % n = 0),
+sites AS (SELECT DISTINCT domain, CASE length(domain) % 7 WHEN 0 THEN 404 WHEN 1 THEN 503 WHEN 2 THEN NULL ELSE 200 END AS status FROM p),
+hits AS (SELECT url, allow, length(form) AS n FROM q JOIN rules USING (domain) WHERE regexp_matches(path, '^' || replace(replace(replace(form, '.', '[.]'), '?', '[?]'), '*', '.*'))),
+best AS (SELECT url, arg_max(allow, n * 2 + allow::int) AS allow FROM hits GROUP BY url)"""
+
+
+@query(f"WITH {ROBOTS_SQL} SELECT DISTINCT url, domain, coalesce(status = 404 OR status = 200 AND coalesce(allow, true), false) AS allowed, CASE WHEN status = 404 THEN 'absent' WHEN status = 200 THEN CASE WHEN coalesce(allow, true) THEN 'allowed' ELSE 'disallowed' END ELSE 'unavailable' END AS reason FROM q JOIN sites USING (domain) LEFT JOIN best USING (url)")
+def robots_decisions(spark, d):
+    """Which pages a crawler may fetch, under rules made from the pages of each site."""
+    pages = table(spark, d, "pages").select("page_id", "url", robots.domain_of(F.col("url")).alias("domain"), robots.path_of(F.col("url")).alias("path"))
+    rule = lambda n, allow, form: F.when(F.col("page_id") % n == 0, F.struct(F.lit("*").alias("agent"), F.lit(allow).alias("allow"), form.alias("path")))
+    made = F.array(rule(7, False, F.regexp_extract("path", r"^/[^/]*/?", 0)), rule(5, True, F.col("path")), rule(3, False, F.lit("/*.html$")), rule(4, False, F.lit("/*/*?utm_")))
+    rules = pages.select("domain", F.explode(F.array_compact(made)).alias("r")).select("domain", "r.*").distinct()
+    size = F.char_length("domain") % 7
+    sites = pages.select("domain").distinct().withColumn("status", F.when(size == 0, 404).when(size == 1, 503).when(size != 2, 200))
+    return robots.decide(pages, sites, rules, user_agent="loom/1.0")
+
+
+@query("""SELECT o_orderkey AS schema_id, unnest(CASE o_orderkey % 4 WHEN 0 THEN ['$ open object', '$.properties.tag unsupported keyword minLength'] WHEN 1 THEN ['$ not required tag'] WHEN 2 THEN ['$.properties.list.items mixed enum', '$ no such property ' || o_orderstatus] ELSE ['$.$defs.' || o_orderstatus || ' open object'] END) AS problem FROM orders""")
+def schema_problems(spark, d):
+    """A schema for each order, each with faults of its own."""
+    k, status = F.col("o_orderkey") % 4, F.col("o_orderstatus")
+    text = '{"type": "string"}'
+    body = (
+        F.when(k == 0, '{"type": "object", "properties": {"tag": {"type": "string", "minLength": 1}}, "required": ["tag"]}')
+        .when(k == 1, '{"type": "object", "properties": {"tag": %s}, "required": [], "additionalProperties": false}' % text)
+        .when(k == 2, F.concat(F.lit('{"type": "object", "properties": {"list": {"type": "array", "items": {"enum": [1, 0.5]}}}, "required": ["list", "'), status, F.lit('"], "additionalProperties": false}')))
+        .otherwise(F.concat(F.lit('{"anyOf": [%s], "$defs": {"' % text), status, F.lit('": {"type": "object", "properties": {}, "additionalProperties": %s}}}' % text)))
+    )
+    found = tagging.schema_violations(table(spark, d, "orders").select(F.col("o_orderkey").alias("schema_id"), body.alias("schema")))
+    return found.select("schema_id", F.concat_ws(" ", "path", "problem", "name").alias("problem"))
+
+
+STAGE_SQL = "['pre_purchase', 'post_purchase', 'mixed'][1 + substr(source, 4)::int % 3]"
+
+
+@query(f"""WITH x AS (SELECT *, min(doc_id) OVER (PARTITION BY md5({FLAT_SQL})) AS root, {REASON_SQL} AS reason, {HITS_SQL} AS hits, {STAGE_SQL} AS stage FROM documents),
+b AS (SELECT source, stage, reason IS NOT NULL AS out, root <> doc_id AS dup, CASE WHEN reason IS NOT NULL THEN false WHEN root = doc_id THEN hits > 0 END AS relevant FROM x)
+SELECT source, stage, count(*) AS documents, count(*) FILTER (WHERE coalesce(relevant, false) AND NOT dup) AS analyzable, count(*) FILTER (WHERE out) AS excluded, count(*) FILTER (WHERE dup) AS duplicates,
+count(*) FILTER (WHERE NOT out AND NOT dup AND NOT relevant) AS triaged, count(*) FILTER (WHERE coalesce(relevant, false)) AS relevant, count(*) FILTER (WHERE coalesce(relevant, false) AND NOT dup AND source <> 'src0') AS analyzable_apart
+FROM b GROUP BY GROUPING SETS ((source), (stage), ())""")
+def profile_sets(spark, d):
+    """Counts by source, by stage and of all, in one pass; exact copies stand for duplicates."""
+    own = docs(spark, d).withColumns({"content": F.md5(T.for_fingerprint(F.col("text"))), "exclusion_reason": _reason(), "hits": T.keyword_hits(F.col("text"), TERMS)})
+    roots = own.groupBy("content").agg(F.min("doc_id").alias("root"))
+    built = own.join(roots, "content").withColumn("is_duplicate_of", F.when(F.col("root") != F.col("doc_id"), F.col("root")))
+    verdict = F.when(F.col("exclusion_reason").isNotNull(), False).when(F.col("is_duplicate_of").isNull(), F.col("hits") > 0)
+    stage = corpus.purchase_stage(F.col("source"), F.lit(None).cast("string"), stages=STAGE_OF, refined=())
+    return corpus.profile_sets(built.withColumn("is_relevant", verdict).withColumn("stage", stage), apart="src0")

@@ -132,11 +132,31 @@ def test_repairs():
 
     with pytest.raises(tagging.SchemaRefused):
         list(tagging.repairing(refused)([(1, "a")]))
-    schema = tagging.response_schema({"blocker_type": ["fit"]})
-    assert tagging.schema_violations(schema) == []
-    schema["properties"]["documents"]["items"]["required"].remove("severity")
-    del schema["additionalProperties"]
-    assert tagging.schema_violations(schema) == ["$: other keys are allowed", "$.documents[].severity: not required"]
+
+
+def violations(spark, *schemas):
+    df = spark.createDataFrame([(i, x if isinstance(x, str) or x is None else json.dumps(x)) for i, x in enumerate(schemas)], "schema_id int, schema string")
+    return sorted((r.schema_id, r.path, r.problem, r.name) for r in tagging.schema_violations(df).collect())
+
+
+def test_strict_schemas(spark):
+    """Each rule by itself, in nested places; the tagging schema keeps them all."""
+    own = tagging.response_schema({"blocker_type": ["fit"]})
+    doc = own["properties"]["documents"]["items"]
+    assert next(iter(doc["properties"])) == "doc_id"
+    for name in ("severity", "actionability_non_monetary", "confidence_pct"):
+        assert "enum" in doc["properties"][name] and not {"minimum", "maximum"} & doc["properties"][name].keys()
+    closed = lambda fields, **more: {"type": "object", "properties": fields, "required": list(fields), "additionalProperties": False} | more
+    text = {"type": "string"}
+    mixed = closed({"c": {"type": "number", "enum": [0.0, 0.1, 1.0]}})
+    assert violations(spark, own, mixed, closed({"c": {"enum": [0, 10, 100, "x", True]}}), closed({"q": {"type": "string", "minLength": 1}}), closed({"a": text, "b": text}, required=["a", "zz"])) == [
+        (1, "$.properties.c", "mixed enum", None), (3, "$.properties.q", "unsupported keyword", "minLength"), (4, "$", "no such property", "zz"), (4, "$", "not required", "b")]
+    inner = {"type": "object", "properties": {"x": text}, "required": ["x"]}
+    deep = closed({"items": {"type": "array", "items": inner}, "anyOf": text}, anyOf=[{"type": "integer", "default": 1}, closed({})], **{"$defs": {"D": closed({"minimum": text}, additionalProperties=text)}})
+    assert violations(spark, deep, "[1]", "{bad", None, {"properties": {}}) == [
+        (0, "$.$defs.D", "open object", None), (0, "$.anyOf[0]", "unsupported keyword", "default"), (0, "$.properties.items.items", "open object", None),
+        (1, "$", "no object", None), (2, "$", "no object", None), (3, "$", "no object", None), (4, "$", "open object", None)]
+    assert violations(spark) == []
 
 
 def test_evaluation_guards(spark):
