@@ -38,10 +38,11 @@ def r6(c) -> F.Column:
 
 
 def members(spark: SparkSession, d: str) -> DataFrame:
-    """Labels of an order as sets in one row by order, then a row each: dealt by doc_id, as the joins after it need them."""
+    """(doc_id, dimension, label) of orders, each once: labels of a line are exploded where it is, and repeats go before the shuffle."""
     line, part = table(spark, d, "lineitem"), table(spark, d, "part")
-    sets = line.join(part, line.l_partkey == part.p_partkey).groupBy(F.col("l_orderkey").alias("doc_id")).agg(*[F.collect_set(c).alias(dim) for dim, c in (("blocker", "p_brand"), ("uncertainty", "l_returnflag"), ("segment", "l_linestatus"))])
-    return tags.explode_tags(sets, {dim: dim for dim in ("blocker", "uncertainty", "segment")})
+    labels = [F.struct(F.lit(dim).alias("dimension"), F.col(c).alias("label")) for dim, c in (("blocker", "p_brand"), ("uncertainty", "l_returnflag"), ("segment", "l_linestatus"))]
+    rows = line.join(part, line.l_partkey == part.p_partkey).select(F.col("l_orderkey").alias("doc_id"), F.explode(F.array(*labels)).alias("x"))
+    return rows.select("doc_id", "x.dimension", "x.label").where("label is not null").distinct()
 
 
 def order_docs(spark: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import corpus, evaluation, evidence, explorer, quantify, reports, tagging, tags
 from corpusloom.plans.catalog import FLAT_SQL, HITS_SQL, MEM, NORM, REASON_SQL, SPAN_SQL, SQL, STAGE_OF, TERMS, WORDS_SQL, _reason, _spans, docs, members, opportunity_score, order_docs, pairs, query, r6
 from corpusloom.sources import html as H
-from corpusloom.sources import listings, manual, robots, store, tables
+from corpusloom.sources import listings, manual, parts, robots, store, tables
 from corpusloom.sources.tables import checkpointed, scratch, table
 from corpusloom.streaming import stream
 
@@ -840,3 +840,13 @@ def profile_sets(spark, d):
     verdict = F.when(F.col("exclusion_reason").isNotNull(), False).when(F.col("is_duplicate_of").isNull(), F.col("hits") > 0)
     stage = corpus.purchase_stage(F.col("source"), F.lit(None).cast("string"), stages=STAGE_OF, refined=())
     return corpus.profile_sets(built.withColumn("is_relevant", verdict).withColumn("stage", stage), apart="src0")
+
+
+@query("""WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id::varchar) <= 30 AS own, 1 + (doc_id % 3 = 0)::int AS n FROM documents)
+SELECT source, DATE '2024-01-05' AS run_date, 'complete' AS status, count(*) AS record_count, sum(n - 1)::bigint AS duplicates_skipped FROM r WHERE own GROUP BY source""")
+def raw_parts(spark, d):
+    """Records and copies of every third, of each source at most thirty, in parts of seven; what the manifest says of the run."""
+    folder = scratch(spark, "parts")
+    all_ = _raw(spark, d).unionByName(_raw(spark, d).where("source_native_id % 3 = 0"))
+    parts.write_parts(all_, folder, max_records=30, max_part_records=7)
+    return parts.read_manifests(spark, folder).select("source", "run_date", "status", "record_count", "duplicates_skipped")

@@ -34,12 +34,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *, per_core: int = 32 << 20) -> DataFrame:
-    """``df`` dealt out to all cores where it is too small for its splits to do that (one row group is one task): under ``per_core`` bytes a core by
-    the plan's estimate. A larger one stays as it is read, so nothing big is shuffled for this."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+#: A table of fewer bytes (by the plan's estimate) is dealt out, to so many tasks at most: a bound that does not grow with a cluster.
+SPREAD_BYTES, SPREAD_TASKS = 256 << 20, 64
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to more tasks where it is so small that its splits do not do that (one row group is one task). Anything larger stays as it is
+    read, whatever the cores."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * per_core else df
+    return df.repartition(min(df.sparkSession.sparkContext.defaultParallelism, SPREAD_TASKS)) if size < SPREAD_BYTES else df
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
