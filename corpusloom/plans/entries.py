@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scoring as S
 from corpusloom.functions import text as T
 from corpusloom.operators import corpus, evaluation, evidence, explorer, quantify, reports, tagging, tags
-from corpusloom.plans.catalog import FLAT_SQL, HITS_SQL, MEM, NORM, REASON_SQL, SPAN_SQL, SQL, STAGE_OF, TERMS, WORDS_SQL, _reason, _spans, docs, members, opportunity_score, order_docs, pairs, query, r6
+from corpusloom.plans.catalog import FLAT_SQL, HITS_SQL, MEM, NORM, REASON_SQL, SPAN_SQL, SQL, STAGE_OF, TERMS, WORDS_SQL, _genuine, _reason, _score_sql, _spans, docs, members, opportunity_score, order_docs, pairs, query, r6, topk_cooccur
 from corpusloom.sources import html as H
 from corpusloom.sources import listings, manual, parts, robots, store, tables
 from corpusloom.sources.tables import checkpointed, scratch, table
@@ -548,10 +551,19 @@ def tag_envelopes(spark, d):
     return tags.explode_tags(rows.withColumn("doc_id", F.col("doc_id").cast("long")), {"blocker_type": "blocker"})
 
 
-@query("SELECT count(*) AS n FROM orders")
+@query("WITH v AS (SELECT o_orderpriority AS version, count(*) AS n FROM orders GROUP BY 1) SELECT version, n, 'read' AS state FROM v WHERE version = (SELECT min(version) FROM v) UNION ALL SELECT 'all', count(*), 'mixed tag versions: ' || min(version) || ' and ' || max(version) FROM v HAVING count(*) > 1")
 def one_tag_version(spark, d):
-    rows = _blobs(spark, d).select("doc_id", F.lit("t1").alias("taxonomy_version"), F.lit("p").alias("prompt_version"), F.lit("m").alias("model"))
-    return tagging.one_version(rows).agg(F.count("*").alias("n"))
+    """Tags of several versions are refused, those of one are read. Priorities of orders stand for the versions."""
+    rows = _blobs(spark, d).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("taxonomy_version")), "doc_id").withColumns({"prompt_version": F.lit("p"), "model": F.lit("m")})
+    bounds = rows.agg(F.min("taxonomy_version").alias("lo"), F.max("taxonomy_version").alias("hi"), F.countDistinct("taxonomy_version").alias("n"))
+    least = rows.join(F.broadcast(bounds.select(F.col("lo").alias("taxonomy_version"))), "taxonomy_version")
+    read = tagging.one_version(least).groupBy(F.col("taxonomy_version").alias("version")).agg(F.count("*").alias("n")).withColumn("state", F.lit("read"))
+    try:
+        tagging.one_version(rows).agg(F.count("*")).collect()
+        return read
+    except PySparkException as refused:
+        named = [v for v in re.findall(r'"taxonomy_version":"([^"]*)"', str(refused))[:2]]
+        return read.unionByName(bounds.select(F.lit("all").alias("version"), "n", F.lit(f"mixed tag versions: {named[0]} and {named[1]}").alias("state")))
 
 
 def _corpus(spark, d) -> DataFrame:
@@ -694,17 +706,22 @@ def corpus_summary(spark, d):
     return explorer.corpus_summary(n)
 
 
-@query("WITH o AS (" + SQL["opportunity_score"] + ") SELECT dimension, label, '- supporting documents: ' || n_docs || chr(10) || '- distinct authors: ' || n_authors || CASE WHEN post_only THEN chr(10) || '- after the purchase only' ELSE '' END AS lines FROM o")
+@query(f"""WITH f AS ({_score_sql("")} SELECT * FROM s), g AS ({_score_sql("o_orderstatus = 'F'")} SELECT dimension, label, n AS genuine_n FROM s)
+SELECT dimension, label, '- opportunity score: ' || printf('%.2f', round(score, 2)) || chr(10) || '- prevalence: ' || printf('%.1f%%', round(p * 100, 1)) || ' (' || printf('%.1f%%', round(greatest(0, mid - half) * 100, 1)) || ' to ' || printf('%.1f%%', round(least(1, mid + half) * 100, 1)) || ')' || chr(10)
+  || '- supporting documents: ' || n::bigint || chr(10) || '- distinct authors: ' || n_authors || chr(10) || '- of genuine intent: ' || coalesce(genuine_n, 0)::bigint
+  || CASE WHEN post_only THEN chr(10) || '- after the purchase only' ELSE '' END || CASE WHEN n < 20 OR n_authors < 3 THEN chr(10) || '- low confidence' ELSE '' END AS lines FROM f LEFT JOIN g USING (dimension, label)""")
 def opportunity_areas(spark, d):
-    none = F.lit(None).cast("double")
-    rows = opportunity_score(spark, d).withColumns({"score": none, "prevalence": none, "low": none, "high": none, "genuine_n": F.lit(None).cast("long"), "low_confidence": F.lit(False)})
-    return explorer.opportunity_lines(rows).select("dimension", "label", "lines")
+    rows = _genuine(spark, d)
+    shown = {c: F.round(c, n) for c, n in (("score", 2), ("prevalence", 3), ("low", 3), ("high", 3))}
+    return explorer.opportunity_lines(rows.withColumns(shown)).select("dimension", "label", "lines")
 
 
-@query("SELECT dimension, label, n_docs, NULL::varchar AS co_occurs_with FROM (" + SQL["opportunity_score"] + ")")
+@query("WITH t AS (" + SQL["topk_cooccur"] + "), s AS (" + SQL["opportunity_score"] + ") SELECT s.dimension, s.label, n_docs, top AS co_occurs_with, NULL::varchar AS notes FROM s LEFT JOIN t ON s.dimension = dimension_a AND s.label = label_a")
 def score_columns(spark, d):
-    rows = opportunity_score(spark, d).withColumn("supporting_doc_ids", F.lit("1;2")).withColumn("_x", F.lit(1))
-    return explorer.score_table(explorer.compact_rows(rows), ["dimension", "label", "n_docs", "co_occurs_with"])
+    """The columns of a score table in their order; of what no row has only the name is there."""
+    top = topk_cooccur(spark, d).select(F.col("dimension_a").alias("dimension"), F.col("label_a").alias("label"), F.col("top").alias("co_occurs_with"))
+    rows = opportunity_score(spark, d).join(top, ["dimension", "label"], "left").withColumns({"supporting_doc_ids": F.lit("1;2"), "_x": F.lit(1)})
+    return explorer.score_table(explorer.compact_rows(rows), ["dimension", "label", "n_docs", "co_occurs_with", "notes"])
 
 
 @query(f"WITH {MEM} SELECT dimension, label, count(DISTINCT author) / (SELECT count(DISTINCT author)::double FROM od) AS author_prevalence, avg(severity) / 5 AS severity_norm FROM mem JOIN od USING (doc_id) GROUP BY ALL")
@@ -730,11 +747,15 @@ def floor_check(spark, d):
     return evaluation.floor_gate(docs(spark, d), wanted=F.col("lang") == "en", survives=F.col("n_chars") >= 1000, floor=50).withColumn("rate", r6("rate"))
 
 
-@query("SELECT count(*) AS n, true AS same FROM documents")
+@query("SELECT 'again' AS pass, count(*) AS n, true AS same FROM documents UNION ALL SELECT 'one text changed', count(*), false FROM documents UNION ALL SELECT 'one row lost', count(*) - 1, false FROM documents")
 def reproduced(spark, d):
-    """Two passes over the same input agree."""
-    a, b = (evaluation.fingerprint_of(docs(spark, d).select("doc_id", T.norm(F.col("text")).alias("t")).repartition(k)) for k in (3, 5))
-    return spark.createDataFrame([(a[0], a == b)], "n long, same boolean")
+    """A pass dealt out otherwise agrees with the first; one with a changed text or without a row does not."""
+    rows = docs(spark, d).select("doc_id", T.norm(F.col("text")).alias("t"))
+    one = F.col("doc_id") == rows.agg(F.max("doc_id")).first()[0]
+    first = evaluation.fingerprint_of(rows.repartition(3))
+    passes = {"again": rows.repartition(5), "one text changed": rows.withColumn("t", F.when(one, F.concat("t", F.lit("."))).otherwise(F.col("t"))), "one row lost": rows.where(~one)}
+    found = {name: evaluation.fingerprint_of(df) for name, df in passes.items()}
+    return spark.createDataFrame([(name, x[0], x == first) for name, x in found.items()], "pass string, n long, same boolean")
 
 
 @query("SELECT doc_id, 'label' AS label FROM labels WHERE doc_id % 2 = 0 AND doc_id IN (SELECT doc_id FROM documents)")
