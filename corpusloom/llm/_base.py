@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import re
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +49,16 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that no one holds any more. It does so when the driver's garbage is collected, which between two steps of
+    a job may be long after the first has ended. What Python held is let go in the background, hence the pause and
+    the second collection."""
+    gc.collect()
+    for _ in range(2):
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
