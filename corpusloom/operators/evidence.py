@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -51,8 +51,8 @@ def contained(quotes: DataFrame, docs: DataFrame, *, words: int = 6) -> DataFram
     """(item_id, doc_id) where a document has the whole normalised quote.
 
     A quote's first and last word may begin or end within a word of the document; those between are whole words there. So candidates share a
-    run of up to ``words`` inner words: of a quote's runs the one that the fewest quotes have. Quotes of one or two words have no inner word and
-    are looked for in every text. Blank quotes are in none; null texts hold nothing.
+    run of up to ``words`` inner words: of a quote's runs the one that the fewest quotes have. Quotes of one or two words have no inner word: they are
+    looked up in the vocabulary (``_short``). Blank quotes are in none; null texts hold nothing.
     """
     flat = lambda c: F.split(T.norm(F.col(c)), " ")
     run = lambda w, at, n: F.xxhash64(F.array_join(F.slice(w, at, n), " "))
@@ -68,11 +68,44 @@ def contained(quotes: DataFrame, docs: DataFrame, *, words: int = 6) -> DataFram
     own = [d.select("doc_id", F.explode(F.array_distinct(every(n))).alias("run"), F.lit(n).alias("n")) for n in sizes]
     hits = [x.join(rare, ["run", "n"]).select("doc_id", "item_id") for x in own]
     full = [h.distinct().join(texts.select("doc_id", "text"), "doc_id").join(q.select("item_id", "quote"), "item_id") for h in hits]
-    few = q.where("n <= 0").select("item_id", "quote")
-    if not few.isEmpty():
-        full.append(texts.select("doc_id", "text").join(few, F.contains(T.norm(F.col("text")), F.col("quote"))).select("item_id", "doc_id", "text", "quote"))
+    few = q.where("n <= 0").select("item_id", "w")
     none = q.sparkSession.createDataFrame([], quotes.select("item_id").schema).join(docs.select("doc_id").limit(0), how="cross")
-    return reduce(DataFrame.unionByName, [f.where(F.contains(T.norm(F.col("text")), F.col("quote"))).select("item_id", "doc_id") for f in full], none.select("item_id", "doc_id"))
+    found = [f.where(F.contains(T.norm(F.col("text")), F.col("quote"))).select("item_id", "doc_id") for f in full]
+    if not few.isEmpty():
+        found.append(_short(few, d))
+    return reduce(DataFrame.unionByName, found, none.select("item_id", "doc_id"))
+
+
+def _short(quotes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc_id) of quotes of one or two words (item_id, w) in documents (doc_id, w).
+
+    One word may lie anywhere within a word of the document; of two the first ends one and the second begins the next. So quotes meet the vocabulary
+    first: its words list their parts, ends or beginnings of the lengths that quotes have, and join on them. The words found then meet the postings:
+    a word and the one after it, once for each document that has them. A word that very many documents have is one of many keys of a plain
+    equi-join, whose large partitions are split as the query runs.
+    """
+    pairs = docs.select("doc_id", F.explode(F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.struct(a.alias("one"), b.alias("next")))).alias("x")).where("x.one is not null").select("doc_id", "x.one", "x.next").distinct()
+    pairs = checkpointed(pairs)
+    vocabulary = checkpointed(pairs.select(F.col("one").alias("word")).distinct())
+
+    def words(column: Column, parts: str) -> DataFrame:
+        """(item_id, word): vocabulary that holds the quotes' word as its part, end or beginning."""
+        asked = quotes.select("item_id", column.alias("part")).where("part is not null")
+        sizes = F.array(*[F.lit(r[0]) for r in asked.select(F.char_length("part")).distinct().collect()]).cast("array<int>")  # lengths of words
+        fits = F.filter(sizes, lambda n: n <= F.char_length("word"))
+        cut = {
+            "any": lambda n: F.transform(F.sequence(F.lit(1), F.char_length("word") - n + 1), lambda i: F.substr("word", i, n)),
+            "end": lambda n: F.array(F.right("word", n)),
+            "begin": lambda n: F.array(F.left("word", n)),
+        }[parts]
+        keys = vocabulary.select("word", F.explode(F.array_distinct(F.flatten(F.transform(fits, cut)))).alias("part"))
+        return asked.join(keys, "part").select("item_id", "word")
+
+    one, two = F.when(F.size("w") == 1, F.get("w", F.lit(0))), lambda i: F.when(F.size("w") == 2, F.get("w", F.lit(i)))
+    alone = words(one, "any").join(pairs.select("doc_id", F.col("one").alias("word")).distinct(), "word")
+    first = words(two(0), "end").withColumnRenamed("word", "one").join(pairs, "one")
+    both = first.join(words(two(1), "begin").withColumnRenamed("word", "next"), ["item_id", "next"])
+    return alone.select("item_id", "doc_id").union(both.select("item_id", "doc_id")).distinct()
 
 
 def select_in_turn(candidates: DataFrame, themes: list[str], *, limit: int = 4) -> list[dict]:

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable
-from dataclasses import dataclass, field
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -177,62 +173,3 @@ def input_budget(per_minute: int, completion: int, per_document: int) -> int:
 def usage_tokens(reported: Column, estimate: Column) -> Column:
     """The tokens that a response reports, else the estimate; a report of nothing counts as none."""
     return F.coalesce(F.nullif(reported.try_cast("long"), F.lit(0)), estimate.cast("long"))
-
-
-class DailyLimit(Exception):
-    """A day's calls or tokens are used up; the job resumes tomorrow from its cache."""
-
-
-@dataclass
-class Governor:
-    """Keeps a driver-side caller under limits of calls and tokens a minute and a day: waits for the next minute, or ends the day."""
-
-    calls_a_minute: int
-    tokens_a_minute: int
-    calls_a_day: int
-    tokens_a_day: int
-    clock: Callable[[], float] = time.monotonic
-    sleep: Callable[[float], None] = time.sleep
-    day: list[int] = field(default_factory=lambda: [0, 0])
-    minute: list[int] = field(default_factory=lambda: [0, 0])
-    began: float | None = None
-
-    def _turn(self) -> None:
-        now = self.clock()
-        if self.began is None or now - self.began >= 60:
-            self.began, self.minute = now, [0, 0]
-
-    def admit(self, tokens: int) -> None:
-        """Returns when a call of so many tokens may go out."""
-        self._turn()
-        if self.day[0] >= self.calls_a_day or self.day[1] >= self.tokens_a_day:
-            raise DailyLimit(f"{self.day[0]} calls, {self.day[1]} tokens")
-        if self.minute[0] >= self.calls_a_minute or self.minute[1] + tokens > self.tokens_a_minute:
-            self.sleep(max(0.0, 60 - (self.clock() - self.began)) + 0.5)
-            self._turn()
-
-    def used(self, tokens: int, left_today: int | None = None) -> None:
-        """Books a call. What the server says is left of the day's calls stands before the own count."""
-        for count in (self.day, self.minute):
-            count[0] += 1
-            count[1] += tokens
-        if left_today is not None:
-            self.day[0] = self.calls_a_day - left_today
-
-
-@dataclass
-class Pacer:
-    """A least gap between calls of one key (a host), whatever else is called between."""
-
-    gap: float
-    clock: Callable[[], float] = time.monotonic
-    sleep: Callable[[float], None] = time.sleep
-    last: dict[str, float] = field(default_factory=dict)
-
-    def wait(self, key: str = "") -> float:
-        now = self.clock()
-        rest = max(0.0, self.last.get(key, now - self.gap) + self.gap - now)
-        if rest:
-            self.sleep(rest)
-        self.last[key] = self.clock()
-        return rest

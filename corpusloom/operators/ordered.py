@@ -98,6 +98,25 @@ def carried(rows: DataFrame, values: dict[str, Column], *, by: list[str], order:
     return out.drop("__by", "__run", "__place", *names, *[f"{v}_before" for v in names])
 
 
+def running_max(rows: DataFrame, *, by: list[str], order: list[str], value: Column, out: str) -> DataFrame:
+    """Adds ``out``, the largest ``value`` up to and with a row among those of equal ``by`` in ``order``: within a run, then what earlier runs have."""
+    runs = _scanned(rows.withColumn("__v", value), by, order, {})
+    within = Window.partitionBy("__by", "__run").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    most = runs.groupBy("__by", "__run").agg(F.max("__v").alias("m"))
+    before = most.withColumn("__before", F.max("m").over(_earlier())).select("__by", "__run", "__before")
+    met = runs.withColumn(out, F.max("__v").over(within)).join(_spanning(before), ["__by", "__run"], "left")
+    return met.withColumn(out, F.greatest(out, "__before")).drop("__by", "__run", "__place", "__v", "__before")
+
+
+def paced(rows: DataFrame, *, by: str, order: list[str], at: str, gap: int, out: str = "starts") -> DataFrame:
+    """Adds ``out``: when each request may start so that those of one ``by`` (a host) are at least ``gap`` apart, in ``order``, none before its ``at`` (both in
+    one unit). The i-th starts at the largest of ``at - gap * j`` over j up to i, plus ``gap * i``; so hosts with very many requests are shared by tasks.
+    """
+    placed = with_place(rows, by=[by], order=order, out="__i")
+    late = running_max(placed, by=[by], order=["__i"], value=F.col(at) - F.lit(gap) * F.col("__i"), out=out)
+    return late.withColumn(out, F.col(out) + F.lit(gap) * F.col("__i")).drop("__i")
+
+
 # ---- next-fit ----------------------------------------------------------------------------------------------------------------------------
 
 _WAYS = "exits array<int>, batches array<int>"

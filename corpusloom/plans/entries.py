@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import scoring as S
 from corpusloom.functions import text as T
-from corpusloom.operators import corpus, evaluation, evidence, explorer, quantify, reports, tagging, tags
+from corpusloom.operators import corpus, evaluation, evidence, explorer, ordered, quantify, reports, tagging, tags
 from corpusloom.plans.catalog import FLAT_SQL, HITS_SQL, MEM, NORM, REASON_SQL, SPAN_SQL, SQL, STAGE_OF, TERMS, WORDS_SQL, _genuine, _reason, _score_sql, _spans, docs, members, opportunity_score, order_docs, pairs, query, r6, topk_cooccur
 from corpusloom.sources import html as H
 from corpusloom.sources import listings, manual, parts, robots, store, tables
@@ -871,3 +871,12 @@ def raw_parts(spark, d):
     all_ = _raw(spark, d).unionByName(_raw(spark, d).where("source_native_id % 3 = 0"))
     parts.write_parts(all_, folder, max_records=30, max_part_records=7)
     return parts.read_manifests(spark, folder).select("source", "run_date", "status", "record_count", "duplicates_skipped")
+
+
+@query(f"""WITH RECURSIVE q AS (SELECT page_id, {_site("url")} AS domain, page_id // 4 AS came, row_number() OVER (PARTITION BY {_site("url")} ORDER BY page_id) AS i FROM pages),
+r AS (SELECT page_id, domain, i, came AS starts FROM q WHERE i = 1 UNION ALL SELECT q.page_id, q.domain, q.i, greatest(q.came, r.starts + 3) FROM r JOIN q ON q.domain = r.domain AND q.i = r.i + 1)
+SELECT page_id, domain, starts FROM r""")
+def paced_requests(spark, d):
+    """When each page may be asked for: four arrive a second, those of one host are three seconds apart."""
+    pages = table(spark, d, "pages").select("page_id", robots.domain_of(F.col("url")).alias("domain"), F.floor(F.col("page_id") / 4).alias("at"))
+    return ordered.paced(pages, by="domain", order=["page_id"], at="at", gap=3).select("page_id", "domain", "starts")

@@ -30,9 +30,9 @@ def work(spark, tmp_path):
     def put(rows):
         spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/in/{next(number)}")
 
-    def run(budget, buckets=2, batch=3, **more):
+    def run(budget, buckets=2, batch=3, period=asking.DAY, calls=1000):
         docs = spark.readStream.schema("doc_id long, text string").parquet(f"{tmp_path}/in/*")
-        stream.run_once(asking.ask(docs, logging(f"{tmp_path}/log", f"{tmp_path}/mended"), budget=budget, buckets=buckets, batch=batch, **more), f"{tmp_path}/out", f"{tmp_path}/ck")
+        stream.run_once(asking.ask(docs, logging(f"{tmp_path}/log", f"{tmp_path}/mended"), [asking.Limit(period, calls, budget), asking.Limit(2 * period, 2 * calls, 10 * budget)], buckets=buckets, batch=batch), f"{tmp_path}/out", f"{tmp_path}/ck")
         return spark.read.parquet(f"{tmp_path}/out")
 
     def asked():
@@ -75,6 +75,13 @@ def test_waiting_documents_are_asked_when_the_period_ends(work):
     assert max(Counter(d for d, _ in asked()).values()) == 1
 
 
+def test_calls_are_limited(work):
+    put, run, asked = work
+    put([(i, "x") for i in range(12)])
+    run(10_000, buckets=1, calls=2)
+    assert len(asked()) == 6  # two calls of three
+
+
 def test_failures_wait(work, tmp_path):
     put, run, asked = work
     put([(1, "good"), (2, "bad"), (3, "left out"), (4, None)])

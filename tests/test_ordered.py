@@ -63,3 +63,17 @@ def test_next_fit(rows, most, budget, chunk):
 
 def test_next_fit_of_nothing(rows):
     assert ordered.next_fit(rows.where("false"), by="g", order="pos", tokens="t", max_count=2, budget=9).count() == 0
+
+
+def test_paced(rows):
+    want = {}
+    for g, own in groups(rows).items():
+        last = None
+        for r in own:
+            at = r.pos // 10
+            last = at if last is None else max(at, last + 7)
+            want[(g, r.pos)] = last
+    got = ordered.paced(rows.withColumn("at", F.floor(F.col("pos") / 10)), by="g", order=["pos"], at="at", gap=7)
+    assert {(r.g, r.pos): r.starts for r in got.collect()} == want
+    far = ordered.paced(rows.withColumn("at", F.col("pos") * 100), by="g", order=["pos"], at="at", gap=7)
+    assert all(r.starts == r["at"] for r in far.collect())

@@ -148,32 +148,6 @@ def test_running_total(spark):
     assert {r.k: r.s for r in evaluation.running_total(df, order="k", value="v", out="s").collect()} == want
 
 
-def test_budgets_and_governors():
-    assert explorer.overhead_tokens("x" * 9, "{}") == 4 and explorer.input_budget(8000, 3000, 1500) == 5000 and explorer.input_budget(3000, 3000, 1500) == 1500
-    now, slept = [0.0], []
-
-    def sleep(s):
-        slept.append(s)
-        now[0] += s
-
-    g = explorer.Governor(2, 100, 4, 1000, clock=lambda: now[0], sleep=sleep)
-    for _ in range(2):
-        g.admit(30)
-        g.used(30)
-    g.admit(30)  # a third call in the minute waits for the next
-    assert slept == [60.5] and g.minute == [0, 0]
-    g.used(30)
-    g.admit(80)  # 110 tokens in the minute would be too many
-    assert len(slept) == 2
-    g.used(80)
-    with pytest.raises(explorer.DailyLimit):
-        g.admit(1)
-    g.used(1, left_today=3)
-    g.admit(1)
-    now[0], slept[:] = 0.0, []
-    p = explorer.Pacer(2.0, clock=lambda: now[0], sleep=sleep)
-    assert [p.wait("a"), p.wait("b"), p.wait("a")] == [0.0, 0.0, 2.0]
-
 
 def test_limitations():
     one = explorer.limitations({"by_source": {"a": 3, "b": 0}, "pre": 2, "sampled": True, "tagged": 2, "relevant": 3, "flagged_share": 0.25, "ranked": False})
@@ -198,3 +172,7 @@ def test_manual_files(spark, tmp_path):
     (tmp_path / "README.json").write_text('{"id": "6", "text": "no"}')
     assert sorted((r.native_id, r.text, r.created) for r in tables.read_manual(spark, str(tmp_path)).collect()) == [("1", "x", None), ("3", "y", "2024"), ("4", "z", None), ("5", "one\nobject", None)]
     assert [r.file.rsplit("/", 1)[1] for r in tables.bad_manual(spark, str(tmp_path)).collect()] == ["c.json"]
+
+
+def test_budgets():
+    assert explorer.overhead_tokens("x" * 9, "{}") == 4 and explorer.input_budget(8000, 3000, 1500) == 5000 and explorer.input_budget(3000, 3000, 1500) == 1500
