@@ -226,7 +226,10 @@ def saved_sample(spark, d):
 
 @query("SELECT doc_id, lang, source FROM documents WHERE doc_id = 7")
 def point_lookup(spark, d):
-    return store.point(docs(spark, d), doc_id=7).select("doc_id", "lang", "source")
+    """One key of a clustered table: other row groups are skipped."""
+    path = scratch(spark, "clustered")
+    store.write_clustered(docs(spark, d), path, "doc_id")
+    return store.point(spark.read.parquet(path), doc_id=7).select("doc_id", "lang", "source")
 
 
 @query("SELECT toxic = 1 AS there, count(*) AS n FROM labels WHERE toxic = 1 GROUP BY 1")
