@@ -48,7 +48,7 @@ def near_pairs(prints: DataFrame, *, key: str = "doc_id", bits: int = 12, blocks
     are flipped, so an equi-join on the flipped block finds every pair, in one place only: the left side flips the lower half of the
     differing bits, in the first block that differs in few enough. At 12 bits and 3 blocks that is about 1400 keys a fingerprint on the left and 760 on the
     right, and of two random fingerprints about one in a hundred meets. Keys that many fingerprints share are split: the left side over
-    salts, the right side repeated for each. Null keys and fingerprints are left out.
+    salts, the right side repeated for each. Otherwise the right side, the smaller one, is hashed, as a key's rows are few. Null keys and fingerprints are left out.
     """
     if blocks < 2:
         raise ValueError("a block has 32 bits at most")
@@ -65,19 +65,19 @@ def near_pairs(prints: DataFrame, *, key: str = "doc_id", bits: int = 12, blocks
         masks = _keys(bits, blocks, left)
         flipped = lambda k: lambda m: value(F.col("fingerprint"), k).bitwiseXOR(m).bitwiseOR(F.lit(k << 40))
         each = [F.transform(F.split(F.lit(",".join(map(str, masks[k]))), ",").cast("array<bigint>"), flipped(k)) for k in range(blocks)]
-        return one.select("id", F.col("fingerprint").alias("print"), F.explode(F.flatten(F.array(*each))).alias("at"))
+        return one.select(F.col("fingerprint").alias("print" if left else "other"), F.explode(F.flatten(F.array(*each))).alias("at"))
 
-    left, right = side(True), side(False).select(F.col("id").alias("other_id"), F.col("print").alias("other"), "at")
-    # A key holds no more fingerprints than the flips that lead to it, times what the fullest block value has.
+    left, right = side(True), side(False)
+    # A key holds no more fingerprints than the flips of one size, times what the fullest block value has.
     fullest = one.select(F.explode(F.array(*[value(F.col("fingerprint"), k).bitwiseOR(F.lit(k << 40)) for k in range(blocks)])).alias("v")).groupBy("v").count().agg(F.max("count")).first()[0] or 0
-    if fullest * max(map(len, _keys(bits, blocks, True))) > crowd:
+    if fullest * max(map(len, _flips(_BITS // blocks + 1, (bits // blocks + 1) // 2))) > crowd:
         crowded = checkpointed(left.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("at", F.ceil(F.col("n") / crowd).cast("int").alias("parts")))
         parts = F.coalesce("parts", F.lit(1))
-        left = left.join(crowded, "at", "left").withColumn("salt", F.pmod(F.xxhash64("id"), parts)).drop("parts")
+        left = left.join(crowded, "at", "left").withColumn("salt", F.pmod(F.xxhash64("print"), parts)).drop("parts")
         right = right.join(crowded, "at", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).drop("parts")
         met = left.join(right, ["at", "salt"])
     else:
-        met = left.join(right, "at")
+        met = left.join(right.hint("shuffle_hash"), "at")
     most, block = bits // blocks, F.shiftright("at", 40)
     differ = [F.bit_count(value(F.col("print").bitwiseXOR(F.col("other")), k)) for k in range(blocks)]
     here, mine, theirs = F.lit(False), F.lit(0).cast("long"), F.lit(0).cast("long")
@@ -88,8 +88,10 @@ def near_pairs(prints: DataFrame, *, key: str = "doc_id", bits: int = 12, blocks
         mine = F.when(own, value(F.col("print"), k).bitwiseXOR(flipped)).otherwise(mine)
         theirs = F.when(own, value(F.col("other"), k).bitwiseXOR(flipped)).otherwise(theirs)
     lowest = theirs.bitwiseAND(-theirs)
-    near = met.where("id < other_id").where((hamming(F.col("print"), F.col("other")) <= bits) & here & ((theirs == 0) | (mine < lowest)))
-    return near.select(F.col("id").alias("a"), F.col("other_id").alias("b"), hamming(F.col("print"), F.col("other")).cast("int").alias("distance"))
+    near = met.where((hamming(F.col("print"), F.col("other")) <= bits) & here & ((theirs == 0) | (mine < lowest)) & (F.col("print") != F.col("other")))
+    ids = one.select(F.col("fingerprint").alias("print"), "id"), one.select(F.col("fingerprint").alias("other"), F.col("id").alias("other_id"))
+    pairs = near.select("print", "other").join(ids[0], "print").join(ids[1], "other").where("id < other_id")
+    return pairs.select(F.col("id").alias("a"), F.col("other_id").alias("b"), hamming(F.col("print"), F.col("other")).cast("int").alias("distance"))
 
 
 def components(edges: DataFrame) -> DataFrame:
