@@ -1,97 +1,92 @@
-"""Graphs of near rows: pairs of fingerprints by flipped blocks, components, the greedy pass over them."""
+"""Graphs of near rows: pairs of fingerprints block by block, components, the greedy pass over them."""
 
 from __future__ import annotations
 
-from itertools import combinations
-
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from corpusloom.functions.scoring import hamming
 from corpusloom.sources.tables import checkpointed
 
-#: Fingerprints that one key may bring together in one task; keys with more are split.
-CROWD = 4096
+#: Fingerprints of a block, about; a task holds two blocks at a time. Tasks that the pairs of blocks are dealt to, at most.
+CROWD, UNITS = 1 << 15, 1024
 #: Edges of a component that one task settles in order; larger components are settled by rounds.
 SMALL = 1 << 18
-_BITS = 64
-
-
-def _flips(width: int, most: int) -> list[list[int]]:
-    """Masks of each number of set bits up to ``most``."""
-    return [[sum(1 << b for b in bits) for bits in combinations(range(width), n)] for n in range(most + 1)]
 
 
-def _keys(bits: int, blocks: int, left: bool) -> list[list[int]]:
-    """For each block the masks that a side tries, each with the sizes of both sides' masks above the block's bits.
-
-    Blocks that differ in d bits meet where the left side flips the lower half of them (the larger one) and the right side the rest.
-    """
-    out = []
-    for k in range(blocks):
-        width = _BITS // blocks + (k >= blocks - _BITS % blocks)
-        most = bits // blocks
-        by_size = _flips(width, (most + 1) // 2)
-        own = []
-        for d in range(most + 1):
-            n = (d + 1) // 2 if left else d // 2
-            own += [(d << 32) | mask for mask in by_size[n]]
-        out.append(own)
-    return out
-
-
-def near_pairs(prints: DataFrame, *, key: str = "doc_id", bits: int = 12, blocks: int = 3, crowd: int | None = None) -> DataFrame:
+def _tile(held: list[pa.RecordBatch], bits: int, schema: pa.Schema):
+    """Near pairs of one unit: the fingerprints of its first block against those of its second, or of one block against those behind them."""
+    rows = pa.Table.from_batches(held).combine_chunks()
+    second = rows.column("second").to_numpy()
+    left, right = (rows, rows) if not second.any() else (rows.filter(pa.array(~second)), rows.filter(pa.array(second)))
+    within = left is right
+    mine, theirs = (t.column("print").to_numpy().view(np.uint64) for t in (left, right))
+    found, many = [], 0
+
+    def batch():
+        at = np.repeat([i for i, _ in found], [len(x) for _, x in found]).astype(np.int64)
+        to = np.concatenate([x for _, x in found])
+        one, other = left.column("id").take(pa.array(at)).combine_chunks(), right.column("id").take(pa.array(to)).combine_chunks()
+        less = pc.less(one, other)
+        far = np.bitwise_count(mine[at] ^ theirs[to]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pc.if_else(less, one, other), pc.if_else(less, other, one), pa.array(far, pa.int32())], schema=schema)
+
+    for i in range(len(mine)):
+        start = i + 1 if within else 0
+        near = np.flatnonzero(np.bitwise_count(theirs[start:] ^ mine[i]) <= bits)
+        if len(near):
+            found.append((i, near + start))
+            many += len(near)
+            if many >= 1 << 15:
+                yield batch()
+                found, many = [], 0
+    if found:
+        yield batch()
+
+
+def _tiles(bits: int, schema: pa.Schema):
+    """Units follow each other; one is held at a time."""
+
+    def run(batches):
+        now, held = None, []
+        for b in batches:
+            units = b.column("unit").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(units)) + 1).tolist(), len(units)] if len(units) else []
+            for at, to in zip(cuts, cuts[1:]):  # noqa: B905
+                if held and units[at] != now:
+                    yield from _tile(held, bits, schema)
+                    held = []
+                now = units[at]
+                held.append(b.slice(at, to - at))
+        if held:
+            yield from _tile(held, bits, schema)
+
+    return run
+
+
+def near_pairs(prints: DataFrame, *, key: str = "doc_id", bits: int = 12, blocks: int = 24, crowd: int | None = None) -> DataFrame:
     """(a, b, distance) of 64-bit fingerprints within ``bits``, a < b; equal fingerprints meet once, under their smallest key.
 
-    Of ``blocks`` blocks of bits one differs in ``bits / blocks`` at most. Each side lists what its block becomes when up to half of that many bits
-    are flipped, so an equi-join on the flipped block finds every pair, in one place only: the left side flips the lower half of the
-    differing bits, in the first block that differs in few enough. At 12 bits and 3 blocks that is about 1400 keys a fingerprint on the left and 760 on the
-    right, and of two random fingerprints about one in a hundred meets. Keys that many fingerprints share are split: the left side over
-    salts, the right side repeated for each. Otherwise the right side, the smaller one, is hashed, as a key's rows are few. Null keys and fingerprints are left out.
+    At such a distance about one in a hundred pairs of random fingerprints shares any key that would have to bring near ones together, so all pairs are compared
+    instead, at two to three nanoseconds each: distinct fingerprints are dealt to blocks of at most about ``crowd`` (``blocks`` of them where there are enough
+    fingerprints), and each two blocks are a unit. A task holds a unit at a time; what is shuffled grows with fingerprints times blocks,
+    the comparisons with the square of the fingerprints. Null keys and fingerprints are left out.
     """
-    if blocks < 2:
-        raise ValueError("a block has 32 bits at most")
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     crowd = CROWD if crowd is None else crowd
     one = checkpointed(prints.where(F.col(key).isNotNull() & F.col("fingerprint").isNotNull()).groupBy("fingerprint").agg(F.min(key).alias("id")))
-    shifts, at = [], 0
-    for k in range(blocks):
-        width = _BITS // blocks + (k >= blocks - _BITS % blocks)
-        shifts.append((at, (1 << width) - 1))
-        at += width
-    value = lambda c, k: F.shiftrightunsigned(c, shifts[k][0]).bitwiseAND(F.lit(shifts[k][1]))
-
-    def side(left: bool) -> DataFrame:
-        masks = _keys(bits, blocks, left)
-        flipped = lambda k: lambda m: value(F.col("fingerprint"), k).bitwiseXOR(m).bitwiseOR(F.lit(k << 40))
-        each = [F.transform(F.split(F.lit(",".join(map(str, masks[k]))), ",").cast("array<bigint>"), flipped(k)) for k in range(blocks)]
-        return one.select(F.col("fingerprint").alias("print" if left else "other"), F.explode(F.flatten(F.array(*each))).alias("at"))
-
-    left, right = side(True), side(False)
-    # A key holds no more fingerprints than the flips of one size, times what the fullest block value has.
-    fullest = one.select(F.explode(F.array(*[value(F.col("fingerprint"), k).bitwiseOR(F.lit(k << 40)) for k in range(blocks)])).alias("v")).groupBy("v").count().agg(F.max("count")).first()[0] or 0
-    if fullest * max(map(len, _flips(_BITS // blocks + 1, (bits // blocks + 1) // 2))) > crowd:
-        crowded = checkpointed(left.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("at", F.ceil(F.col("n") / crowd).cast("int").alias("parts")))
-        parts = F.coalesce("parts", F.lit(1))
-        left = left.join(crowded, "at", "left").withColumn("salt", F.pmod(F.xxhash64("print"), parts)).drop("parts")
-        right = right.join(crowded, "at", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).drop("parts")
-        met = left.join(right, ["at", "salt"])
-    else:
-        met = left.join(right.hint("shuffle_hash"), "at")
-    most, block = bits // blocks, F.shiftright("at", 40)
-    differ = [F.bit_count(value(F.col("print").bitwiseXOR(F.col("other")), k)) for k in range(blocks)]
-    here, mine, theirs = F.lit(False), F.lit(0).cast("long"), F.lit(0).cast("long")
-    for k in range(blocks):
-        own = block == k
-        here = F.when(own, F.lit(True) if k == 0 else F.least(*[F.lit(99), *differ[:k]]) > most).otherwise(here)
-        flipped = F.col("at").bitwiseAND(F.lit(shifts[k][1]))
-        mine = F.when(own, value(F.col("print"), k).bitwiseXOR(flipped)).otherwise(mine)
-        theirs = F.when(own, value(F.col("other"), k).bitwiseXOR(flipped)).otherwise(theirs)
-    lowest = theirs.bitwiseAND(-theirs)
-    near = met.where((hamming(F.col("print"), F.col("other")) <= bits) & here & ((theirs == 0) | (mine < lowest)) & (F.col("print") != F.col("other")))
-    ids = one.select(F.col("fingerprint").alias("print"), "id"), one.select(F.col("fingerprint").alias("other"), F.col("id").alias("other_id"))
-    pairs = near.select("print", "other").join(ids[0], "print").join(ids[1], "other").where("id < other_id")
-    return pairs.select(F.col("id").alias("a"), F.col("other_id").alias("b"), hamming(F.col("print"), F.col("other")).cast("int").alias("distance"))
+    n = one.count()
+    parts = max(-(-n // crowd), min(blocks, -(-n // 512)), 1)
+    dealt = one.select("id", F.col("fingerprint").alias("print"), F.pmod(F.xxhash64("fingerprint"), F.lit(parts)).alias("block"))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    units = each.select((F.least("block", "other") * parts + F.greatest("block", "other")).alias("unit"), (F.col("block") > F.col("other")).alias("second"), "print", "id")
+    schema = StructType([StructField("a", one.schema["id"].dataType), StructField("b", one.schema["id"].dataType), StructField("distance", IntegerType())])
+    met = units.repartition(min(parts * (parts + 1) // 2, UNITS), "unit").sortWithinPartitions("unit")
+    return met.mapInArrow(_tiles(bits, to_arrow_schema(schema)), schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
