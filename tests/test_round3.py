@@ -4,7 +4,8 @@ import random
 
 import numpy as np
 
-from corpusloom.operators import graph
+from corpusloom.functions import languages
+from corpusloom.operators import graph, ordered
 
 
 def test_near_pairs_are_not_broadcast(spark):
@@ -22,3 +23,36 @@ def test_near_pairs_are_not_broadcast(spark):
 def test_near_pairs_of_text_keys(spark):
     rows = spark.createDataFrame([("b", 0), ("a", 1), ("é", 3), ("c", -1)], "k string, fingerprint long")
     assert sorted(map(tuple, graph.near_pairs(rows, key="k").collect())) == [("a", "b", 1), ("a", "é", 1), ("b", "é", 2)]
+
+
+def test_language_arrays_do_not_grow_with_texts():
+    """A batch of long texts made arrays of all its n-grams at once."""
+    texts = [None, "", "añ🙂" * 400_000, "z", "word " * 300_000]
+    most, n = 0, 0
+    for of, at in languages._grams(texts):
+        most, n = max(most, len(at)), n + len(at)
+        assert len(of) == len(at)
+    assert most <= 2 * languages.BLOCK + 8
+    assert n == sum(max(0, len(t or "") - k + 1) for t in texts for k in languages.ORDERS)
+
+
+def test_batches_of_chunks_that_span_files(spark):
+    """The join of chunks with where they are entered is a broadcast: it leaves a chunk in as many tasks as it has files."""
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "1m", "spark.sql.files.openCostInBytes": "1m"}
+    rng = random.Random(6)
+    rows = [(f"s{i % 2}", i, rng.choice([0, 1, 70, 99])) for i in range(6000)]
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = spark.createDataFrame(rows, "g string, i long, t long")
+        got = {(r.g, r.i): r.batch for r in ordered.next_fit(df, by="g", order="i", tokens="t", max_count=5, budget=200).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    state, want = {}, {}
+    for g, i, t in rows:
+        batch, n, used = state.get(g, (-1, 5, 0))
+        state[g] = (batch + 1, 1, t) if n >= 5 or used + t > 200 else (batch, n + 1, used + t)
+        want[g, i] = state[g][0]
+    assert got == want
