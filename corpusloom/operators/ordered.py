@@ -213,6 +213,7 @@ def next_fit(rows: DataFrame, *, by: str, order: str, tokens: str, max_count: in
     told = seen.repartition("__by", "__chunk").sortWithinPartitions("__by", "__chunk", "__i").mapInArrow(_ways(to_arrow_schema(ways), size, max_count, budget), ways)
     entries = StructType([*key, StructField("__entry", IntegerType()), StructField("__base", LongType())])
     entered = checkpointed(told.repartition("__by").sortWithinPartitions("__by", "__chunk").mapInArrow(_entries(to_arrow_schema(entries)), entries))
-    met = placed.join(entered, ["__by", "__chunk"]).sortWithinPartitions("__by", "__chunk", "__i")
+    # A broadcast or split join leaves a chunk's rows in several tasks, so they are brought together after it.
+    met = placed.join(entered, ["__by", "__chunk"]).repartition("__by", "__chunk").sortWithinPartitions("__by", "__chunk", "__i")
     done = met.mapInArrow(_numbered(size, max_count, budget), StructType([*met.schema.fields, StructField("batch", LongType())]))
     return done.select(*rows.columns, "batch")
