@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import languages
 from corpusloom.functions import text as T
-from corpusloom.operators import graph, ordered
+from corpusloom.operators import evaluation, graph, ordered
+from corpusloom.plans import entries
 from corpusloom.sources import html as H
 
 
@@ -65,3 +66,23 @@ def test_batches_of_chunks_that_span_files(spark):
 def test_page_text_keeps_cut_entities(spark):
     rows = spark.createDataFrame([("<p>a&amp;&amp b &quot;c&quot; &amp;copy; &#65;&#x42; &nosuch;</p>",), (None,)], "h string")
     assert [r[0] for r in rows.select(H.visible_text(F.col("h"))).collect()] == ['a&&amp b "c" &copy; AB &nosuch;', None]
+
+
+def test_manual_files_are_bounded(spark, tmp_path, monkeypatch):
+    """Half the corpus was one row of one file, the other half one file."""
+    monkeypatch.setattr(entries, "MANUAL", 4)
+    monkeypatch.setattr(entries, "scratch", lambda *_: f"file://{tmp_path}/manual")
+    spark.createDataFrame([(i, f"text {i}", "en", f"src{i % 4}") for i in range(40)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {int(r.native_id) for r in entries.manual_documents(spark, str(tmp_path)).collect()}
+    files = [p.read_text() for p in (tmp_path / "manual").glob("*/part-*.txt")]
+    assert got == set(range(40)) and len(files) >= 10 and max(t.count('"text ') for t in files) <= 4
+
+
+def test_passes_are_dealt_out_by_row(spark, tmp_path, monkeypatch):
+    """Three and five tasks had all texts, whatever their size."""
+    spark.createDataFrame([(i, f"Text {i}") for i in range(40)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, real = [], evaluation.fingerprint_of
+    monkeypatch.setattr(evaluation, "fingerprint_of", lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    got = {r["pass"]: (r.n, r.same) for r in entries.reproduced(spark, str(tmp_path)).collect()}
+    assert got == {"again": (40, True), "one text changed": (40, False), "one row lost": (39, False)}
+    assert all(f"Repartition {n}, true" not in plan for plan in seen for n in (3, 5))
