@@ -50,9 +50,9 @@ def quantify(docs: DataFrame, members: DataFrame, found: DataFrame, *, flags: Da
     """
     own = cluster_members(members, found)
     bad = cluster_flags(flags, found) if flags is not None else None
-    genuine = docs.where("genuine")
-    rows = tags.opportunities(docs, own, flags=bad, **how)
-    few = tags.opportunities(genuine, own.join(genuine.select("doc_id"), "doc_id", "left_semi"), flags=bad, **how)
+    held = tags.tagged(docs, own, bad)
+    rows = tags.opportunities_of(held, **how)
+    few = tags.opportunities_of(held.where("genuine"), **how)
     return tags.attach_genuine(rows, few).join(cluster_texts(found), ["dimension", "label"], "left")
 
 

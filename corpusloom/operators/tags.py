@@ -110,26 +110,52 @@ def author_share(docs: DataFrame, members: DataFrame, *, cap: int = 5) -> DataFr
     return own.join(total, "voice").groupBy("dimension", "label").agg(F.sum(F.col("tagged") / F.col("whole")).alias("s")).join(F.broadcast(voices), how="cross").select("dimension", "label", (F.col("s") / F.col("voices")).alias("share"))
 
 
-def opportunities(docs: DataFrame, members: DataFrame, *, flags: DataFrame | None = None, cap: int = 5, min_authors: int = 3, low_n: int = 20) -> DataFrame:
+def tagged(docs: DataFrame, members: DataFrame, flags: DataFrame | None = None) -> DataFrame:
+    """``docs``, a row each, with ``tags``: their labels as (dimension, label, is_flagged), null where there are none. A table: what is counted by label and what
+    is summed by voice are read from it, and no row per label is shuffled."""
+    rows = members.select("doc_id", "dimension", "label", F.lit(False).alias("is_flagged"))
+    if flags is not None:
+        rows = members.select("doc_id", "dimension", "label", F.lit(True).alias("own"), F.lit(None).cast("boolean").alias("is_flagged")).unionByName(flags.select("doc_id", "dimension", "label", F.lit(False).alias("own"), "is_flagged"))
+        rows = rows.repartition("doc_id").groupBy("doc_id", "dimension", "label").agg(F.bool_or("own").alias("own"), F.bool_or("is_flagged").alias("is_flagged")).where("own")
+    lists = rows.groupBy("doc_id").agg(F.collect_list(F.struct("dimension", "label", "is_flagged")).alias("tags"))
+    return checkpointed(docs.join(lists, "doc_id", "left"))
+
+
+def _voices(rows: DataFrame, cap: int) -> DataFrame:
+    """(dimension, label, n_authors, share) of ``tagged`` rows with recency. Documents meet by voice; all that follows happens where a voice is."""
+    own = rows.select("doc_id", voice(F.col("author"), F.col("doc_id")).alias("voice"), "recency", "tags")
+    place = F.row_number().over(Window.partitionBy("voice").orderBy(F.desc("recency"), "doc_id"))
+    kept = own.withColumn("kept", F.when(place <= cap, F.col("recency")))
+    kept = kept.withColumn("whole", F.sum("kept").over(Window.partitionBy("voice")))
+    each = kept.select("voice", "kept", "whole", F.inline("tags")).groupBy("voice", "dimension", "label").agg(F.sum("kept").alias("tagged"), F.max("whole").alias("whole"))
+    return each.groupBy("dimension", "label").agg(F.count("*").alias("n_authors"), F.sum(F.when(F.col("whole") > 0, F.col("tagged") / F.col("whole"))).alias("s")).where("s is not null")
+
+
+def opportunities(docs: DataFrame, members: DataFrame, *, flags: DataFrame | None = None, **how) -> DataFrame:
     """The scored, ranked label rows of a population: one pass over members for counts and means, one for capped author shares.
 
     ``flags``: doc_id, dimension, label, is_flagged; the share of flagged documents lowers a label's evidence. ``post_only`` holds where no
     document is of the stage before the purchase.
     """
-    if flags is not None:
-        members = members.join(flags, ["doc_id", "dimension", "label"], "left")
-    else:
-        members = members.withColumn("is_flagged", F.lit(False))
-    docs = with_recency(docs)
-    totals = docs.agg(F.count("*").alias("total"), F.countDistinct("source").alias("sources_total"), F.countDistinct(voice(F.col("author"), F.col("doc_id"))).alias("authors_total"))
-    joined = members.join(docs, "doc_id").withColumn("voice", voice(F.col("author"), F.col("doc_id")))
-    stats = joined.groupBy("dimension", "label").agg(
-        F.count("*").alias("n_docs"), F.avg("severity").alias("mean_severity"), F.avg("actionability").alias("mean_actionability"), F.avg("confidence").alias("mean_confidence"),
-        F.countDistinct("voice").alias("n_authors"), F.countDistinct("source").alias("n_sources"),
-        F.count_if(F.col("stage") == "pre").alias("n_pre"), F.count_if(F.col("stage") == "post").alias("n_post"), F.count_if(F.col("stage") == "mixed").alias("n_mixed"),
-        (F.count_if("is_flagged") / F.count("*")).alias("flagged_share"),
+    return opportunities_of(tagged(docs, members, flags), **how)
+
+
+def opportunities_of(rows: DataFrame, *, cap: int = 5, min_authors: int = 3, low_n: int = 20) -> DataFrame:
+    """``opportunities`` of ``tagged`` documents, or of some of them: recency and caps are those of the rows given."""
+    docs = with_recency(rows)
+    by_voice = docs.groupBy(voice(F.col("author"), F.col("doc_id")).alias("voice")).agg(F.count("*").alias("n"), F.max("recency").alias("most"))
+    totals = by_voice.agg(F.sum("n").alias("total"), F.count("voice").alias("authors_total"), F.count_if(F.col("most") > 0).alias("voices"))
+    totals = totals.join(docs.agg(F.countDistinct("source").alias("sources_total")), how="cross")
+    sums = {c: F.sum(c).alias(f"sum_{c}") for c in ("severity", "actionability", "confidence")}
+    known = {c: F.count(c).alias(f"n_{c}") for c in sums}
+    by_source = docs.select("source", "severity", "actionability", "confidence", "stage", F.inline("tags")).groupBy("dimension", "label", "source").agg(
+        F.count("*").alias("n"), *sums.values(), *known.values(), F.count_if("is_flagged").alias("flagged"), *[F.count_if(F.col("stage") == s).alias(f"n_{s}") for s in ("pre", "post", "mixed")]
+    )
+    mean = lambda c: (F.sum(f"sum_{c}") / F.sum(f"n_{c}")).alias(f"mean_{c}")
+    stats = by_source.groupBy("dimension", "label").agg(
+        F.sum("n").alias("n_docs"), *[mean(c) for c in sums], F.count("source").alias("n_sources"), *[F.sum(f"n_{s}").alias(f"n_{s}") for s in ("pre", "post", "mixed")], (F.sum("flagged") / F.sum("n")).alias("flagged_share")
     )
-    rows = stats.join(author_share(docs, members.drop("is_flagged"), cap=cap), ["dimension", "label"]).join(F.broadcast(totals), how="cross")
+    rows = stats.join(_voices(docs, cap), ["dimension", "label"]).join(F.broadcast(totals), how="cross").withColumn("share", F.col("s") / F.col("voices")).drop("s", "voices")
     p, low, high = S.wilson(F.col("n_docs"), F.col("total"))
     rows = rows.withColumns({"prevalence": p, "low": low, "high": high, "spread": F.col("n_sources") / F.col("sources_total")})
     rows = rows.withColumn("evidence", S.evidence_confidence(F.col("mean_confidence"), F.col("spread"), S.sample_size_factor(F.col("prevalence"), F.col("low")), 1 - F.col("flagged_share")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import languages
 from corpusloom.functions import text as T
-from corpusloom.operators import evaluation, graph, ordered
+from corpusloom.operators import evaluation, graph, ordered, tags
 from corpusloom.plans import entries
 from corpusloom.sources import html as H
 
@@ -86,3 +86,17 @@ def test_passes_are_dealt_out_by_row(spark, tmp_path, monkeypatch):
     got = {r["pass"]: (r.n, r.same) for r in entries.reproduced(spark, str(tmp_path)).collect()}
     assert got == {"again": (40, True), "one text changed": (40, False), "one row lost": (39, False)}
     assert all(f"Repartition {n}, true" not in plan for plan in seen for n in (3, 5))
+
+
+def test_counts_by_label_are_not_expanded(spark):
+    """Distinct voices and sources multiplied every row of a label; now documents meet by voice, with their labels in a list."""
+    docs = spark.createDataFrame([(i, f"a{i % 3}" if i else None, f"s{i % 2}", 1 + i % 5, i % 2, 50, "pre", i % 4 > 0) for i in range(12)], "doc_id long, author string, source string, severity long, actionability long, confidence long, stage string, genuine boolean").withColumn("created", F.lit("2024-01-01").cast("timestamp"))
+    members = spark.createDataFrame([(i, "blocker", "x") for i in range(9)] + [(4, "blocker", "y"), (99, "blocker", "y")], "doc_id long, dimension string, label string")
+    flags = members.where("doc_id < 3").withColumn("is_flagged", F.lit(True))
+    rows = tags.opportunities(docs, members, flags=flags)
+    assert "Expand" not in rows.where("label = 'x'").select("n_authors", "n_sources")._jdf.queryExecution().optimizedPlan().toString().replace("countDistinct", "")
+    got = {r.label: r for r in rows.collect()}
+    assert (got["x"].n_docs, got["x"].n_authors, got["x"].n_sources, round(got["x"].flagged_share, 6)) == (9, 4, 2, round(1 / 3, 6))
+    assert (got["y"].n_docs, got["y"].n_authors, got["y"].n_sources, got["y"].mean_severity) == (1, 1, 1, 5.0)
+    # Voices: the anonymous 0; a0: 3, 6, 9; a1: 1, 4, 7, 10; a2: 2, 5, 8, 11.
+    assert abs(got["x"].share - (1 + 2 / 3 + 3 / 4 + 3 / 4) / 4) < 1e-9 and abs(got["y"].share - 1 / 4 / 4) < 1e-9
