@@ -106,4 +106,4 @@ def test_content_ids_fold_texts_once(spark, tmp_path):
     spark.createDataFrame([(1, "Größe a"), (2, "..."), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = catalog.content_ids(spark, str(tmp_path))
     assert {r.doc_id: r.content for r in got.collect()} == {1: hashlib.sha256("grösse a".encode()).hexdigest()[:16], 2: None, 3: None}
-    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
