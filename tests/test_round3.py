@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import languages
 from corpusloom.functions import text as T
-from corpusloom.operators import evaluation, graph, ordered, tags
+from corpusloom.operators import corpus, evaluation, graph, ordered, tags
 from corpusloom.plans import catalog, entries
 from corpusloom.sources import html as H
 
@@ -107,3 +107,15 @@ def test_content_ids_fold_texts_once(spark, tmp_path):
     got = catalog.content_ids(spark, str(tmp_path))
     assert {r.doc_id: r.content for r in got.collect()} == {1: hashlib.sha256("grösse a".encode()).hexdigest()[:16], 2: None, 3: None}
     assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_exact_dups_fold_texts_once(spark, tmp_path, monkeypatch):
+    """A text was folded four times, twice in one task, and documents without text were lost."""
+    rows = [(3, "Größe  a"), (1, "GRÖSSE, a!"), (7, None), (5, None), (2, "..."), (4, ""), (6, "é b")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plans, real = [], corpus.checkpointed
+    monkeypatch.setattr(corpus, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    got = catalog.exact_dups(spark, str(tmp_path))
+    assert {r.doc_id: r.root for r in got.collect()} == {1: 1, 3: 1, 2: 2, 4: 2, 5: 5, 7: 5, 6: 6}
+    plans.append(got._jdf.queryExecution().optimizedPlan().toString())
+    assert sum(p.count("ArrowEvalPython") for p in plans) == 1
