@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -119,3 +120,19 @@ def test_exact_dups_fold_texts_once(spark, tmp_path, monkeypatch):
     assert {r.doc_id: r.root for r in got.collect()} == {1: 1, 3: 1, 2: 2, 4: 2, 5: 5, 7: 5, 6: 6}
     plans.append(got._jdf.queryExecution().optimizedPlan().toString())
     assert sum(p.count("ArrowEvalPython") for p in plans) == 1
+
+
+def test_profile_sets_keep_documents_without_text(spark, tmp_path, monkeypatch):
+    """They were lost in the join with the copies, and every text was folded four times."""
+    rows = [(1, "la casa la", "en", "src0"), (2, "LA casa, la!", "en", "src1"), (3, None, "en", "src1"), (4, None, "en", "src2"), (5, "x", "en", "src1"), (6, "é the end", None, "src1"), (7, "nothing of it", "en", "src2")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    plans, real = [], corpus.checkpointed
+    monkeypatch.setattr(corpus, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    got = entries.profile_sets(spark, str(tmp_path))
+    plans.append(got._jdf.queryExecution().optimizedPlan().toString())
+    assert sum(p.count("ArrowEvalPython") for p in plans) == 1
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duck.execute(catalog.SQL["profile_sets"]).fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert [r[2:6] for r in want if r[0] is None and r[1] is None] == [(7, 2, 1, 2)]
