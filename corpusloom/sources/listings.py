@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from corpusloom.functions.scoring import content_id
-from corpusloom.functions.text import rating
+from corpusloom.functions.scoring import content_id, short_hash
+from corpusloom.functions.text import for_fingerprint, rating
 from corpusloom.operators import ordered
+from corpusloom.sources.tables import bounded_batches
 
 # Elements that have no end tag, and bodies that stand for a removed post.
 VOID = "area base br col embed hr img input link meta source track wbr".split()
@@ -114,8 +115,10 @@ def block_parts(pages: DataFrame, items: list[str], fields: dict[str, list[str]]
     """Raw parts of the blocks of listing pages (``url``, ``html``), a row each: the values of its id attributes, its links in order, field texts.
 
     The first of the ``items`` selectors with any hit gives a page's blocks. ``fields``: selectors for body, title, author, date and rating, of
-    which the first with text stands; ``moment`` is the time element's machine-readable value. Null pages give no rows.
+    which the first with text stands; ``moment`` is the time element's machine-readable value. Null pages give no rows. A worker holds a batch of
+    pages of 2 MB (or one larger page) and one page's tree.
     """
+    bounded_batches(pages.sparkSession)
 
     def parse(frames):
         for pdf in frames:
@@ -137,7 +140,7 @@ def html_blocks(pages: DataFrame, items: list[str], fields: dict[str, list[str]]
     """(page, native_id, url, text, author, created, title, rating) of the blocks of listing pages; blocks without a body are passed over.
 
     A block is named by what its own id attributes hold (``own_id``), else by its permalink (``link_id``), else by a hint in a link
-    (``hint_id``), else by the hash of its body. Its address is the permalink where that names it, else the page with the name as a fragment,
+    (``hint_id``), else by the hash of its body's words (null where it has none). Its address is the permalink where that names it, else the page with the name as a fragment,
     else the page. A title stands before a body that does not hold it. All of it is expressions over the parts that ``block_parts`` reads.
     """
     b = block_parts(pages, items, fields).where("body is not null")
@@ -146,9 +149,10 @@ def html_blocks(pages: DataFrame, items: list[str], fields: dict[str, list[str]]
     named = b.select("*", found(F.col("own"), own_id).alias("by_own"), found(F.col("links"), link_id).alias("by_link"), found(F.col("links"), hint_id).alias("by_hint"), link.alias("permalink"))
     fragment = F.concat(F.substring_index(page, "#", 1), F.lit("#c"), F.coalesce("by_own", "by_hint"))
     joined = _joined(page, F.when(F.col("by_own").isNull(), F.col("permalink")))
+    named = named.withColumn("words", for_fingerprint(F.when(F.coalesce("by_own", "by_link", "by_hint").isNull(), F.col("body"))))
     text = F.when(F.contains("body", "title"), F.col("body")).otherwise(F.concat("title", F.lit("\n\n"), "body"))
     return named.select(
-        "page", F.coalesce("by_own", "by_link", "by_hint", F.when(F.coalesce("by_own", "by_link", "by_hint").isNull(), content_id(F.col("body")))).alias("native_id"),
+        "page", F.coalesce("by_own", "by_link", "by_hint", F.when(F.col("words") != "", short_hash(F.col("words")))).alias("native_id"),
         F.coalesce(joined, fragment, page).alias("url"), F.coalesce(text, F.col("body")).alias("text"), "author", F.coalesce("moment", "date").alias("created"), "title", rating(F.col("rating_text")).alias("rating"),
     )
 

@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from corpusloom.functions import languages
@@ -12,6 +13,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import corpus, evaluation, graph, ordered, tags
 from corpusloom.plans import catalog, entries
 from corpusloom.sources import html as H
+from corpusloom.sources import listings
 
 
 def test_near_pairs_are_not_broadcast(spark):
@@ -136,3 +138,26 @@ def test_profile_sets_keep_documents_without_text(spark, tmp_path, monkeypatch):
     want = duck.execute(catalog.SQL["profile_sets"]).fetchall()
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
     assert [r[2:6] for r in want if r[0] is None and r[1] is None] == [(7, 2, 1, 2)]
+
+
+def test_blocks_are_read_in_batches_of_bounded_size(spark):
+    """Ten thousand pages of any size were one batch; the reader itself now sees to that, whoever read the pages."""
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(conf, None)
+    spark.conf.unset(conf)
+    try:
+        page = F.concat(F.lit("<nav><li><a href='/x'>"), F.repeat(F.lit("word "), F.lit(50_000)), F.col("id").cast("string"), F.lit("</a></li></nav>"))
+        pages = spark.range(40).coalesce(1).select(F.concat(F.lit("http://a/"), F.col("id")).alias("url"), page.alias("html"))
+        got = listings.html_blocks(pages, ["nav li"], {"body": ["a"]}).select("page", F.char_length("text").alias("n")).collect()
+        sizes = [r.n for r in pages.mapInPandas(lambda frames: (pd.DataFrame({"n": [f["html"].str.len().sum()]}) for f in frames), "n long").collect()]
+    finally:
+        spark.conf.set(conf, before) if before else spark.conf.unset(conf)
+    assert {r.page for r in got} == {f"http://a/{i}" for i in range(40)} and min(r.n for r in got) > 250_000
+    assert sum(sizes) > 10_000_000 and max(sizes) <= 3 << 20
+
+
+def test_blocks_without_words_have_no_id(spark):
+    """One such block failed the whole job; its SQL has null."""
+    pages = spark.createDataFrame([("http://a/", "<nav><li><a href='/x'>...</a></li><li><a href='/y'>Größe</a></li></nav>")], "url string, html string")
+    got = listings.html_blocks(pages, ["nav li"], {"body": ["a"]}).select("text", "native_id", "url").collect()
+    assert [tuple(r) for r in got] == [("...", None, "http://a/"), ("Größe", hashlib.sha256("grösse".encode()).hexdigest()[:16], "http://a/")]
